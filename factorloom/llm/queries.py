@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip_report
 from .common import documents
 from .exact import exact_dedup
 from .language import language_report
+from .packing import pack_documents
 from .secrets import secret_report
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": lambda spark, sf_dir: language_report(documents(spark, sf_dir)),
         "op2_secret_scan": lambda spark, sf_dir: secret_report(documents(spark, sf_dir)),
         "op3_exact_dedup": lambda spark, sf_dir: exact_dedup(documents(spark, sf_dir)),
+        "op4_bpe_round_trip": lambda spark, sf_dir: round_trip_report(documents(spark, sf_dir), tokenizer_file()),
+        "op8_best_fit_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), tokenizer_file()),
     }
 
 
