@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, map_batches
 
-DIMENSIONS, GRAM = 1024, 3
+DIMENSIONS, GRAM = 512, 3
 #: Bound on the training texts of each language, taken by the order of a hash of doc_id; they are about so many.
 TRAINING_TEXTS = 3000
 UNKNOWN = "und"
@@ -24,7 +24,7 @@ UNKNOWN = "und"
 
 def letter_vector(code: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     """The random vector of a code point (0: a word's edge), the same on every machine."""
-    return np.random.default_rng([7, code]).integers(0, 2, dimensions).astype(np.float32) * 2 - 1
+    return np.random.default_rng([7, code]).integers(0, 2, dimensions).astype(np.int8) * 2 - 1
 
 
 def letters_of(text: str, is_letter: np.ndarray) -> np.ndarray:
@@ -33,60 +33,71 @@ def letters_of(text: str, is_letter: np.ndarray) -> np.ndarray:
     own = is_letter[codes]
     if not own.any():
         return codes[:0]
-    kept = np.where(own, codes, 0)
-    kept = kept[own | np.concatenate([[True], own[:-1]])]  # the first of each run of non-letters
-    return np.concatenate([[0], kept, [0]] if kept[-1] and kept[0] else [[0], kept] if kept[0] else [kept, [0]] if kept[-1] else [kept]).astype(np.uint32)
+    edged = np.zeros(len(codes) + 2, np.uint32)
+    edged[1:-1] = np.where(own, codes, 0)
+    return edged[np.append(True, (edged[1:] != 0) | (edged[:-1] != 0))]  # of non-letters in a row, the first
 
 
 class Bundler:
-    """Texts to bundled n-gram vectors; n-gram vectors are made once a task and kept while they are few."""
+    """Texts to bundled n-gram vectors. Letters and n-grams get numbers as a task meets them; n-gram vectors are made once and kept while they are few."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, most_kept: int = 20_000):
-        self.dimensions, self.most_kept = dimensions, most_kept
+    def __init__(self, dimensions: int = DIMENSIONS, most_kept: int = 50_000, most_letters: int = 160):
+        self.dimensions, self.most_kept, self.most_letters = dimensions, most_kept, most_letters
         self.is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        self.slot: dict[int, int] = {}
-        self.letters = np.zeros((0, dimensions), np.float32)
-        self.known = np.zeros(0, np.uint64)
-        self.vectors = np.zeros((0, dimensions), np.float32)
-
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        fresh = [c for c in np.unique(codes).tolist() if c not in self.slot]
-        for c in fresh:
-            self.slot[c] = len(self.slot)
-        if fresh:
-            self.letters = np.vstack([self.letters, *(letter_vector(c, self.dimensions)[None] for c in fresh)])
-        return codes
-
-    def gram_vectors(self, grams: np.ndarray) -> np.ndarray:
-        """Rows of vectors for packed n-grams, sorted and distinct."""
-        at = np.searchsorted(self.known, grams)
-        missing = grams[(at == len(self.known)) | (self.known[np.minimum(at, max(0, len(self.known) - 1))] != grams)] if len(self.known) else grams
-        if len(missing):
-            if len(self.known) + len(missing) > self.most_kept:
-                self.known, self.vectors, missing = grams[:0], self.vectors[:0], grams
-            made = np.ones((len(missing), self.dimensions), np.float32)
-            for place in range(GRAM):
-                codes = ((missing >> np.uint64(21 * (GRAM - 1 - place))) & np.uint64(0x1FFFFF)).astype(np.uint32)
-                self.places(codes)
-                made *= np.roll(self.letters[[self.slot[c] for c in codes.tolist()]], GRAM - 1 - place, axis=1)
-            order = np.argsort(both := np.concatenate([self.known, missing]))
-            self.known, self.vectors = both[order], np.vstack([self.vectors, made])[order]
-            at = np.searchsorted(self.known, grams)
-        return self.vectors[at]
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot = np.full(0x110000, -1, np.int16)  # a code point's number
+        self.letters = np.zeros((0, self.dimensions), np.int8)
+        self.gram = np.full(self.most_letters**GRAM, -1, np.int32)  # an n-gram's number, by its letters' numbers
+        self.vectors = np.zeros((1024, self.dimensions), np.int8)
+        self.grams = 0
+
+    def learn_letters(self, codes: np.ndarray) -> None:
+        fresh = np.unique(codes[self.slot[codes] < 0])
+        if len(self.letters) + len(fresh) > self.most_letters:
+            self.forget()
+            fresh = np.unique(codes)
+        self.slot[fresh] = np.arange(len(self.letters), len(self.letters) + len(fresh))
+        self.letters = np.vstack([self.letters, *(letter_vector(int(c), self.dimensions)[None] for c in fresh)])
+
+    def learn_grams(self, packed: np.ndarray) -> None:
+        fresh = np.unique(packed[self.gram[packed] < 0])
+        if self.grams + len(fresh) > self.most_kept:
+            self.gram[:] = -1
+            self.grams, fresh = 0, np.unique(packed)
+        made = np.ones((len(fresh), self.dimensions), np.int8)
+        for place in range(GRAM):
+            made *= np.roll(self.letters[fresh // self.most_letters**place % self.most_letters], place, axis=1)
+        while self.grams + len(fresh) > len(self.vectors):
+            self.vectors = np.vstack([self.vectors, np.zeros_like(self.vectors)])
+        self.vectors[self.grams : self.grams + len(fresh)] = made
+        self.gram[fresh] = np.arange(self.grams, self.grams + len(fresh))
+        self.grams += len(fresh)
 
     def bundle(self, text: str | None) -> np.ndarray | None:
-        """The unit vector of a text; None if it has no letter."""
-        codes = letters_of(text, self.is_letter).astype(np.uint64) if text else ()
+        """The unit vector of a text; None if it has no letter. n-grams weigh as the root of their counts."""
+        codes = letters_of(text, self.is_letter) if text else ()
         if len(codes) < GRAM:
             return None
-        packed = codes[: 1 - GRAM or None].copy()
-        for place in range(1, GRAM):
-            packed = (packed << np.uint64(21)) | codes[place : len(codes) - GRAM + 1 + place]
-        grams, counts = np.unique(packed, return_counts=True)
         total = np.zeros(self.dimensions, np.float32)
-        for start in range(0, len(grams), 4096):  # a text of very many kinds of n-grams is bundled in parts
-            part = slice(start, start + 4096)
-            total += np.sqrt(counts[part]).astype(np.float32) @ self.gram_vectors(grams[part])
+        if len(kinds := np.unique(codes)) > self.most_letters:
+            codes = np.where(codes < 0x250, codes, 0x250 + codes % 64)  # too many letters to number: those beyond Latin share vectors
+            if len(kinds := np.unique(codes)) > self.most_letters:
+                codes = np.where(codes > 0, 1 + codes % (self.most_letters - 1), 0)
+        if (self.slot[codes] < 0).any():
+            self.learn_letters(codes)
+        slots = self.slot[codes].astype(np.int64)
+        packed = slots[: 1 - GRAM].copy()
+        for place in range(1, GRAM):
+            packed = packed * self.most_letters + slots[place : len(slots) - GRAM + 1 + place]
+        if (self.gram[packed] < 0).any():
+            self.learn_grams(packed)
+        counts = np.bincount(self.gram[packed])
+        own = np.flatnonzero(counts)
+        weights = np.sqrt(counts[own]).astype(np.float32)
+        for start in range(0, len(own), 2048):
+            total += weights[start : start + 2048] @ self.vectors[own[start : start + 2048]].astype(np.float32)
         return total / max(float(np.linalg.norm(total)), 1e-12)
 
 
