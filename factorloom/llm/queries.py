@@ -10,7 +10,9 @@ from .bpe import round_trip_report
 from .common import documents
 from .exact import exact_dedup
 from .language import language_report
+from .neardup import near_dedup
 from .packing import pack_documents
+from .prints import fingerprint_edits
 from .secrets import secret_report
 
 
@@ -27,6 +29,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": lambda spark, sf_dir: exact_dedup(documents(spark, sf_dir)),
         "op4_bpe_round_trip": lambda spark, sf_dir: round_trip_report(documents(spark, sf_dir), tokenizer_file()),
         "op8_best_fit_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), tokenizer_file()),
+        "op9_minhash_near_dedup": lambda spark, sf_dir: near_dedup(documents(spark, sf_dir), width=4, percent=80),
+        "op10_fingerprints": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
     }
 
 
