@@ -14,6 +14,7 @@ from .neardup import near_dedup
 from .packing import pack_documents
 from .prints import fingerprint_edits
 from .secrets import secret_report
+from .substrings import repeat_report
 from .toxicity import toxicity_report
 
 
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": lambda spark, sf_dir: secret_report(documents(spark, sf_dir)),
         "op3_exact_dedup": lambda spark, sf_dir: exact_dedup(documents(spark, sf_dir)),
         "op4_bpe_round_trip": lambda spark, sf_dir: round_trip_report(documents(spark, sf_dir), tokenizer_file()),
+        "op5_suffix_dedup": lambda spark, sf_dir: repeat_report(documents(spark, sf_dir)),
         "op6_toxicity": lambda spark, sf_dir: toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op8_best_fit_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), tokenizer_file()),
         "op9_minhash_near_dedup": lambda spark, sf_dir: near_dedup(documents(spark, sf_dir), width=4, percent=80),
