@@ -10,6 +10,7 @@ from .bpe import round_trip_report
 from .common import documents
 from .exact import exact_dedup
 from .language import language_report
+from .lines import line_report
 from .neardup import near_dedup
 from .packing import pack_documents
 from .prints import fingerprint_edits
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_round_trip": lambda spark, sf_dir: round_trip_report(documents(spark, sf_dir), tokenizer_file()),
         "op5_suffix_dedup": lambda spark, sf_dir: repeat_report(documents(spark, sf_dir)),
         "op6_toxicity": lambda spark, sf_dir: toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "op7_line_dedup": lambda spark, sf_dir: line_report(documents(spark, sf_dir)),
         "op8_best_fit_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), tokenizer_file()),
         "op9_minhash_near_dedup": lambda spark, sf_dir: near_dedup(documents(spark, sf_dir), width=4, percent=80),
         "op10_fingerprints": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
