@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
 A line's set is its distinct words. Words are ordered by rarity (those outside a bounded table of frequent words first), and two sets
-of enough similarity share a word among their first few. So each set is dealt out by the words of that prefix; length and
-positional filters thin the pairs that meet, and the rest are verified on the full sets. Lines with equal sets are one class throughout.
+of enough similarity share a word among their first few. So each set is dealt out by the words of that prefix; length,
+positional and bitmap filters thin the pairs that meet, and the rest are verified on the full sets. Lines with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ PERCENT = 80
 RANKED, SUMMARY = 1 << 16, 300_000
 #: Bytes of text whose prefixes one group of the join holds.
 GROUP_BYTES = 48 << 20
-PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4")])
+#: A row of a prefix: the word, the line's set and its size, the word's place among its words, a bit for each of its words in two bitmaps, and
+#: the document and place where its block has it first.
+PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def words_of(line: bytes) -> list[bytes]:
@@ -86,39 +88,98 @@ class LineSets:
         self.id = np.where(self.size > 0, mixed(total[self.start + self.size] - total[self.start] + self.size.astype(np.uint64)) | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
+    def bitmaps(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two bitmaps of 64 places for each chosen line."""
+        long = self.size[chosen]
+        words = self.words[gather_runs(self.start[chosen], long)]
+        cuts = np.cumsum(long) - long
+        place = words % np.uint64(128)
+        bit = np.uint64(1) << (place % np.uint64(64))
+        zero = np.uint64(0)
+        return tuple(np.bitwise_or.reduceat(np.where(half, bit, zero), cuts) for half in (place < 64, place >= 64)) if len(chosen) else (words, words)
+
+
 def prefix_sizes(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """How many of a set's rarest words any set of enough similarity shares one of."""
     return np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
 
 
-def candidate_pairs(rows: np.ndarray, percent: int = PERCENT, chunk: int = 1 << 20):
-    """Pairs of sets (a, b) with a prefix word in common that pass the length and positional filters, in chunks."""
-    rows = rows[np.lexsort((rows["line"], rows["size"], rows["word"]))]
-    if len(rows) < 2:
-        return
-    rows = rows[np.append(True, (rows[1:]["line"] != rows[:-1]["line"]) | (rows[1:]["word"] != rows[:-1]["word"]))]
-    word, size, place = rows["word"].astype(np.int64), rows["size"].astype(np.int64), rows["place"].astype(np.int64)
-    reach = np.searchsorted(word << 31 | size, word << 31 | size * 100 // percent, "right")  # partners follow, no longer than this
-    partners = reach - np.arange(len(rows)) - 1
-    total = np.cumsum(partners)
-    begin = 0
-    while begin < len(rows):
-        before = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, before + chunk, "right")))
-        mine = np.arange(begin, end)
-        a = np.repeat(mine, partners[begin:end])
-        b = gather_runs(mine + 1, partners[begin:end])
-        least = -(-(size[a] + size[b]) * percent // (100 + percent))
-        # The shared word may be any of the common ones: at most those before it in both and those after it.
-        most = np.minimum(place[a], place[b]) + 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
-        good = (most >= least) & (rows["line"][a] != rows["line"][b])
-        one, two = rows["line"][a[good]], rows["line"][b[good]]
-        yield np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        begin = end
-
-
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(row, doc, n, line, lines): each text's sets in order; and links (a, b) of all pairs of different sets of at least ``percent`` similarity."""
+class Bucket:
+    """Prefix rows of one group of words, each (word, set) once, with its first place; sorted by word and size."""
+
+    def __init__(self, rows: np.ndarray):
+        rows = rows[np.lexsort((rows["at"], rows["doc"], rows["line"], rows["size"], rows["word"]))]
+        if len(rows):
+            rows = rows[np.append(True, (rows[1:]["line"] != rows[:-1]["line"]) | (rows[1:]["word"] != rows[:-1]["word"]))]
+        self.rows = rows
+        self.word, self.size, self.place = (rows[c].astype(np.int64) for c in ("word", "size", "place"))
+        #: Ranks by first place; equal places (of rows with one doc_id) share a rank, and neither comes before the other.
+        order = np.lexsort((rows["at"], rows["doc"]))
+        d, at = rows["doc"][order], rows["at"][order]
+        self.rank = np.empty(len(rows), np.int64)
+        self.rank[order] = np.cumsum(np.append(False, (d[1:] != d[:-1]) | (at[1:] != at[:-1])))[: len(rows)]
+
+    def pairs(self, percent: int, chunk: int = 1 << 20, among: np.ndarray | None = None):
+        """Rows (later, earlier) of sets with a word in common that pass the length, positional and bitmap filters, in chunks; ``among`` keeps later rows that it marks."""
+        rows, size, place = self.rows, self.size, self.place
+        # Partners follow in the order of sizes, no longer than this.
+        reach = np.searchsorted(self.word << 31 | size, self.word << 31 | size * 100 // percent, "right")
+        partners = reach - np.arange(len(rows)) - 1
+        total = np.cumsum(partners)
+        begin = 0
+        while begin < len(rows):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk, "right")))
+            mine = np.arange(begin, end)
+            a, b = np.repeat(mine, partners[begin:end]), gather_runs(mine + 1, partners[begin:end])
+            begin = end
+            if among is not None:
+                wanted = np.where(self.rank[a] > self.rank[b], among[a], among[b])
+                a, b = a[wanted], b[wanted]
+            least = -(-(size[a] + size[b]) * percent // (100 + percent))
+            # The shared word may be any of the common ones: at most those before it in both and those after it.
+            most = np.minimum(place[a], place[b]) + 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
+            # Two sets differ in at least as many words as their bitmaps do in bits.
+            apart = np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]).astype(np.int64) + np.bitwise_count(rows["more"][a] ^ rows["more"][b])
+            good = (most >= least) & (apart <= size[a] + size[b] - 2 * least) & (self.rank[a] != self.rank[b])
+            a, b = a[good], b[good]
+            swap = self.rank[a] > self.rank[b]
+            yield np.where(swap, a, b), np.where(swap, b, a)
+
+
+def rows_of(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, PREFIX), *(np.frombuffer(b, PREFIX) for b in table["blob"].to_pylist())])
+
+
+def first_candidates(table: pa.Table, percent: int) -> pa.Table:
+    """For each set and word the earliest candidate alone, and whether there are others: (group, later, earlier, more)."""
+    group, bucket = table["group"][0].as_py(), Bucket(rows_of(table))
+    best, count = np.full(len(bucket.rows), np.iinfo(np.int64).max), np.zeros(len(bucket.rows), np.int64)
+    width = len(bucket.rows) + 1
+    for later, earlier in bucket.pairs(percent):
+        np.minimum.at(best, later, bucket.rank[earlier] * width + earlier)
+        count += np.bincount(later, minlength=len(count))
+    found = np.flatnonzero(count)
+    line = bucket.rows["line"]
+    return pa.table({"group": np.full(len(found), group, np.int32), "later": line[found].copy(), "earlier": line[best[found] % width].copy(), "more": count[found] > 1})
+
+
+def all_candidates(blobs: pa.Table, asked: pa.Table, percent: int) -> pa.Table:
+    """Every candidate (later, earlier) of the sets asked for."""
+    bucket = Bucket(rows_of(blobs))
+    line, out = bucket.rows["line"], [np.zeros((0, 2), np.int64)]
+    if asked.num_rows:
+        for later, earlier in bucket.pairs(percent, among=np.isin(line, asked["later"].to_numpy())):
+            out.append(np.unique(np.stack([line[later], line[earlier]], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table({"later": pairs[:, 0].copy(), "earlier": pairs[:, 1].copy()})
+
+
+def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(row, doc, lines): each text's sets in order; and (later), once, of all sets to which a similar one comes first.
+
+    First each set meets, for each prefix word, its earliest candidate; what that settles is done, so the lines of very many near
+    copies make no pairs among themselves. Sets still open then meet all their candidates.
+    """
     ranks = word_ranks(docs)
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = int(max(1, -(-volume // GROUP_BYTES)))
@@ -133,13 +194,20 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
                 for k, v in zip(types, (None, None, row, LEAST_ID if doc is None else doc, sets.id[at : at + n]), strict=True):
                     out[k].append(v)
                 at += n
-            ids, first = np.unique(sets.id, return_index=True)
+            counts = np.array(sets.lines)
+            own = np.array([LEAST_ID if d is None else d for d in batch.column(1).to_pylist()], np.int64)
+            doc_of, line_of = np.repeat(own, counts), gather_runs(np.zeros(len(counts), np.int64), counts)
+            by_place = np.lexsort((line_of, doc_of))
+            ids, first = np.unique(sets.id[by_place], return_index=True)
+            first = by_place[first]
             first = first[ids != 0]
             long = prefix_sizes(sets.size[first], percent)
             rows = np.zeros(int(long.sum()), PREFIX)
             words = sets.words[gather_runs(sets.start[first], long)]
             rows["word"], rows["line"] = (words >> np.uint64(32)).astype(np.uint32), np.repeat(sets.id[first], long)
             rows["size"], rows["place"] = np.repeat(sets.size[first], long), gather_runs(np.zeros(len(long), np.int64), long)
+            rows["bits"], rows["more"] = (np.repeat(bits, long) for bits in sets.bitmaps(first))
+            rows["doc"], rows["at"] = np.repeat(doc_of[first], long), np.repeat(line_of[first], long)
             group = (words % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(groups + 1))
@@ -153,21 +221,25 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
 
     mapped = written(map_batches(named(docs), make, "group int, blob binary, row long, doc long, lines array<long>"), "line-sets")
 
-    def join(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b, PREFIX) for b in table["blob"].to_pylist()])
-        found = [p for p in candidate_pairs(rows, percent) if len(p)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
-
-    pairs = written(mapped.where("group is not null").groupBy("group").applyInArrow(join, "a long, b long").distinct(), "line-pairs")
+    blobs = mapped.where("group is not null").select("group", "blob")
     lines = mapped.where("row is not null").select("row", "doc", "lines")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    picked = written(blobs.groupBy("group").applyInArrow(lambda t: first_candidates(t, percent), "group int, later long, earlier long, more boolean"), "line-picks")
+    settled = written(confirmed_late(docs, lines, picked.select("later", "earlier").distinct(), percent), "line-settled")
+    unsettled = picked.where("more").select("group", "later").hint("merge").join(settled, "later", "left_anti")
+    rest = blobs.groupBy("group").cogroup(unsettled.groupBy("group")).applyInArrow(lambda a, b: all_candidates(a, b, percent), "later long, earlier long")
+    rest = written(rest.distinct().hint("merge").join(picked.select("later", "earlier").distinct(), ["later", "earlier"], "left_anti"), "line-rest")
+    return lines, settled.union(confirmed_late(docs, lines, rest, percent)).distinct()
+
+
+def confirmed_late(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(later), once, of the pairs (later, earlier) that their full sets confirm."""
+    wanted = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
     places = lines.select("row", F.posexplode("lines").alias("line", "node"))
     first = places.hint("merge").join(wanted, "node").groupBy("node").agg(F.min(F.struct("row", "line")).alias("at"))
     asked = first.groupBy("at.row").agg(F.collect_list(F.struct("at.line", "node")).alias("asked"))
-    texts = packed_texts(docs).dropDuplicates(["row"]).hint("merge").join(asked, "row").select("packed", F.col("asked.line").alias("line"), F.col("asked.node").alias("node"))
+    texts = packed_texts(docs).hint("merge").join(asked, "row").select("packed", F.col("asked.line").alias("line"), F.col("asked.node").alias("node"))
     sets = written(map_batches(texts, lambda: asked_sets, "node long, shingles array<long>"), "line-words")
-    return lines, written(confirmed(pairs, sets, percent), "line-links")
+    return confirmed(pairs.toDF("a", "b"), sets, percent).select(F.col("a").alias("later")).distinct()
 
 
 def asked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,28 +254,26 @@ def asked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def late_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(row, gone, n_links): numbers of the lines of each text that an earlier line, of the same or a similar set, removes; and the links of its sets."""
-    lines, links = similar_lines(docs, percent)
+    """(row, gone): numbers of the lines of each text that an earlier line, of the same or a similar set, removes."""
+    lines, late = late_sets(docs, percent)
     places = lines.select("row", "doc", F.posexplode("lines").alias("line", "node")).where("node <> 0")
     at = F.struct("doc", "line")
-    firsts = written(places.groupBy("node").agg(F.min(at).alias("first")), "line-classes")
-    both = links.union(links.select("b", "a")).toDF("node", "other")
-    other = both.hint("merge").join(firsts.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("first").alias("linked"), F.count("*").alias("n"))
-    earliest = firsts.hint("merge").join(other, "node", "left").select("node", F.least("first", F.coalesce("linked", "first")).alias("earliest"), F.coalesce("n", F.lit(0)).alias("n"))
-    # Only sets that come twice or have a link decide anything.
-    earliest = written(earliest, "line-earliest")
-    judged = places.hint("merge").join(earliest, "node").withColumn("gone", F.col("earliest") < at)
-    return judged.where("gone or n > 0").groupBy("row").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("n").alias("n_links"))
+    firsts = places.groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    judged = firsts.hint("merge").join(late.withColumn("late", F.lit(True)), firsts["node"] == late["later"], "left")
+    # Only sets that come twice, or late, decide anything.
+    judged = written(judged.where("n > 1 or late").select("node", "first", F.coalesce("late", F.lit(False)).alias("late")), "line-classes")
+    gone = places.hint("merge").join(judged, "node").where(F.col("late") | (F.col("first") < at))
+    return gone.groupBy("row").agg(F.collect_list("line").alias("gone"))
 
 
 def with_lines(docs: DataFrame, work, types: dict[str, pa.DataType], schema: str, percent: int) -> DataFrame:
-    joined = packed_texts(docs).hint("merge").join(late_lines(docs, percent), "row", "left").select("doc_id", "packed", "gone", "n_links")
+    joined = packed_texts(docs).hint("merge").join(late_lines(docs, percent), "row", "left").select("doc_id", "packed", "gone")
 
     def make():
         def each(batch):
             out: dict[str, list] = {k: [] for k in types}
-            for doc_id, packed, gone, links in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, v in zip(types, work(doc_id, zstandard.decompress(packed), gone or [], links or 0), strict=True):
+            for doc_id, packed, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, v in zip(types, work(doc_id, zstandard.decompress(packed), gone or []), strict=True):
                     out[k].append(v)
             return batch_of(types, out)
 
@@ -224,14 +294,14 @@ def without_late_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts count as empty. Rows with one doc_id: lines at the same place don't precede each other. An empty table gives an empty
     result; further columns are ignored.
     """
-    return with_lines(docs, lambda doc_id, raw, gone, _: (doc_id, kept_text(raw, gone).decode("utf-8", "replace")), {"doc_id": pa.int64(), "text": pa.string()}, "doc_id long, text string", percent)
+    return with_lines(docs, lambda doc_id, raw, gone: (doc_id, kept_text(raw, gone).decode("utf-8", "replace")), {"doc_id": pa.int64(), "text": pa.string()}, "doc_id long, text string", percent)
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """What :func:`without_late_lines` does to each document: doc_id, n_lines, n_removed, n_links (of its lines' sets with other sets), kept_sha256."""
-    types = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "n_links": pa.int64(), "kept_sha256": pa.string()}
+    """What :func:`without_late_lines` does to each document: doc_id, n_lines, n_removed, kept_sha256."""
+    types = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
 
-    def work(doc_id, raw, gone, links):
-        return doc_id, raw.count(b"\n") + 1, len(gone), links, hashlib.sha256(kept_text(raw, gone)).hexdigest()
+    def work(doc_id, raw, gone):
+        return doc_id, raw.count(b"\n") + 1, len(gone), hashlib.sha256(kept_text(raw, gone)).hexdigest()
 
-    return with_lines(docs, work, types, "doc_id long, n_lines long, n_removed long, n_links long, kept_sha256 string", percent)
+    return with_lines(docs, work, types, "doc_id long, n_lines long, n_removed long, kept_sha256 string", percent)

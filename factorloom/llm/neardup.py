@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import batch_of, body, map_batches, written
 from .components import components
 
-#: Half-keys in each collection and minhashes in each: 64 tables from 32 minhashes. A pair at similarity 0.8 shares a table with probability 0.999.
-HALVES, DEPTH = 8, 2
+#: Half-keys in each collection and minhashes in each: 100 tables from 60 minhashes. A pair at similarity 0.8 shares a table with probability 0.998, one at 0.3 with 0.05.
+HALVES, DEPTH = 10, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,21 +27,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes. Words are runs of bytes other than ASCII white space, with A-Z in lower case."""
 
     def __init__(self, width: int, most_kept: int = 500_000):
         self.width, self.most_kept = width, most_kept
-        self.hashes: dict[bytes, int] = {}
+        self.hashes = WordHashes()
         self.powers = np.array([pow(int(MIX), i, 1 << 64) for i in range(width)], np.uint64)
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        kept = self.hashes
-        if len(kept) > self.most_kept:
-            kept.clear()
-        for w in set(words) - kept.keys():
-            kept[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+        if len(self.hashes) > self.most_kept:
+            self.hashes.clear()
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, text: str) -> np.ndarray:
         words = self.word_hashes(text.encode("utf-8", "surrogatepass").lower().split())
@@ -146,13 +151,10 @@ def near_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     at = members.hint("merge").join(roots.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
     mixed_buckets = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = written(at.select("key", "b", "root").hint("merge").join(mixed_buckets, "key"), "mixed-buckets")
-    spread = left.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    if spread and spread > 2:
-        more = cross_component_pairs(left)
-        tried = written(more.hint("merge").join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-        found = written(confirmed(tried, sets, percent), "cross-links")
-        if not found.isEmpty():
-            roots = components(links.union(found))
+    more = cross_component_pairs(left, sets, percent)
+    found = written(confirmed(written(more.hint("merge").join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), sets, percent), "cross-links")
+    if not found.isEmpty():
+        roots = components(links.union(found))
     labels = classes.select("class", "node", "keep_row", "least_id").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = written(labels, "class-roots")
     heads = labels.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "keep_row")).alias("head"))
@@ -161,11 +163,36 @@ def near_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return grouped.union(rows.where("class is null").select("row", "doc_id", "n_shingles", F.col("doc_id"), F.col("row")))
 
 
-def cross_component_pairs(left: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one bucket in different components, each once. Members of one component meet none of their own."""
-    one = left.select("key", F.col("b").alias("a"), F.col("root").alias("root_a"))
-    two = left.select("key", "b", F.col("root").alias("root_b"))
-    return one.hint("merge").join(two, "key").where("a < b and root_a <> root_b").select("a", "b").distinct()
+def bitmaps(sets: DataFrame, words: int = 64) -> DataFrame:
+    """(node, n, bits): how many shingles a set has, and a bit for each, at a place by its hash."""
+    types = {"node": pa.int64(), "n": pa.int64(), "bits": pa.list_(pa.int64())}
+
+    def work(batch):
+        out: dict[str, list] = {k: [] for k in types}
+        for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = shingles.values.to_numpy().view(np.uint64)
+            places = np.zeros(64 * words, np.uint8)
+            places[(own % np.uint64(64 * words)).astype(np.int64)] = 1
+            for k, v in zip(types, (node, len(own), np.packbits(places).view(np.int64)), strict=True):
+                out[k].append(v)
+        return batch_of(types, out)
+
+    return map_batches(sets, lambda: work, "node long, n long, bits array<long>")
+
+
+def cross_component_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one bucket in different components that may be similar, each once.
+
+    Members of one component meet none of their own. Two sets differ in at least as many shingles as their bitmaps do in bits, so pairs
+    whose bitmaps differ too much, nearly all, are left out in the join itself; none that is similar enough is.
+    """
+    nodes = left.select(F.col("b").alias("node")).distinct()
+    known = written(bitmaps(sets.select("node", "shingles").hint("merge").join(nodes, "node").dropDuplicates(["node"])), "bitmaps")
+    rich = left.select("key", F.col("b").alias("node"), "root").hint("merge").join(known, "node")
+    one, two = (rich.toDF(f"{side}", "key", f"root_{side}", f"n_{side}", f"bits_{side}") for side in "ab")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return one.hint("merge").join(two.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select("a", "b").distinct()
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -6,7 +6,7 @@ anchor are a run, and a run's bytes are hashed as a whole from the text's prefix
 * a run whose whole string an earlier document has is covered;
 * a run whose anchor other documents have, but not its whole string, may share some of its windows. Only such runs go to the suffix sort: in each
   block of documents their windows are sorted by merging, comparing suffixes by their longest common extension (binary search over
-  prefix hashes), equal neighbours are verified byte by byte, and each class's least doc_id is then found over all blocks.
+  prefix hashes), equal neighbours are verified byte by byte, and each class's least doc_id is then found over all blocks, as runs are.
 
 Equal runs and windows of one block are reduced to one before anything is shuffled, so a passage that very many documents share is no
 hot key.
@@ -257,60 +257,38 @@ class SuffixSorter:
         return number
 
 
-WINDOW_TYPES = {"window": pa.binary(), "doc": pa.int64(), "row": pa.list_(pa.int64()), "low": pa.list_(pa.int64())}
+def window_runs(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
+    """A block's windows to compare, as runs of one window for :func:`pack_block`: the (row, doc) units and their runs.
 
-
-def compare_block(table: pa.RecordBatch) -> pa.RecordBatch | None:
-    """The classes of a block's windows to compare: a digest of the 50 bytes, the least doc_id, and the members of that document.
-
-    Members of later documents are covered already: they come as classes without a digest.
+    Windows are sorted as suffixes; one class is one string. Its name is a digest of its 50 bytes, taken once a class.
     """
-    texts, starts, docs, rows = [], [], [], []
+    texts, starts, units = [], [], []
     base = 0
     for row, doc, packed, lows, counts in zip(*(table[c].to_pylist() for c in ("row", "doc", "packed", "low", "count")), strict=True):
         raw = zstandard.decompress(packed)
-        for low, count in zip(lows, counts, strict=True):
+        for low, count in sorted(zip(lows, counts, strict=True)):
             piece = raw[low : low + count - 1 + LENGTH]
             texts.append(piece)
-            starts.append(base + np.arange(count))
-            docs.append((doc, row, low, count))
+            starts.append((base, count, low, len(units)))
             base += len(piece)
-    if not texts:
-        return None
+        units.append((row, doc))
+    rows, docs = (np.array([u[i] for u in units], np.int64) for i in (0, 1))
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    counts = np.array([d[3] for d in docs])
-    windows = np.concatenate(starts)
-    doc, row = (np.repeat(np.array([d[i] for d in docs], np.int64), counts) for i in (0, 1))
-    place = windows - np.repeat(np.array([s[0] for s in starts]) - np.array([d[2] for d in docs]), counts)
+    begin, count, low, unit = np.array(starts, np.int64).reshape(-1, 4).T
+    windows, place, unit = gather_runs(begin, count), gather_runs(low, count), np.repeat(unit, count)
     sorter = SuffixSorter(raw)
     # Windows are dealt to segments by the hash of their first bytes, so merges stay short.
     head = spans(sorter.prefix, windows, windows + 16)
-    by_head = np.argsort(head, kind="stable")
-    windows, doc, row, place, head = (x[by_head] for x in (windows, doc, row, place, head))
-    segment = np.cumsum(np.append(True, head[1:] != head[:-1]))
-    number = sorter.classes(windows, segment)
-    order = np.lexsort((doc, number))
-    cuts = np.flatnonzero(np.append(True, number[order][1:] != number[order][:-1]))
-    class_of = np.cumsum(np.append(True, number[order][1:] != number[order][:-1])) - 1
-    least = doc[order][cuts]
-    late = doc[order] > least[class_of]
-    out: dict[str, list] = {k: [] for k in WINDOW_TYPES}
-    if late.any():
-        out["window"].append(None)
-        out["doc"].append(None)
-        out["row"].append(row[order[late]])
-        out["low"].append(place[order[late]])
-    kept, owner = order[~late], class_of[~late]
-    ends = np.searchsorted(owner, np.arange(len(cuts)), "right")
-    begins = np.append(0, ends[:-1])
+    order = np.argsort(head, kind="stable")
+    segment = np.cumsum(np.append(True, head[order][1:] != head[order][:-1]))[: len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = sorter.classes(windows[order], segment)
+    classes, first, number = np.unique(number, return_index=True, return_inverse=True)
     data = raw.tobytes()
-    for c, (i, j) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
-        w = int(windows[kept[i]])
-        out["window"].append(hashlib.blake2b(data[w : w + LENGTH], digest_size=16).digest())
-        out["doc"].append(int(least[c]))
-        out["row"].append(row[kept[i:j]])
-        out["low"].append(place[kept[i:j]])
-    return batch_of(WINDOW_TYPES, out)
+    names = np.frombuffer(b"".join(hashlib.blake2b(data[w : w + LENGTH], digest_size=16).digest() for w in windows[first].tolist()), np.uint64).reshape(-1, 2)[number]
+    cuts = np.searchsorted(unit, np.arange(len(units) + 1))
+    ones = np.ones(len(windows), np.int64)
+    return rows, docs, [(names[i:j, 0], names[i:j, 1], place[i:j], ones[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 # ---- the whole ----------------------------------------------------------------------------------
@@ -336,30 +314,30 @@ def covered_starts(docs: DataFrame) -> DataFrame:
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = int(max(1, -(-volume // GROUP_BYTES)))
 
+    def runs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
+        ids = np.array([LEAST_ID if i is None else i for i in part.column(1).to_pylist()], np.int64)
+        return part.column(0).to_numpy(), ids, [runs_of(np.frombuffer(t, np.uint8)) for t in part.column(2).cast(pa.binary()).to_pylist()]
+
+    flags = written(resolved(named(docs), runs, groups), "run-flags")
+    wanted = flags.where("compare").groupBy("row").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("count")).alias("count"))
+    texts = packed_texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(LEAST_ID)))
+    block = texts.hint("merge").join(wanted, "row").select("row", "doc", "packed", "low", "count")
+    late = resolved(block, window_runs, groups).where("not compare")
+    return flags.where("not compare").select("row", "low", "count").union(late.select("row", "low", "count"))
+
+
+def resolved(table: DataFrame, runs, groups: int) -> DataFrame:
+    """The flags of all runs that ``runs`` finds in the table's blocks: they are dealt by anchor, group by group."""
     def blocks(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
-                rows = part.column(0).to_numpy()
-                ids = np.array([LEAST_ID if i is None else i for i in part.column(1).to_pylist()], np.int64)
-                texts = part.column(2).cast(pa.binary()).to_pylist()
-                packed, flags = pack_block(rows, ids, [runs_of(np.frombuffer(t, np.uint8)) for t in texts], groups)
+                packed, flags = pack_block(*runs(part), groups)
                 names, blobs = list(packed), list(packed.values())
-                spread = np.array_split(flags, max(1, len(flags) // 200_000)) if len(flags) else []
-                start = int(rows[0]) if len(rows) else 0
-                names += [(start + i) % groups for i in range(len(spread))]
+                spread = np.array_split(flags, -(-len(flags) // 200_000)) if len(flags) else []
+                names += [int(f["low"][0] + len(flags)) % groups for f in spread]  # passed on by any group
                 yield batch_of({"group": pa.int32(), "passed": pa.bool_(), "blob": pa.binary()}, {"group": names, "passed": [False] * len(blobs) + [True] * len(spread), "blob": blobs + [f.tobytes() for f in spread]})
 
-    dealt = named(docs).mapInArrow(blocks, "group int, passed boolean, blob binary")
-    flags = written(dealt.groupBy("group").applyInArrow(resolve_group, FLAG_SCHEMA), "run-flags")
-    wanted = flags.where("compare").groupBy("row").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("count")).alias("count"))
-    texts = packed_texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(LEAST_ID)))
-    block = texts.hint("merge").join(wanted, "row").select("row", "doc", "packed", "low", "count")
-    windows = written(map_batches(block, lambda: compare_block, "window binary, doc long, row array<long>, low array<long>"), "windows")
-    least = windows.where("window is not null").groupBy("window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least")
-    late = windows.where("window is not null").hint("merge").join(least, "window").where("doc > least").select("row", "low")
-    late = late.union(windows.where("window is null").select("row", "low")).select(F.explode(F.arrays_zip("row", "low")).alias("w")).select("w.row", "w.low")
-    single = late.groupBy("row").agg(F.collect_list("low").alias("low")).withColumn("count", F.expr("transform(low, x -> 1L)"))
-    return flags.where("not compare").select("row", "low", "count").union(single)
+    return table.mapInArrow(blocks, "group int, passed boolean, blob binary").groupBy("group").applyInArrow(resolve_group, FLAG_SCHEMA)
 
 
 def spans_to_remove(n: int, lows: list[int], counts: list[int]) -> list[tuple[int, int]]:

@@ -143,8 +143,8 @@ def eliminate(name: str, start: str, steps: int) -> str:
 def constrained(name: str, gram: str, rhs: str, rules: int, rule_row: str, rule_value: str, groups: str = "SELECT 0 AS g") -> str:
     """{name}(g, r, v): least squares with ``gram`` (g, i, j, x) and ``rhs`` (g, i, x), under rules whose coefficient of column j is ``rule_row`` (in c and j) and value ``rule_value`` (in c)."""
     n = M + rules
-    return f"""{name}_e AS (SELECT g, i, j, CASE WHEN i < {M} AND j < {M} THEN 2 * coalesce(x, 0) WHEN i < {M} AND j < {n} THEN (SELECT {rule_row} FROM (SELECT j - {M} AS c, i AS j)) WHEN i < {M} THEN 2 * y
-        WHEN j < {M} THEN (SELECT {rule_row} FROM (SELECT i - {M} AS c)) WHEN j < {n} THEN 0 ELSE 0 END AS x
+    return f"""{name}_e AS (SELECT g, i, j, CASE WHEN i < {M} AND j < {M} THEN 2 * coalesce(x, 0) WHEN i < {M} AND j < {n} THEN {rule_row.format(c=f'(j - {M})', j='i')} WHEN i < {M} THEN 2 * y
+        WHEN j < {M} THEN {rule_row.format(c=f'(i - {M})', j='j')} WHEN j < {n} THEN 0 ELSE 0 END AS x
       FROM (SELECT z.g, a.range AS i, b.range AS j, q.x, h.x AS y FROM ({groups}) z CROSS JOIN range({n}) a CROSS JOIN range({n + 1}) b LEFT JOIN {gram} q ON q.g = z.g AND q.i = a.range AND q.j = b.range LEFT JOIN {rhs} h ON h.g = z.g AND h.i = a.range)),
     {name}_f AS (SELECT g, i, j, CASE WHEN i >= {M} AND j = {n} THEN (SELECT val FROM ({rule_value}) WHERE c = i - {M}) ELSE x END AS x FROM {name}_e),
     {name}_s AS (SELECT g, list(line ORDER BY i) AS m FROM (SELECT g, i, list(CAST(x AS DOUBLE) ORDER BY j) AS line FROM {name}_f GROUP BY g, i) GROUP BY g),
@@ -254,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "basis_nnz": plain(*BASIS, select="SELECT count(*) AS nonzero FROM basis WHERE w <> 0"),
         "bilinear": plain(*BASIS, select=f"SELECT r, {r('sum(w * v)', 'v')} FROM basis JOIN fine USING (o) GROUP BY 1"),
         "cls": recursive(*CLS, select=f"SELECT r, {r('v')} FROM cls"),
-        "cls_per_expiry": recursive(*BASIS, *ONE_GROUP, constrained("cls", "bb0", "bv0", len(panels.REDUCED_EXPIRIES), f"CASE WHEN j // {MT} = c THEN 1 ELSE 0 END", f"SELECT k AS c, sum(w * v) AS val FROM fine JOIN he ON he.i = o // {NT} GROUP BY 1"), select=f"SELECT r, {r('v')} FROM cls"),
+        "cls_per_expiry": recursive(*BASIS, *ONE_GROUP, constrained("cls", "bb0", "bv0", len(panels.REDUCED_EXPIRIES), f"CASE WHEN {{j}} // {MT} = {{c}} THEN 1 ELSE 0 END", f"SELECT k AS c, sum(w * v) AS val FROM fine JOIN he ON he.i = o // {NT} GROUP BY 1"), select=f"SELECT r, {r('v')} FROM cls"),
         "cls_residuals": recursive(*RESIDUALS, select=f"SELECT o, {r('v')}, {r('fitted')}, {r('residual')} FROM res"),
         "leverage": recursive(*BASIS, *INVERSE, select=f"SELECT o, {r('leverage')} FROM lev"),
         "loo": recursive(*RESIDUALS, *INVERSE, select=f"SELECT o, {r('residual')}, {r('leverage')}, {r('residual / greatest(1 - leverage, 1e-6)', 'loo')} FROM res JOIN lev USING (o)"),
