@@ -53,17 +53,14 @@ class DigestIndex:
         rows = written(docs.select("doc_id", digest().alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
         groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
         groups = groups.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size")
+        groups = written(groups, "digest-groups")
+        fresh = groups
         if self.exists():
-            groups = written(groups, "digest-groups")
             known = self.table().withColumnRenamed("keep_id", "known_id")
-            fresh = groups.join(known.select("digest").hint("merge"), "digest", "left_anti")
-            self.append(fresh)
-            groups = groups.join(known.hint("merge"), "digest", "left").select(
-                "digest", F.coalesce("known_id", "keep_id").alias("keep_id"), F.when(F.col("known_id").isNull(), F.col("keep_row")).alias("keep_row"), "group_size")
-            groups = written(groups, "digest-decisions")
-        else:
-            groups = written(groups, "digest-groups")
-            self.append(groups)
+            fresh = written(groups.join(known.select("digest").hint("merge"), "digest", "left_anti"), "digest-fresh")
+            seen = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), "group_size")
+            groups = written(fresh.union(seen), "digest-decisions")  # before the index grows
+        self.append(fresh)
         return rows.hint("merge").join(groups, "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -137,7 +137,7 @@ def train(docs: DataFrame, training_texts: int = TRAINING_TEXTS) -> dict[str, np
 def profile_matrix(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes."""
     names = sorted(prototypes)
-    rows = np.array([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-12) for k in names], np.float32).reshape(len(names), -1)
+    rows = np.array([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-12) for k in names], np.float32).reshape(len(names), DIMENSIONS)
     return names, rows
 
 

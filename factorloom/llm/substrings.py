@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,7 @@ def pack_block(rows: np.ndarray, docs: np.ndarray, found: list, groups: int) ->
     kept = kept[np.lexsort((low[kept], unit[kept], group[kept]))]
     packed = {}
     cuts = np.flatnonzero(np.append(True, group[kept][1:] != group[kept][:-1])) if len(kept) else []
-    for begin, end in zip(cuts, [*cuts[1:], len(kept)], strict=True):
+    for begin, end in pairwise([*cuts, len(kept)]):
         at = kept[begin:end]
         runs = np.zeros(len(at), RUN)
         runs["anchor"], runs["string"], runs["more"] = short[at], string[at] & np.uint64(0xFFFFFFFF), (string[at] >> np.uint64(32)) & np.uint64(0xFFFF)
