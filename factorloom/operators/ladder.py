@@ -156,11 +156,11 @@ def summary(fine: DataFrame, basis: DataFrame, coarse: DataFrame, m: int) -> Dat
 
 
 def draws(fine: DataFrame, reps: int) -> DataFrame:
-    """(rep, o, times): how often each bootstrap sample holds a bucket. Draws follow a fixed arithmetic rule, whatever the partitions."""
+    """(rep, o, times): how often each bootstrap sample holds a bucket. Draws follow a fixed arithmetic rule, whatever the partitions; its last step is quadratic, as a linear one draws few buckets in some samples."""
     spark, n = fine.sparkSession, fine.count()
     places = spark.range(reps).select(F.col("id").alias("rep")).select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    mixed = (F.col("rep") * 7919 + F.col("slot") * 104729 + F.col("rep") * F.col("slot") * 31 + 12345) % 2147483647
-    return places.select("rep", ((mixed * 48271 % 2147483647) % n).cast("int").alias("o")).groupBy("rep", "o").agg(F.count("*").alias("times"))
+    mixed = (F.col("rep") * 7919 + F.col("slot") * 104729 + 12345) * 48271 % 2147483647
+    return places.select("rep", ((mixed * (mixed % 65521 + 1) % 2147483647) % n).cast("int").alias("o")).groupBy("rep", "o").agg(F.count("*").alias("times"))
 
 
 def bootstrap(fine: DataFrame, basis: DataFrame, constraints: DataFrame, m: int, reps: int = 500) -> DataFrame:

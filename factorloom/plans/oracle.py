@@ -164,8 +164,8 @@ SIGMA = ("bbg AS (SELECT 0 AS g, i, j, g AS c FROM sq)", jacobi("sv", "bbg", M))
 REPS = 50
 BOOTSTRAP = (
     *CLS,
-    f"spread AS (SELECT a.range AS rep, b.range AS slot, (a.range * 7919 + b.range * 104729 + a.range * b.range * 31 + 12345) % 2147483647 AS z FROM range({REPS}) a, range(140) b)",
-    "drawn AS (SELECT rep, CAST((z * 48271 % 2147483647) % 140 AS INTEGER) AS o, count(*) AS times FROM spread GROUP BY 1, 2)",
+    f"spread AS (SELECT a.range AS rep, b.range AS slot, (a.range * 7919 + b.range * 104729 + 12345) * 48271 % 2147483647 AS z FROM range({REPS}) a, range(140) b)",
+    "drawn AS (SELECT rep, CAST((z * (z % 65521 + 1) % 2147483647) % 140 AS INTEGER) AS o, count(*) AS times FROM spread GROUP BY 1, 2)",
     "rb AS (SELECT rep AS g, a.r AS i, b.r AS j, sum(times * a.w * b.w) AS x FROM basis a JOIN basis b USING (o) JOIN drawn USING (o) GROUP BY 1, 2, 3)",
     "rv AS (SELECT rep AS g, r AS i, sum(times * w * v) AS x FROM basis JOIN fine USING (o) JOIN drawn USING (o) GROUP BY 1, 2)",
     constrained("boot", "rb", "rv", 1, "1", TOTAL, f"SELECT range AS g FROM range({REPS})"),
