@@ -29,8 +29,8 @@ from .lexicon import gather_runs
 from .neardup import mixed
 
 LENGTH, GRAM = 50, 26
-#: Bytes of text whose runs one group of the anchor join holds.
-GROUP_BYTES = 40 << 20
+#: Bytes of text whose runs one group of the anchor join holds, and parts in which a group is judged.
+GROUP_BYTES, PARTS = 24 << 20, 8
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -132,8 +132,8 @@ def pack_block(rows: np.ndarray, docs: np.ndarray, found: list, groups: int) ->
     return packed, flags
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
+def unpack(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
     return np.frombuffer(blob, UNIT, n, 4), np.frombuffer(blob, RUN, offset=4 + n * UNIT.itemsize)
 
 
@@ -155,40 +155,47 @@ def flag_batch(flags: np.ndarray, compare: bool) -> pa.RecordBatch:
 
 
 def resolve_group(table: pa.Table) -> pa.Table:
-    """The flags of one group of anchors: covered runs, and runs whose windows are to be compared."""
-    out = []
-    blobs = [b for b, passed in zip(table["blob"].to_pylist(), table["passed"].to_pylist(), strict=True) if not passed]
-    for b, passed in zip(table["blob"].to_pylist(), table["passed"].to_pylist(), strict=True):
+    """The flags of one group of anchors: covered runs, and runs whose windows are to be compared. Anchors are judged in ``PARTS`` parts, one after the other."""
+    out, units, runs = [], [], []
+    for scalar, passed in zip(table["blob"], table["passed"].to_pylist(), strict=True):
+        blob = scalar.as_buffer()
         if passed:
-            out.append(flag_batch(np.frombuffer(b, FLAG), False))
-    if blobs:
-        parts = [unpack(b) for b in blobs]
-        units, runs = np.concatenate([u for u, _ in parts]), np.concatenate([r for _, r in parts])
-        unit = np.repeat(np.arange(len(units)), units["runs"])
-        doc = units["doc"][unit]
-        key = runs["anchor"].astype(np.uint64)
-        whole = runs["string"].astype(np.uint64) | runs["more"].astype(np.uint64) << np.uint64(32)
-        order = np.lexsort((doc, whole, key))
-        k, w, d = key[order], whole[order], doc[order]
-        new_key = np.append(True, k[1:] != k[:-1])
-        new = new_key | np.append(True, w[1:] != w[:-1])
-        starts = np.flatnonzero(new)
-        least = d[starts][np.cumsum(new) - 1]
-        covered = d > least
-        key_starts = np.flatnonzero(new_key)
-        key_of = np.cumsum(new_key) - 1
-        strings = np.bincount(key_of[starts], minlength=len(key_starts))
-        low_doc, high_doc = np.minimum.reduceat(d, key_starts), np.maximum.reduceat(d, key_starts)
-        compare = ~covered & (strings > 1)[key_of] & (low_doc < high_doc)[key_of]
-        for chosen, kind in ((covered, False), (compare, True)):
-            at = order[chosen]
-            flags = np.zeros(len(at), FLAG)
-            flags["row"], flags["count"] = units["row"][unit[at]], runs["count"][at]
-            flags["low"] = units["base"][unit[at]].astype(np.int64) + runs["low"][at]
-            out.append(flag_batch(flags, kind))
+            out.append(flag_batch(np.frombuffer(blob, FLAG), False))
+        else:
+            for found, one in zip((units, runs), unpack(blob), strict=True):
+                found.append(one)
+    if units:
+        units, runs = np.concatenate(units), np.concatenate(runs)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), units["runs"])
+        for part in range(PARTS):
+            own = np.flatnonzero(runs["anchor"] % PARTS == part)
+            for chosen, kind in zip(judge(runs[own], units["doc"][unit[own]]), (False, True), strict=True):
+                at = own[chosen]
+                flags = np.zeros(len(at), FLAG)
+                flags["row"], flags["count"] = units["row"][unit[at]], runs["count"][at]
+                flags["low"] = units["base"][unit[at]].astype(np.int64) + runs["low"][at]
+                out.append(flag_batch(flags, kind))
     return pa.Table.from_batches(out, pa.schema(list(FLAG_TYPES.items())))
 
 
+def judge(runs: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs that are covered, and of those whose windows are to be compared; all runs of an anchor must be there."""
+    if not len(runs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = runs["anchor"]
+    whole = runs["string"].astype(np.uint64) | runs["more"].astype(np.uint64) << np.uint64(32)
+    order = np.lexsort((doc, whole, key))
+    k, w, d = key[order], whole[order], doc[order]
+    new_key = np.append(True, k[1:] != k[:-1])
+    new = new_key | np.append(True, w[1:] != w[:-1])
+    starts = np.flatnonzero(new)
+    covered = d > d[starts][np.cumsum(new) - 1]
+    key_starts, key_of = np.flatnonzero(new_key), np.cumsum(new_key) - 1
+    strings = np.bincount(key_of[starts], minlength=len(key_starts))
+    shared = (strings > 1) & (np.minimum.reduceat(d, key_starts) < np.maximum.reduceat(d, key_starts))
+    return order[covered], order[~covered & shared[key_of]]
+
+
 # ---- suffix sort of the windows to compare --------------------------------------------------------
 
 
