@@ -207,12 +207,16 @@ class SuffixSorter:
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common bytes of windows a and b, at most LENGTH, by binary search over prefix hashes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH)
-        for _ in range(LENGTH.bit_length()):
+        common = np.full(len(a), LENGTH)
+        unequal = np.flatnonzero(spans(self.prefix, a, a + LENGTH) != spans(self.prefix, b, b + LENGTH))
+        a, b = a[unequal], b[unequal]
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH - 1)
+        for _ in range((LENGTH - 1).bit_length()):
             half = (low + high + 1) // 2
             same = spans(self.prefix, a, a + half) == spans(self.prefix, b, b + half)
             low, high = np.where(same, half, low), np.where(same, high, half - 1)
-        return np.minimum(low, LENGTH)
+        common[unequal] = low
+        return common
 
     def precedes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether window a is less than window b."""
@@ -226,26 +230,29 @@ class SuffixSorter:
         order = np.arange(len(windows))
         first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(first, len(segment)))
-        start, stop = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
+        start, stop, size = np.repeat(first, sizes), np.repeat(first + sizes, sizes), np.repeat(sizes, sizes)
         inside = np.arange(len(segment)) - start
         block = 1
         while block < sizes.max(initial=1):
-            side = inside // block % 2
-            mine = start + inside // block * block
-            other = np.where(side == 0, np.minimum(mine + block, stop), mine - block)
-            end = np.where(side == 0, np.minimum(other + block, stop), mine)
+            live = np.flatnonzero(size > block)  # of segments that are not yet sorted
+            side = inside[live] // block % 2
+            mine = start[live] + inside[live] // block * block
+            other = np.where(side == 0, np.minimum(mine + block, stop[live]), mine - block)
+            end = np.where(side == 0, np.minimum(other + block, stop[live]), mine)
             low, high = other.copy(), end.copy()
             active = np.flatnonzero(low < high)
             while len(active):
                 half = (low[active] + high[active]) // 2
-                own, there = windows[order[active]], windows[order[half]]
+                own, there = windows[order[live[active]]], windows[order[half]]
                 # On equality the left block comes first.
-                after = np.where(side[active] == 0, self.precedes(there, own), ~self.precedes(own, there))
+                left = side[active] == 0
+                before = self.precedes(np.where(left, there, own), np.where(left, own, there))
+                after = before == left
                 low[active], high[active] = np.where(after, half + 1, low[active]), np.where(after, high[active], half)
                 active = active[low[active] < high[active]]
-            place = np.where(side == 0, np.arange(len(order)), np.arange(len(order)) - block) + (low - other)
-            moved = np.empty_like(order)
-            moved[place] = order
+            place = np.where(side == 0, live, live - block) + (low - other)
+            moved = order.copy()
+            moved[place] = order[live]
             order = moved
             block *= 2
         return order
@@ -265,10 +272,23 @@ class SuffixSorter:
         return number
 
 
+def window_names(raw: np.ndarray, windows: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+    """Two independent 64-bit hashes of the bytes of each window, taken word by word."""
+    out = np.zeros((len(windows), 2), np.uint64)
+    for begin in range(0, len(windows), chunk):
+        part = windows[begin : begin + chunk]
+        words = np.zeros((len(part), -(-LENGTH // 8) * 8), np.uint8)
+        words[:, :LENGTH] = raw[part[:, None] + np.arange(LENGTH)]
+        for word in words.view(np.uint64).T:
+            for lane, odd in enumerate((BASE, INVERSE)):
+                out[begin : begin + chunk, lane] = mixed((out[begin : begin + chunk, lane] ^ word) * np.uint64(odd) + np.uint64(lane + 1))
+    return out
+
+
 def window_runs(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
     """A block's windows to compare, as runs of one window for :func:`pack_block`: the (row, doc) units and their runs.
 
-    Windows are sorted as suffixes; one class is one string. Its name is a digest of its 50 bytes, taken once a class.
+    Windows are sorted as suffixes; one class is one string. Its name is a hash of its 50 bytes, taken once a class.
     """
     texts, starts, units = [], [], []
     base = 0
@@ -292,8 +312,7 @@ def window_runs(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
     number = np.empty(len(order), np.int64)
     number[order] = sorter.classes(windows[order], segment)
     classes, first, number = np.unique(number, return_index=True, return_inverse=True)
-    data = raw.tobytes()
-    names = np.frombuffer(b"".join(hashlib.blake2b(data[w : w + LENGTH], digest_size=16).digest() for w in windows[first].tolist()), np.uint64).reshape(-1, 2)[number]
+    names = window_names(raw, windows[first])[number]
     cuts = np.searchsorted(unit, np.arange(len(units) + 1))
     ones = np.ones(len(windows), np.int64)
     return rows, docs, [(names[i:j, 0], names[i:j, 1], place[i:j], ones[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
