@@ -28,7 +28,7 @@ PERCENT = 80
 #: Frequent words that are ranked, and words a counting task keeps.
 RANKED, SUMMARY = 1 << 16, 300_000
 #: Bytes of text whose prefixes one group of the join holds.
-GROUP_BYTES = 48 << 20
+GROUP_BYTES = 16 << 20
 #: A row of a prefix: the word, the line's set and its size, the word's place among its words, a bit for each of its words in two bitmaps, and
 #: the document and place where its block has it first.
 PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<u4")])
@@ -119,7 +119,7 @@ class Bucket:
         self.rank = np.empty(len(rows), np.int64)
         self.rank[order] = np.cumsum(np.append(False, (d[1:] != d[:-1]) | (at[1:] != at[:-1])))[: len(rows)]
 
-    def pairs(self, percent: int, chunk: int = 1 << 20, among: np.ndarray | None = None):
+    def pairs(self, percent: int, chunk: int = 1 << 18, among: np.ndarray | None = None):
         """Rows (later, earlier) of sets with a word in common that pass the length, positional and bitmap filters, in chunks; ``among`` keeps later rows that it marks."""
         rows, size, place = self.rows, self.size, self.place
         # Partners follow in the order of sizes, no longer than this.
