@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,14 +78,19 @@ def table_keys(halves: np.ndarray) -> np.ndarray:
 SEEDS = mixed(np.arange(1, 2 * HALVES * DEPTH + 1, dtype=np.uint64) * MIX)
 
 
+def text_key() -> Column:
+    """SHA-256 of the text; of a null text, no bytes."""
+    return F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
+
+
 def digest(shingles: np.ndarray) -> bytes | None:
     """A set's class; none for an empty set."""
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
 def signatures(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, class, keys) of (doc_id, text): class is a digest of the whole set, keys one a table, none for an empty set."""
-    types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "class": pa.binary(), "keys": pa.list_(pa.int64())}
+    """(doc_id, text_key, n_shingles, class, keys) of (doc_id, text, text_key): class is a digest of the whole set, keys one a table, none for an empty set."""
+    types = {"doc_id": pa.int64(), "text_key": pa.binary(), "n_shingles": pa.int64(), "class": pa.binary(), "keys": pa.list_(pa.int64())}
 
     def make():
         shingler = Shingler(width)
@@ -97,11 +102,11 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
                 out["n_shingles"].append(len(own))
                 out["class"].append(digest(own))
                 out["keys"].append(table_keys(half_keys(own, SEEDS)) if len(own) else [])
-            return batch_of(types, {"doc_id": batch.column(0), **out})
+            return batch_of(types, {"doc_id": batch.column(0), "text_key": batch.column(2), **out})
 
         return work
 
-    return map_batches(texts, make, "doc_id long, n_shingles long, class binary, keys array<long>")
+    return map_batches(texts, make, "doc_id long, text_key binary, n_shingles long, class binary, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -130,21 +135,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row a row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, keep_row; see :func:`near_dedup`."""
-    source = docs.select(F.col("doc_id").cast("long"), body().alias("text"))
+    """One row a row of ``docs`` (doc_id, text): row, doc_id, text_key, n_shingles, component_id, keep_row; see :func:`near_dedup`."""
+    source = docs.select(F.col("doc_id").cast("long"), body().alias("text"), text_key().alias("text_key"))
     rows = written(signatures(source, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_key"))
     classes = rows.where("class is not null").groupBy("class").agg(first.alias("first"), F.min(F.struct("row", "keys")).alias("any"))
-    classes = written(classes.select("class", F.col("any.row").alias("node"), F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("least_id"), F.col("any.keys").alias("keys")), "classes")
+    classes = written(classes.select("class", F.col("any.row").alias("node"), F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("least_id"), F.col("first.text_key").alias("text_key"), F.col("any.keys").alias("keys")), "classes")
     keys = classes.select("node", F.explode("keys").alias("key"))
     # Each table's bucket is a star around its least node: as many candidate pairs as members, however many share a key.
     buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
     members = written(keys.hint("merge").join(buckets, "key").select("key", "a", F.col("node").alias("b")), "bucket-members")
     pairs = written(members.where("a < b").select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(classes.select("class", "node", F.col("least_id").alias("wanted_id")).hint("merge").join(wanted, "node"), "wanted-classes")
-    texts = source.hint("merge").join(wanted.select("wanted_id"), source["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = written(shingle_sets(texts, width).hint("merge").join(wanted, "class").select("node", "shingles"), "shingle-sets")
+    wanted = written(classes.select("class", "node", F.col("least_id").alias("wanted_id"), F.col("text_key").alias("wanted_key")).hint("merge").join(wanted, "node"), "wanted-classes")
+    own = (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    texts = source.hint("merge").join(wanted.select("wanted_id", "wanted_key"), own, "left_semi").select("text")
+    sets = written(shingle_sets(texts, width).dropDuplicates(["class"]).hint("merge").join(wanted, "class").select("node", "shingles"), "shingle-sets")
     links = written(confirmed(pairs, sets, percent), "links")
     roots = written(components(links), "roots")
     # Members whose star did not connect them to the rest of their bucket are compared across components.
@@ -159,8 +165,8 @@ def near_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labels = written(labels, "class-roots")
     heads = labels.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "keep_row")).alias("head"))
     labels = written(labels.select("class", "root").hint("merge").join(heads, "root").select("class", F.col("head.least_id").alias("component_id"), F.col("head.keep_row").alias("keep_row")), "class-components")
-    grouped = rows.where("class is not null").select("row", "doc_id", "n_shingles", "class").hint("merge").join(labels, "class").select("row", "doc_id", "n_shingles", "component_id", "keep_row")
-    return grouped.union(rows.where("class is null").select("row", "doc_id", "n_shingles", F.col("doc_id"), F.col("row")))
+    grouped = rows.where("class is not null").select("row", "doc_id", "text_key", "n_shingles", "class").hint("merge").join(labels, "class").select("row", "doc_id", "text_key", "n_shingles", "component_id", "keep_row")
+    return grouped.union(rows.where("class is null").select("row", "doc_id", "text_key", "n_shingles", F.col("doc_id"), F.col("row")))
 
 
 def bitmaps(sets: DataFrame, words: int = 64) -> DataFrame:
@@ -208,8 +214,12 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the least doc_id (of repeated rows, one); all columns stay."""
-    kept = near_links(docs, width, percent).where("row = keep_row").select(F.col("doc_id").alias("_kept_id"))
-    paired = docs.hint("merge").join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    once = W.partitionBy("doc_id").orderBy(F.lit(0))
+    """``docs`` with one document of each group of near copies, the one with the least doc_id; all columns stay.
+
+    Of repeated rows, which agree in doc_id and text, one stays. Documents without an id, or with another's, are told apart by their texts.
+    """
+    kept = near_links(docs, width, percent).where("row = keep_row").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    own = docs.withColumn("_key", text_key())
+    paired = own.hint("merge").join(kept.distinct(), (F.col("_key") == F.col("_kept_key")) & own["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    once = W.partitionBy("doc_id", "_key").orderBy(F.lit(0))
     return paired.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)

@@ -164,6 +164,17 @@ def test_one_of_each_stays(table, request):
     same(stays.select("doc_id", "text").toPandas(), list(want))
 
 
+def test_documents_without_an_id_of_their_own_stay(spark):
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 60))
+    clean, shared, twin = [text() for _ in range(12)], [text(), text()], text()
+    rows = [(None, t) for t in clean] + [(7, t) for t in shared] + [(None, None), (None, ""), (None, " ")]
+    near = [(9, twin), (3, twin + " end"), (3, text()), (None, twin + " too"), (None, twin)]
+    repeats = [(None, clean[0]), (7, shared[1])]
+    stays = neardup.keep_one_of_each(spark.createDataFrame(rows + near + repeats, "doc_id long, text string").repartition(3))
+    same(stays.toPandas(), rows + near[1:3])
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1100)]
