@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, map_batches
 
-DIMENSIONS, GRAM = 512, 3
+DIMENSIONS, GRAM = 1024, 3
 #: Bound on the training texts of each language, taken by the order of a hash of doc_id; they are about so many.
 TRAINING_TEXTS = 3000
 UNKNOWN = "und"
@@ -39,11 +39,15 @@ def letters_of(text: str, is_letter: np.ndarray) -> np.ndarray:
 
 
 class Bundler:
-    """Texts to bundled n-gram vectors. Letters and n-grams get numbers as a task meets them; n-gram vectors are made once and kept while they are few."""
+    """Texts to bundled n-gram vectors. Letters and n-grams get numbers as a task meets them; n-gram vectors are made once and kept while they are few.
+
+    A text of more than ``most_letters`` letters goes by packed code points instead; the vectors of its n-grams are the same, but not kept.
+    """
 
     def __init__(self, dimensions: int = DIMENSIONS, most_kept: int = 50_000, most_letters: int = 160):
         self.dimensions, self.most_kept, self.most_letters = dimensions, most_kept, most_letters
         self.is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.known: dict[int, np.ndarray] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -53,13 +57,22 @@ class Bundler:
         self.vectors = np.zeros((1024, self.dimensions), np.int8)
         self.grams = 0
 
+    def vectors_of(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of distinct code points; those met before are kept while they are few."""
+        if len(self.known) > 20_000:
+            self.known.clear()
+        for c in codes.tolist():
+            if c not in self.known:
+                self.known[c] = letter_vector(c, self.dimensions)
+        return np.array([self.known[c] for c in codes.tolist()], np.int8)
+
     def learn_letters(self, codes: np.ndarray) -> None:
         fresh = np.unique(codes[self.slot[codes] < 0])
         if len(self.letters) + len(fresh) > self.most_letters:
             self.forget()
             fresh = np.unique(codes)
         self.slot[fresh] = np.arange(len(self.letters), len(self.letters) + len(fresh))
-        self.letters = np.vstack([self.letters, *(letter_vector(int(c), self.dimensions)[None] for c in fresh)])
+        self.letters = np.vstack([self.letters, self.vectors_of(fresh)])
 
     def learn_grams(self, packed: np.ndarray) -> None:
         fresh = np.unique(packed[self.gram[packed] < 0])
@@ -75,16 +88,25 @@ class Bundler:
         self.gram[fresh] = np.arange(self.grams, self.grams + len(fresh))
         self.grams += len(fresh)
 
-    def bundle(self, text: str | None) -> np.ndarray | None:
-        """The unit vector of a text; None if it has no letter. n-grams weigh as the root of their counts."""
-        codes = letters_of(text, self.is_letter) if text else ()
-        if len(codes) < GRAM:
-            return None
+    def packed_total(self, codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The sum for a text of any number of letters (kinds: all of them, in order)."""
+        packed = codes[: 1 - GRAM].astype(np.uint64)
+        for place in range(1, GRAM):
+            packed = packed << np.uint64(21) | codes[place : len(codes) - GRAM + 1 + place]
+        grams, counts = np.unique(packed, return_counts=True)
+        weights, letters = np.sqrt(counts).astype(np.float32), self.vectors_of(kinds)
         total = np.zeros(self.dimensions, np.float32)
-        if len(kinds := np.unique(codes)) > self.most_letters:
-            codes = np.where(codes < 0x250, codes, 0x250 + codes % 64)  # too many letters to number: those beyond Latin share vectors
-            if len(kinds := np.unique(codes)) > self.most_letters:
-                codes = np.where(codes > 0, 1 + codes % (self.most_letters - 1), 0)
+        for start in range(0, len(grams), 2048):
+            part = grams[start : start + 2048]
+            made = np.ones((len(part), self.dimensions), np.int8)
+            for place in range(GRAM):
+                own = np.searchsorted(kinds, part >> np.uint64(21 * place) & np.uint64(0x1FFFFF))
+                made *= np.roll(letters[own], place, axis=1)
+            total += weights[start : start + 2048] @ made.astype(np.float32)
+        return total
+
+    def numbered_total(self, codes: np.ndarray) -> np.ndarray:
+        """The sum for a text of at most ``most_letters`` letters."""
         if (self.slot[codes] < 0).any():
             self.learn_letters(codes)
         slots = self.slot[codes].astype(np.int64)
@@ -96,8 +118,18 @@ class Bundler:
         counts = np.bincount(self.gram[packed])
         own = np.flatnonzero(counts)
         weights = np.sqrt(counts[own]).astype(np.float32)
+        total = np.zeros(self.dimensions, np.float32)
         for start in range(0, len(own), 2048):
             total += weights[start : start + 2048] @ self.vectors[own[start : start + 2048]].astype(np.float32)
+        return total
+
+    def bundle(self, text: str | None) -> np.ndarray | None:
+        """The unit vector of a text; None if it has no letter. n-grams weigh as the root of their counts."""
+        codes = letters_of(text, self.is_letter) if text else ()
+        if len(codes) < GRAM:
+            return None
+        kinds = np.unique(codes)
+        total = self.packed_total(codes, kinds) if len(kinds) > self.most_letters else self.numbered_total(codes)
         return total / max(float(np.linalg.norm(total)), 1e-12)
 
 

@@ -36,6 +36,21 @@ def test_language_odd_rows(odd, odd_rows, none):
     assert set(alone.lang_pred) == {"und"} and set(alone.score) == {0.0}
 
 
+def test_language_of_long_texts_of_many_letters(spark):
+    rng = np.random.default_rng(4)
+    words = [["".join(map(chr, 0x4E00 + 400 * k + rng.integers(0, 300, 3))) for _ in range(150)] for k in range(4)]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    schema = "doc_id long, text string, lang string"
+    short = spark.createDataFrame([(i, text(i % 4, 40), f"l{i % 4}") for i in range(200)], schema)
+    long = [(i, text(i % 4, 2000), f"l{i % 4}") for i in range(12)]
+    assert all(len(set(t)) > 200 for _, t, _ in long)
+    parts = [(100 * (i + 1) + j, t[j * 80 : j * 80 + 80], lang) for i, t, lang in long for j in range(5)]
+    got = language.identify(spark.createDataFrame(long + parts, schema), language.train(short)).toPandas().set_index("doc_id")
+    assert [got.lang_pred[i] for i, _, _ in long + parts] == [lang for *_, lang in long + parts]
+    one, two = language.Bundler(most_letters=20), language.Bundler()
+    assert all(one.bundle(t) @ two.bundle(t) > 0.9999 for _, t, _ in parts)
+
+
 # ---- secrets ------------------------------------------------------------------------------------
 
 BASE = (
