@@ -228,10 +228,32 @@ def eigenvalues(cov: DataFrame) -> DataFrame:
 
 
 def tucker_errors(rows: DataFrame, dims: tuple[int, int], ranks: list[tuple[int, int, int]]) -> DataFrame:
-    """(rank_t, rank_e, rank_m, rmse) of Tucker models of the centred cube."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = stacked(group.sort_values("t")["x"])
-        cube = (x - x.mean(axis=0)).reshape(len(x), *dims)
-        return pd.DataFrame([(*r, linalg.tucker(cube, r)[2]) for r in ranks], columns=["rank_t", "rank_e", "rank_m", "rmse"])
+    """(rank_t, rank_e, rank_m, rmse) of Tucker models of the centred cube.
+
+    The time mode enters only through the Gram matrix of the cells: a cube of as many rows as cells and with the same Gram matrix
+    has the same core, grid factors and norm of the error. So rows are summed up where they are, and the kernel's cube is as large as the grid is.
+    """
+    size = dims[0] * dims[1]
+    means = rows.select(F.posexplode("x").alias("bucket", "x")).groupBy("bucket").agg(F.avg("x").alias("mean"))
+    means = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "mean"))), lambda s: s["mean"]).alias("means"))
+    centred = rows.crossJoin(F.broadcast(means)).select(F.zip_with("x", "means", lambda x, mean: x - mean).alias("x"))
+
+    def products(batches):
+        n, total = 0, np.zeros((size, size))
+        for batch in batches:
+            x = stacked(batch["x"])
+            n, total = n + len(x), total + (x.T @ x if len(x) else 0)
+        if n:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel(), "n": n})
 
-    return rows.groupBy().applyInPandas(run, "rank_t int, rank_e int, rank_m int, rmse double")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        gram = np.zeros((size, size))
+        gram[group["i"], group["j"]] = group["g"]
+        values, vectors = linalg.eigen_descending(gram)
+        cube = (np.sqrt(np.maximum(values, 0))[:, None] * vectors.T).reshape(size, *dims)
+        scale = np.sqrt(size / group["n"].iloc[0])
+        return pd.DataFrame([(*r, linalg.tucker(cube, r)[2] * scale) for r in ranks], columns=["rank_t", "rank_e", "rank_m", "rmse"])
+
+    summed = centred.mapInPandas(products, "i long, j long, g double, n long").groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    return summed.groupBy().applyInPandas(run, "rank_t int, rank_e int, rank_m int, rmse double")

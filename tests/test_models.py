@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -72,6 +74,19 @@ def test_tucker_with_full_ranks_is_exact():
     assert linalg.tucker(cube, (1, 1, 1))[2] > linalg.tucker(cube, (3, 2, 2))[2]
 
 
+def test_tucker_errors_need_a_cube_of_the_grid_only(spark, monkeypatch):
+    x, ranks, tucker = rows(n=50) + 3, [(2, 2, 1), (1, 3, 2), (6, 3, 2)], linalg.tucker
+
+    def small(cube, r):
+        assert len(cube) <= 6
+        return tucker(cube, r)
+
+    monkeypatch.setattr(factors, "linalg", SimpleNamespace(tucker=small, eigen_descending=linalg.eigen_descending))
+    got = factors.tucker_errors(spark.createDataFrame([(t, v.tolist()) for t, v in enumerate(x)], "t long, x array<double>"), DIMS, ranks)
+    want = [tucker((x - x.mean(axis=0)).reshape(-1, *DIMS), r)[2] for r in ranks]
+    assert np.allclose([r["rmse"] for r in got.collect()], want, atol=1e-7)
+
+
 def test_metric_guards(spark):
     metrics = lambda pairs: validate.pnl_metrics(spark.createDataFrame([("m", float(f), float(p), float(f - p)) for f, p in pairs], "model string, full_pnl double, projected_pnl double, error double"), "model").first()
     one = metrics([(1, 2)])
