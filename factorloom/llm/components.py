@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over (a, b): each node's neighbours (larger ones in a large step, smaller ones in a small step) move to the least of all of them."""
+def star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One step over (a, b), and a table it reads: each node's neighbours (larger ones in a large step, smaller ones in a small step) move to the least of all of them.
+
+    The least neighbours, combined before their shuffle, are written first. The join then has two plain shuffles as inputs, so that
+    Spark can split the many edges of one node over tasks.
+    """
     both = edges.union(edges.select("b", "a")).toDF("a", "b") if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "least-neighbours")
     moved = both.hint("merge").join(least, "a")
     if large:
-        return moved.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-    return moved.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", "low")).where("a <> b").distinct()
+        return moved.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct(), least
+    return moved.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", "low")).where("a <> b").distinct(), least
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +30,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        now = written(star(star(now, large=True), large=False), "edges")
+        before, (pulled, one) = now, star(now, large=True)
+        pulled = written(pulled, "edges")
+        moved, two = star(pulled, large=False)
+        now = written(moved, "edges")
+        dropped(before, one, pulled, two)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (seen["n"], seen["s"]) == mark:
             break

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_of, body, map_batches, written
+from .common import batch_of, body, dropped, map_batches, written
 from .components import components
 
 #: Half-keys in each collection and minhashes in each: 100 tables from 60 minhashes. A pair at similarity 0.8 shares a table with probability 0.998, one at 0.3 with 0.05.
@@ -142,25 +142,25 @@ def near_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = rows.where("class is not null").groupBy("class").agg(first.alias("first"), F.min(F.struct("row", "keys")).alias("any"))
     classes = written(classes.select("class", F.col("any.row").alias("node"), F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("least_id"), F.col("first.text_key").alias("text_key"), F.col("any.keys").alias("keys")), "classes")
     keys = classes.select("node", F.explode("keys").alias("key"))
-    # Each table's bucket is a star around its least node: as many candidate pairs as members, however many share a key.
-    buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    members = written(keys.hint("merge").join(buckets, "key").select("key", "a", F.col("node").alias("b")), "bucket-members")
-    pairs = written(members.where("a < b").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    buckets = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = written(keys.hint("merge").join(buckets, "key").select("key", "node", "size"), "bucket-members")
+    pairs = written(hub_pairs(members), "pairs")
+    wanted = members.select("node").distinct()
     wanted = written(classes.select("class", "node", F.col("least_id").alias("wanted_id"), F.col("text_key").alias("wanted_key")).hint("merge").join(wanted, "node"), "wanted-classes")
     own = (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
     texts = source.hint("merge").join(wanted.select("wanted_id", "wanted_key"), own, "left_semi").select("text")
     sets = written(shingle_sets(texts, width).dropDuplicates(["class"]).hint("merge").join(wanted, "class").select("node", "shingles"), "shingle-sets")
-    links = written(confirmed(pairs, sets, percent), "links")
-    roots = written(components(links), "roots")
-    # Members whose star did not connect them to the rest of their bucket are compared across components.
-    at = members.hint("merge").join(roots.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
-    mixed_buckets = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = written(at.select("key", "b", "root").hint("merge").join(mixed_buckets, "key"), "mixed-buckets")
-    more = cross_component_pairs(left, sets, percent)
-    found = written(confirmed(written(more.hint("merge").join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), sets, percent), "cross-links")
+    roots = written(components(confirmed(pairs, sets, percent)), "roots")
+    left = written(mixed_members(members, roots), "mixed-members")
+    more = written(cross_component_pairs(left, sets, percent), "cross-pairs")
+    found = written(confirmed(more.select("a", "b"), sets, percent), "cross-links")
     if not found.isEmpty():
-        roots = components(links.union(found))
+        joins = more.hint("merge").join(found, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        over = written(components(joins), "root-roots").toDF("old", "new")
+        at = roots.hint("merge").join(over, roots["root"] == over["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+        alone = over.hint("merge").join(roots.select("node"), over["old"] == roots["node"], "left_anti").toDF("node", "root")  # nodes that had no link before
+        roots = written(at.union(alone), "roots")
+    dropped(buckets, members, pairs, wanted, sets, left, more, found)
     labels = classes.select("class", "node", "keep_row", "least_id").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = written(labels, "class-roots")
     heads = labels.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "keep_row")).alias("head"))
@@ -186,19 +186,53 @@ def bitmaps(sets: DataFrame, words: int = 64) -> DataFrame:
     return map_batches(sets, lambda: work, "node long, n long, bits array<long>")
 
 
-def cross_component_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one bucket in different components that may be similar, each once.
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b), a < b, once: in each bucket (key, node, size) its hub with each other member, as many pairs as members.
 
-    Members of one component meet none of their own. Two sets differ in at least as many shingles as their bitmaps do in bits, so pairs
-    whose bitmaps differ too much, nearly all, are left out in the join itself; none that is similar enough is.
+    The hub is the member that shares the most places in buckets with others, over all its buckets. Where many texts are copies of one, that
+    is the one, and nearly all links are made through it.
     """
-    nodes = left.select(F.col("b").alias("node")).distinct()
-    known = written(bitmaps(sets.select("node", "shingles").hint("merge").join(nodes, "node").dropDuplicates(["node"])), "bitmaps")
-    rich = left.select("key", F.col("b").alias("node"), "root").hint("merge").join(known, "node")
-    one, two = (rich.toDF(f"{side}", "key", f"root_{side}", f"n_{side}", f"bits_{side}") for side in "ab")
+    degree = written(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
+    ranked = members.hint("merge").join(degree, "node")
+    hubs = written(ranked.groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub")), "hubs")
+    met = members.hint("merge").join(hubs, "key").where("node <> hub")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root), once, of members of buckets that hold more than one component: only they may still have links."""
+    at = written(members.select("key", "node").hint("merge").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "member-roots")
+    several = written(at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "mixed-buckets")
+    return at.hint("merge").join(several, "key").select("node", "root").distinct()
+
+
+def cross_component_pairs(left: DataFrame, sets: DataFrame, percent: int, head: int = 64) -> DataFrame:
+    """(a, b, root_a, root_b), a < b, once: all pairs of nodes (node, root) of different components that may be similar, by an exact prefix-filter join.
+
+    Shingles are ordered: those of one component alone first, then by frequency. Two similar sets share one of the first few of each, and
+    those of one component alone meet none of another, so an outlier beside a large component meets little of it. Sizes, places in the order and
+    bitmaps (two sets differ in at least as many shingles as their bitmaps do in bits) are compared in the join, where a pair is
+    made at the first shingle that both sets have among their ``head`` first ones.
+    """
+    held = written(sets.hint("merge").join(left, "node").select("node", "root", "shingles"), "mixed-sets")
+    tokens = held.select("node", "root", F.explode("shingles").alias("token"))
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "often"), "shared-shingles")
+    ordered = tokens.hint("merge").join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("own"))
+    n, own = F.col("n"), F.col("own")
+    alone = n - F.size(own)
+    first = F.greatest(n - F.ceil(n * percent / 100) + 1 - alone, F.lit(0)).cast("int")
+    rich = ordered.hint("merge").join(bitmaps(held.select("node", "shingles")), "node").hint("merge").join(left, "node")
+    rich = rich.select("node", "root", "n", "bits", alone.alias("alone"), F.transform(F.slice(own, F.lit(1), first), lambda s: s["token"]).alias("prefix")).where(F.size("prefix") > 0)
+    rich = written(rich.select("node", "root", "n", "bits", "alone", F.slice("prefix", 1, head).alias("head"), F.posexplode("prefix").alias("pos", "token")), "prefixes")
+    one, two = (rich.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "bits", "head")), (F.col("alone") + F.col("pos")).alias(f"at_{side}")) for side in "ab")
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    return one.hint("merge").join(two.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select("a", "b").distinct()
+    start = F.get(F.array_intersect("head_a", "head_b"), F.lit(0))
+    near = (
+        (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (most >= least) & (apart <= F.col("n_a") + F.col("n_b") - 2 * least) & (start.isNull() | (start == F.col("token"))))
+    return one.hint("merge").join(two.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").distinct()
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -218,8 +252,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
     Of repeated rows, which agree in doc_id and text, one stays. Documents without an id, or with another's, are told apart by their texts.
     """
-    kept = near_links(docs, width, percent).where("row = keep_row").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
-    own = docs.withColumn("_key", text_key())
-    paired = own.hint("merge").join(kept.distinct(), (F.col("_key") == F.col("_kept_key")) & own["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    once = W.partitionBy("doc_id", "_key").orderBy(F.lit(0))
-    return paired.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)
+    kept = near_links(docs, width, percent).where("row = keep_row").select("doc_id", "text_key").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))  # no name of docs can clash
+    paired = own.hint("merge").join(kept, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    once = W.partitionBy("id", "key").orderBy(F.lit(0))
+    return paired.withColumn("copy", F.row_number().over(once)).where("copy = 1").select("row.*")
