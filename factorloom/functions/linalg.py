@@ -22,72 +22,65 @@ def positive_definite(matrix: Array, least: float = 1e-12) -> Array:
 
 
 def sample_covariance(centred: Array) -> Array:
-    if len(centred) < 2:
-        raise ValueError("a covariance needs two rows or more")
-    return centred.T @ centred / (len(centred) - 1)
-
-
-def ledoit_wolf(rows: Array) -> Array:
-    """Ledoit and Wolf (2004): shrinks the 1/n covariance toward a multiple of the identity."""
-    x = rows - rows.mean(axis=0)
-    n, p = x.shape
-    s = x.T @ x / n
-    mu = np.trace(s) / p
-    delta = ((s**2).sum() - p * mu**2) / p
-    beta = min(((x**2).T @ (x**2)).sum() / n - (s**2).sum(), delta * n * p) / (n * p)
-    share = beta / delta if beta > 0 and delta > 0 else 0.0
-    return (1 - share) * s + share * mu * np.eye(p)
-
-
-def oracle_approximating(rows: Array) -> Array:
-    """Chen, Wiesel, Eldar and Hero (2010), in the form without the 2/p term."""
-    x = rows - rows.mean(axis=0)
-    n, p = x.shape
-    s = x.T @ x / n
-    mu, alpha = np.trace(s) / p, (s**2).mean()
-    spread = (n + 1) * (alpha - mu**2 / p)
-    share = 1.0 if spread == 0 else min((alpha + mu**2) / spread, 1.0)
-    return (1 - share) * s + share * mu * np.eye(p)
+    return estimate_covariance(centred)
 
 
-def two_way_covariances(centred: Array, expiries: int, tenors: int) -> tuple[Array, Array]:
-    """Covariances along each axis of rows that are expiry-major grids."""
-    cube = centred.reshape(-1, expiries, tenors)
-    rows = max(len(cube) - 1, 1)
-    return np.einsum("tim,tjm->ij", cube, cube) / tenors / rows, np.einsum("tei,tej->ij", cube, cube) / expiries / rows
+def two_way_from_products(products: Array, n: float, expiries: int, tenors: int) -> tuple[Array, Array]:
+    """Covariances along each axis of n centred rows that are expiry-major grids, from the products of their cells."""
+    cells, rows = products.reshape(expiries, tenors, expiries, tenors), max(n - 1, 1)
+    return np.einsum("itjt->ij", cells) / tenors / rows, np.einsum("etem->tm", cells) / expiries / rows
 
 
-def estimate_covariance(centred: Array, method: str = "sample", alpha: float = 0.0, rank: int = 3, dims: tuple[int, int] | None = None) -> Array:
-    """One of the estimators by name; ``alpha`` is held to [0, 1]."""
-    method, alpha = method.lower(), min(max(alpha, 0.0), 1.0)
-    if method == "ledoit_wolf":
-        return ledoit_wolf(centred)
+def identity_share(n: float, s: Array, fourth: float, method: str) -> float:
+    """The weight of the identity in the estimates of Ledoit and Wolf (2004), and of Chen, Wiesel, Eldar and Hero (2010, without the 2/p term)."""
+    p = len(s)
+    mu, square = np.trace(s) / p, (s**2).sum()
     if method == "oas":
-        return oracle_approximating(centred)
-    s = sample_covariance(centred)
+        spread = (n + 1) * (square / p**2 - mu**2 / p)
+        return 1.0 if spread == 0 else min((square / p**2 + mu**2) / spread, 1.0)
+    delta = (square - p * mu**2) / p
+    beta = min(fourth / n - square, delta * n * p) / (n * p)
+    return beta / delta if beta > 0 and delta > 0 else 0.0
+
+
+def covariance_from_sums(n: float, products: Array, fourth: float, method: str = "sample", alpha: float = 0.0, rank: int = 3, dims: tuple[int, int] | None = None) -> Array:
+    """One of the estimators by name, from the products of n centred rows and the sum of their sizes' fourth powers; ``alpha`` is held to [0, 1]."""
+    method, alpha, p = method.lower(), min(max(alpha, 0.0), 1.0), len(products)
+    if method in ("ledoit_wolf", "oas"):
+        s = products / n
+        share = identity_share(n, s, fourth, method)
+        return (1 - share) * s + share * np.trace(s) / p * np.eye(p)
+    if n < 2:
+        raise ValueError("a covariance needs two rows or more")
+    s = products / (n - 1)
     if method == "sample":
         return s
     if method == "diagonal_shrink":
-        return positive_definite(s * (1 - alpha + alpha * np.eye(len(s))))
+        return positive_definite(s * (1 - alpha + alpha * np.eye(p)))
     if method == "correlation_shrink":
         d = np.sqrt(np.maximum(np.diag(s), 1e-16))
-        return positive_definite((s / np.outer(d, d) * (1 - alpha) + alpha * np.eye(len(s))) * np.outer(d, d))
+        return positive_definite((s / np.outer(d, d) * (1 - alpha) + alpha * np.eye(p)) * np.outer(d, d))
     if method == "factor_diag":
         values, vectors = eigen_descending(s)
-        r = min(rank, len(s), max(len(centred) - 1, 1))
+        r = int(min(rank, p, max(n - 1, 1)))
         common = (vectors[:, :r] * np.maximum(values[:r], 0)) @ vectors[:, :r].T
         target = positive_definite(common + np.diag(np.maximum(np.diag(s - common), 1e-12)))
         return positive_definite((1 - alpha) * s + alpha * target)
     if method == "separable_shrink":
         if dims is None:
             raise ValueError("separable_shrink needs the grid's dimensions")
-        target = positive_definite(np.kron(*two_way_covariances(centred, *dims)))
+        target = positive_definite(np.kron(*two_way_from_products(products, n, *dims)))
         if np.trace(target) > 1e-16:
             target = target * (np.trace(s) / np.trace(target))
         return positive_definite((1 - alpha) * s + alpha * target)
     raise ValueError(f"no covariance estimator named {method}")
 
 
+def estimate_covariance(centred: Array, method: str = "sample", alpha: float = 0.0, rank: int = 3, dims: tuple[int, int] | None = None) -> Array:
+    """:func:`covariance_from_sums` of centred rows."""
+    return covariance_from_sums(len(centred), centred.T @ centred, float(((centred**2).sum(axis=1) ** 2).sum()), method, alpha, rank, dims)
+
+
 def constrained_least_squares(gram: Array, rhs: Array, a: Array, b: Array) -> Array:
     """Minimises the squared residual whose normal equations are ``gram x = rhs``, subject to ``a x = b``."""
     m, c = len(gram), len(a)

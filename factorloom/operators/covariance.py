@@ -1,56 +1,50 @@
-"""Covariances as joins and sums over (t, bucket, x), by coordinates (i, j, c)."""
+"""Covariances of moves, by coordinates (i, j, c).
+
+Each estimator is made from the sums of the rows (t, x), which are added up where the rows are; the last step works on one row of numbers,
+as many as the grid squared. Cross joins here have one row, or an axis of the grid, on a side.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def centred(cells: DataFrame) -> DataFrame:
-    """x less its bucket's mean."""
-    means = cells.groupBy("bucket").agg(F.avg("x").alias("mean"))
-    return cells.join(F.broadcast(means), "bucket").select("t", "bucket", (F.col("x") - F.col("mean")).alias("x"))
+from ..functions import linalg
+from .sums import Sums, block_sums
 
 
-def gram(cells: DataFrame) -> DataFrame:
-    """(i, j, g) for i <= j: sums of products over t. Pairs are made inside each row's array, so rows meet by one shuffle on t and partial sums by one on (i, j)."""
-    rows = cells.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("bucket", "x"))).alias("a"))
-    pairs = rows.select(F.explode("a").alias("one"), "a").select("one", F.explode("a").alias("two")).where("one.bucket <= two.bucket")
-    return pairs.groupBy(F.col("one.bucket").alias("i"), F.col("two.bucket").alias("j")).agg(F.sum(F.col("one.x") * F.col("two.x")).alias("g"))
+def from_sums(rows: DataFrame, size: int, run: Callable[[Sums], np.ndarray], upper: bool = True) -> DataFrame:
+    """(i, j, c) of the matrix that ``run`` makes of the sums of all rows; for i <= j if ``upper``. Without rows, or enough of them, it is empty."""
+    def matrices(batches):
+        for batch in batches:
+            for flat in batch["sums"]:
+                try:
+                    m = run(Sums.from_flat(np.array(flat)))
+                except ValueError:  # too few rows
+                    continue
+                i, j = np.triu_indices(len(m)) if upper else (a.ravel() for a in np.indices(m.shape))
+                yield pd.DataFrame({"i": i, "j": j, "c": m[i, j]})
 
+    return block_sums(rows, {"even": np.ones(size)}).mapInPandas(matrices, "i int, j int, c double")
 
-def sample(cells: DataFrame) -> DataFrame:
-    """(i, j, c) for i <= j, over n - 1."""
-    n = cells.agg(F.countDistinct("t").alias("n"))
-    return gram(centred(cells)).crossJoin(F.broadcast(n)).select("i", "j", (F.col("g") / F.nullif(F.col("n") - 1, F.lit(0))).alias("c"))
 
+def estimate(rows: DataFrame, dims: tuple[int, int], method: str = "sample", alpha: float = 0.0, rank: int = 3) -> DataFrame:
+    """(i, j, c) for i <= j of an estimator by name: the same arithmetic that models are fitted with, repairs and the hold of alpha included."""
+    def run(sums: Sums) -> np.ndarray:
+        _, products, fourth = sums.centred()
+        return linalg.covariance_from_sums(sums.n, products, fourth, method, alpha, rank, dims)
 
-def diagonal_shrink(cov: DataFrame, alpha: float) -> DataFrame:
-    """Off-diagonal entries times 1 - alpha."""
-    return cov.withColumn("c", F.when(F.col("i") == F.col("j"), F.col("c")).otherwise(F.col("c") * (1 - alpha)))
+    return from_sums(rows, dims[0] * dims[1], run)
 
 
-def correlation_shrink(cov: DataFrame, alpha: float) -> DataFrame:
-    """Correlations pulled toward the identity and scaled back; the same as diagonal_shrink while all variances are over 1e-16."""
-    sd = cov.where("i = j").select("i", F.sqrt(F.greatest("c", F.lit(1e-16))).alias("s"))
-    both = cov.join(F.broadcast(sd), "i").join(F.broadcast(sd.select(F.col("i").alias("j"), F.col("s").alias("s2"))), "j")
-    r = F.col("c") / (F.col("s") * F.col("s2"))
-    shrunk = r * (1 - alpha) + F.when(F.col("i") == F.col("j"), F.lit(alpha)).otherwise(0.0)
-    return both.select("i", "j", (shrunk * F.col("s") * F.col("s2")).alias("c"))
-
-
-def two_way(cells: DataFrame, expiries: int, tenors: int) -> tuple[DataFrame, DataFrame]:
+def two_way(rows: DataFrame, dims: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Covariances along expiries and along tenors, (i, j, c) for all i and j."""
-    x = centred(cells).select("t", (F.col("bucket") / tenors).cast("int").alias("e"), (F.col("bucket") % tenors).alias("m"), "x")
-    rows = x.agg(F.greatest(F.countDistinct("t") - 1, F.lit(1)).alias("rows"))
-
-    def along(axis: str, other: str, count: int) -> DataFrame:
-        sets = x.groupBy("t", other).agg(F.collect_list(F.struct(F.col(axis).alias("k"), "x")).alias("a"))
-        pairs = sets.select(F.explode("a").alias("one"), "a").select("one", F.explode("a").alias("two"))
-        summed = pairs.groupBy(F.col("one.k").alias("i"), F.col("two.k").alias("j")).agg(F.sum(F.col("one.x") * F.col("two.x")).alias("g"))
-        return summed.crossJoin(F.broadcast(rows)).select("i", "j", (F.col("g") / count / F.col("rows")).alias("c"))
-
-    return along("e", "m", tenors), along("m", "e", expiries)
+    along = lambda side: from_sums(rows, dims[0] * dims[1], lambda sums: linalg.two_way_from_products(sums.centred()[1], sums.n, *dims)[side], upper=False)
+    return along(0), along(1)
 
 
 def kronecker(one: DataFrame, two: DataFrame, tenors: int) -> DataFrame:
@@ -59,45 +53,32 @@ def kronecker(one: DataFrame, two: DataFrame, tenors: int) -> DataFrame:
     return one.crossJoin(F.broadcast(b)).select((F.col("i") * tenors + F.col("i2")).alias("i"), (F.col("j") * tenors + F.col("j2")).alias("j"), (F.col("c") * F.col("c2")).alias("c"))
 
 
-def separable_target(cells: DataFrame, expiries: int, tenors: int) -> DataFrame:
-    return kronecker(*two_way(cells, expiries, tenors), tenors)
+def separable_target(rows: DataFrame, dims: tuple[int, int]) -> DataFrame:
+    return kronecker(*two_way(rows, dims), dims[1])
 
 
 def trace(cov: DataFrame) -> DataFrame:
     return cov.where("i = j").agg(F.sum("c").alias("trace"))
 
 
-def separable_shrink(cells: DataFrame, expiries: int, tenors: int, alpha: float) -> DataFrame:
-    """The sample covariance blended with the separable target of the same trace; for matrices that are positive definite as they are."""
-    cov, target = sample(cells), separable_target(cells, expiries, tenors).where("i <= j")
-    scale = trace(cov).withColumnRenamed("trace", "own").crossJoin(trace(target).withColumnRenamed("trace", "its"))
-    scaled = target.crossJoin(F.broadcast(scale)).select("i", "j", F.when(F.col("its") > 1e-16, F.col("c") * F.col("own") / F.col("its")).otherwise(F.col("c")).alias("d"))
-    return cov.join(scaled, ["i", "j"]).select("i", "j", (F.col("c") * (1 - alpha) + F.col("d") * alpha).alias("c"))
-
-
-def identity_shrinkage(cells: DataFrame, method: str) -> DataFrame:
-    """(n, p, mu, shrinkage) of ``ledoit_wolf`` or ``oas``, from sums: the estimate is (1 - shrinkage) S + shrinkage mu I with S over n."""
-    x = centred(cells)
-    size = x.agg(F.countDistinct("t").alias("n"), F.countDistinct("bucket").alias("p"))
-    pairs = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
-    s = gram(x).crossJoin(F.broadcast(size)).select("i", "j", "n", "p", (F.col("g") / F.col("n")).alias("s"))
-    sums = s.groupBy("n", "p").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("tr"), F.sum(pairs * F.col("s") ** 2).alias("ss"))
-    mu = F.col("tr") / F.col("p")
-    if method == "oas":
-        alpha = F.col("ss") / (F.col("p") * F.col("p"))
-        spread = (F.col("n") + 1) * (alpha - mu * mu / F.col("p"))
-        return sums.select("n", "p", mu.alias("mu"), F.when(spread == 0, 1.0).otherwise(F.least((alpha + mu * mu) / spread, F.lit(1.0))).alias("shrinkage"))
-    # The fourth-order sum over pairs of buckets is, row by row, the square of the sum of squares.
-    fourth = x.groupBy("t").agg(F.sum(F.col("x") ** 2).alias("q")).agg(F.sum(F.col("q") ** 2).alias("b"))
-    both = sums.crossJoin(F.broadcast(fourth))
-    delta = (F.col("ss") - F.col("p") * mu * mu) / F.col("p")
-    beta = F.least((F.col("b") / F.col("n") - F.col("ss")) / (F.col("n") * F.col("p")), delta)
-    return both.select("n", "p", mu.alias("mu"), F.when((beta > 0) & (delta > 0), beta / delta).otherwise(0.0).alias("shrinkage"))
-
-
-def shrunk_to_identity(cells: DataFrame, method: str) -> DataFrame:
-    """(i, j, c) for i <= j of ``ledoit_wolf`` or ``oas``."""
-    known = identity_shrinkage(cells, method)
-    s = gram(centred(cells)).crossJoin(F.broadcast(known))
-    own = (1 - F.col("shrinkage")) * F.col("g") / F.col("n") + F.when(F.col("i") == F.col("j"), F.col("shrinkage") * F.col("mu")).otherwise(0.0)
-    return s.select("i", "j", own.alias("c"))
+def norms(cov: DataFrame) -> DataFrame:
+    """(frobenius, largest, diagonal): the Frobenius norm, the largest entry's size and the mean of the diagonal, of (i, j, c) with i <= j."""
+    times = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    return cov.agg(F.sqrt(F.sum(times * F.col("c") ** 2)).alias("frobenius"), F.max(F.abs("c")).alias("largest"), F.avg(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("diagonal"))
+
+
+def repaired(cov: DataFrame, least: float = 1e-12) -> DataFrame:
+    """(i, j, c), i <= j, with eigenvalues of at least ``least``; the matrix is as large as the grid is."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        n = int(group[["i", "j"]].max().max()) + 1
+        m = np.zeros((n, n))
+        m[group["i"], group["j"]] = m[group["j"], group["i"]] = group["c"]
+        fixed, (i, j) = linalg.positive_definite(m, least), np.triu_indices(n)
+        return pd.DataFrame({"i": i, "j": j, "c": fixed[i, j]})
+
+    return cov.groupBy().applyInPandas(run, "i int, j int, c double")
+
+
+def stretched(cov: DataFrame, factor: float) -> DataFrame:
+    """Off-diagonal entries times ``factor``, as a stress; over 1 the matrix may be none of a covariance any more (see :func:`repaired`)."""
+    return cov.withColumn("c", F.when(F.col("i") == F.col("j"), F.col("c")).otherwise(F.col("c") * factor))

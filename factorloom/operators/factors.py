@@ -1,6 +1,6 @@
 """Factor models of moves: weighted PCA and two-way (separable) projection.
 
-The kernels work on one training set, small by its window and grid; grouped tasks run them, one group a fold.
+A model is fitted from the sums of its training rows (see ``sums``), which are of the size of the grid; rows are then projected where they are.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import linalg
+from .sums import Sums, added, block_sums, stacked, whole_sums
 
 Array = np.ndarray
 
@@ -39,7 +40,11 @@ class Spec:
         """Specs with one key differ in how many factors they keep and share a decomposition."""
         if self.family == "separable":
             return (self.family, self.transform)
-        return (self.family, self.transform, self.covariance_method, self.shrinkage_alpha, self.factor_rank, self.vega_weight_power, self.weight_min, self.weight_max)
+        return (self.family, self.transform, self.covariance_method, self.shrinkage_alpha, self.factor_rank, self.weighting())
+
+    def weighting(self) -> str:
+        """Specs with one name weigh the buckets alike."""
+        return f"{self.vega_weight_power}:{self.weight_min}:{self.weight_max}" if self.family == "pca" and self.vega_weight_power else "even"
 
 
 def specs_frame(spark: SparkSession, specs: list[Spec]) -> DataFrame:
@@ -51,7 +56,7 @@ def spec_columns() -> list[str]:
 
 
 def default_specs() -> list[Spec]:
-    """The standard grid of candidates."""
+    """The standard grid of candidates. Names and parameters, which appear in the results."""
     found = [Spec(f"Abs PCA sample k={k}", n_components=k) for k in (1, 2, 3, 5, 8, 10)]
     for short, transform in (("Rel", "relative"), ("LogRel", "log_relative")):
         found += [Spec(f"{short} PCA sample k={k}", transform=transform, n_components=k) for k in (2, 3, 5, 8)]
@@ -115,28 +120,28 @@ class TwoWayFit:
         return back.reshape(len(x), -1) + self.mean
 
 
-def fit_pca(x: Array, spec: Spec, vega: Array, dims: tuple[int, int], demean: bool = True) -> PcaFit:
-    weights = np.maximum(kernel_weights(vega, spec), 1e-12)
-    mean = x.mean(axis=0) if demean else np.zeros(x.shape[1])
-    y = (x - mean) * weights
-    return PcaFit(mean, weights, *linalg.eigen_descending(linalg.estimate_covariance(y, spec.covariance_method, spec.shrinkage_alpha, spec.factor_rank, dims)))
-
+def fit_weights(spec: Spec, vega: Array) -> Array:
+    return np.ones(len(vega)) if spec.weighting() == "even" else np.maximum(kernel_weights(vega, spec), 1e-12)
 
-def fit_two_way(x: Array, dims: tuple[int, int]) -> TwoWayFit:
-    mean = x.mean(axis=0)
-    by_expiry, by_tenor = linalg.two_way_covariances(x - mean, *dims)
-    (ev, a), (tv, b) = linalg.eigen_descending(by_expiry), linalg.eigen_descending(by_tenor)
-    return TwoWayFit(mean, a, b, ev, tv)
 
-
-def fit(x: Array, spec: Spec, vega: Array, dims: tuple[int, int]) -> PcaFit | TwoWayFit:
+def fit_sums(sums: Sums, spec: Spec, vega: Array, dims: tuple[int, int], demean: bool = True) -> PcaFit | TwoWayFit:
+    """The model of the rows whose weighted sums these are; without ``demean`` their mean counts as 0."""
+    mean, products, fourth = sums.centred() if demean else (np.zeros(len(vega)), sums.products, sums.square)
     if spec.family == "pca":
-        return fit_pca(x, spec, vega, dims)
+        weights = fit_weights(spec, vega)
+        cov = linalg.covariance_from_sums(sums.n, products, fourth, spec.covariance_method, spec.shrinkage_alpha, spec.factor_rank, dims)
+        return PcaFit(mean / weights, weights, *linalg.eigen_descending(cov))
     if spec.family == "separable":
-        return fit_two_way(x, dims)
+        (ev, a), (tv, b) = (linalg.eigen_descending(c) for c in linalg.two_way_from_products(products, sums.n, *dims))
+        return TwoWayFit(mean, a, b, ev, tv)
     raise ValueError(f"no model family named {spec.family}")
 
 
+def fit(x: Array, spec: Spec, vega: Array, dims: tuple[int, int], demean: bool = True) -> PcaFit | TwoWayFit:
+    """The model of a few rows at hand."""
+    return fit_sums(Sums.of(x * fit_weights(spec, vega)), spec, vega, dims, demean)
+
+
 def reconstruct(model: PcaFit | TwoWayFit, x: Array, spec: Spec) -> Array:
     return model.reconstruct(x, spec.n_components) if isinstance(model, PcaFit) else model.reconstruct(x, spec.r_expiry, spec.r_tenor)
 
@@ -165,55 +170,67 @@ def joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
     return whole.astype({c: object for c in whole.columns if isinstance(whole[c].dtype, pd.StringDtype)})
 
 
-def stacked(column: pd.Series) -> Array:
-    return np.array(column.tolist(), float).reshape(len(column), -1)
+# ---- fits over tables of move vectors -------------------------------------------------------------
+
+MODEL_COLUMNS = "n int, mean array<double>, weights array<double>, eigenvalues array<double>, factors array<array<double>>, tenor_values array<double>, tenor_factors array<array<double>>"
 
 
-# ---- grouped fits over tables of move vectors ----------------------------------------------------
+def model_row(model: PcaFit | TwoWayFit, n: float, most: int) -> dict:
+    """A model's columns; the two-way family also has tenor_values and tenor_factors."""
+    if isinstance(model, PcaFit):
+        return {"n": int(n), "mean": model.mean.tolist(), "weights": model.weights.tolist(), "eigenvalues": model.values.tolist(), "factors": model.components(most).T.tolist(), "tenor_values": None, "tenor_factors": None}
+    return {"n": int(n), "mean": model.mean.tolist(), "weights": None, "eigenvalues": model.expiry_values.tolist(), "factors": model.along_expiry.T.tolist(), "tenor_values": model.tenor_values.tolist(), "tenor_factors": model.along_tenor.T.tolist()}
+
 
+def fit_rows(rows: DataFrame, spec: Spec, vega: Array, dims: tuple[int, int]) -> PcaFit | TwoWayFit:
+    """Fits all rows (t, x) as one training set."""
+    return fit_sums(whole_sums(rows, fit_weights(spec, vega)), spec, vega, dims)
 
-def fit_models(rows: DataFrame, keys: list[str], spec: Spec, vega: Array, dims: tuple[int, int], max_factors: int = 10) -> DataFrame:
-    """One row a group of move vectors: keys, n, mean, eigenvalues, factors (array of arrays); for the two-way family also tenor_values and tenor_factors."""
-    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "n int, end_date date, mean array<double>, weights array<double>, eigenvalues array<double>, factors array<array<double>>, tenor_values array<double>, tenor_factors array<array<double>>"])
+
+def model_frame(spark: SparkSession, model: PcaFit | TwoWayFit, n: float = 0, most: int = 10) -> DataFrame:
+    """A fitted model as a table of one row."""
+    return spark.createDataFrame([tuple(model_row(model, n, most).values())], MODEL_COLUMNS)
+
+
+def fold_models(rows: DataFrame, folds: DataFrame, block: int, spec: Spec, vega: Array, dims: tuple[int, int], most: int = 10) -> DataFrame:
+    """One model a training set: ``folds`` has fold and the first and end row as low and high, multiples of ``block``. Failed fits have a null model and say why."""
+    sums = block_sums(rows, {"all": fit_weights(spec, vega)}, block).select("block", "sums")
+    dealt = folds.select("fold", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))).alias("block")).join(sums, "block")
+    names = [c.split(" ")[0] for c in MODEL_COLUMNS.split(", ")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        x = stacked(group["x"])
-        own = {k: [group[k].iloc[0]] for k in keys} | {"n": [len(x)], "end_date": [group["date"].iloc[-1]]}
+        own = {"fold": int(group["fold"].iloc[0]), **dict.fromkeys(names), "failure": None}
         try:
-            model = fit(x, spec, vega, dims)
-        except (ValueError, np.linalg.LinAlgError):
-            return pd.DataFrame({})
-        if isinstance(model, PcaFit):
-            own |= {"mean": [model.mean.tolist()], "weights": [model.weights.tolist()], "eigenvalues": [model.values.tolist()], "factors": [model.components(max_factors).T.tolist()], "tenor_values": [None], "tenor_factors": [None]}
-        else:
-            own |= {"mean": [model.mean.tolist()], "weights": [None], "eigenvalues": [model.expiry_values.tolist()], "factors": [model.along_expiry.T.tolist()], "tenor_values": [model.tenor_values.tolist()], "tenor_factors": [model.along_tenor.T.tolist()]}
-        return pd.DataFrame(own)
+            total = added(group["sums"])
+            own |= model_row(fit_sums(total, spec, vega, dims), total.n, most)
+        except Exception as error:  # one training set's failure is its own
+            own["failure"] = f"{type(error).__name__}: {error}"
+        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in own.items()})
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return dealt.groupBy("fold").applyInPandas(run, f"fold int, {MODEL_COLUMNS}, failure string")
 
 
-def projected(rows: DataFrame, spec: Spec, vega: Array, dims: tuple[int, int]) -> DataFrame:
-    """Fits on all rows of one window and projects the same rows: t, date, full_pnl, projected_pnl, dvol, dvol_hat, prev."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        x, dvol, prev = (stacked(group[c]) for c in ("x", "dvol", "prev"))
-        hat = absolute(reconstruct(fit(x, spec, vega, dims), x, spec), prev, spec.transform)
-        return pd.DataFrame({"t": group["t"], "date": group["date"], "full_pnl": dvol @ vega, "projected_pnl": hat @ vega, "dvol": dvol.tolist(), "dvol_hat": hat.tolist(), "prev": prev.tolist()})
+def projected(rows: DataFrame, model: PcaFit | TwoWayFit, spec: Spec, vega: Array) -> DataFrame:
+    """Rows projected by a model: t, date, full_pnl, projected_pnl, dvol, dvol_hat, prev."""
+    def run(batches):
+        for batch in batches:
+            x, dvol, prev = (stacked(batch[c]) for c in ("x", "dvol", "prev"))
+            hat = absolute(reconstruct(model, x, spec), prev, spec.transform)
+            yield pd.DataFrame({"t": batch["t"], "date": batch["date"], "full_pnl": dvol @ vega, "projected_pnl": hat @ vega, "dvol": dvol.tolist(), "dvol_hat": hat.tolist(), "prev": prev.tolist()})
 
     schema = "t long, date date, full_pnl double, projected_pnl double, dvol array<double>, dvol_hat array<double>, prev array<double>"
-    return rows.groupBy().applyInPandas(run, schema)
+    return rows.select("t", "date", "x", "dvol", "prev").mapInPandas(run, schema)
 
 
-def contribution_rows(rows: DataFrame, spec: Spec, vega: Array, dims: tuple[int, int]) -> DataFrame:
-    """(t, date, component, pnl) of a model fitted on the same rows."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        x, prev = stacked(group["x"]), stacked(group["prev"])
-        parts = contributions(fit(x, spec, vega, dims), x, prev, vega, spec)
-        return joined([pd.DataFrame({"t": group["t"], "date": group["date"], "component": name, "pnl": pnl}) for name, pnl in parts.items()])
+def contribution_rows(rows: DataFrame, model: PcaFit | TwoWayFit, spec: Spec, vega: Array) -> DataFrame:
+    """(t, date, component, pnl) of a model's factors on rows."""
+    def run(batches):
+        for batch in batches:
+            parts = contributions(model, stacked(batch["x"]), stacked(batch["prev"]), vega, spec)
+            for name, pnl in parts.items():
+                yield pd.DataFrame({"t": batch["t"], "date": batch["date"], "component": pd.Series([name] * len(pnl), dtype=object), "pnl": pnl})
 
-    return rows.groupBy().applyInPandas(run, "t long, date date, component string, pnl double")
+    return rows.select("t", "date", "x", "prev").mapInPandas(run, "t long, date date, component string, pnl double")
 
 
 def eigenvalues(cov: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ coarse ladder go to a kernel.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,10 +31,11 @@ def hat_weights(points: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def bilinear_basis(fine_expiries: DataFrame, fine_tenors: DataFrame, expiries: DataFrame, tenors: DataFrame) -> DataFrame:
     """(o, r, w): the product of the two axes' weights. Fine bucket o and coarse bucket r count tenors fastest. Axes are (i, years)."""
-    n, m = fine_tenors.count(), tenors.count()
+    size = fine_tenors.agg(F.count("*").cast("int").alias("n")).crossJoin(tenors.agg(F.count("*").cast("int").alias("m")))
+    n, m = F.col("n"), F.col("m")
     e = hat_weights(fine_expiries, expiries).toDF("ei", "ek", "ew")
     t = hat_weights(fine_tenors, tenors).toDF("ti", "tk", "tw")
-    return e.crossJoin(F.broadcast(t)).select((F.col("ei") * n + F.col("ti")).alias("o"), (F.col("ek") * m + F.col("tk")).alias("r"), (F.col("ew") * F.col("tw")).alias("w"))
+    return e.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(size)).select((F.col("ei") * n + F.col("ti")).alias("o"), (F.col("ek") * m + F.col("tk")).alias("r"), (F.col("ew") * F.col("tw")).alias("w"))
 
 
 def bilinear(fine: DataFrame, basis: DataFrame) -> DataFrame:
@@ -72,9 +73,9 @@ def dense(group: pd.DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
     return gram, rhs
 
 
-def solve(normal: DataFrame, constraints: DataFrame, m: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, r, v): constrained least squares. A singular system raises (contradictory or repeated constraints)."""
-    rows = [tuple(r) for r in constraints.select("c", "r", "a").collect()]  # as many as constraints times the coarse ladder
+def constraint_arrays(constraints: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right sides of (c, r, a): as many numbers as constraints times the coarse ladder."""
+    rows = [tuple(r) for r in constraints.select("c", "r", "a").collect()]
     names = sorted({c for c, _, _ in rows})
     a, b = np.zeros((len(names), m)), np.zeros(len(names))
     for c, r, x in rows:
@@ -82,12 +83,13 @@ def solve(normal: DataFrame, constraints: DataFrame, m: int, keys: tuple[str, ..
             b[names.index(c)] = x
         else:
             a[names.index(c), r] = x
-    types = "".join(f"{k} {normal.schema[k].dataType.simpleString()}, " for k in keys)
+    return a, b
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "r": np.arange(m), "v": linalg.constrained_least_squares(*dense(group, m), a, b)})
 
-    return normal.groupBy(*keys).applyInPandas(run, f"{types}r int, v double")
+def solve(normal: DataFrame, constraints: DataFrame, m: int) -> DataFrame:
+    """(r, v): constrained least squares. A singular system raises (contradictory or repeated constraints)."""
+    a, b = constraint_arrays(constraints, m)
+    return _on_gram(normal, m, lambda gram, rhs: pd.DataFrame({"r": np.arange(m), "v": linalg.constrained_least_squares(gram, rhs, a, b)}), "r int, v double")
 
 
 def constrained_ladder(fine: DataFrame, basis: DataFrame, constraints: DataFrame, m: int) -> DataFrame:
@@ -136,8 +138,8 @@ def best_fit_energy(fine: DataFrame, basis: DataFrame, m: int) -> DataFrame:
     return _on_gram(normal_equations(fine, basis), m, run, "captured double")
 
 
-def summary(fine: DataFrame, basis: DataFrame, coarse: DataFrame, m: int) -> DataFrame:
-    """One row of quality figures."""
+def summary(fine: DataFrame, basis: DataFrame, coarse: DataFrame, m: int, samples: DataFrame) -> DataFrame:
+    """One row of quality figures; ``samples`` are the bootstrap's."""
     res, lev, sigma = residuals(fine, basis, coarse), leverage(fine, basis, m), singular_values(fine, basis, m)
     by_bucket = res.join(lev, "o").agg(
         F.count("*").alias("original_buckets"), F.sum("v").alias("total_original"), F.sqrt(F.avg(F.col("residual") ** 2)).alias("rmse"), F.avg(F.abs("residual")).alias("mae"),
@@ -145,22 +147,23 @@ def summary(fine: DataFrame, basis: DataFrame, coarse: DataFrame, m: int) -> Dat
         (1 - F.sum(F.col("residual") ** 2) / F.nullif(F.var_pop("v") * F.count("*"), F.lit(0.0))).alias("r2"),
         F.sqrt(F.avg((F.col("residual") / F.greatest(1 - F.col("leverage"), F.lit(1e-6))) ** 2)).alias("loo_rmse"),
         F.avg("leverage").alias("mean_leverage"), F.max("leverage").alias("max_leverage"), F.sum(F.col("v") ** 2).alias("energy"))
-    parts = (coarse.agg(F.count("*").alias("reduced_buckets"), F.sum("v").alias("total_reduced")), sigma.agg((F.max("sigma") / F.nullif(F.min("sigma"), F.lit(0.0))).alias("condition")), best_fit_energy(fine, basis, m))
+    parts = (coarse.agg(F.count("*").alias("reduced_buckets"), F.sum("v").alias("total_reduced")), sigma.agg((F.max("sigma") / F.nullif(F.min("sigma"), F.lit(0.0))).alias("condition")), best_fit_energy(fine, basis, m),
+             spread(samples).agg(F.avg("std").alias("mean_bootstrap_std"), F.max("std").alias("max_bootstrap_std")))
     row = by_bucket
     for part in parts:
         row = row.crossJoin(F.broadcast(part))
     return row.select(
         "original_buckets", "reduced_buckets", (F.col("original_buckets") / F.col("reduced_buckets")).alias("compression"), "total_original", "total_reduced",
         F.abs(F.col("total_original") - F.col("total_reduced")).alias("total_error"), "rmse", "mae", "r2", "max_abs_residual", "worst_bucket", "loo_rmse", "condition",
-        (100 * F.sqrt(F.greatest(F.col("energy") - F.col("captured"), F.lit(0.0)) / F.nullif(F.col("energy"), F.lit(0.0)))).alias("unrepresentable_pct"), "mean_leverage", "max_leverage")
+        (100 * F.sqrt(F.greatest(F.col("energy") - F.col("captured"), F.lit(0.0)) / F.nullif(F.col("energy"), F.lit(0.0)))).alias("unrepresentable_pct"), "mean_leverage", "max_leverage", "mean_bootstrap_std", "max_bootstrap_std")
 
 
 def draws(fine: DataFrame, reps: int) -> DataFrame:
     """(rep, o, times): how often each bootstrap sample holds a bucket. Draws follow a fixed arithmetic rule, whatever the partitions; its last step is quadratic, as a linear one draws few buckets in some samples."""
-    spark, n = fine.sparkSession, fine.count()
-    places = spark.range(reps).select(F.col("id").alias("rep")).select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    size = F.broadcast(fine.agg(F.count("*").alias("n")))
+    places = fine.sparkSession.range(reps).select(F.col("id").alias("rep")).crossJoin(size).select("rep", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
     mixed = (F.col("rep") * 7919 + F.col("slot") * 104729 + 12345) * 48271 % 2147483647
-    return places.select("rep", ((mixed * (mixed % 65521 + 1) % 2147483647) % n).cast("int").alias("o")).groupBy("rep", "o").agg(F.count("*").alias("times"))
+    return places.select("rep", ((mixed * (mixed % 65521 + 1) % 2147483647) % F.col("n")).cast("int").alias("o")).groupBy("rep", "o").agg(F.count("*").alias("times"))
 
 
 def bootstrap(fine: DataFrame, basis: DataFrame, constraints: DataFrame, m: int, reps: int = 500) -> DataFrame:
@@ -170,15 +173,9 @@ def bootstrap(fine: DataFrame, basis: DataFrame, constraints: DataFrame, m: int,
     gram = basis.join(other, "o").join(drawn, "o").groupBy("rep", F.col("r").alias("i"), "j").agg(F.sum(F.col("times") * F.col("w") * F.col("w2")).alias("g"))
     rhs = basis.join(fine, "o").join(drawn, "o").groupBy("rep", F.col("r").alias("i")).agg(F.sum(F.col("times") * F.col("w") * F.col("v")).alias("g"))
     normal = gram.unionByName(rhs.select("rep", "i", F.lit(None).cast("int").alias("j"), "g"))
-    base = np.array([r["v"] for r in constrained_ladder(fine, basis, constraints, m).orderBy("r").collect()])
-    rows = [tuple(r) for r in constraints.select("c", "r", "a").collect()]
-    names = sorted({c for c, _, _ in rows})
-    a, b = np.zeros((len(names), m)), np.zeros(len(names))
-    for c, r, x in rows:
-        if r is None:
-            b[names.index(c)] = x
-        else:
-            a[names.index(c), r] = x
+    a, b = constraint_arrays(constraints, m)
+    whole = normal_equations(fine, basis).toPandas()  # as many rows as the coarse ladder squared
+    base = linalg.constrained_least_squares(*dense(whole, m), a, b)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         try:
@@ -190,14 +187,24 @@ def bootstrap(fine: DataFrame, basis: DataFrame, constraints: DataFrame, m: int,
     return normal.groupBy("rep").applyInPandas(run, "rep long, r int, v double")
 
 
+def spread(samples: DataFrame) -> DataFrame:
+    """(r, std) of bootstrap samples, over n."""
+    return samples.groupBy("r").agg(F.stddev_pop("v").alias("std"))
+
+
 def reliability(samples: DataFrame, coarse: DataFrame, least: float = 1e-6) -> DataFrame:
     """(r, v, std, cv, place): bootstrap spread (over n) and its ratio to the vega, most reliable first; buckets of no size have no ratio and come last."""
-    spread = samples.groupBy("r").agg(F.stddev_pop("v").alias("std"))
     cv = F.when(F.abs("v") > least, F.col("std") / F.abs("v"))
-    scored = coarse.join(spread, "r").select("r", "v", "std", cv.alias("cv"))
+    scored = coarse.join(spread(samples), "r").select("r", "v", "std", cv.alias("cv"))
     return scored.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("cv"), "r")))
 
 
+def labelled(df: DataFrame, index: str, expiries: Sequence[float], tenors: Sequence[float], prefix: str = "") -> DataFrame:
+    """Adds the years of a flat index's expiry and tenor, tenors counting fastest."""
+    years = lambda axis, place: F.get(F.lit([float(y) for y in axis]), place.cast("int"))
+    return df.withColumn(f"{prefix}expiry", years(expiries, F.floor(F.col(index) / len(tenors)))).withColumn(f"{prefix}tenor", years(tenors, F.col(index) % len(tenors)))
+
+
 def extremes(ranked: DataFrame, most: int = 5) -> DataFrame:
     """The first and last of a reliability ranking."""
     n = ranked.agg(F.max("place").alias("n"))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from . import factors
 from .factors import Spec
-from .folds import latest_rows
+from .folds import block_size, latest_rows, refit_table
 from .grid import align_vega
 from .moves import compute_moves, move_vectors
-from .validate import dims_of, pnl_metrics, vega_array
+from .validate import best_spec, dims_of, pnl_metrics, summary, vega_array, walk_forward
 
 
 def residual_cells(fit: DataFrame, grid: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def residual_risk(fit: DataFrame, grid: DataFrame, vega: DataFrame, with_noise:
 
 def residual_factors(fit: DataFrame, grid: DataFrame, most: int = 5) -> DataFrame:
     """(rank, eigenvalue, loadings) of an unweighted model of the residual moves."""
-    p = grid.count()
-    rows = fit.select("t", "date", F.zip_with("dvol", "dvol_hat", lambda a, b: a - b).alias("x"))
-    fitted = factors.fit_models(rows.withColumn("model", F.lit("residual")), ["model"], Spec("residual", n_components=most), np.ones(p), dims_of(grid), most)
-    one = fitted.select(F.posexplode(F.slice("eigenvalues", 1, most)).alias("pos", "eigenvalue"), "factors")
+    dims = dims_of(grid)
+    rows = fit.select("t", F.zip_with("dvol", "dvol_hat", lambda a, b: a - b).alias("x"))
+    model = factors.fit_rows(rows, Spec("residual", n_components=most), np.ones(dims[0] * dims[1]), dims)
+    one = factors.model_frame(fit.sparkSession, model, most=most).select(F.posexplode(F.slice("eigenvalues", 1, most)).alias("pos", "eigenvalue"), "factors")
     return one.select((F.col("pos") + 1).alias("rank"), "eigenvalue", F.get("factors", F.col("pos")).alias("loadings")).orderBy("rank")
 
 
@@ -54,22 +54,31 @@ def top_component_pnl(contributions: DataFrame, most: int = 6) -> DataFrame:
 
 
 def loadings(models: DataFrame, grid: DataFrame, most: int = 6) -> DataFrame:
-    """(component, bucket, expiry, tenor, loading) of PCA models, in the moves' units."""
-    each = models.select(F.posexplode(F.slice("factors", 1, most)).alias("j", "f"), "weights")
-    cells = each.select(F.concat(F.lit("PC"), (F.col("j") + 1).cast("string")).alias("component"), F.posexplode(F.zip_with("f", "weights", lambda f, w: f / w)).alias("bucket", "loading"))
-    return cells.join(F.broadcast(grid.select("bucket", "expiry", "tenor")), "bucket").select("component", "bucket", "expiry", "tenor", "loading")
+    """(component, bucket, expiry, tenor, loading): PCA factors in the moves' units, or the two-way family's products of an expiry and a tenor factor, expiry by expiry."""
+    tenors = F.broadcast(grid.agg((F.max("t_idx") + 1).alias("tenors")))
+    one = models.where("tenor_factors is null").select(F.posexplode(F.slice("factors", 1, most)).alias("j", "f"), "weights")
+    one = one.select(F.concat(F.lit("PC"), (F.col("j") + 1).cast("string")).alias("component"), F.posexplode(F.zip_with("f", "weights", lambda f, w: f / w)).alias("bucket", "loading"))
+    two = models.where("tenor_factors is not null").crossJoin(tenors).select(F.posexplode("factors").alias("i", "f"), "tenor_factors", "tenors").select("i", "f", F.posexplode("tenor_factors").alias("j", "g"), "tenors")
+    two = two.where(F.col("i") * F.col("tenors") + F.col("j") < most * F.col("tenors")).select(F.concat(F.lit("E"), (F.col("i") + 1).cast("string"), F.lit("xT"), (F.col("j") + 1).cast("string")).alias("component"), F.posexplode("f").alias("e", "a"), "g", "tenors")
+    two = two.select("component", "e", "a", F.posexplode("g").alias("m", "b"), "tenors").select("component", (F.col("e") * F.col("tenors") + F.col("m")).alias("bucket"), (F.col("a") * F.col("b")).alias("loading"))
+    return one.unionByName(two).join(F.broadcast(grid.select("bucket", "expiry", "tenor")), "bucket").select("component", "bucket", "expiry", "tenor", "loading")
+
+
+def projector(models: DataFrame, k: int) -> DataFrame:
+    """(i, j, p): the projector onto a model's first k factors."""
+    factor = models.select(F.posexplode(F.slice("factors", 1, k)).alias("rank", "f"))
+    cells = factor.select("f", F.posexplode("f").alias("i", "a")).select("i", "a", F.posexplode("f").alias("j", "b"))
+    return cells.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
 
 
 def rolling_models(moves: DataFrame, spec: Spec, vega: np.ndarray, dims: tuple[int, int], window: int, step: int = 20) -> DataFrame:
-    """One fitted model a refit, with fold and end_date. Refits end every ``step`` rows from the first full window on; failed ones have no row."""
+    """One fitted model a refit, with fold and end_date; failed ones say why."""
     vectors = move_vectors(moves)
-    rows = vectors.count()
-    low, high = F.ceil((F.col("t") - window + 1) / step), F.floor(F.col("t") / step)
-    count = (rows - window) // step + 1
-    low, high = F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(count - 1)).cast("int")
-    dealt = vectors.select(F.explode(F.when(low <= high, F.sequence(low, high))).alias("fold"), "t", "date", "x")
+    folds = refit_table(vectors, window, step)
     k = max(spec.n_components, spec.r_expiry, spec.r_tenor)
-    return factors.fit_models(dealt, ["fold"], spec, vega, dims, k)
+    models = factors.fold_models(vectors, folds.select("fold", F.col("train_from").alias("low"), F.col("train_to").alias("high")), block_size([window], step), spec, vega, dims, k)
+    ends = folds.join(vectors.select((F.col("t") + 1).alias("train_to"), F.col("date").alias("end_date")), "train_to").select("fold", "end_date")
+    return models.join(ends, "fold")
 
 
 def distance(a: str, b: str, k: int):
@@ -83,7 +92,7 @@ def distance(a: str, b: str, k: int):
 def stability(models: DataFrame, spec: Spec) -> DataFrame:
     """Distance of each model's factor space from that of the model before it: fold, end_date, and distance (PCA) or expiry_distance and tenor_distance."""
     before = W.orderBy("fold")  # one row a refit
-    paired = models.select("fold", "end_date", "factors", "tenor_factors", F.lag("factors").over(before).alias("old"), F.lag("tenor_factors").over(before).alias("old_tenor")).where("old is not null")
+    paired = models.where("failure is null").select("fold", "end_date", "factors", "tenor_factors", F.lag("factors").over(before).alias("old"), F.lag("tenor_factors").over(before).alias("old_tenor")).where("old is not null")
     if spec.family == "pca":
         return paired.select("fold", "end_date", distance("old", "factors", spec.n_components).alias("distance"))
     return paired.select("fold", "end_date", distance("old", "factors", spec.r_expiry).alias("expiry_distance"), distance("old_tenor", "tenor_factors", spec.r_tenor).alias("tenor_distance"))
@@ -105,13 +114,21 @@ def latest_report(surface: DataFrame, grid: DataFrame, vega: DataFrame, spec: Sp
     """Fits the model on the last ``window`` moves and describes it on the same rows. The book must hold every bucket."""
     price, dims = vega_array(grid, vega, on_missing="error"), dims_of(grid)
     rows = latest_rows(move_vectors(compute_moves(surface, grid, spec.transform)), window)
-    fit = factors.projected(rows, spec, price, dims)
+    model = factors.fit_rows(rows, spec, price, dims)
+    fit = factors.projected(rows, model, spec, price)
     pnl = fit.select("t", "date", "full_pnl", "projected_pnl", (F.col("full_pnl") - F.col("projected_pnl")).alias("error"))
-    parts = factors.contribution_rows(rows, spec, price, dims)
-    models = factors.fit_models(rows.withColumn("model", F.lit(spec.name)), ["model"], spec, price, dims, max(spec.n_components, spec.r_expiry, spec.r_tenor))
+    parts = factors.contribution_rows(rows, model, spec, price)
+    models = factors.model_frame(surface.sparkSession, model, window, max(spec.n_components, spec.r_expiry, spec.r_tenor))
     return Report(models, pnl_metrics(pnl), pnl, parts, component_stats(parts), residual_risk(fit, grid, vega, with_noise=False))
 
 
+def best_report(surface: DataFrame, grid: DataFrame, vega: DataFrame, specs: list[Spec], windows: list[int], horizon: int = 20, step: int = 20) -> tuple[Spec, int, Report]:
+    """Walks all specs forward, takes the best and reports on its latest fit."""
+    tried = summary(walk_forward(surface, grid, vega, specs, windows, horizon, step), factors.specs_frame(surface.sparkSession, specs), windows)
+    spec, window = best_spec(tried, specs)
+    return spec, window, latest_report(surface, grid, vega, spec, window)
+
+
 def scatter_bounds(pnl: DataFrame) -> DataFrame:
     """The range of the identity line under full against projected PnL."""
     return pnl.agg(F.least(F.min("full_pnl"), F.min("projected_pnl")).alias("low"), F.greatest(F.max("full_pnl"), F.max("projected_pnl")).alias("high"))

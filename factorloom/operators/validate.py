@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from . import factors
-from .factors import Spec, stacked
-from .folds import test_rows, training_rows
+from .factors import Spec
+from .folds import block_size, fold_table, test_rows
 from .grid import align_vega
 from .moves import compute_moves, move_vectors
+from .sums import added, block_sums, stacked
 
+#: Names of the metrics.
 METRICS = ("n_test_obs", "full_pnl_std", "proj_pnl_std", "error_mean", "error_rmse", "error_mae", "error_p95_abs", "error_max_abs", "explained_pnl_variance", "full_vs_projected_corr")
 
 
@@ -33,25 +35,26 @@ def dims_of(grid: DataFrame) -> tuple[int, int]:
 
 
 def fold_kernel(specs: Sequence[Spec], vega: np.ndarray, dims: tuple[int, int]):
-    """Fits and scores every spec on one fold's rows; specs that share a decomposition fit once. A failed fit gives one row that says so."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        transform, window, fold = (group[c].iloc[0] for c in ("transform", "window", "fold"))
-        train, test = group[group["role"] == "train"], group[group["role"] == "test"]
-        kinds = dict(c.split(" ") for c in schemas.PREDICTIONS.split(", "))
+    """Fits every spec on one fold's sums and scores it on the fold's test rows; specs that share a decomposition fit once. A failed fit gives one row that says so."""
+    kinds = dict(c.split(" ") for c in schemas.PREDICTIONS.split(", "))
+
+    def run(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in kinds}
         if not train.empty and not test.empty:
-            x_train, x, dvol, prev = stacked(train["x"]), stacked(test["x"]), stacked(test["dvol"]), stacked(test["prev"])
+            test = test.sort_values("t")
+            transform, window, fold = (test[c].iloc[0] for c in ("transform", "window", "fold"))
+            x, dvol, prev = stacked(test["x"]), stacked(test["dvol"]), stacked(test["prev"])
+            sums = {name: added(group["sums"]) for name, group in train.groupby("weighting")}
             full, fits = dvol @ vega, {}
             for spec in (s for s in specs if s.transform == transform):
-                row = {"model": spec.name, "window": window, "fold": fold, "transform": transform, "family": spec.family, "train_start": train["date"].iloc[0], "train_end": train["date"].iloc[-1]}
+                row = {"model": spec.name, "window": window, "fold": fold, "transform": transform, "family": spec.family, "train_start": train["train_start"].iloc[0], "train_end": train["train_end"].iloc[0]}
                 try:
                     if spec.fit_key() not in fits:
-                        fits[spec.fit_key()] = factors.fit(x_train, spec, vega, dims)
+                        fits[spec.fit_key()] = factors.fit_sums(sums[spec.weighting()], spec, vega, dims)
                     hat = factors.absolute(factors.reconstruct(fits[spec.fit_key()], x, spec), prev, transform) @ vega
                     found = {"t": test["t"].tolist(), "date": test["date"].tolist(), "full_pnl": full.tolist(), "projected_pnl": hat.tolist(), "error": (full - hat).tolist()}
-                except (ValueError, np.linalg.LinAlgError) as error:
-                    found = {"failure": [str(error)]}
+                except Exception as error:  # one fold's failure is its own, whatever it is
+                    found = {"failure": [f"{type(error).__name__}: {error}"]}
                 many = len(next(iter(found.values())))
                 for c, values in out.items():
                     values += found.get(c, [row.get(c)] * many)
@@ -61,17 +64,26 @@ def fold_kernel(specs: Sequence[Spec], vega: np.ndarray, dims: tuple[int, int]):
 
 
 def walk_forward(surface: DataFrame, grid: DataFrame, vega: DataFrame, specs: Sequence[Spec], windows: Sequence[int], horizon: int = 20, step: int = 20, min_train: int | None = None) -> DataFrame:
-    """Predictions of every spec, window and fold (PREDICTIONS): moves are made once a transform, each fold is one group, and all groups run side by side."""
-    price, dims = vega_array(grid, vega), dims_of(grid)
-    parts = []
+    """Predictions of every spec, window and fold (PREDICTIONS).
+
+    Moves are summed once, in blocks; a fold's training set is the sum of its blocks, so only test rows travel as rows. Each fold of a transform is
+    one group, small by its horizon and the grid, and all groups run side by side.
+    """
+    price, dims, block = vega_array(grid, vega), dims_of(grid), block_size(windows, step, min_train)
+    tests, trains = [], []
     for transform in sorted({s.transform for s in specs}):
-        vectors = move_vectors(compute_moves(surface, grid, transform)).persist()
-        rows = vectors.count()
-        for window in windows:
-            for role, assign in (("train", training_rows(vectors, rows, window, step, min_train)), ("test", test_rows(vectors, rows, window, horizon, step, min_train))):
-                parts.append(assign.select(F.lit(transform).alias("transform"), "window", "fold", F.lit(role).alias("role"), "t", "date", "x", "dvol", "prev"))
-    rows = reduce(DataFrame.union, parts)
-    return rows.groupBy("transform", "window", "fold").applyInPandas(fold_kernel(specs, price, dims), schemas.PREDICTIONS)
+        vectors = move_vectors(compute_moves(surface, grid, transform))
+        tests.append(test_rows(vectors, windows, horizon, step, min_train).withColumn("transform", F.lit(transform)))
+        weights = {s.weighting(): factors.fit_weights(s, price) for s in specs if s.transform == transform}
+        dates = vectors.select("t", "date")
+        folds = fold_table(vectors, windows, horizon, step, min_train)
+        folds = folds.join(dates.toDF("train_from", "train_start"), "train_from").join(dates.select((F.col("t") + 1).alias("train_to"), F.col("date").alias("train_end")), "train_to")
+        made_of = F.explode(F.sequence(F.floor(F.col("train_from") / block), F.floor((F.col("train_to") - 1) / block)))
+        dealt = folds.select("window", "fold", "train_start", "train_end", made_of.alias("block")).join(block_sums(vectors, weights, block), "block")
+        trains.append(dealt.withColumn("transform", F.lit(transform)))
+    keys = ("transform", "window", "fold")
+    test, train = (reduce(DataFrame.unionByName, parts).groupBy(*keys) for parts in (tests, trains))
+    return test.cogroup(train).applyInPandas(fold_kernel(specs, price, dims), schemas.PREDICTIONS)
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -99,7 +111,7 @@ def summary(predictions: DataFrame, specs: DataFrame, windows: Sequence[int]) ->
     done = F.col("n_test_obs").isNotNull()
     return joined.select(
         F.col("name").alias("model"), F.when(done, F.col("family")).alias("family"), F.when(done, F.col("transform")).alias("transform"), "window", *METRICS,
-        *(F.when(done, F.col(c)).alias(f"spec_{c}") for c in factors.spec_columns()), F.when(~done, F.lit("no predictions")).alias("status"))
+        *(F.when(done, F.col(c)).alias(f"spec_{c}") for c in factors.spec_columns()), F.when(~done, F.lit("failed_or_no_predictions")).alias("status"))
 
 
 def ranking() -> list[Column]:
@@ -132,7 +144,12 @@ def by_group(summary: DataFrame, most: int = 30) -> DataFrame:
 
 def best_spec(summary: DataFrame, specs: Sequence[Spec]) -> tuple[Spec, int]:
     """The leaderboard's first and its window; names are keys, the first of equal names counts."""
-    row = leaderboard(summary.where("error_rmse is not null"), 1).first()
+    row = best_model(summary).first()
     if row is None:
         raise ValueError("no model has a prediction")
     return next(s for s in specs if s.name == row["model"]), row["window"]
+
+
+def best_model(summary: DataFrame) -> DataFrame:
+    """The leaderboard's first row, with its spec."""
+    return leaderboard(summary.where("error_rmse is not null"), 1)

@@ -13,23 +13,22 @@ from ..operators import covariance as cov
 from ..operators import factors, ladder, report, validate
 from ..operators.factors import Spec
 from ..operators.folds import fold_table, refit_table, test_rows, training_rows
-from ..operators.grid import align_vega, axis_in_order, matrix, missing_cells, vega_weights
+from ..operators.grid import align_vega, axis_in_order, matrix, missing_cells, vector, vega_weights
 from ..operators.moves import compute_moves, full_pnl, move_vectors, to_absolute, to_absolute_linear
-from ..sources import panels, simulate
+from ..sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LABELS = (("18M", 1.5), (" 10y ", 10.0), ("0.5", 0.5), ("3M", 0.25), ("30Y", 30.0))
 COLUMNS = ("1Yx10Y", "1Y_10Y", "18mX5y", "1Y_2Y_3Y")
 WINDOWS, HORIZON, STEP = (20, 40), 10, 10
-#: Specs of the walk-forward queries; the first three are those that SQL follows.
+#: The walk-forward grid: all candidates over four windows, and those with the sample covariance, unweighted.
+GRID_WINDOWS, GRID_STEP = (20, 40, 60, 80), 20
 FEW_SPECS = [Spec(f"Abs PCA sample k={k}", n_components=k) for k in (1, 2, 3)]
-MORE_SPECS = FEW_SPECS + [
-    Spec("Rel PCA sample k=2", transform="relative", n_components=2), Spec("LogRel PCA sample k=2", transform="log_relative", n_components=2),
-    Spec("Abs weighted PCA p=0.5 k=3", vega_weight_power=0.5), Spec("Abs PCA ledoit_wolf k=2", covariance_method="ledoit_wolf", n_components=2),
-    Spec("Abs PCA oas k=2", covariance_method="oas", n_components=2), Spec("Abs PCA factor_diag alpha=0.5 k=3", covariance_method="factor_diag", shrinkage_alpha=0.5),
-    Spec("Abs PCA separable_shrink alpha=0.5 k=3", covariance_method="separable_shrink", shrinkage_alpha=0.5), Spec("Separable PCA rE=2 rT=2", family="separable", r_expiry=2, r_tenor=2)]
+SAMPLE_SPECS = [s for s in factors.default_specs() if "PCA sample" in s.name]
+EIGHT = Spec("Abs PCA sample k=8", n_components=8)
 ONE, TWO_WAY = FEW_SPECS[1], Spec("Separable PCA rE=2 rT=2", family="separable", r_expiry=2, r_tenor=2)
+DIMS = (len(panels.PANEL_EXPIRIES), len(panels.PANEL_TENORS))
 M = len(panels.REDUCED_EXPIRIES) * len(panels.REDUCED_TENORS)
 
 
@@ -42,8 +41,8 @@ def panel(spark: SparkSession, sf_dir: str, transform: str = "absolute", grain:
     return compute_moves(panels.price_surface(spark, sf_dir, grain), panels.panel_grid(spark), transform)
 
 
-def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.embedding_moves(spark, sf_dir).select("t", F.posexplode("x").alias("bucket", "x"))
+def month_rows(spark: SparkSession, sf_dir: str, transform: str = "absolute") -> DataFrame:
+    return move_vectors(panel(spark, sf_dir, transform))
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def inverse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ladder_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     axis = lambda years: panels.axis_frame(spark, years)
     basis = ladder.bilinear_basis(axis(panels.LADDER_EXPIRIES), axis(panels.LADDER_TENORS), axis(panels.REDUCED_EXPIRIES), axis(panels.REDUCED_TENORS))
-    return panels.ladder_book(spark, sf_dir).persist(), basis.persist()
+    return panels.ladder_book(spark, sf_dir), basis
 
 
 def with_ladder(work: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -83,29 +82,58 @@ def by_expiry(fine: DataFrame, basis: DataFrame) -> DataFrame:
     return ladder.constrained_ladder(fine, basis, ladder.row_constraints(fine, axis, len(panels.REDUCED_TENORS)), M)
 
 
-def sampled(fine: DataFrame, basis: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rule = ladder.total_constraint(fine, basis)
-    return ladder.bootstrap(fine, basis, rule, M, reps=50), ladder.constrained_ladder(fine, basis, rule, M)
+def sampled(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    return ladder.bootstrap(fine, basis, ladder.total_constraint(fine, basis), M)
 
 
-def walk(spark: SparkSession, sf_dir: str, specs: list[Spec], windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    return validate.walk_forward(panels.price_surface(spark, sf_dir), panels.panel_grid(spark), panels.panel_book(spark, sf_dir), specs, windows, HORIZON, STEP)
+def ranked(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    ranking = ladder.reliability(sampled(fine, basis), constrained(fine, basis))
+    return ladder.labelled(ladder.extremes(ranking), "r", panels.REDUCED_EXPIRIES, panels.REDUCED_TENORS)
 
 
-def walk_summary(spark: SparkSession, sf_dir: str, specs: list[Spec] = FEW_SPECS, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    return validate.summary(walk(spark, sf_dir, specs, windows), factors.specs_frame(spark, specs), windows).persist()
+def quality(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    row = ladder.summary(fine, basis, constrained(fine, basis), M, sampled(fine, basis))
+    return ladder.labelled(row, "worst_bucket", panels.LADDER_EXPIRIES, panels.LADDER_TENORS, "worst_")
+
+
+def coarse_matrix(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    """The coarse ladder as a matrix: a row an expiry, a column a tenor."""
+    cells = ladder.labelled(constrained(fine, basis), "r", panels.REDUCED_EXPIRIES, panels.REDUCED_TENORS)
+    return matrix(cells.withColumn("tenor", F.concat(F.col("tenor").cast("int").cast("string"), F.lit("Y"))), [f"{y}Y" for y in panels.REDUCED_TENORS], "v")
+
+
+def walk(spark: SparkSession, sf_dir: str, specs: list[Spec], windows: tuple[int, ...] = WINDOWS, step: int = STEP) -> DataFrame:
+    return validate.walk_forward(panels.price_surface(spark, sf_dir), panels.panel_grid(spark), panels.panel_book(spark, sf_dir), specs, windows, step, step)
+
+
+def walk_summary(spark: SparkSession, sf_dir: str, specs: list[Spec] = FEW_SPECS, windows: tuple[int, ...] = WINDOWS, step: int = STEP) -> DataFrame:
+    return validate.summary(walk(spark, sf_dir, specs, windows, step), factors.specs_frame(spark, specs), windows)
+
+
+def tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models with the sample covariance over all four windows."""
+    return walk_summary(spark, sf_dir, SAMPLE_SPECS, GRID_WINDOWS, GRID_STEP)
 
 
 SHORT = ("model", "window", *validate.METRICS)
 
 
+def model_of(spark: SparkSession, sf_dir: str, spec: Spec) -> factors.PcaFit | factors.TwoWayFit:
+    """The model on all months."""
+    return factors.fit_rows(month_rows(spark, sf_dir, spec.transform), spec, price(spark, sf_dir), DIMS)
+
+
+def models_of(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
+    return factors.model_frame(spark, model_of(spark, sf_dir, spec))
+
+
 def fitted(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
     """The model on all months, projecting the same months."""
-    return factors.projected(move_vectors(panel(spark, sf_dir, spec.transform)), spec, price(spark, sf_dir), (7, 4)).persist()
+    return factors.projected(month_rows(spark, sf_dir, spec.transform), model_of(spark, sf_dir, spec), spec, price(spark, sf_dir))
 
 
 def parts_of(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
-    return factors.contribution_rows(move_vectors(panel(spark, sf_dir, spec.transform)), spec, price(spark, sf_dir), (7, 4))
+    return factors.contribution_rows(month_rows(spark, sf_dir, spec.transform), model_of(spark, sf_dir, spec), spec, price(spark, sf_dir))
 
 
 def axis_rows(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -114,29 +142,39 @@ def axis_rows(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 def both_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eigenvalues along both axes of the embeddings' 8 by 8 grid."""
-    expiry, tenor = cov.two_way(embedding_cells(spark, sf_dir), 8, 8)
+    expiry, tenor = cov.two_way(panels.embedding_moves(spark, sf_dir), (8, 8))
     upper = lambda df, name: factors.eigenvalues(df.where("i <= j")).select(F.lit(name).alias("axis"), "rank", "eigenvalue")
     return upper(expiry, "expiry").union(upper(tenor, "tenor"))
 
 
 def stable(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
-    models = report.rolling_models(panel(spark, sf_dir), spec, price(spark, sf_dir), (7, 4), 40, 10)
-    return rounded(report.stability(models.persist(), spec), 5)
+    return rounded(report.stability(report.rolling_models(panel(spark, sf_dir), spec, price(spark, sf_dir), DIMS, 40, 10), spec), 5)
 
 
-def latest(spark: SparkSession, sf_dir: str) -> report.Report:
-    return report.latest_report(panels.price_surface(spark, sf_dir), panels.panel_grid(spark), panels.panel_book(spark, sf_dir), ONE, 40)
+def projector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norm and trace of the projectors onto the first 1 to 3 factors."""
+    models = models_of(spark, sf_dir, ONE)
+    own = lambda k: report.projector(models, k).agg(F.lit(k).alias("k"), F.sqrt(F.sum(F.col("p") ** 2)).alias("norm"), F.sum(F.when(F.col("i") == F.col("j"), F.col("p"))).alias("trace"))
+    return own(1).union(own(2)).union(own(3))
+
 
+def best(spark: SparkSession, sf_dir: str) -> tuple[Spec, int, report.Report]:
+    return report.best_report(panels.price_surface(spark, sf_dir), panels.panel_grid(spark), panels.panel_book(spark, sf_dir), SAMPLE_SPECS, list(GRID_WINDOWS), GRID_STEP, GRID_STEP)
 
-def surface_facts(surface: DataFrame) -> DataFrame:
-    return surface.agg(F.count("*").alias("cells"), F.countDistinct("date").alias("days"), (F.min("vol") >= simulate.LEAST_VOL).alias("floored"), F.bool_and(F.weekday("date") < 5).alias("weekdays"))
+
+def best_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen model and window, and the metrics of its latest fit."""
+    spec, window, found = best(spark, sf_dir)
+    return found.metrics.select(F.lit(spec.name).alias("model"), F.lit(window).alias("window"), *validate.METRICS)
+
+
+def latest(spark: SparkSession, sf_dir: str) -> report.Report:
+    return report.latest_report(panels.price_surface(spark, sf_dir), panels.panel_grid(spark), panels.panel_book(spark, sf_dir), ONE, 40)
 
 
 def queries() -> dict[str, Query]:
     labels = lambda spark: spark.createDataFrame([(a,) for a, _ in LABELS], "label string")
     names = lambda spark: spark.createDataFrame([(c,) for c in COLUMNS], "label string")
-    alpha = 0.3
-    upper = lambda df: rounded(df.where("i <= j"))
     found: dict[str, Query] = {
         "label_years": lambda s, d: labels(s).select("label", label_years(F.col("label")).alias("years")),
         "label_parse": lambda s, d: names(s).select("label", split_label(F.col("label")).alias("at")).select("label", "at.expiry", "at.tenor"),
@@ -154,37 +192,46 @@ def queries() -> dict[str, Query]:
         "vega_align_missing": lambda s, d: rounded(align_vega(panels.panel_grid(s), panels.panel_book(s, d).where("tenor <> '4Y'"))),
         **{f"vega_weights_p{int(100 * p)}": (lambda p: lambda s, d: rounded(vega_weights(book(s, d), p)))(p) for p in (0.25, 0.5, 1.0)},
         "full_pnl": lambda s, d: rounded(full_pnl(panel(s, d), book(s, d))),
-        "cov_sample": lambda s, d: upper(cov.sample(embedding_cells(s, d))),
-        "cov_sample_panel": lambda s, d: upper(cov.sample(panel(s, d))),
-        "cov_diag_shrink": lambda s, d: upper(cov.diagonal_shrink(cov.sample(panel(s, d)), alpha)),
-        "cov_corr_shrink": lambda s, d: upper(cov.correlation_shrink(cov.sample(panel(s, d)), alpha)),
-        "cov_two_way": lambda s, d: rounded(axis_rows(cov.two_way(embedding_cells(s, d), 8, 8))),
-        "cov_separable_target": lambda s, d: rounded(cov.separable_target(panel(s, d), 7, 4)),
-        "cov_separable_shrink": lambda s, d: upper(cov.separable_shrink(panel(s, d), 7, 4, alpha)),
-        "cov_trace": lambda s, d: rounded(cov.trace(cov.sample(embedding_cells(s, d)))),
-        "cov_ledoit_wolf": lambda s, d: upper(cov.shrunk_to_identity(embedding_cells(s, d), "ledoit_wolf")),
-        "cov_oas": lambda s, d: upper(cov.shrunk_to_identity(embedding_cells(s, d), "oas")),
-        "folds": lambda s, d: fold_table(s, 81, (20, 40, 100), 10, 10),
-        "refits": lambda s, d: refit_table(s, 81, 40, 10),
-        "folds_train": lambda s, d: training_rows(s.range(81).select(F.col("id").alias("t")), 81, 40, 10),
-        "folds_test": lambda s, d: test_rows(s.range(81).select(F.col("id").alias("t")), 81, 40, 15, 10),
-        "pca_eigenvalues": lambda s, d: rounded(factors.eigenvalues(cov.sample(panel(s, d))), 5),
+        **{f"cov_{name}": (lambda m: lambda s, d: rounded(cov.estimate(panels.embedding_moves(s, d), (8, 8), m)))(m) for name, m in (("sample", "sample"), ("ledoit_wolf", "ledoit_wolf"), ("oas", "oas"))},
+        **{f"cov_{name}": (lambda m, a: lambda s, d: rounded(cov.estimate(month_rows(s, d), DIMS, m, a)))(m, a) for name, m, a in (
+            ("sample_panel", "sample", 0.0), ("diag_shrink", "diagonal_shrink", 0.3), ("corr_shrink", "correlation_shrink", 0.3), ("separable_shrink", "separable_shrink", 0.3), ("factor_diag", "factor_diag", 0.5), ("alpha_held", "diagonal_shrink", 1.7))},
+        "cov_two_way": lambda s, d: rounded(axis_rows(cov.two_way(panels.embedding_moves(s, d), (8, 8)))),
+        "cov_separable_target": lambda s, d: rounded(cov.separable_target(month_rows(s, d), DIMS)),
+        "cov_psd_repair": lambda s, d: rounded(cov.repaired(cov.stretched(cov.estimate(month_rows(s, d), DIMS), 3.0)), 5),
+        "cov_trace": lambda s, d: rounded(cov.trace(cov.estimate(panels.embedding_moves(s, d), (8, 8)))),
+        "cov_norms": lambda s, d: rounded(cov.norms(cov.estimate(month_rows(s, d), DIMS)), 5),
+        "folds": lambda s, d: fold_table(month_rows(s, d), (20, 40, 100), 10, 10),
+        "folds_expanding": lambda s, d: fold_table(month_rows(s, d), (40,), 10, 10, 15),
+        "refits": lambda s, d: refit_table(month_rows(s, d), 40, 10),
+        "folds_train": lambda s, d: training_rows(month_rows(s, d).select("t"), [40], 10),
+        "folds_test": lambda s, d: test_rows(month_rows(s, d).select("t"), [40], 15, 10),
+        "pca_eigenvalues": lambda s, d: rounded(factors.eigenvalues(cov.estimate(month_rows(s, d), DIMS)), 5),
+        "pca_projector": lambda s, d: rounded(report.projector(models_of(s, d, ONE), 2), 5),
+        "pca_projector_norm": lambda s, d: rounded(projector_norms(s, d), 5),
+        "loadings_pca": lambda s, d: rounded(report.loadings(models_of(s, d, ONE), panels.panel_grid(s), 2), 5),
+        "loadings_weighted": lambda s, d: rounded(report.loadings(models_of(s, d, Spec("w", vega_weight_power=0.5)), panels.panel_grid(s), 1), 5),
+        "loadings_two_way": lambda s, d: rounded(report.loadings(models_of(s, d, TWO_WAY), panels.panel_grid(s), 1), 5),
         "separable_eigs": lambda s, d: rounded(both_values(s, d)),
         "pca_projected_pnl": lambda s, d: rounded(fitted(s, d, ONE).select("t", "date", "full_pnl", "projected_pnl", (F.col("full_pnl") - F.col("projected_pnl")).alias("error")), 4),
         "separable_projected_pnl": lambda s, d: rounded(fitted(s, d, TWO_WAY).select("t", "date", "full_pnl", "projected_pnl"), 4),
         "walk_forward_predictions": lambda s, d: rounded(walk(s, d, FEW_SPECS).select("model", "window", "fold", "t", "date", "full_pnl", "projected_pnl", "error"), 4),
         "pnl_metrics": lambda s, d: rounded(walk_summary(s, d).select(*SHORT), 4),
-        "leaderboard": lambda s, d: rounded(validate.leaderboard(walk_summary(s, d), 4).select(*SHORT), 4),
-        "best_by_window": lambda s, d: rounded(validate.best_by_window(walk_summary(s, d), 2).select("model", "window", "error_rmse", "place"), 4),
-        "window_perf": lambda s, d: rounded(validate.by_window(walk_summary(s, d)), 4),
-        "group_perf": lambda s, d: rounded(validate.by_group(walk_summary(s, d)), 4),
+        "leaderboard": lambda s, d: rounded(validate.leaderboard(tried(s, d)).select(*SHORT), 4),
+        "best_by_window": lambda s, d: rounded(validate.best_by_window(tried(s, d)).select("model", "window", "error_rmse", "place"), 4),
+        "window_perf": lambda s, d: rounded(validate.by_window(tried(s, d)), 4),
+        "group_perf": lambda s, d: rounded(validate.by_group(tried(s, d)), 4),
+        "best_model": lambda s, d: rounded(validate.best_model(tried(s, d)).select("model", "window", "error_rmse", "spec_transform", "spec_n_components"), 4),
+        "best_report_metrics": lambda s, d: rounded(best_metrics(s, d), 4),
+        "best_report_risk": lambda s, d: rounded(best(s, d)[2].residual_risk, 4),
         "walk_forward_status": lambda s, d: walk_summary(s, d, FEW_SPECS[:1], (20, 500)).select("model", "window", "n_test_obs", "status"),
-        "walk_forward_all_families": lambda s, d: rounded(walk_summary(s, d, MORE_SPECS), 4),
+        "walk_forward_all_families": lambda s, d: rounded(walk_summary(s, d, factors.default_specs(), GRID_WINDOWS, GRID_STEP).select(*SHORT, "family", "transform", "spec_covariance_method", "spec_n_components", "spec_r_expiry", "spec_r_tenor", "status"), 4),
         "contrib_pca": lambda s, d: rounded(parts_of(s, d, ONE), 4),
         "contrib_separable": lambda s, d: rounded(parts_of(s, d, TWO_WAY), 4),
         "component_stats": lambda s, d: rounded(report.component_stats(parts_of(s, d, ONE)), 4),
-        "top_components": lambda s, d: rounded(report.top_component_pnl(parts_of(s, d, ONE), 1), 4),
+        "top_components": lambda s, d: rounded(report.top_component_pnl(parts_of(s, d, EIGHT)), 4),
         "residual_risk": lambda s, d: rounded(report.residual_risk(fitted(s, d, ONE), panels.panel_grid(s), panels.panel_book(s, d)), 4),
+        "noise_ratio": lambda s, d: rounded(report.residual_risk(fitted(s, d, ONE), panels.panel_grid(s), panels.panel_book(s, d)).select("bucket", "expiry", "tenor", "noise_ratio"), 5),
+        "scatter_bounds": lambda s, d: rounded(report.scatter_bounds(fitted(s, d, ONE)), 4),
         "residual_pca": lambda s, d: rounded(report.residual_factors(fitted(s, d, ONE), panels.panel_grid(s)).select("rank", "eigenvalue"), 4),
         "stability_pca": lambda s, d: stable(s, d, ONE),
         "stability_separable": lambda s, d: stable(s, d, TWO_WAY),
@@ -200,12 +247,13 @@ def queries() -> dict[str, Query]:
         "leverage": with_ladder(lambda fine, basis: ladder.leverage(fine, basis, M)),
         "loo": with_ladder(lambda fine, basis: ladder.leave_one_out(ladder.residuals(fine, basis, constrained(fine, basis)), ladder.leverage(fine, basis, M))),
         "singular_values": with_ladder(lambda fine, basis: ladder.singular_values(fine, basis, M)),
-        "ladder_summary": with_ladder(lambda fine, basis: ladder.summary(fine, basis, constrained(fine, basis), M)),
-        "bootstrap_std": with_ladder(lambda fine, basis: sampled(fine, basis)[0].groupBy("r").agg(F.stddev_pop("v").alias("std"))),
-        "reliability_rank": with_ladder(lambda fine, basis: ladder.extremes(ladder.reliability(*sampled(fine, basis)))),
-        "synthetic_surface": lambda s, d: surface_facts(simulate.synthetic_surface(s, 250)),
-        "synthetic_book": lambda s, d: simulate.synthetic_book(s).agg(F.count("*").alias("buckets")),
-        "synthetic_ladder": lambda s, d: simulate.synthetic_ladder(panels.axis_frame(s, panels.LADDER_EXPIRIES), panels.axis_frame(s, panels.LADDER_TENORS)).agg(F.count("*").alias("buckets")),
+        "ladder_summary": with_ladder(quality),
+        "bootstrap_std": with_ladder(lambda fine, basis: ladder.spread(sampled(fine, basis))),
+        "reliability_rank": with_ladder(ranked),
+        "coarse_matrix": with_ladder(coarse_matrix),
+        "book_matrix": lambda s, d: rounded(matrix(book(s, d), panels.PANEL_TENORS, "vega")),
+        "book_vector": lambda s, d: rounded(vector(book(s, d), "vega").select(F.posexplode("vega").alias("pos", "vega"))),
+        "vega_formatted": lambda s, d: book(s, d).select("bucket", F.format_number("vega", 2).alias("vega")),
         "tucker_rmse": lambda s, d: rounded(factors.tucker_errors(panels.embedding_moves(s, d), (8, 8), [(5, 3, 3), (64, 8, 8)]), 4),
     }
     return found

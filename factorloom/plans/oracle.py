@@ -7,7 +7,8 @@ rotations on a symmetric matrix and its eigenvectors.
 from __future__ import annotations
 
 from ..sources import panels
-from .catalog import COLUMNS, HORIZON, LABELS, STEP, WINDOWS, M
+from ..operators.factors import default_specs
+from .catalog import COLUMNS, GRID_STEP, GRID_WINDOWS, HORIZON, LABELS, SAMPLE_SPECS, STEP, WINDOWS, M
 
 TRANSFORMS = {"absolute": "vol - prev", "relative": "(vol - prev) / greatest(prev, 1e-8)", "log_relative": "ln(greatest(vol, 1e-8)) - ln(greatest(prev, 1e-8))"}
 BOOK = "book AS (SELECT CAST((l_linenumber - 1) * 4 + l_partkey % 4 AS INTEGER) AS bucket, sum(l_quantity * (l_discount - 0.05)) AS vega FROM lineitem GROUP BY 1)"
@@ -100,9 +101,86 @@ METRICS = ", ".join([
         "full_pnl_std": "stddev_samp(full_pnl)", "proj_pnl_std": "stddev_samp(projected_pnl)", "error_mean": "avg(error)", "error_rmse": "sqrt(avg(error * error))", "error_mae": "avg(abs(error))",
         "error_p95_abs": "quantile_cont(abs(error), 0.95)", "error_max_abs": "max(abs(error))", "explained_pnl_variance": "1 - var_samp(error) / var_samp(full_pnl)", "full_vs_projected_corr": "corr(full_pnl, projected_pnl)"}.items())])
 MODEL = "'Abs PCA sample k=' || k AS model, CAST(g // 1000 AS INTEGER) AS \"window\""
+SUMMED = f'summary AS (SELECT model, "window", {METRICS}, sqrt(avg(error * error)) AS rmse, quantile_cont(abs(error), 0.95) AS p95, 1 - var_samp(error) / var_samp(full_pnl) AS explained FROM preds GROUP BY 1, 2)'
 WALK = (*pca(FOLDS), f"preds AS (SELECT {MODEL}, CAST(g % 1000 AS INTEGER) AS fold, t, date, full_pnl, projected_pnl, full_pnl - projected_pnl AS error FROM pred)")
-SUMMARY = (*WALK, f'summary AS (SELECT model, "window", {METRICS}, sqrt(avg(error * error)) AS rmse, quantile_cont(abs(error), 0.95) AS p95, 1 - var_samp(error) / var_samp(full_pnl) AS explained FROM preds GROUP BY 1, 2)')
+SUMMARY = (*WALK, SUMMED)
+
+#: Values of one kind of model: how moves become x (0 absolute, 1 relative, 2 log), the power of the book's weights, the estimator and its alpha.
+Kind = tuple[int, float, str, float]
+TO_X = "CASE tr WHEN 0 THEN vol - prev WHEN 1 THEN (vol - prev) / greatest(prev, 1e-8) ELSE ln(greatest(vol, 1e-8)) - ln(greatest(prev, 1e-8)) END"
+
+
+def kinds_of(specs: list) -> dict[Kind, list]:
+    """Specs by kind; Ledoit-Wolf and OAS only move eigenvalues and correlation shrinkage equals diagonal shrinkage, so these share a kind."""
+    found: dict[Kind, list] = {}
+    same = {"ledoit_wolf": "sample", "oas": "sample", "correlation_shrink": "diagonal_shrink"}
+    for s in specs:
+        if s.family == "pca":
+            kind = (("absolute", "relative", "log_relative").index(s.transform), s.vega_weight_power, same.get(s.covariance_method, s.covariance_method), s.shrinkage_alpha)
+            found.setdefault(kind, []).append(s)
+    return found
+
+
+def grid_walk(specs: list) -> tuple[str, ...]:
+    """preds of all the specs over the walk-forward grid: one eigenproblem a kind and fold. g numbers kind (millions), window (thousands) and fold."""
+    kinds = kinds_of(specs)
+    rows = ", ".join(f"({i}, {tr}, CAST({power} AS DOUBLE), '{method}', CAST({alpha} AS DOUBLE))" for i, (tr, power, method, alpha) in enumerate(kinds))
+    names = ", ".join(f"({i}, {s.n_components}, '{s.name}')" for i, own in enumerate(kinds.values()) for s in own)
+    pairs = [s for s in specs if s.family == "separable"]
+    parts = [
+        moves(), BOOK, f"kind AS (SELECT * FROM (VALUES {rows}) v(kd, tr, power, method, alpha))", f"named AS (SELECT * FROM (VALUES {names}) v(kd, k, model))",
+        f"folds AS (SELECT w.w * 1000 + f.range AS f, w.w, w.w + {GRID_STEP} * f.range AS start FROM (SELECT unnest({list(GRID_WINDOWS)}) AS w) w, range(100) f WHERE w.w + {GRID_STEP} * f.range < (SELECT count(*) FROM whole))",
+        "scale AS (SELECT median(abs(vega)) AS s FROM book WHERE abs(vega) > 1e-8)",
+        "weight AS (SELECT kd, bucket, CASE WHEN power = 0 THEN 1.0 ELSE least(greatest(power((abs(vega) + 1e-8) / (s + 1e-8), power), 0.1), 5.0) END AS w FROM kind, book, scale)",
+        "levels AS (SELECT t, date, bucket, dvol, prev, prev + dvol AS vol FROM moves)",
+        f"x AS (SELECT kd, t, date, bucket, {TO_X} AS x, dvol, prev, tr FROM kind, levels)",
+        "train AS (SELECT kd * 1000000 + f AS g, kd, t, bucket, x * w.w AS x FROM folds JOIN x ON t >= start - folds.w AND t < start JOIN weight w USING (kd, bucket))",
+        f"test AS (SELECT kd * 1000000 + f AS g, kd, t, date, bucket, x * w.w AS x, dvol, prev, tr, w.w AS w FROM folds JOIN x ON t >= start AND t < start + {GRID_STEP} JOIN weight w USING (kd, bucket))",
+        "mean AS (SELECT g, bucket, avg(x) AS mu FROM train GROUP BY 1, 2)", "dev AS (SELECT g, t, bucket, x - mu AS x FROM train JOIN mean USING (g, bucket))",
+        "scov AS (SELECT a.g, a.g // 1000000 AS kd, a.bucket AS i, b.bucket AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM dev a JOIN dev b USING (g, t) GROUP BY 1, 2, 3, 4)"]
+    methods = {m for _, _, m, _ in kinds}
+    blend = "SELECT g, i, j, CASE WHEN method = 'diagonal_shrink' AND i <> j THEN c * (1 - alpha) ELSE c END AS c FROM scov JOIN kind USING (kd) WHERE method IN ('sample', 'diagonal_shrink')"
+    if "separable_shrink" in methods:
+        parts += [
+            "sdev AS (SELECT g, t, bucket // 4 AS e, bucket % 4 AS m, x FROM dev JOIN kind ON kd = g // 1000000 WHERE method = 'separable_shrink')", "sn AS (SELECT g, count(DISTINCT t) - 1 AS n FROM sdev GROUP BY 1)",
+            "ske AS (SELECT g, a.e AS i, b.e AS j, sum(a.x * b.x) / 4 / any_value(n) AS c FROM sdev a JOIN sdev b USING (g, t, m) JOIN sn USING (g) GROUP BY 1, 2, 3)", "skt AS (SELECT g, a.m AS i, b.m AS j, sum(a.x * b.x) / 7 / any_value(n) AS c FROM sdev a JOIN sdev b USING (g, t, e) JOIN sn USING (g) GROUP BY 1, 2, 3)",
+            "kron AS (SELECT g, a.i * 4 + b.i AS i, a.j * 4 + b.j AS j, a.c * b.c AS d FROM ske a JOIN skt b USING (g))", "ratio AS (SELECT g, sum(c) / sum(d) AS q FROM scov JOIN kron USING (g, i, j) WHERE i = j GROUP BY 1)"]
+        blend += " UNION ALL SELECT g, i, j, (1 - alpha) * c + alpha * q * d FROM scov JOIN kind USING (kd) JOIN kron USING (g, i, j) JOIN ratio USING (g)"
+    if "factor_diag" in methods:
+        parts += [
+            "fd AS (SELECT g, i, j, c FROM scov JOIN kind USING (kd) WHERE method = 'factor_diag')", jacobi("feig", "fd", 28),
+            "common AS (SELECT g, a.range AS i, b.range AS j, sum(greatest(lam, 0) * vec[a.range + 1] * vec[b.range + 1]) AS h FROM feig, range(28) a, range(28) b WHERE rk <= 3 GROUP BY 1, 2, 3)"]
+        blend += " UNION ALL SELECT g, i, j, (1 - alpha) * c + alpha * CASE WHEN i = j THEN h + greatest(c - h, 1e-12) ELSE h END FROM scov JOIN kind USING (kd) JOIN common USING (g, i, j)"
+    hat = "CASE tr WHEN 2 THEN prev * (exp(h) - 1) WHEN 1 THEN prev * h ELSE h END"
+    parts += [
+        f"est AS ({blend})", jacobi("eig", "est", 28), "load AS (SELECT g, rk, CAST(b.range AS INTEGER) AS bucket, vec[b.range + 1] AS v FROM eig, range(28) b WHERE rk <= 10)",
+        "score AS (SELECT test.g, t, rk, sum((x - mu) * v) AS s FROM test JOIN mean USING (g, bucket) JOIN load USING (g, bucket) GROUP BY 1, 2, 3)",
+        "back AS (SELECT test.g, named.model, test.t, bucket, any_value(date) AS date, any_value(dvol) AS dvol, any_value(prev) AS prev, any_value(tr) AS tr, (any_value(mu) + sum(s * v)) / any_value(w) AS h FROM test JOIN mean USING (g, bucket) JOIN load USING (g, bucket) JOIN score ON score.g = test.g AND score.t = test.t AND score.rk = load.rk JOIN named ON named.kd = test.kd AND load.rk <= named.k GROUP BY 1, 2, 3, 4)",
+        f"pca_preds AS (SELECT model, CAST(g % 1000000 // 1000 AS INTEGER) AS \"window\", t, sum(dvol * vega) AS full_pnl, sum({hat} * vega) AS projected_pnl FROM back JOIN book USING (bucket) GROUP BY 1, 2, 3)"]
+    all_preds = "SELECT * FROM pca_preds"
+    if pairs:
+        chosen = ", ".join(f"({s.r_expiry}, {s.r_tenor}, '{s.name}')" for s in pairs)
+        parts += [
+            f"chosen AS (SELECT * FROM (VALUES {chosen}) v(re, rt, model))", "tdev AS (SELECT g, t, bucket // 4 AS e, bucket % 4 AS m, x FROM dev WHERE g < 1000000)", "tn AS (SELECT g, count(DISTINCT t) - 1 AS n FROM tdev GROUP BY 1)",
+            "tke AS (SELECT g, a.e AS i, b.e AS j, sum(a.x * b.x) / 4 / any_value(n) AS c FROM tdev a JOIN tdev b USING (g, t, m) JOIN tn USING (g) GROUP BY 1, 2, 3)", "tkt AS (SELECT g, a.m AS i, b.m AS j, sum(a.x * b.x) / 7 / any_value(n) AS c FROM tdev a JOIN tdev b USING (g, t, e) JOIN tn USING (g) GROUP BY 1, 2, 3)",
+            jacobi("ee", "tke", 7), jacobi("et", "tkt", 4),
+            "plane AS (SELECT g, ee.rk AS a, et.rk AS b, CAST(q.range AS INTEGER) AS bucket, ee.vec[q.range // 4 + 1] * et.vec[q.range % 4 + 1] AS v FROM ee JOIN et USING (g), range(28) q)",
+            "pscore AS (SELECT test.g, t, a, b, sum((x - mu) * v) AS s FROM test JOIN mean USING (g, bucket) JOIN plane USING (g, bucket) GROUP BY 1, 2, 3, 4)", "pprice AS (SELECT g, a, b, sum(v * vega) AS y FROM plane JOIN book USING (bucket) GROUP BY 1, 2, 3)",
+            "pbase AS (SELECT g, sum(mu * vega) AS base FROM mean JOIN book USING (bucket) WHERE g < 1000000 GROUP BY 1)", "pfull AS (SELECT g, t, sum(dvol * vega) AS full_pnl FROM test JOIN book USING (bucket) WHERE g < 1000000 GROUP BY 1, 2)",
+            'two_preds AS (SELECT model, CAST(g // 1000 AS INTEGER) AS "window", t, any_value(full_pnl) AS full_pnl, any_value(base) + sum(s * y) AS projected_pnl FROM pscore JOIN pprice USING (g, a, b) JOIN pbase USING (g) JOIN pfull USING (g, t) JOIN chosen ON a <= re AND b <= rt GROUP BY model, g, t)']
+        all_preds += " UNION ALL SELECT * FROM two_preds"
+    return (*parts, f"preds AS (SELECT *, full_pnl - projected_pnl AS error FROM ({all_preds}))", SUMMED)
+
+
+def spec_values(specs: list) -> str:
+    """spec: the specs' fields by model."""
+    rows = ", ".join(f"('{s.name}', '{s.family}', '{s.transform}', '{s.covariance_method}', {s.n_components}, {s.r_expiry}, {s.r_tenor})" for s in specs)
+    return f"spec AS (SELECT * FROM (VALUES {rows}) v(model, family, transform, covariance, k, re, rt))"
+
+
+SAMPLE_WALK = (*grid_walk(SAMPLE_SPECS), spec_values(SAMPLE_SPECS))
 FIGURES = "n_test_obs, full_pnl_std, proj_pnl_std, error_mean, error_rmse, error_mae, error_p95_abs, error_max_abs, explained_pnl_variance, full_vs_projected_corr"
+BEST = 'rmse, p95, model, "window"'
 RISK = f"SELECT bucket, {LABEL_OF}, {r('vega', digits=4)}, {r('stddev_samp(dvol - hat)', 'residual_vol', 4)}, {r('abs(vega) * stddev_samp(dvol - hat)', 'residual_risk', 4)}"
 TWO = (
     moves(), BOOK, "source AS (SELECT t, bucket, x FROM moves)", two_way(7, 4),
@@ -112,6 +190,17 @@ TWO = (
     "tbase AS (SELECT sum(mu * vega) AS base FROM (SELECT bucket, avg(x) AS mu FROM moves GROUP BY 1) JOIN book USING (bucket))",
     "tfull AS (SELECT t, date, sum(dvol * vega) AS full_pnl FROM moves JOIN book USING (bucket) GROUP BY 1, 2)")
 
+WEIGHTED_ROWS = "scale AS (SELECT median(abs(vega)) AS s FROM book WHERE abs(vega) > 1e-8), weight AS (SELECT bucket, least(greatest(power((abs(vega) + 1e-8) / (s + 1e-8), 0.5), 0.1), 5.0) AS w FROM book, scale), train AS (SELECT 0 AS g, t, bucket, x * w AS x FROM moves JOIN weight USING (bucket)), test AS (SELECT 0 AS g, t, date, bucket, x * w AS x, dvol FROM moves JOIN weight USING (bucket))"
+#: The chosen model fitted on its last window: bpred and bhat.
+BEST_ROWS = (
+    *SAMPLE_WALK, f"best AS (SELECT model, \"window\" AS w, k, CASE transform WHEN 'absolute' THEN 0 WHEN 'relative' THEN 1 ELSE 2 END AS tr FROM summary JOIN spec USING (model) ORDER BY {BEST} LIMIT 1)",
+    f"brows AS (SELECT 0 AS g, t, date, bucket, {TO_X} AS x, dvol, prev, tr, k FROM levels, best WHERE t >= (SELECT count(*) FROM whole) - w)", "bmean AS (SELECT bucket, avg(x) AS mu FROM brows GROUP BY 1)", "bdev AS (SELECT t, bucket, x - mu AS x FROM brows JOIN bmean USING (bucket))",
+    "bcov AS (SELECT 0 AS g, a.bucket AS i, b.bucket AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM bdev a JOIN bdev b USING (t) GROUP BY 2, 3)", jacobi("beig", "bcov", 28),
+    "bload AS (SELECT rk, CAST(q.range AS INTEGER) AS bucket, vec[q.range + 1] AS v FROM beig, range(28) q WHERE rk <= (SELECT k FROM best))", "bscore AS (SELECT t, rk, sum(x * v) AS s FROM bdev JOIN bload USING (bucket) GROUP BY 1, 2)",
+    "bh AS (SELECT t, bucket, any_value(mu) + sum(s * v) AS h FROM bscore JOIN bload USING (rk) JOIN bmean USING (bucket) GROUP BY 1, 2)",
+    "bhat AS (SELECT t, date, bucket, dvol, CASE tr WHEN 2 THEN prev * (exp(h) - 1) WHEN 1 THEN prev * h ELSE h END AS hat FROM brows JOIN bh USING (t, bucket))",
+    'bpred AS (SELECT model, w AS "window", t, sum(dvol * vega) AS full_pnl, sum(hat * vega) AS projected_pnl FROM bhat JOIN book USING (bucket), best GROUP BY 1, 2, 3)')
+
 # ---- ladder ----------------------------------------------------------------------------------------
 
 
@@ -161,7 +250,7 @@ INVERSE = (
     eliminate("inv_run", "inv_s", M),
     f"lev AS (SELECT o, sum(a.w * b.w * m[a.r + 1][{M} + b.r + 1]) AS leverage FROM basis a JOIN basis b USING (o), inv_run WHERE k = {M} GROUP BY 1)")
 SIGMA = ("bbg AS (SELECT 0 AS g, i, j, g AS c FROM sq)", jacobi("sv", "bbg", M))
-REPS = 50
+REPS = 500
 BOOTSTRAP = (
     *CLS,
     f"spread AS (SELECT a.range AS rep, b.range AS slot, (a.range * 7919 + b.range * 104729 + 12345) * 48271 % 2147483647 AS z FROM range({REPS}) a, range(140) b)",
@@ -217,27 +306,51 @@ def oracle_sql() -> dict[str, str]:
             PANEL, two_way(7, 4), "cov AS (SELECT a.bucket AS i, b.bucket AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM cen a JOIN cen b USING (t) GROUP BY 1, 2)", "target AS (SELECT ce.i * 4 + ct.i AS i, ce.j * 4 + ct.j AS j, ce.c * ct.c AS d FROM ce, ct)",
             "scale AS (SELECT (SELECT sum(c) FROM cov WHERE i = j) / (SELECT sum(d) FROM target WHERE i = j) AS k)", select=f"SELECT i, j, {r('0.7 * c + 0.3 * k * d', 'c')} FROM cov JOIN target USING (i, j), scale WHERE i <= j"),
         "cov_trace": plain(EMBEDDINGS, COV, select=f"SELECT {r('sum(c)', 'trace')} FROM cov WHERE i = j"),
+        "cov_alpha_held": covariance((PANEL, COV), "CASE WHEN i = j THEN c ELSE 0 END"),
+        "cov_norms": plain(PANEL, COV, select=f"SELECT {r('sqrt(sum(c * c))', 'frobenius', 5)}, {r('max(abs(c))', 'largest', 5)}, {r('avg(CASE WHEN i = j THEN c END)', 'diagonal', 5)} FROM cov"),
+        "cov_factor_diag": recursive(
+            PANEL, COV, "g0 AS (SELECT 0 AS g, i, j, c FROM cov)", jacobi("eig", "g0", 28), "common AS (SELECT a.range AS i, b.range AS j, sum(greatest(lam, 0) * vec[a.range + 1] * vec[b.range + 1]) AS h FROM eig, range(28) a, range(28) b WHERE rk <= 3 GROUP BY 1, 2)",
+            select=f"SELECT i, j, {r('0.5 * c + 0.5 * CASE WHEN i = j THEN h + greatest(c - h, 1e-12) ELSE h END', 'c')} FROM cov JOIN common USING (i, j) WHERE i <= j"),
+        "cov_psd_repair": recursive(
+            PANEL, COV, "g0 AS (SELECT 0 AS g, i, j, CASE WHEN i = j THEN c ELSE 3 * c END AS c FROM cov)", jacobi("eig", "g0", 28),
+            select=f"SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, {r('sum(greatest(lam, 1e-12) * vec[a.range + 1] * vec[b.range + 1])', 'c', 5)} FROM eig, range(28) a, range(28) b WHERE a.range <= b.range GROUP BY 1, 2"),
         "cov_ledoit_wolf": shrunk("ledoit_wolf"),
         "cov_oas": shrunk("oas"),
-        "folds": 'SELECT w AS "window", CAST(f AS INTEGER) AS fold, CAST(s - w AS BIGINT) AS train_from, CAST(s AS BIGINT) AS train_to, CAST(s AS BIGINT) AS test_from, CAST(least(s + 10, 81) AS BIGINT) AS test_to FROM (SELECT w, range AS f, w + 10 * range AS s FROM (SELECT unnest([20, 40, 100]) AS w), range(100)) WHERE s < 81',
-        "refits": "SELECT CAST(range AS INTEGER) AS fold, CAST(10 * range AS BIGINT) AS train_from, CAST(40 + 10 * range AS BIGINT) AS train_to FROM range(100) WHERE 40 + 10 * range <= 81",
-        "folds_train": 'SELECT 40 AS "window", CAST(f.range AS INTEGER) AS fold, t.range AS t FROM range(81) t, range(100) f WHERE 40 + 10 * f.range < 81 AND t.range >= 10 * f.range AND t.range < 40 + 10 * f.range',
-        "folds_test": 'SELECT 40 AS "window", CAST(f.range AS INTEGER) AS fold, t.range AS t FROM range(81) t, range(100) f WHERE 40 + 10 * f.range < 81 AND t.range >= 40 + 10 * f.range AND t.range < 55 + 10 * f.range',
+        "folds": plain(moves(), select='SELECT w AS "window", CAST(f AS INTEGER) AS fold, CAST(s - w AS BIGINT) AS train_from, CAST(s AS BIGINT) AS train_to, CAST(s AS BIGINT) AS test_from, CAST(least(s + 10, n) AS BIGINT) AS test_to FROM (SELECT w, range AS f, w + 10 * range AS s FROM (SELECT unnest([20, 40, 100]) AS w), range(1000)), (SELECT count(*) AS n FROM whole) WHERE s < n'),
+        "folds_expanding": plain(moves(), select='SELECT 40 AS "window", CAST(f AS INTEGER) AS fold, CAST(greatest(s - 40, 0) AS BIGINT) AS train_from, CAST(s AS BIGINT) AS train_to, CAST(s AS BIGINT) AS test_from, CAST(least(s + 10, n) AS BIGINT) AS test_to FROM (SELECT range AS f, 15 + 10 * range AS s FROM range(1000)), (SELECT count(*) AS n FROM whole) WHERE s < n'),
+        "refits": plain(moves(), select="SELECT CAST(range AS INTEGER) AS fold, CAST(10 * range AS BIGINT) AS train_from, CAST(40 + 10 * range AS BIGINT) AS train_to FROM range(1000) WHERE 40 + 10 * range <= (SELECT count(*) FROM whole)"),
+        "folds_train": plain(moves(), select='SELECT 40 AS "window", CAST(f.range AS INTEGER) AS fold, t FROM whole, range(1000) f WHERE 40 + 10 * f.range < (SELECT count(*) FROM whole) AND t >= 10 * f.range AND t < 40 + 10 * f.range'),
+        "folds_test": plain(moves(), select='SELECT 40 AS "window", CAST(f.range AS INTEGER) AS fold, t FROM whole, range(1000) f WHERE 40 + 10 * f.range < (SELECT count(*) FROM whole) AND t >= 40 + 10 * f.range AND t < 55 + 10 * f.range'),
         "pca_eigenvalues": recursive(PANEL, COV, "g0 AS (SELECT 0 AS g, i, j, c FROM cov)", jacobi("eig", "g0", 28), select=f"SELECT CAST(rk AS INTEGER) AS rank, {r('lam', 'eigenvalue', 5)} FROM eig"),
         "separable_eigs": recursive(EMBEDDINGS, two_way(8, 8), "g1 AS (SELECT 0 AS g, i, j, c FROM ce UNION ALL SELECT 1, i, j, c FROM ct)", jacobi("eig", "g1", 8), select=f"SELECT CASE g WHEN 0 THEN 'expiry' ELSE 'tenor' END AS axis, CAST(rk AS INTEGER) AS rank, {r('lam', 'eigenvalue')} FROM eig"),
         "pca_projected_pnl": recursive(*pca(ALL_ROWS), select=f"SELECT t, date, {r('full_pnl', digits=4)}, {r('projected_pnl', digits=4)}, {r('full_pnl - projected_pnl', 'error', 4)} FROM pred WHERE k = 2"),
         "separable_projected_pnl": recursive(*TWO, select=f"SELECT t, date, {r('any_value(full_pnl)', 'full_pnl', 4)}, {r('any_value(base) + sum(s * y)', 'projected_pnl', 4)} FROM tscore JOIN tprice USING (a, b) JOIN tfull USING (t), tbase GROUP BY 1, 2"),
         "walk_forward_predictions": recursive(*WALK, select=f'SELECT model, "window", fold, t, date, {r("full_pnl", digits=4)}, {r("projected_pnl", digits=4)}, {r("error", digits=4)} FROM preds'),
         "pnl_metrics": recursive(*SUMMARY, select=f'SELECT model, "window", {FIGURES} FROM summary'),
-        "leaderboard": recursive(*SUMMARY, select=f'SELECT model, "window", {FIGURES} FROM summary ORDER BY rmse, p95, model LIMIT 4'),
-        "best_by_window": recursive(*SUMMARY, select='SELECT model, "window", error_rmse, CAST(row_number() OVER (PARTITION BY "window" ORDER BY rmse, p95, model) AS INTEGER) AS place FROM summary QUALIFY place <= 2'),
-        "window_perf": recursive(*SUMMARY, select=f'SELECT "window", {r("median(rmse)", "median_rmse", 4)}, {r("min(rmse)", "best_rmse", 4)}, {r("median(explained)", "median_explained", 4)}, {r("max(explained)", "best_explained", 4)} FROM summary GROUP BY 1'),
-        "group_perf": recursive(*SUMMARY, select=f"SELECT 'pca' AS family, 'absolute' AS transform, 'sample' AS covariance, {r('min(rmse)', 'best_rmse', 4)}, {r('median(rmse)', 'median_rmse', 4)}, {r('max(explained)', 'best_explained', 4)} FROM summary"),
-        "walk_forward_status": plain(moves(), select="SELECT 'Abs PCA sample k=1' AS model, 20 AS \"window\", (SELECT count(*) - 20 FROM whole) AS n_test_obs, CAST(NULL AS VARCHAR) AS status UNION ALL SELECT 'Abs PCA sample k=1', 500, NULL, 'no predictions'"),
+        "leaderboard": recursive(*SAMPLE_WALK, select=f'SELECT model, "window", {FIGURES} FROM summary ORDER BY {BEST} LIMIT 20'),
+        "best_by_window": recursive(*SAMPLE_WALK, select='SELECT model, "window", error_rmse, CAST(row_number() OVER (PARTITION BY "window" ORDER BY rmse, p95, model) AS INTEGER) AS place FROM summary QUALIFY place <= 5'),
+        "window_perf": recursive(*SAMPLE_WALK, select=f'SELECT "window", {r("median(rmse)", "median_rmse", 4)}, {r("min(rmse)", "best_rmse", 4)}, {r("median(explained)", "median_explained", 4)}, {r("max(explained)", "best_explained", 4)} FROM summary GROUP BY 1'),
+        "group_perf": recursive(*SAMPLE_WALK, select=f"SELECT family, transform, covariance, {r('min(rmse)', 'best_rmse', 4)}, {r('median(rmse)', 'median_rmse', 4)}, {r('max(explained)', 'best_explained', 4)} FROM summary JOIN spec USING (model) GROUP BY 1, 2, 3"),
+        "best_model": recursive(*SAMPLE_WALK, select=f'SELECT model, "window", error_rmse, transform AS spec_transform, k AS spec_n_components FROM summary JOIN spec USING (model) ORDER BY {BEST} LIMIT 1'),
+        "walk_forward_all_families": recursive(*grid_walk(default_specs()), spec_values(default_specs()), select=f'SELECT model, "window", {FIGURES}, family, transform, covariance AS spec_covariance_method, k AS spec_n_components, re AS spec_r_expiry, rt AS spec_r_tenor, CAST(NULL AS VARCHAR) AS status FROM summary JOIN spec USING (model)'),
+        "walk_forward_status": plain(moves(), select="SELECT 'Abs PCA sample k=1' AS model, 20 AS \"window\", (SELECT count(*) - 20 FROM whole) AS n_test_obs, CAST(NULL AS VARCHAR) AS status UNION ALL SELECT 'Abs PCA sample k=1', 500, NULL, 'failed_or_no_predictions'"),
         "contrib_pca": recursive(*pca(ALL_ROWS), select=f"SELECT t, date, 'PC' || rk AS component, {r('s * y', 'pnl', 4)} FROM score JOIN price USING (g, rk) JOIN fullp USING (g, t) WHERE rk <= 2"),
         "contrib_separable": recursive(*TWO, select=f"SELECT t, date, 'E' || a || 'xT' || b AS component, {r('s * y', 'pnl', 4)} FROM tscore JOIN tprice USING (a, b) JOIN tfull USING (t)"),
         "component_stats": recursive(*pca(ALL_ROWS), select=f"SELECT 'PC' || rk AS component, {r('avg(s * y)', 'mean_contribution', 4)}, {r('stddev_samp(s * y)', 'std_contribution', 4)}, {r('avg(abs(s * y))', 'avg_abs_contribution', 4)}, {r('max(abs(s * y))', 'max_abs_contribution', 4)} FROM score JOIN price USING (g, rk) WHERE rk <= 2 GROUP BY rk"),
-        "top_components": recursive(*pca(ALL_ROWS), "size AS (SELECT rk, avg(abs(s * y)) AS a FROM score JOIN price USING (g, rk) WHERE rk <= 2 GROUP BY rk ORDER BY a DESC LIMIT 1)", select=f"SELECT t, date, {r('s * y', 'pnl', 4)} FROM score JOIN price USING (g, rk) JOIN size USING (rk) JOIN fullp USING (g, t)"),
+        "top_components": recursive(*pca(ALL_ROWS, 8), "size AS (SELECT rk, avg(abs(s * y)) AS a FROM score JOIN price USING (g, rk) GROUP BY rk ORDER BY a DESC LIMIT 6)", select=f"SELECT t, date, {r('sum(s * y)', 'pnl', 4)} FROM score JOIN price USING (g, rk) JOIN size USING (rk) JOIN fullp USING (g, t) GROUP BY 1, 2"),
+        "noise_ratio": recursive(*pca(ALL_ROWS), select=f"SELECT bucket, {LABEL_OF}, {r('var_samp(dvol - hat) / greatest(var_samp(dvol), 1e-16)', 'noise_ratio', 5)} FROM hat GROUP BY bucket"),
+        "scatter_bounds": recursive(*pca(ALL_ROWS), select=f"SELECT {r('least(min(full_pnl), min(projected_pnl))', 'low', 4)}, {r('greatest(max(full_pnl), max(projected_pnl))', 'high', 4)} FROM pred WHERE k = 2"),
+        "pca_projector": recursive(*pca(ALL_ROWS), select=f"SELECT a.bucket AS i, b.bucket AS j, {r('sum(a.w * b.w)', 'p', 5)} FROM load a JOIN load b USING (g, rk) WHERE rk <= 2 GROUP BY 1, 2"),
+        "pca_projector_norm": recursive(*pca(ALL_ROWS), "entries AS (SELECT k, a.bucket AS i, b.bucket AS j, sum(a.w * b.w) AS p FROM load a JOIN load b USING (g, rk), ks WHERE rk <= k GROUP BY 1, 2, 3)", select=f"SELECT k, {r('sqrt(sum(p * p))', 'norm', 5)}, {r('sum(CASE WHEN i = j THEN p END)', 'trace', 5)} FROM entries GROUP BY 1"),
+        "loadings_pca": recursive(*pca(ALL_ROWS), "turned AS (SELECT rk, bucket, w * sign(arg_max(w, abs(w)) OVER (PARTITION BY rk)) AS w FROM load WHERE rk <= 2)", select=f"SELECT 'PC' || rk AS component, bucket, {LABEL_OF}, {r('w', 'loading', 5)} FROM turned"),
+        "loadings_weighted": recursive(
+            *pca(WEIGHTED_ROWS), "turned AS (SELECT bucket, w * sign(arg_max(w, abs(w)) OVER ()) AS w FROM load WHERE rk = 1)", select=f"SELECT 'PC1' AS component, bucket, {LABEL_OF}, {r('turned.w / weight.w', 'loading', 5)} FROM turned JOIN weight USING (bucket)"),
+        "loadings_two_way": recursive(
+            *TWO, "te AS (SELECT rk, CAST(q.range AS INTEGER) AS e, vec[q.range + 1] AS v FROM ee, range(7) q WHERE rk = 1)", "tt AS (SELECT rk, CAST(q.range AS INTEGER) AS m, vec[q.range + 1] AS v FROM et, range(4) q)",
+            "se1 AS (SELECT rk, e, v * sign(arg_max(v, abs(v)) OVER (PARTITION BY rk)) AS v FROM te)", "st1 AS (SELECT rk, m, v * sign(arg_max(v, abs(v)) OVER (PARTITION BY rk)) AS v FROM tt)",
+            select=f"SELECT component, bucket, {LABEL_OF}, loading FROM (SELECT 'E' || a.rk || 'xT' || b.rk AS component, e * 4 + m AS bucket, {r('a.v * b.v', 'loading', 5)} FROM se1 a, st1 b)"),
+        "best_report_metrics": recursive(*BEST_ROWS, select=f'SELECT model, "window", {METRICS} FROM (SELECT *, full_pnl - projected_pnl AS error FROM bpred) GROUP BY 1, 2'),
+        "best_report_risk": recursive(*BEST_ROWS, select=f"SELECT bucket, {LABEL_OF}, {r('any_value(vega)', 'vega', 4)}, {r('stddev_samp(dvol - hat)', 'residual_vol', 4)}, {r('any_value(abs(vega)) * stddev_samp(dvol - hat)', 'residual_risk', 4)} FROM bhat JOIN book USING (bucket) GROUP BY bucket"),
         "residual_risk": recursive(*pca(ALL_ROWS), select=f"{RISK}, {r('var_samp(dvol - hat) / greatest(var_samp(dvol), 1e-16)', 'noise_ratio', 4)} FROM hat JOIN book USING (bucket) GROUP BY bucket, vega"),
         "residual_pca": recursive(
             *pca(ALL_ROWS), "rest AS (SELECT t, bucket, dvol - hat - avg(dvol - hat) OVER (PARTITION BY bucket) AS x FROM hat)", "rcov AS (SELECT 0 AS g, a.bucket AS i, b.bucket AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM rest a JOIN rest b USING (t) GROUP BY 2, 3)",
@@ -249,6 +362,13 @@ def oracle_sql() -> dict[str, str]:
             "dev AS (SELECT g, t, bucket, x - avg(x) OVER (PARTITION BY g, bucket) AS x FROM train)", "fcov AS (SELECT a.g, a.bucket AS i, b.bucket AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM dev a JOIN dev b USING (g, t) GROUP BY 1, 2, 3)", jacobi("eig", "fcov", 28),
             "proj AS (SELECT g, a.range AS i, b.range AS j, sum(vec[a.range + 1] * vec[b.range + 1]) AS u FROM eig, range(28) a, range(28) b WHERE rk <= 2 GROUP BY 1, 2, 3)", "ends AS (SELECT g, max(date) AS end_date FROM train GROUP BY 1)",
             select=f"SELECT CAST(n.g AS INTEGER) AS fold, end_date, {r('sqrt(sum((n.u - o.u) * (n.u - o.u)))', 'distance', 5)} FROM proj n JOIN proj o ON o.g = n.g - 1 AND o.i = n.i AND o.j = n.j JOIN ends ON ends.g = n.g GROUP BY 1, 2"),
+        "stability_separable": recursive(
+            moves(), "refits AS (SELECT range AS g, 10 * range AS low FROM range(100) WHERE 40 + 10 * range <= (SELECT count(*) FROM whole))", "train AS (SELECT g, t, date, bucket, x FROM refits JOIN moves ON t >= low AND t < low + 40)",
+            "dev AS (SELECT g, t, bucket // 4 AS e, bucket % 4 AS m, x - avg(x) OVER (PARTITION BY g, bucket) AS x FROM train)", "ke AS (SELECT a.g, a.e AS i, b.e AS j, sum(a.x * b.x) / 4 / 39 AS c FROM dev a JOIN dev b USING (g, t, m) GROUP BY 1, 2, 3)", "kt AS (SELECT a.g, a.m AS i, b.m AS j, sum(a.x * b.x) / 7 / 39 AS c FROM dev a JOIN dev b USING (g, t, e) GROUP BY 1, 2, 3)",
+            jacobi("ee", "ke", 7), jacobi("et", "kt", 4), "ends AS (SELECT g, max(date) AS end_date FROM train GROUP BY 1)",
+            "pe AS (SELECT g, a.range AS i, b.range AS j, sum(vec[a.range + 1] * vec[b.range + 1]) AS u FROM ee, range(7) a, range(7) b WHERE rk <= 2 GROUP BY 1, 2, 3)", "pt AS (SELECT g, a.range AS i, b.range AS j, sum(vec[a.range + 1] * vec[b.range + 1]) AS u FROM et, range(4) a, range(4) b WHERE rk <= 2 GROUP BY 1, 2, 3)",
+            "de AS (SELECT n.g, sqrt(sum((n.u - o.u) * (n.u - o.u))) AS d FROM pe n JOIN pe o ON o.g = n.g - 1 AND o.i = n.i AND o.j = n.j GROUP BY 1)", "dt AS (SELECT n.g, sqrt(sum((n.u - o.u) * (n.u - o.u))) AS d FROM pt n JOIN pt o ON o.g = n.g - 1 AND o.i = n.i AND o.j = n.j GROUP BY 1)",
+            select=f"SELECT CAST(g AS INTEGER) AS fold, end_date, {r('de.d', 'expiry_distance', 5)}, {r('dt.d', 'tenor_distance', 5)} FROM de JOIN dt USING (g) JOIN ends USING (g)"),
         "basis": plain(*BASIS, select=f"SELECT o, r, {r('w')} FROM basis"),
         "basis_rowsum": plain(*BASIS, select=f"SELECT o, {r('sum(w)', 'total')}, count(*) AS nonzero FROM basis GROUP BY 1"),
         "basis_nnz": plain(*BASIS, select="SELECT count(*) AS nonzero FROM basis WHERE w <> 0"),
@@ -260,15 +380,16 @@ def oracle_sql() -> dict[str, str]:
         "loo": recursive(*RESIDUALS, *INVERSE, select=f"SELECT o, {r('residual')}, {r('leverage')}, {r('residual / greatest(1 - leverage, 1e-6)', 'loo')} FROM res JOIN lev USING (o)"),
         "singular_values": recursive(*BASIS, *SIGMA, select=f"SELECT CAST(rk AS INTEGER) AS rank, {r('sqrt(lam)', 'sigma')} FROM sv"),
         "ladder_summary": recursive(
-            *RESIDUALS, *INVERSE, *SIGMA, "made AS (SELECT sum(a.g * b.g * m[a.i + 1][" + str(M) + " + b.i + 1]) AS captured FROM bv a, bv b, inv_run WHERE k = " + str(M) + ")",
+            *BOOTSTRAP[: len(CLS)], RESIDUALS[-1], *BOOTSTRAP[len(CLS) :], *INVERSE, *SIGMA, "made AS (SELECT sum(a.g * b.g * m[a.i + 1][" + str(M) + " + b.i + 1]) AS captured FROM bv a, bv b, inv_run WHERE k = " + str(M) + ")",
             "one AS (SELECT count(*) AS original_buckets, sum(v) AS total_original, sqrt(avg(residual * residual)) AS rmse, avg(abs(residual)) AS mae, 1 - sum(residual * residual) / (var_pop(v) * count(*)) AS r2, max(abs(residual)) AS top, sqrt(avg(power(residual / greatest(1 - leverage, 1e-6), 2))) AS loo_rmse, avg(leverage) AS lm, max(leverage) AS lx, sum(v * v) AS energy FROM res JOIN lev USING (o))",
             "two AS (SELECT count(*) AS reduced_buckets, sum(v) AS total_reduced FROM cls)", "cond AS (SELECT sqrt(max(lam) / min(lam)) AS condition FROM sv)",
             select=f"""SELECT original_buckets, reduced_buckets, {r('original_buckets / reduced_buckets', 'compression')}, {r('total_original')}, {r('total_reduced')}, {r('abs(total_original - total_reduced)', 'total_error')}, {r('rmse')}, {r('mae')}, {r('r2')}, {r('top', 'max_abs_residual')},
-              (SELECT o FROM res ORDER BY abs(residual) DESC, o LIMIT 1) AS worst_bucket, {r('loo_rmse')}, {r('condition')}, {r('100 * sqrt(greatest(energy - captured, 0) / energy)', 'unrepresentable_pct')}, {r('lm', 'mean_leverage')}, {r('lx', 'max_leverage')} FROM one, two, cond, made"""),
+              (SELECT o FROM res ORDER BY abs(residual) DESC, o LIMIT 1) AS worst_bucket, (SELECT fe.y FROM res JOIN fe ON fe.i = o // {NT} ORDER BY abs(residual) DESC, o LIMIT 1) AS worst_expiry, (SELECT ft.y FROM res JOIN ft ON ft.i = o % {NT} ORDER BY abs(residual) DESC, o LIMIT 1) AS worst_tenor, {r('loo_rmse')}, {r('condition')}, {r('100 * sqrt(greatest(energy - captured, 0) / energy)', 'unrepresentable_pct')}, {r('lm', 'mean_leverage')}, {r('lx', 'max_leverage')}, {r('(SELECT avg(std) FROM bstd)', 'mean_bootstrap_std')}, {r('(SELECT max(std) FROM bstd)', 'max_bootstrap_std')} FROM one, two, cond, made"""),
         "bootstrap_std": recursive(*BOOTSTRAP, select=f"SELECT r, {r('std')} FROM bstd"),
-        "reliability_rank": recursive(*BOOTSTRAP, select=f"SELECT r, {r('v')}, {r('std')}, {r('cv')}, CAST(place AS INTEGER) AS place, CASE WHEN place <= 5 THEN 'best' ELSE 'worst' END AS side FROM placed WHERE place <= 5 OR place > 19"),
-        "synthetic_surface": "SELECT CAST(22000 AS BIGINT) AS cells, CAST(250 AS BIGINT) AS days, true AS floored, true AS weekdays",
-        "synthetic_book": "SELECT CAST(88 AS BIGINT) AS buckets",
-        "synthetic_ladder": "SELECT CAST(140 AS BIGINT) AS buckets",
+        "reliability_rank": recursive(*BOOTSTRAP, select=f"SELECT r, {r('placed.v', 'v')}, {r('std')}, {r('cv')}, CAST(place AS INTEGER) AS place, CASE WHEN place <= 5 THEN 'best' ELSE 'worst' END AS side, {r('re.y', 'expiry')}, {r('rt.y', 'tenor')} FROM placed JOIN re ON re.i = r // {MT} JOIN rt ON rt.i = r % {MT} WHERE place <= 5 OR place > 19"),
+        "coarse_matrix": recursive(*CLS, select="SELECT " + r("re.y", "expiry") + ", " + ", ".join(f'round(max(cls.v) FILTER (rt.y = {y}), 6) + 0.0 AS "{y}Y"' for y in panels.REDUCED_TENORS) + f" FROM cls JOIN re ON re.i = r // {MT} JOIN rt ON rt.i = r % {MT} GROUP BY 1"),
+        "book_matrix": plain(BOOK, select="SELECT CAST(bucket // 4 + 1 AS VARCHAR) || 'Y' AS expiry, " + ", ".join(f'round(max(vega) FILTER (bucket % 4 = {i}), 6) + 0.0 AS "{i + 1}Y"' for i in range(4)) + " FROM book GROUP BY 1"),
+        "book_vector": plain(BOOK, select=f"SELECT bucket AS pos, {r('vega')} FROM book"),
+        "vega_formatted": plain(BOOK, select="SELECT bucket, format('{:,.2f}', vega) AS vega FROM book"),
     }
     return found

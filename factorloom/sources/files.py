@@ -59,3 +59,14 @@ def write_predictions(predictions: DataFrame, path: str, form: str = "parquet")
     """Predictions by window; as Parquet, or CSV with a header."""
     writer = predictions.write.mode("overwrite").partitionBy("window")
     writer.parquet(path) if form == "parquet" else writer.csv(path, header=True)
+
+
+def load_inputs(spark: SparkSession, source: str, *, surface: str = "", vega: str = "", sf_dir: str = "") -> tuple[DataFrame, DataFrame]:
+    """The surface and the book, from two CSV files (``csv``) or from the warehouse tables (``tables``)."""
+    from . import panels
+
+    if source == "csv":
+        return read_surface(spark, surface), read_vega(spark, vega)
+    if source == "tables":
+        return panels.price_surface(spark, sf_dir), panels.panel_book(spark, sf_dir)
+    raise ValueError(f"no source named {source}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grid import make_grid
 
+# The axes of the panel, the fine ladder and the coarse one.
 PANEL_EXPIRIES, PANEL_TENORS = tuple(f"{i}Y" for i in range(1, 8)), tuple(f"{i}Y" for i in range(1, 5))
 LADDER_EXPIRIES = (1 / 12, 3 / 12, 6 / 12, 9 / 12, 1, 1.5, 2, 3, 5, 7, 10, 15, 20, 30)
 LADDER_TENORS = (1, 2, 3, 5, 7, 10, 15, 20, 25, 30)

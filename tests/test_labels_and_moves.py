@@ -95,10 +95,10 @@ def test_weights(spark, grid):
 
 @pytest.mark.parametrize("rows,window,horizon,step,least", [(50, 20, 10, 10, None), (50, 20, 5, 7, 8), (30, 40, 5, 5, None), (45, 10, 20, 5, 0), (40, 10, 5, 5, 15)])
 def test_fold_assignment_equals_the_fold_table(spark, rows, window, horizon, step, least):
-    folds = fold_table(spark, rows, [window], horizon, step, least).collect()
     t = spark.range(rows).select(F.col("id").alias("t"))
-    train = {(r["fold"], r["t"]) for r in training_rows(t, rows, window, step, least).collect()}
-    test = {(r["fold"], r["t"]) for r in test_rows(t, rows, window, horizon, step, least).collect()}
+    folds = fold_table(t, [window], horizon, step, least).collect()
+    train = {(r["fold"], r["t"]) for r in training_rows(t, [window], step, least).collect()}
+    test = {(r["fold"], r["t"]) for r in test_rows(t, [window], horizon, step, least).collect()}
     assert train == {(f["fold"], k) for f in folds for k in range(f["train_from"], f["train_to"])}
     assert test == {(f["fold"], k) for f in folds for k in range(f["test_from"], f["test_to"])}
 

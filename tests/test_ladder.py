@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import ladder
 from factorloom.sources.panels import LADDER_EXPIRIES, LADDER_TENORS, REDUCED_EXPIRIES, REDUCED_TENORS, axis_frame
-from factorloom.sources.simulate import synthetic_surface
 
 M = 24
 
@@ -44,7 +43,12 @@ def test_projection_and_diagnostics(parts):
     res = y - b @ v
     assert np.allclose(column(ladder.residuals(fine, basis, coarse), "residual", "o"), res)
     assert np.allclose(column(ladder.singular_values(fine, basis, M), "sigma", "rank"), np.linalg.svd(b, compute_uv=False))
-    row = ladder.summary(fine, basis, coarse, M).first()
+    samples = ladder.bootstrap(fine, basis, rule, M, reps=6).persist()
+    row = ladder.summary(fine, basis, coarse, M, samples).first()
+    spread = column(ladder.spread(samples), "std", "r")
+    assert row["mean_bootstrap_std"] == pytest.approx(spread.mean()) and row["max_bootstrap_std"] == pytest.approx(spread.max())
+    at = ladder.labelled(coarse, "r", REDUCED_EXPIRIES, REDUCED_TENORS).where("r = 5").first()
+    assert (at["expiry"], at["tenor"]) == (REDUCED_EXPIRIES[1], REDUCED_TENORS[1])
     assert row["rmse"] == pytest.approx(np.sqrt((res**2).mean())) and row["worst_bucket"] == np.abs(res).argmax() and row["loo_rmse"] > row["rmse"]
     # Without constraints, the closed form of leaving one out equals refitting.
     free = np.linalg.lstsq(b, y, rcond=None)[0]
@@ -62,8 +66,3 @@ def test_bootstrap_and_ranking(parts):
     ranked = ladder.reliability(samples, coarse)
     assert ranked.where("r = 3").first()["place"] == 24 and ranked.where("r = 3").first()["cv"] is None
 
-
-def test_synthetic_surface(spark):
-    s = synthetic_surface(spark, 30)
-    row = s.agg(F.count("*").alias("n"), F.countDistinct("date").alias("d"), F.min("vol").alias("v")).first()
-    assert (row["n"], row["d"]) == (30 * 88, 30) and row["v"] >= 5.0

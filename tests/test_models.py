@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factorloom.functions import linalg
-from factorloom.operators import factors, validate
+from factorloom.operators import covariance, factors, report, sums, validate
 from factorloom.operators.factors import Spec
+from factorloom.sources import files
 
 DIMS = (3, 2)
 
@@ -31,19 +32,19 @@ def test_shrinkage_identities(n, alpha, seed):
 
 def test_shrinking_to_identity_keeps_the_projection():
     x = rows()
-    base = factors.fit_pca(x, Spec("a", n_components=2), np.ones(6), DIMS).reconstruct(x, 2)
+    base = factors.fit(x, Spec("a", n_components=2), np.ones(6), DIMS).reconstruct(x, 2)
     for m in ("ledoit_wolf", "oas"):
-        other = factors.fit_pca(x, Spec("b", covariance_method=m), np.ones(6), DIMS).reconstruct(x, 2)
+        other = factors.fit(x, Spec("b", covariance_method=m), np.ones(6), DIMS).reconstruct(x, 2)
         assert np.allclose(base, other)
 
 
 def test_full_rank_is_exact_and_errors_fall():
     x = rows()
-    model = factors.fit_pca(x, Spec("a", vega_weight_power=0.5), np.arange(1.0, 7.0), DIMS)
+    model = factors.fit(x, Spec("a", vega_weight_power=0.5), np.arange(1.0, 7.0), DIMS)
     errors = [np.linalg.norm(((model.reconstruct(x, k) - x) * model.weights)) for k in range(7)]
     assert errors[6] < 1e-9 and all(a >= b - 1e-9 for a, b in zip(errors, errors[1:]))
     assert np.allclose(model.vectors.T @ model.vectors, np.eye(6))
-    two = factors.fit_two_way(x, DIMS)
+    two = factors.fit(x, Spec("s", family="separable"), np.ones(6), DIMS)
     assert np.allclose(two.reconstruct(x, 3, 2), x)
 
 
@@ -63,7 +64,7 @@ def test_bad_inputs():
     with pytest.raises(ValueError):
         linalg.estimate_covariance(rows(), "separable_shrink", 0.5)
     assert len(factors.default_specs()) == 72 and len({s.name for s in factors.default_specs()}) == 72
-    assert factors.fit_two_way(np.ones((1, 6)), DIMS).mean.shape == (6,)
+    assert factors.fit(np.ones((1, 6)), Spec("s", family="separable"), np.ones(6), DIMS).mean.shape == (6,)
     with pytest.raises(np.linalg.LinAlgError):
         linalg.constrained_least_squares(np.eye(2), np.ones(2), np.ones((2, 2)), np.array([1.0, 2.0]))
 
@@ -109,4 +110,120 @@ def test_failed_fits_are_rows(spark):
     book = spark.createDataFrame([("1Y", "5Y", 1.0), ("1Y", "10Y", 2.0)], "expiry string, tenor string, vega double")
     specs = [Spec("pca", n_components=1), Spec("two", family="separable", r_expiry=1, r_tenor=1)]
     found = validate.walk_forward(surface, grid, book, specs, [1], 2, 2).collect()
+    assert {r["failure"] for r in found if r["model"] == "pca"} == {"ValueError: a covariance needs two rows or more"}
     assert {r["model"] for r in found if r["failure"]} == {"pca"} and {r["model"] for r in found if not r["failure"]} == {"two"}
+
+
+def vectors(spark, x, parts=5):
+    import datetime as dt
+
+    days = [(t, dt.date(2024, 1, 1) + dt.timedelta(days=t), v.tolist(), v.tolist(), np.abs(v).tolist()) for t, v in enumerate(x)]
+    return spark.createDataFrame(days, "t long, date date, x array<double>, dvol array<double>, prev array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize("method", ["sample", "ledoit_wolf", "oas", "diagonal_shrink", "correlation_shrink", "factor_diag", "separable_shrink"])
+@pytest.mark.parametrize("n", [4, 30])
+def test_distributed_estimates_equal_those_of_rows(spark, method, n):
+    x = rows(n) + np.arange(6)
+    for alpha in (0.4, 1.5):
+        want = linalg.estimate_covariance(x - x.mean(axis=0), method, alpha, 2, DIMS)
+        got = np.zeros((6, 6))
+        for r in covariance.estimate(vectors(spark, x), DIMS, method, alpha, 2).collect():
+            got[r["i"], r["j"]] = got[r["j"], r["i"]] = r["c"]
+        assert np.allclose(got, want, atol=1e-8)
+    assert covariance.estimate(vectors(spark, x).limit(0), DIMS, method).count() == 0
+
+
+def test_published_shrinkage_of_rows():
+    """The closed forms of both papers, written out over rows."""
+    x = rows(25)
+    x = x - x.mean(axis=0)
+    n, p = x.shape
+    s = x.T @ x / n
+    mu = np.trace(s) / p
+    d2 = ((s - mu * np.eye(p)) ** 2).sum() / p
+    b2 = min(sum(((np.outer(r, r) - s) ** 2).sum() / p for r in x) / n**2, d2)
+    assert np.allclose(linalg.estimate_covariance(x, "ledoit_wolf"), b2 / d2 * mu * np.eye(p) + (1 - b2 / d2) * s)
+    rho = min(((s**2).mean() + mu**2) / ((n + 1) * ((s**2).mean() - mu**2 / p)), 1)
+    assert np.allclose(linalg.estimate_covariance(x, "oas"), (1 - rho) * s + rho * mu * np.eye(p))
+
+
+def test_sums_add_up_over_blocks(spark):
+    x = rows(23) + 2
+    whole = sums.Sums.of(x)
+    found = sums.block_sums(vectors(spark, x), {"even": np.ones(6), "half": np.full(6, 0.5)}, 5).collect()
+    assert {(r["weighting"], r["block"]) for r in found} == {(w, b) for w in ("even", "half") for b in range(5)}
+    added = sum(np.array(r["sums"]) for r in found if r["weighting"] == "even")
+    assert np.allclose(added, whole.flat()) and np.allclose(sums.Sums.from_flat(added).products, x.T @ x)
+    y = x - x.mean(axis=0)
+    mean, products, fourth = whole.centred()
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(products, y.T @ y) and np.isclose(fourth, ((y**2).sum(axis=1) ** 2).sum())
+
+
+def test_a_model_projects_rows_where_they_are(spark):
+    x, vega = rows(), np.arange(6.0) - 2
+    for spec in (Spec("a", n_components=2, vega_weight_power=0.5), Spec("s", family="separable", r_expiry=2, r_tenor=1), Spec("r", transform="log_relative", n_components=2)):
+        table = vectors(spark, x)
+        model, plain = factors.fit_rows(table, spec, vega, DIMS), factors.fit(x, spec, vega, DIMS)
+        hat = factors.absolute(factors.reconstruct(plain, x, spec), np.abs(x), spec.transform)
+        got = factors.projected(table, model, spec, vega).orderBy("t").toPandas()
+        assert np.allclose(got.projected_pnl, hat @ vega) and np.allclose(got.full_pnl, x @ vega)
+        parts = factors.contribution_rows(table, model, spec, vega).toPandas().pivot(index="t", columns="component", values="pnl")
+        want = factors.contributions(plain, x, np.abs(x), vega, spec)
+        assert set(parts.columns) == set(want) and all(np.allclose(parts[c], want[c]) for c in want)
+
+
+def test_without_a_mean():
+    x = rows() + 5
+    model = factors.fit(x, Spec("a", n_components=6), np.ones(6), DIMS, demean=False)
+    assert not model.mean.any() and np.allclose(model.values.sum(), (x**2).sum() / (len(x) - 1))
+
+
+def test_walk_forward_equals_fits_on_its_rows(spark):
+    import datetime as dt
+
+    from factorloom.operators.grid import make_grid
+
+    grid, x = make_grid(spark, ["1Y", "2Y", "3Y"], ["5Y", "10Y"]), np.exp(rows(30) / 20) * 30
+    labels = [(e, t) for e in ("1Y", "2Y", "3Y") for t in ("5Y", "10Y")]
+    surface = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(days=i), *at, float(v)) for i, row in enumerate(x) for at, v in zip(labels, row)], "date date, expiry string, tenor string, vol double")
+    book = spark.createDataFrame([(*at, float(k) - 2) for k, at in enumerate(labels)], "expiry string, tenor string, vega double")
+    specs = [Spec("a", n_components=2), Spec("w", n_components=2, vega_weight_power=1.0, covariance_method="ledoit_wolf"), Spec("l", transform="log_relative", n_components=1), Spec("s", family="separable", r_expiry=1, r_tenor=1)]
+    found = validate.walk_forward(surface, grid, book, specs, [8, 12], 4, 5, 6).toPandas()
+    vega, moved, prev = np.arange(6.0) - 2, {"absolute": x[1:] - x[:-1], "log_relative": np.log(x[1:] / x[:-1])}, x[:-1]
+    seen = 0
+    for spec in specs:
+        y = moved[spec.transform]
+        for window in (8, 12):
+            for fold, start in enumerate(range(6, 29, 5)):
+                train, test = y[max(0, start - window) : start], slice(start, start + 4)
+                hat = factors.absolute(factors.reconstruct(factors.fit(train, spec, vega, DIMS), y[test], spec), prev[test], spec.transform) @ vega
+                own = found[(found.model == spec.name) & (found.window == window) & (found.fold == fold)].sort_values("t")
+                assert np.allclose(own.projected_pnl, hat) and own.train_end.iloc[0] == dt.date(2024, 1, 2) + dt.timedelta(days=start - 1)
+                seen += len(own)
+    assert seen == len(found)
+    spec, window, chosen = report.best_report(surface, grid, book, specs, [8, 12], 4, 5)
+    tried = validate.summary(validate.walk_forward(surface, grid, book, specs, [8, 12], 4, 5), factors.specs_frame(spark, specs), [8, 12])
+    best = tried.toPandas().sort_values("error_rmse").iloc[0]
+    assert (spec.name, window) == (best["model"], best["window"]) and chosen.metrics.first()["n_test_obs"] == window
+    assert report.loadings(chosen.models, grid).count() > 0 and report.scatter_bounds(chosen.pnl).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    table = spark.createDataFrame([("m", 20, 2.0, 3.0), ("n", 20, 1.0, 3.0), ("o", 40, None, None)], "model string, window int, error_rmse double, error_p95_abs double")
+    files.write_results(table, str(tmp_path / "r"))
+    assert [r["model"] for r in spark.read.csv(str(tmp_path / "r"), header=True).collect()] == ["n", "m", "o"]
+    for form in ("parquet", "csv"):
+        files.write_predictions(table, str(tmp_path / form), form)
+        assert getattr(spark.read.option("header", True), form)(str(tmp_path / form)).count() == 3
+
+
+def test_source_switch(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("date,1Yx5Y\n2024-01-01,1.5\n")
+    (tmp_path / "v.csv").write_text(",5Y\n1Y,7\n")
+    surface, book = files.load_inputs(spark, "csv", surface=str(tmp_path / "s.csv"), vega=str(tmp_path / "v.csv"))
+    assert surface.first()["vol"] == 1.5 and book.first()["vega"] == 7.0
+    surface, book = files.load_inputs(spark, "tables", sf_dir="/root/testdata/sf0.001")
+    assert surface.columns == ["date", "expiry", "tenor", "vol"] and book.columns == ["expiry", "tenor", "vega"]
+    with pytest.raises(ValueError):
+        files.load_inputs(spark, "cloud")
