@@ -2,36 +2,43 @@
 
 A line's set is its distinct words. Words are ordered by rarity (those outside a bounded table of frequent words first), and two sets
 of enough similarity share a word among their first few. So each set is dealt out by the words of that prefix; length,
-positional and bitmap filters thin the pairs that meet, and the rest are verified on the full sets. Lines with equal sets are one class throughout.
+positional and bitmap filters thin the pairs that meet, and the rest are verified on the full sets. Lines with equal sets are one class throughout,
+named by a 64-bit hash of the set.
+
+The sets that share a common word first meet only the earliest few of them, which settles most lines of very many near copies. Those
+still open then meet all the others, in blocks of rows that are dealt to tasks in pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Slots
-from .common import batch_of, map_batches, slices, written
+from .common import batch_of, dropped, map_batches, slices, written
 from .lexicon import gather_runs
 from .neardup import confirmed, mixed
 from .substrings import LEAST_ID, named, packed_texts
 
 PERCENT = 80
-#: Frequent words that are ranked, and words a counting task keeps.
-RANKED, SUMMARY = 1 << 16, 300_000
+#: Frequent words that are ranked. Any order of words keeps the join exact.
+RANKED = 1 << 16
 #: Bytes of text whose prefixes one group of the join holds.
 GROUP_BYTES = 16 << 20
-#: A row of a prefix: the word, the line's set and its size, the word's place among its words, a bit for each of its words in two bitmaps, and
+#: Rows of a word beyond which they first meet the earliest ``PIVOTS`` of them, and rows of a block of such a word.
+COMMON, PIVOTS, BLOCK = 64, 3, 4096
+#: Sets whose names are broadcast to find their words in a scan of the texts (16 MB); more are joined with the texts instead.
+BROADCAST = 1 << 21
+#: A row of a prefix: the word, the line's set and its size, the word's place among its words, a bit for each of its words, and
 #: the document and place where its block has it first.
-PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def words_of(line: bytes) -> list[bytes]:
@@ -39,64 +46,88 @@ def words_of(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
+class Lines:
+    """The lines of a block of texts: each distinct line once, with its words as numbers into the block's vocabulary."""
+
+    def __init__(self, texts: pa.Array):
+        lines = pc.split_pattern(texts.cast(pa.string()), "\n")
+        #: How many lines each text has, and which distinct line each is.
+        self.lines = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+        coded = lines.flatten().dictionary_encode()
+        self.of_line = coded.indices.to_numpy(zero_copy_only=False)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(coded.dictionary))
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        kinds = words.flatten().dictionary_encode()
+        self.vocabulary = kinds.dictionary.cast(pa.binary()).to_pylist()
+        self.codes, self.owner = kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        if b"" in self.vocabulary:  # beside white space at an end
+            real = self.codes != self.vocabulary.index(b"")
+            self.codes, self.owner = self.codes[real], self.owner[real]
+        self.distinct = len(sizes)
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+
+
 def word_ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words, ascending, and their ranks from 1 on, rarer first. At most RANKED; any order of words keeps the join exact."""
-    def run(batches: Iterable[pa.RecordBatch]):
-        counts: Counter = Counter()
-        for batch in batches:
-            for part in slices(batch):
-                for text in part.column(2).cast(pa.binary()).to_pylist():
-                    counts.update(words_of(text))
-                if len(counts) > SUMMARY:
-                    counts = Counter(dict(counts.most_common(SUMMARY // 2)))
-        top = [(w, n) for w, n in counts.most_common(RANKED) if n > 1]
-        yield batch_of({"h": pa.int64(), "n": pa.int64()}, {"h": np.array([xxhash.xxh3_64_intdigest(w) for w, _ in top], np.uint64).view(np.int64), "n": [n for _, n in top]})
-
-    top = named(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
+    """Hashes of the most frequent words, ascending, and their ranks from 1 on, rarer first. Words that a block has once are left to the unranked."""
+    types = {"h": pa.int64(), "n": pa.int64()}
+
+    def work(batch):
+        block = Lines(batch.column(2))
+        times = np.bincount(block.of_line, minlength=block.distinct)
+        counts = np.bincount(block.codes, times[block.owner], len(block.hashes)).astype(np.int64)
+        often = np.flatnonzero(counts > 1)
+        return batch_of(types, {"h": block.hashes[often].view(np.int64), "n": counts[often]})
+
+    top = map_batches(named(docs), lambda: work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
     hashes = np.array(top["h"].to_numpy()).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
+NO_RANKS = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 class LineSets:
-    """The sets of a block's lines: hashes of distinct words in order of rarity, line by line."""
-
-    def __init__(self, texts: list[bytes], ranks: tuple[np.ndarray, np.ndarray]):
-        slots, codes, sizes, self.lines = Slots(), [], [], []
-        for text in texts:
-            lines = text.split(b"\n")
-            self.lines.append(len(lines))
-            for line in lines:
-                words = words_of(line)
-                codes.extend(map(slots.__getitem__, words))
-                sizes.append(len(words))
+    """The sets of a block's distinct lines: hashes of distinct words in order of rarity, line by line."""
+
+    def __init__(self, texts: pa.Array, ranks: tuple[np.ndarray, np.ndarray] = NO_RANKS):
+        block = Lines(texts)
+        self.lines, self.of_line, hashes = block.lines, block.of_line, block.hashes
         known, rank = ranks
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in slots), np.uint64, len(slots))
         at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
         own = np.where(known[at] == hashes, rank[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
         order = np.lexsort((hashes, own))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        both = np.unique(line << 32 | place[np.array(codes, np.int64)]) if len(codes) else np.zeros(0, np.int64)
+        both = np.unique(block.owner << 32 | place[block.codes]) if len(block.codes) else np.zeros(0, np.int64)
         self.words = hashes[order][both & 0xFFFFFFFF]
-        self.size = np.bincount(both >> 32, minlength=len(sizes))
+        self.size = np.bincount(both >> 32, minlength=block.distinct)
         self.start = np.cumsum(self.size) - self.size
-        spread = mixed(self.words)
-        total = np.append(np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64))
-        #: A number for each line's set, 0 for an empty one.
+        total = np.append(np.zeros(1, np.uint64), np.cumsum(mixed(self.words), dtype=np.uint64))
+        #: A number for each distinct line's set, 0 for an empty one.
         self.id = np.where(self.size > 0, mixed(total[self.start + self.size] - total[self.start] + self.size.astype(np.uint64)) | np.uint64(1), np.uint64(0)).view(np.int64)
 
-
-    def bitmaps(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two bitmaps of 64 places for each chosen line."""
+    def bitmaps(self, chosen: np.ndarray) -> np.ndarray:
+        """64 places for each chosen line."""
+        if not len(chosen):
+            return np.zeros(0, np.uint64)
         long = self.size[chosen]
         words = self.words[gather_runs(self.start[chosen], long)]
-        cuts = np.cumsum(long) - long
-        place = words % np.uint64(128)
-        bit = np.uint64(1) << (place % np.uint64(64))
-        zero = np.uint64(0)
-        return tuple(np.bitwise_or.reduceat(np.where(half, bit, zero), cuts) for half in (place < 64, place >= 64)) if len(chosen) else (words, words)
+        return np.bitwise_or.reduceat(np.uint64(1) << (words >> np.uint64(7)) % np.uint64(64), np.cumsum(long) - long)
+
+    def prefixes(self, docs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix rows of each set of the block once, with its first place, and the full hashes of their words."""
+        doc_of, line_of = np.repeat(docs, self.lines), gather_runs(np.zeros(len(self.lines), np.int64), self.lines)
+        by_place = np.lexsort((line_of, doc_of))
+        ids, first = np.unique(self.id[self.of_line[by_place]], return_index=True)
+        first = by_place[first][ids != 0]
+        own = self.of_line[first]
+        long = prefix_sizes(self.size[own], percent)
+        rows, words = np.zeros(int(long.sum()), PREFIX), self.words[gather_runs(self.start[own], long)]
+        rows["word"], rows["place"] = (words >> np.uint64(32)).astype(np.uint32), gather_runs(np.zeros(len(long), np.int64), long)
+        for name, values in (("line", self.id[own]), ("size", self.size[own]), ("bits", self.bitmaps(own)), ("doc", doc_of[first]), ("at", line_of[first])):
+            rows[name] = np.repeat(values, long)
+        return rows, words
 
 
 def prefix_sizes(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -104,142 +135,173 @@ def prefix_sizes(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
 
 
-class Bucket:
-    """Prefix rows of one group of words, each (word, set) once, with its first place; sorted by word and size."""
-
-    def __init__(self, rows: np.ndarray):
-        rows = rows[np.lexsort((rows["at"], rows["doc"], rows["line"], rows["size"], rows["word"]))]
-        if len(rows):
-            rows = rows[np.append(True, (rows[1:]["line"] != rows[:-1]["line"]) | (rows[1:]["word"] != rows[:-1]["word"]))]
-        self.rows = rows
-        self.word, self.size, self.place = (rows[c].astype(np.int64) for c in ("word", "size", "place"))
-        #: Ranks by first place; equal places (of rows with one doc_id) share a rank, and neither comes before the other.
-        order = np.lexsort((rows["at"], rows["doc"]))
-        d, at = rows["doc"][order], rows["at"][order]
-        self.rank = np.empty(len(rows), np.int64)
-        self.rank[order] = np.cumsum(np.append(False, (d[1:] != d[:-1]) | (at[1:] != at[:-1])))[: len(rows)]
-
-    def pairs(self, percent: int, chunk: int = 1 << 18, among: np.ndarray | None = None):
-        """Rows (later, earlier) of sets with a word in common that pass the length, positional and bitmap filters, in chunks; ``among`` keeps later rows that it marks."""
-        rows, size, place = self.rows, self.size, self.place
-        # Partners follow in the order of sizes, no longer than this.
-        reach = np.searchsorted(self.word << 31 | size, self.word << 31 | size * 100 // percent, "right")
-        partners = reach - np.arange(len(rows)) - 1
-        total = np.cumsum(partners)
-        begin = 0
-        while begin < len(rows):
-            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk, "right")))
-            mine = np.arange(begin, end)
-            a, b = np.repeat(mine, partners[begin:end]), gather_runs(mine + 1, partners[begin:end])
-            begin = end
-            if among is not None:
-                wanted = np.where(self.rank[a] > self.rank[b], among[a], among[b])
-                a, b = a[wanted], b[wanted]
-            least = -(-(size[a] + size[b]) * percent // (100 + percent))
-            # The shared word may be any of the common ones: at most those before it in both and those after it.
-            most = np.minimum(place[a], place[b]) + 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
-            # Two sets differ in at least as many words as their bitmaps do in bits.
-            apart = np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]).astype(np.int64) + np.bitwise_count(rows["more"][a] ^ rows["more"][b])
-            good = (most >= least) & (apart <= size[a] + size[b] - 2 * least) & (self.rank[a] != self.rank[b])
-            a, b = a[good], b[good]
-            swap = self.rank[a] > self.rank[b]
-            yield np.where(swap, a, b), np.where(swap, b, a)
-
-
-def rows_of(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, PREFIX), *(np.frombuffer(b, PREFIX) for b in table["blob"].to_pylist())])
-
-
-def first_candidates(table: pa.Table, percent: int) -> pa.Table:
-    """For each set and word the earliest candidate alone, and whether there are others: (group, later, earlier, more)."""
-    group, bucket = table["group"][0].as_py(), Bucket(rows_of(table))
-    best, count = np.full(len(bucket.rows), np.iinfo(np.int64).max), np.zeros(len(bucket.rows), np.int64)
-    width = len(bucket.rows) + 1
-    for later, earlier in bucket.pairs(percent):
-        np.minimum.at(best, later, bucket.rank[earlier] * width + earlier)
-        count += np.bincount(later, minlength=len(count))
-    found = np.flatnonzero(count)
-    line = bucket.rows["line"]
-    return pa.table({"group": np.full(len(found), group, np.int32), "later": line[found].copy(), "earlier": line[best[found] % width].copy(), "more": count[found] > 1})
-
-
-def all_candidates(blobs: pa.Table, asked: pa.Table, percent: int) -> pa.Table:
-    """Every candidate (later, earlier) of the sets asked for."""
-    bucket = Bucket(rows_of(blobs))
-    line, out = bucket.rows["line"], [np.zeros((0, 2), np.int64)]
-    if asked.num_rows:
-        for later, earlier in bucket.pairs(percent, among=np.isin(line, asked["later"].to_numpy())):
-            out.append(np.unique(np.stack([line[later], line[earlier]], axis=1), axis=0))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"later": pairs[:, 0].copy(), "earlier": pairs[:, 1].copy()})
+def packed_rows(rows: np.ndarray) -> bytes:
+    """Prefix rows column by column, compressed."""
+    return zstandard.compress(b"".join(rows[c].tobytes() for c in PREFIX.names), 1)
+
+
+def rows_of(blob: bytes) -> np.ndarray:
+    raw = zstandard.decompress(blob)
+    rows, at = np.zeros(len(raw) // PREFIX.itemsize, PREFIX), 0
+    for name in PREFIX.names:
+        rows[name] = np.frombuffer(raw, PREFIX[name], len(rows), at)
+        at += len(rows) * PREFIX[name].itemsize
+    return rows
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows with a word in common pass the length, positional and bitmap filters and b's set comes first in some block before a's."""
+    size_a, size_b, place_a, place_b = (x[c].astype(np.int64) for c in ("size", "place") for x in (a, b))
+    least = -(-(size_a + size_b) * percent // (100 + percent))
+    # The shared word may be any of the common ones: at most those before it in both and those after it.
+    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
+    # Two sets differ in at least as many words as their bitmaps do in bits.
+    apart = np.bitwise_count(a["bits"] ^ b["bits"])
+    fit = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (most >= least) & (apart <= size_a + size_b - 2 * least)
+    return fit & (a["line"] != b["line"]) & ((b["doc"] < a["doc"]) | (b["doc"] == a["doc"]) & (b["at"] < a["at"]))
+
+
+def meetings(a: np.ndarray, b: np.ndarray, percent: int, chunk: int = 1 << 18):
+    """(later, earlier) sets of rows of a with all rows of b, sorted by word and size, that have its word and may be similar; in chunks."""
+    key = b["word"].astype(np.int64) << 31 | b["size"]
+    word, size = a["word"].astype(np.int64) << 31, a["size"].astype(np.int64)
+    low = np.searchsorted(key, word | -(-size * percent // 100))
+    long = np.searchsorted(key, word | np.minimum(size * 100 // percent, (1 << 31) - 1), "right") - low
+    total, begin = np.cumsum(long), 0
+    while begin < len(a):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk, "right")))
+        one, two = np.repeat(np.arange(begin, end), long[begin:end]), gather_runs(low[begin:end], long[begin:end])
+        good = may_be_similar(a[one], b[two], percent)
+        yield np.unique(np.stack([a["line"][one[good]], b["line"][two[good]]], axis=1), axis=0)
+        begin = end
+
+
+def distinct_pairs(found: Iterable[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+
+
+FOUND = {"later": pa.int64(), "earlier": pa.int64(), "word": pa.int64(), "block": pa.int32(), "blob": pa.binary()}
+FOUND_SCHEMA = "later long, earlier long, word long, block int, blob binary"
+
+
+def candidates(table: pa.Table, percent: int) -> pa.Table:
+    """Of one group of words: pairs (later, earlier) of sets, all of them for a word of few rows and those with the earliest ones for a common word; and a common word's rows, in blocks."""
+    rows = np.concatenate([np.zeros(0, PREFIX), *(rows_of(b) for b in table["blob"].to_pylist())])
+    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["line"], rows["size"], rows["word"]))]
+    if len(rows):  # a set once a word, with its first place
+        rows = rows[np.append(True, (rows["line"][1:] != rows["line"][:-1]) | (rows["word"][1:] != rows["word"][:-1]))]
+    first = np.flatnonzero(np.append(True, rows["word"][1:] != rows["word"][:-1])) if len(rows) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(rows)))
+    common = np.repeat(many > COMMON, many)
+    found, blocks = [*meetings(rows[~common], rows[~common], percent)], []
+    for begin, n in zip(first[many > COMMON].tolist(), many[many > COMMON].tolist(), strict=True):
+        own = rows[begin : begin + n]
+        for pivot in np.lexsort((own["at"], own["doc"]))[:PIVOTS]:
+            good = may_be_similar(own, np.broadcast_to(own[pivot], n), percent)
+            found.append(np.stack([own["line"][good], np.full(int(good.sum()), own["line"][pivot])], axis=1))
+        blocks += [(int(own["word"][0]), k // BLOCK, packed_rows(own[k : k + BLOCK])) for k in range(0, n, BLOCK)]
+    pairs, group = distinct_pairs(found), table["group"][0].as_py()
+    none = [None] * len(pairs)
+    return pa.table({
+        "later": pa.array([*pairs[:, 0].tolist(), *[None] * len(blocks)], pa.int64()), "earlier": pa.array([*pairs[:, 1].tolist(), *[None] * len(blocks)], pa.int64()),
+        "word": pa.array([*none, *(group << 32 | w for w, _, _ in blocks)], pa.int64()), "block": pa.array([*none, *(k for _, k, _ in blocks)], pa.int32()), "blob": pa.array([*none, *(b for _, _, b in blocks)], pa.binary())})
+
+
+def sets_in_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(word, block, line) of blocks (word, block, blob)."""
+    lines = [rows_of(b)["line"] for b in batch.column(2).to_pylist()]
+    sizes = [len(x) for x in lines]
+    words, blocks = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in range(2))
+    return batch_of({"word": pa.int64(), "block": pa.int32(), "line": pa.int64()}, {"word": words, "block": blocks, "line": np.concatenate([np.zeros(0, np.int64), *lines])})
+
+
+def open_candidates(blocks: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """(later, earlier), once, of all pairs of a common word whose later set is not settled: each block with open sets meets each block of its word."""
+    still = map_batches(blocks, lambda: sets_in_blocks, "word long, block int, line long").hint("merge").join(settled, F.col("line") == F.col("later"), "left_anti")
+    asked = written(still.groupBy("word", "block").agg(F.collect_list("line").alias("open")), "line-open")
+    mine = asked.hint("merge").join(blocks, ["word", "block"]).select("word", "open", F.col("blob").alias("own"))
+    types = {"later": pa.int64(), "earlier": pa.int64()}
+
+    def work(batch):
+        found = []
+        for lines, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = rows_of(one), rows_of(two)
+            found.append(distinct_pairs(meetings(a[np.isin(a["line"], lines)], b, percent)))
+        pairs = distinct_pairs(found)
+        return batch_of(types, {"later": pairs[:, 0].copy(), "earlier": pairs[:, 1].copy()})
+
+    both = mine.hint("merge").join(blocks.select("word", "blob"), "word").select("open", "own", "blob")
+    return map_batches(both, lambda: work, "later long, earlier long").distinct()
 
 
 def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(row, doc, lines): each text's sets in order; and (later), once, of all sets to which a similar one comes first.
-
-    First each set meets, for each prefix word, its earliest candidate; what that settles is done, so the lines of very many near
-    copies make no pairs among themselves. Sets still open then meet all their candidates.
-    """
+    """(row, doc, lines): each text's sets in order; and (later), once, of all sets to which a similar one comes first."""
     ranks = word_ranks(docs)
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = int(max(1, -(-volume // GROUP_BYTES)))
-    types = {"group": pa.int32(), "blob": pa.binary(), "row": pa.int64(), "doc": pa.int64(), "lines": pa.list_(pa.int64())}
+    types = {"row": pa.int64(), "doc": pa.int64(), "lines": pa.list_(pa.int64())}
+
+    def own_ids(batch) -> np.ndarray:
+        return pc.fill_null(batch.column(1), LEAST_ID).to_numpy(zero_copy_only=False)
+
+    def sets_of(batch):
+        sets = LineSets(batch.column(2))
+        ends = np.append(0, np.cumsum(sets.lines)).astype(np.int32)
+        return batch_of(types, {"row": batch.column(0), "doc": own_ids(batch), "lines": pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.id[sets.of_line]))})
+
+    def prefixes_of(batch):
+        rows, words = LineSets(batch.column(2), ranks).prefixes(own_ids(batch), percent)
+        group = (words % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        rows, group = rows[order], group[order]
+        cuts = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist(), len(rows)] if len(rows) else [0]
+        return batch_of({"group": pa.int32(), "blob": pa.binary()}, {"group": group[cuts[:-1]].astype(np.int32), "blob": [packed_rows(rows[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]})
+
+    lines = written(map_batches(named(docs), lambda: sets_of, "row long, doc long, lines array<long>"), "line-sets")
+    dealt = map_batches(named(docs), lambda: prefixes_of, "group int, blob binary").groupBy("group")
+    found = written(dealt.applyInArrow(lambda t: candidates(t, percent), FOUND_SCHEMA), "line-candidates")
+    pairs, blocks = found.where("later is not null").select("later", "earlier").distinct(), found.where("blob is not null").select("word", "block", "blob")
+    settled = written(confirmed_late(docs, lines, pairs, percent), "line-settled")
+    rest = written(open_candidates(blocks, settled, percent).hint("merge").join(pairs, ["later", "earlier"], "left_anti"), "line-rest")
+    late = written(settled.union(confirmed_late(docs, lines, rest, percent)).distinct(), "line-late")
+    dropped(found, settled, rest)
+    return lines, late
 
-    def make():
-        def work(batch):
-            out: dict[str, list] = {k: [] for k in types}
-            sets = LineSets(batch.column(2).cast(pa.binary()).to_pylist(), ranks)
-            at = 0
-            for row, doc, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets.lines, strict=True):
-                for k, v in zip(types, (None, None, row, LEAST_ID if doc is None else doc, sets.id[at : at + n]), strict=True):
-                    out[k].append(v)
-                at += n
-            counts = np.array(sets.lines)
-            own = np.array([LEAST_ID if d is None else d for d in batch.column(1).to_pylist()], np.int64)
-            doc_of, line_of = np.repeat(own, counts), gather_runs(np.zeros(len(counts), np.int64), counts)
-            by_place = np.lexsort((line_of, doc_of))
-            ids, first = np.unique(sets.id[by_place], return_index=True)
-            first = by_place[first]
-            first = first[ids != 0]
-            long = prefix_sizes(sets.size[first], percent)
-            rows = np.zeros(int(long.sum()), PREFIX)
-            words = sets.words[gather_runs(sets.start[first], long)]
-            rows["word"], rows["line"] = (words >> np.uint64(32)).astype(np.uint32), np.repeat(sets.id[first], long)
-            rows["size"], rows["place"] = np.repeat(sets.size[first], long), gather_runs(np.zeros(len(long), np.int64), long)
-            rows["bits"], rows["more"] = (np.repeat(bits, long) for bits in sets.bitmaps(first))
-            rows["doc"], rows["at"] = np.repeat(doc_of[first], long), np.repeat(line_of[first], long)
-            group = (words % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(groups + 1))
-            for g in range(groups):
-                if cuts[g] < cuts[g + 1]:
-                    for k, v in zip(types, (g, rows[order[cuts[g] : cuts[g + 1]]].tobytes(), None, None, None), strict=True):
-                        out[k].append(v)
-            return batch_of(types, out)
 
-        return work
+def confirmed_late(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(later), once, of the pairs (later, earlier) that their full sets confirm. Where the sets asked for are few enough their names go to a scan of the texts."""
+    pairs = written(pairs.select("later", "earlier"), "line-pairs")
+    wanted = written(pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct(), "line-wanted")
+    sets = scanned_sets(docs, wanted) if wanted.count() <= BROADCAST else joined_sets(docs, lines, wanted)
+    return confirmed(pairs.toDF("a", "b"), sets, percent).select(F.col("a").alias("later")).distinct()
+
 
-    mapped = written(map_batches(named(docs), make, "group int, blob binary, row long, doc long, lines array<long>"), "line-sets")
+SET_TYPES = {"node": pa.int64(), "shingles": pa.list_(pa.int64())}
 
-    blobs = mapped.where("group is not null").select("group", "blob")
-    lines = mapped.where("row is not null").select("row", "doc", "lines")
-    picked = written(blobs.groupBy("group").applyInArrow(lambda t: first_candidates(t, percent), "group int, later long, earlier long, more boolean"), "line-picks")
-    settled = written(confirmed_late(docs, lines, picked.select("later", "earlier").distinct(), percent), "line-settled")
-    unsettled = picked.where("more").select("group", "later").hint("merge").join(settled, "later", "left_anti")
-    rest = blobs.groupBy("group").cogroup(unsettled.groupBy("group")).applyInArrow(lambda a, b: all_candidates(a, b, percent), "later long, earlier long")
-    rest = written(rest.distinct().hint("merge").join(picked.select("later", "earlier").distinct(), ["later", "earlier"], "left_anti"), "line-rest")
-    return lines, settled.union(confirmed_late(docs, lines, rest, percent)).distinct()
 
+def scanned_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, word hashes) of the sets asked for, at most BROADCAST of them, from a scan of all texts."""
+    names = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["node"].to_numpy()))
 
-def confirmed_late(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(later), once, of the pairs (later, earlier) that their full sets confirm."""
-    wanted = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
+    def work(batch):
+        sets, known = LineSets(batch.column(2)), names.value
+        ids, first = np.unique(sets.id, return_index=True)
+        at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+        chosen = first[known[at] == ids] if len(known) else first[:0]
+        long = sets.size[chosen]
+        words = sets.words[gather_runs(sets.start[chosen], long)].view(np.int64)
+        return batch_of(SET_TYPES, {"node": sets.id[chosen], "shingles": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(long)).astype(np.int32)), pa.array(words))})
+
+    return map_batches(named(docs), lambda: work, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def joined_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, word hashes) of the sets asked for, however many, from the texts that have them first."""
     places = lines.select("row", F.posexplode("lines").alias("line", "node"))
     first = places.hint("merge").join(wanted, "node").groupBy("node").agg(F.min(F.struct("row", "line")).alias("at"))
     asked = first.groupBy("at.row").agg(F.collect_list(F.struct("at.line", "node")).alias("asked"))
     texts = packed_texts(docs).hint("merge").join(asked, "row").select("packed", F.col("asked.line").alias("line"), F.col("asked.node").alias("node"))
-    sets = written(map_batches(texts, lambda: asked_sets, "node long, shingles array<long>"), "line-words")
-    return confirmed(pairs.toDF("a", "b"), sets, percent).select(F.col("a").alias("later")).distinct()
+    return map_batches(texts, lambda: asked_sets, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def asked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -250,7 +312,7 @@ def asked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         for line, name in zip(lines, names, strict=True):
             nodes.append(name)
             sets.append(np.array([xxhash.xxh3_64_intdigest(w) for w in set(words_of(split[line]))], np.uint64).view(np.int64))
-    return batch_of({"node": pa.int64(), "shingles": pa.list_(pa.int64())}, {"node": nodes, "shingles": sets})
+    return batch_of(SET_TYPES, {"node": nodes, "shingles": sets})
 
 
 def late_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from held import same
 
@@ -120,6 +121,28 @@ def test_lines_over_many_groups(crafted, monkeypatch):
     same(lines.line_report(crafted.repartition(9)).toPandas(), plain_lines(rows_of(crafted)))
 
 
+@pytest.mark.parametrize("way", ["common words", "texts joined"])
+def test_lines_of_common_words_and_many_sets(crafted, monkeypatch, way):
+    monkeypatch.setattr(lines, *(("COMMON", 3) if way == "common words" else ("BROADCAST", 0)))
+    monkeypatch.setattr(lines, "BLOCK", 4)
+    same(lines.line_report(crafted).toPandas(), plain_lines(rows_of(crafted)))
+
+
+def test_lines_are_removed(crafted):
+    want = {}
+    for d, n, gone, digest in plain_lines(rows_of(crafted)):
+        want.setdefault((d, digest), []).append(n - gone)
+    got = [(r["doc_id"], r["text"]) for r in lines.without_late_lines(crafted).collect()]
+    assert len(got) == crafted.count() and all((d, sha(t.encode())) in want for d, t in got)
+
+
+def test_words_are_those_of_bytes():
+    texts = [" a\tB\x0bc\x0cd \x1ce\u00a0f\r\n\nX x\n", "", "\u00c9t\u00c9 A"]
+    sets = lines.LineSets(pa.array(texts))
+    want = [frozenset(lines.words_of(line)) for t in texts for line in t.encode().split(b"\n")]
+    assert sets.lines.tolist() == [4, 1, 1] and [sets.size[i] for i in sets.of_line] == [len(w) for w in want]
+
+
 # ---- near copies --------------------------------------------------------------------------------
 
 
@@ -241,7 +264,42 @@ def test_completion_finds_what_best_fit_misses():
         found = packing.bin_completion(counts, 10)
         placed = Counter(s for f, n in found for s in f for _ in range(n))
         assert all(placed[s] == counts[s] for s in range(1, 11)) and all(sum(f) <= 10 for f, _ in found)
-        assert sum(n for _, n in found) == packing.lower_bound(counts, 10) or sum(n for _, n in found) <= packing.lower_bound(counts, 10) + 1
+        assert sum(n for _, n in found) <= packing.lower_bound(counts, 10) + 1
+
+
+def fewest_bins(pieces, capacity):
+    """By trying every bin for every piece."""
+    best = [len(pieces)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(bins)
+            return
+        for room in set(bins):
+            if room >= pieces[i]:
+                rest = list(bins)
+                rest[rest.index(room)] -= pieces[i]
+                place(i + 1, rest)
+        place(i + 1, [*bins, capacity - pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_completion_needs_as_few_bins_as_any():
+    rng = np.random.default_rng(8)
+    for capacity in (12, 17, 30):
+        for _ in range(25):
+            pieces = sorted(rng.integers(2, capacity, rng.integers(4, 10)).tolist(), reverse=True)
+            counts = [pieces.count(s) for s in range(capacity + 1)]
+            assert sum(n for _, n in packing.bin_completion(counts, capacity, 10**6)) == fewest_bins(pieces, capacity)
+
+
+def test_fillings_leave_out_only_dominated_ones():
+    counts = [0, 2, 2, 1, 0, 1, 0, 1]
+    assert list(packing.fillings(counts, 4)) == [(3, 1), (2, 2), (3,)]  # not (2, 1, 1): a 3 could stand for 2 and 1
 
 
 # ---- the pipeline -------------------------------------------------------------------------------
