@@ -21,8 +21,8 @@ from .bpe import WORDS, Vocabulary
 from .common import batch_of, body, map_batches, written
 
 CAPACITY, END_ID = 1024, 2
-#: Fillings that the search may try, over all, before it returns the best packing so far; and fillings tried around one document.
-NODES, BRANCHES = 5_000, 4
+#: Fillings that the search may try, over all, before it returns the best packing so far: its one bound.
+NODES = 5_000
 
 Filling = tuple[int, ...]
 
@@ -67,58 +67,70 @@ def best_fit_decreasing(counts: list[int], capacity: int) -> list[tuple[Filling,
     return [(f, n) for bins in open_bins.values() for f, n in bins]
 
 
-def reachable(counts: list[int], room: int) -> tuple[int, Filling]:
-    """The largest sum of at most ``room`` that pieces can make, and such pieces, found with one bit set a length."""
-    sums, steps = 1, []
-    mask = (1 << (room + 1)) - 1
-    for size in range(min(room, len(counts) - 1), 0, -1):
-        left, k = min(counts[size], room // size), 1
-        while left:
+def sums_from(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """For each place in ``sizes``, the sums up to ``room`` that pieces of it and the later sizes can make, as bits."""
+    out, sums, mask = [1] * (len(sizes) + 1), 1, (1 << (room + 1)) - 1
+    for i in range(len(sizes) - 1, -1, -1):
+        left, k = min(counts[sizes[i]], room // sizes[i]), 1
+        while left:  # by multiples of 1, 2, 4, ...
             take = min(k, left)
-            steps.append((size, take, sums))
-            sums |= (sums << (size * take)) & mask
+            sums |= sums << (sizes[i] * take) & mask
             left, k = left - take, k * 2
-        if sums >> room & 1:
-            break
-    best = at = sums.bit_length() - 1
-    out: list[int] = []
-    for size, take, before in reversed(steps):
-        if not before >> at & 1:
-            out += [size] * take
-            at -= size * take
-    return best, tuple(sorted(out, reverse=True))
+        out[i] = sums
+    return out
 
 
 def fillings(counts: list[int], room: int) -> Iterator[Filling]:
-    """Undominated fillings of ``room``, least waste first.
+    """All undominated fillings of ``room`` by available pieces, larger sums first and among equal sums larger pieces first.
 
-    A single piece dominates all fillings that are no larger, so pairs and more are tried only above the largest single.
-    Of equal sums, fewer pieces come first; one in which two pieces could be one available piece of at least their sum is dominated.
+    One piece dominates every filling that is no larger, so sums end there. A filling in which a free piece could take the place of two, being
+    at least as large as both and no larger than they and the waste, is dominated by that exchange: the two fit wherever the one would be.
     """
     sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
-    single = sizes[0] if sizes else 0
-    if single == room or not single:
-        yield (single,) if single else ()
+    if not sizes:
+        yield ()
         return
-    for total in range(room, max(single, room - 16), -1):
-        for a in sizes:
-            b = total - a
-            if b > a:
-                break
-            if b > 0 and counts[b] and (a != b or counts[a] > 1):
-                yield (a, b)
-    best, many = reachable(counts, room)
-    if best > single and len(many) > 1 and (len(many) > 2 or best <= room - 16):
-        yield many
+    single, free = sizes[0], counts.copy()
+    if single < room:
+        sums = sums_from(sizes, counts, room)
+        available = sum(1 << s for s in sizes)
+        for total in range(room, single, -1):
+            if sums[0] >> total & 1:
+                yield from completions(sizes, sums, free, available, 0, total, room - total, [])
     yield (single,)
 
 
+def completions(sizes: list[int], sums: list[int], free: list[int], available: int, start: int, rest: int, waste: int, chosen: list[int]) -> Iterator[Filling]:
+    """Undominated ways to add pieces of just ``rest`` to those chosen, of sizes from ``start`` on. ``free`` counts what is left beside them."""
+    if not rest:
+        yield tuple(chosen)
+        return
+    if not sums[start] >> rest & 1:
+        return
+    for i in range(start, len(sizes)):
+        size = sizes[i]
+        if size > rest or not free[size] or not sums[i] >> (rest - size) & 1:
+            continue
+        free[size] -= 1
+        dominated = False
+        for other in chosen:
+            swaps = available >> (size + other) & ((2 << waste) - 1)
+            while swaps and not dominated:
+                dominated = free[size + other + (swaps & -swaps).bit_length() - 1] > 0
+                swaps &= swaps - 1
+        if not dominated:
+            chosen.append(size)
+            yield from completions(sizes, sums, free, available, i, rest - size, waste, chosen)
+            chosen.pop()
+        free[size] += 1
+
+
 def bin_completion(counts: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
     """Packs ``counts[size]`` pieces of each size into few bins: fillings and how many bins have each.
 
-    Depth-first branch and bound around the largest size left. A filling is used as often as its pieces allow. Best-fit decreasing
-    gives the first incumbent; a branch whose waste leaves no better total is cut; the search ends at the lower bound or after
-    ``nodes`` fillings. A better incumbent replaces the former.
+    Depth-first branch and bound around the largest size left, over all undominated fillings, each first as often as its pieces allow and
+    then once. Best-fit decreasing gives the first incumbent; a branch whose waste leaves no better total is cut; the search ends at the
+    lower bound, when nothing is left to try, or after ``nodes`` fillings. A better incumbent replaces the former.
     """
     total = sum(size * n for size, n in enumerate(counts))
     best = best_fit_decreasing(counts, capacity)
@@ -127,23 +139,15 @@ def bin_completion(counts: list[int], capacity: int = CAPACITY, nodes: int = NOD
     path: list[tuple[Filling, int, Iterator]] = []
     largest = capacity
 
-    def options() -> Iterator[Filling]:
-        left[largest] -= 1
-        found = []
-        for f in fillings(left, capacity - largest):
-            found.append((largest, *f))
-            if len(found) == BRANCHES:
-                break
-        left[largest] += 1
-        return iter(found)
-
-    def undo() -> None:
-        nonlocal used, wasted, largest
-        filling, times, _ = path[-1]
-        for size in filling:
-            left[size] += times
-        used, wasted = used - times, wasted - times * (capacity - sum(filling))
-        largest = filling[0]
+    def options() -> Iterator[tuple[Filling, int]]:
+        own, around = left.copy(), largest
+        own[around] -= 1
+        for more in fillings(own, capacity - around):
+            filling = (around, *more)
+            most = min(left[size] // filling.count(size) for size in set(filling))
+            yield filling, most
+            if most > 1:
+                yield filling, 1
 
     choice = None
     while bins > bound:
@@ -156,18 +160,17 @@ def bin_completion(counts: list[int], capacity: int = CAPACITY, nodes: int = NOD
                 choice = iter(())
             else:
                 choice = options()
-        filling = next(choice, None)
-        if nodes <= 0 or filling is None and not path:
+        option = next(choice, None)
+        if nodes <= 0 or option is None and not path:
             break
-        if filling is None:
-            undo()
-            choice = path.pop()[2]
+        if option is None:
+            filling, times, choice = path.pop()
+            for size in filling:
+                left[size] += times
+            used, wasted, largest = used - times, wasted - times * (capacity - sum(filling)), filling[0]
             continue
         nodes -= 1
-        need: dict[int, int] = {}
-        for size in filling:
-            need[size] = need.get(size, 0) + 1
-        times = min(left[size] // n for size, n in need.items())
+        filling, times = option
         waste = times * (capacity - sum(filling))
         if wasted + waste + total > (bins - 1) * capacity:
             continue
