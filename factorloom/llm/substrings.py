@@ -94,7 +94,7 @@ def runs_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 # ---- packed runs of a block, by group -----------------------------------------------------------
 
-RUN = np.dtype([("anchor", "<u4"), ("string", "<u4"), ("more", "<u2"), ("low", "<u2"), ("count", "u1")])
+RUN = np.dtype([("anchor", "<u4"), ("string", "<u4"), ("more", "<u4"), ("low", "<u2"), ("count", "u1")])
 UNIT = np.dtype([("row", "<i8"), ("doc", "<i8"), ("base", "<u4"), ("runs", "<u4")])
 FLAG = np.dtype([("row", "<i8"), ("low", "<i8"), ("count", "<i8")])
 
@@ -121,7 +121,7 @@ def pack_block(rows: np.ndarray, docs: np.ndarray, found: list, groups: int) ->
     for begin, end in pairwise([*cuts, len(kept)]):
         at = kept[begin:end]
         runs = np.zeros(len(at), RUN)
-        runs["anchor"], runs["string"], runs["more"] = short[at], string[at] & np.uint64(0xFFFFFFFF), (string[at] >> np.uint64(32)) & np.uint64(0xFFFF)
+        runs["anchor"], runs["string"], runs["more"] = short[at], string[at] & np.uint64(0xFFFFFFFF), string[at] >> np.uint64(32)
         base = low[at] & ~0xFFFF
         runs["low"], runs["count"] = low[at] - base, count[at]
         first = np.flatnonzero(np.append(True, (unit[at][1:] != unit[at][:-1]) | (base[1:] != base[:-1])))
