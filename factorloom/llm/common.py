@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +17,11 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and driver and executors are one process."""
     place = spark.sparkContext.getConf().get(SHARED) or spark.conf.get(SHARED, None)
     if not place:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError(f"set {SHARED} to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="factorloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         place = f"file://{local}"
@@ -39,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that :func:`written` made, when nothing that is still to run reads them."""
     for table in tables:

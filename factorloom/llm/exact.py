@@ -9,12 +9,16 @@ those are appended.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import body, scratch_path, written
+from .common import body, path_exists, scratch_path, written
+
+#: Ranges of doc_id, one after the other, in which a whole table is admitted.
+RANGES = 2
 
 
 def digest(column: str = "text") -> Column:
@@ -22,13 +26,25 @@ def digest(column: str = "text") -> Column:
     return F.unhex(F.sha2(body(column), 256))
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, row) of every row, written."""
+    return written(docs.select(F.col("doc_id").cast("long"), digest().alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+
+
 class DigestIndex:
-    """Digests admitted so far: (digest, keep_id), bucketed and sorted by digest."""
+    """Digests admitted so far: (digest, keep_id), bucketed and sorted by digest.
+
+    The files at ``path`` are the index; the catalogue's entry is made anew where it is missing, as after a restart. Files that are
+    there but cannot be opened as an index raise.
+    """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 48):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or scratch_path(spark, "digest-index")
+        if not self.exists() and path_exists(spark, self.path):
+            self.buckets = spark.read.parquet(f"{self.path}-layout").first()["buckets"]
+            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -38,22 +54,18 @@ class DigestIndex:
 
     def append(self, groups: DataFrame) -> None:
         """Adds one row a digest; each bucket is written by one task."""
-        (groups.select("digest", "keep_id").repartition(self.buckets, "digest").write.mode("append").format("parquet")
+        if not self.exists():
+            self.spark.createDataFrame([(self.buckets,)], "buckets int").write.mode("overwrite").parquet(f"{self.path}-layout")
+        (groups.select("digest", F.col("keep_id").cast("long").alias("keep_id")).repartition(self.buckets, "digest").write.mode("append").format("parquet")
          .option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
-    def admit(self, docs: DataFrame) -> DataFrame:
-        """Decides on every row of ``docs`` and appends its new digests.
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """(digest, keep_id, keep_row, group_size), one row a digest of ``rows`` (doc_id, digest, row); new digests are appended.
 
-        Returns one row a row: doc_id, keep_id, group_size (rows of this batch with the text), kept,
-        text_sha256. Of equal texts the row with the largest doc_id stays (a null doc_id counts as the
-        smallest); of repeated rows with the same doc_id and text exactly one stays; if the index has the
-        text already, none stays and keep_id is the indexed row's. Null text counts as empty. An empty table gives
-        an empty result. Further columns are ignored.
+        keep_row is the row that stays, null if the index had the text before; keep_id is then the indexed row's.
         """
-        rows = written(docs.select("doc_id", digest().alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
         groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
-        groups = groups.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size")
-        groups = written(groups, "digest-groups")
+        groups = written(groups.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size"), "digest-groups")
         fresh = groups
         if self.exists():
             known = self.table().withColumnRenamed("keep_id", "known_id")
@@ -61,19 +73,51 @@ class DigestIndex:
             seen = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), "group_size")
             groups = written(fresh.union(seen), "digest-decisions")  # before the index grows
         self.append(fresh)
-        return rows.hint("merge").join(groups, "digest").select(
-            "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        return groups
+
+    def admit(self, docs: DataFrame) -> DataFrame:
+        """Decides on every row of ``docs`` and appends its new digests.
+
+        Returns one row a row: doc_id, keep_id, group_size (rows of this batch with the text), kept,
+        text_sha256. Of equal texts the row with the largest doc_id stays (a null doc_id counts as the
+        smallest); of repeated rows with the same doc_id and text exactly one stays; if the index has the
+        text already, none stays and keep_id is the indexed row's. Null text counts as empty. An empty table gives
+        an empty result. Further columns are ignored.
+        """
+        rows = digests(docs)
+        return judged(rows, self.decide(rows))
+
+
+def judged(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The decisions on digests, row by row. ``groups`` is a written table, so Spark can split a digest of very many rows."""
+    return rows.hint("merge").join(groups, "digest").select(
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
 
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES) -> DataFrame:
+    """All of ``docs`` against one index, by ranges of doc_id from the highest down and null ids last; see :meth:`DigestIndex.admit`.
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """All of ``docs`` against an index of its own; see :meth:`DigestIndex.admit`."""
-    return DigestIndex(docs.sparkSession).admit(docs)
+    So of equal texts the largest doc_id is the first to be admitted, and the anti-join drops the others of later ranges. group_size
+    counts the rows of all ranges.
+    """
+    index, rows = index or DigestIndex(docs.sparkSession), digests(docs)
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)]).alias("at")).first()["at"] or []
+    edges = [None, *sorted(set(cuts), reverse=True), None]
+    parts = []
+    for above, low in zip(edges, edges[1:], strict=False):
+        inside = F.lit(True) if above is None else F.coalesce(F.col("doc_id") < above, F.lit(True))
+        parts.append(index.decide(rows.where(inside & (F.lit(True) if low is None else F.coalesce(F.col("doc_id") >= low, F.lit(False))))))
+    groups = reduce(DataFrame.union, parts).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("keep_row").alias("keep_row"), F.sum("group_size").alias("group_size"))
+    return judged(rows, written(groups, "digest-groups"))
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without its exact copies, all columns as they were; the rows that stay are those that :func:`exact_dedup` keeps."""
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"))
-    own = docs.withColumn("_digest", digest())
-    paired = own.join(kept.hint("merge"), own["doc_id"].eqNullSafe(kept["_kept_id"]) & (own["_digest"] == kept["_kept_digest"]))
-    once = W.partitionBy("doc_id", "_digest").orderBy(F.lit(0))
-    return paired.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)
+    """``docs`` without its exact copies, all columns as they were whatever their names; the rows that stay are those that :func:`exact_dedup` keeps.
+
+    Null texts count as empty, null ids as the smallest; of repeated rows one stays; an empty table stays empty.
+    """
+    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), digest().alias("digest"))
+    paired = own.hint("merge").join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    once = W.partitionBy("id", "digest").orderBy(F.lit(0))
+    return paired.withColumn("copy", F.row_number().over(once)).where("copy = 1").select("row.*")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from held import frame, same
 
-from factorloom.llm import bpe, exact, language, lexicon, prints, secrets, toxicity
+from factorloom.llm import bpe, exact, language, lexicon, neardup, prints, secrets, toxicity
 from factorloom.llm.queries import tokenizer_file
 
 sha = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
@@ -82,12 +82,16 @@ def test_checksummed_tokens(spark):
     while value:
         value, d = divmod(value, 58)
         key = secrets.BASE58[d] + key
-    text = f"é ghp_{payload}{digits} ghp_{payload}000000 {key} {key[:-1]}1"
-    got = secrets.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
-    at = text.index(key)
-    assert got == f"forge_token:2:{6 + 36},extended_key:{at}:{at + 111}" or got.count("forge_token") == 1 and got.count("extended_key") == 1
-    redacted = secrets.redact_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
-    assert redacted == f"é <forge_token> ghp_{payload}000000 <extended_key> {key[:-1]}1"
+    npm = f"npm_{payload}{digits}"
+    texts = [f"é ghp_{payload}{digits} ghp_{payload}000000 {key} {key[:-1]}1", f"{npm}, {npm}x, ghx_{payload}{digits}", ""]
+    plain = {"forge_token": (r"gh[opusr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", {f"ghp_{payload}{digits}"}), "package_token": (r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", {npm}), "extended_key": (r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![1-9A-HJ-NP-Za-km-z])", {key})}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = frame(secrets.secret_report(docs), "doc_id")
+    for i, text in enumerate(texts):
+        good = [f"{kind}:{m.start()}:{m.end()}" for kind, (p, valid) in plain.items() for m in re.finditer(p, text) if m[0] in valid]
+        assert [x for x in got.spans[i].split(",") if x and x.split(":")[0] in plain] == sorted(good, key=lambda x: int(x.split(":")[1]))
+    redacted = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert redacted[0] == f"é <forge_token> ghp_{payload}000000 <extended_key> {key[:-1]}1" and redacted[1] == f"<package_token>, {npm}x, ghx_{payload}{digits}"
 
 
 # ---- exact dedup --------------------------------------------------------------------------------
@@ -117,16 +121,54 @@ def test_exact_dedup(table, request):
     assert stays.columns == docs.columns and stays.count() == len({r["text"] or "" for r in docs.collect()})
 
 
+def small_batch(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
 def test_index_is_kept_between_batches(spark, tmp_path):
     index = exact.DigestIndex(spark, path=str(tmp_path / "index"), buckets=4)
-    batch = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    index.admit(batch([(1, "a"), (2, "b")])).collect()
-    got = frame(index.admit(batch([(3, "a"), (4, "c"), (5, "c")])), "doc_id")
+    index.admit(small_batch(spark, [(1, "a"), (2, "b")])).collect()
+    got = frame(index.admit(small_batch(spark, [(3, "a"), (4, "c"), (5, "c")])), "doc_id")
     same(got[["doc_id", "keep_id", "group_size", "kept"]], [(3, 1, 1, False), (4, 5, 2, False), (5, 5, 2, True)])
     assert index.table().count() == 3
     spark.sql(f"drop table {index.name}")
 
 
+def test_index_outlives_its_catalogue_entry(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = exact.DigestIndex(spark, "kept_index", path, buckets=4)
+    index.admit(small_batch(spark, [(1, "a"), (2, "b")])).collect()
+    spark.sql("drop table kept_index")  # as after a restart; the files stay
+    index = exact.DigestIndex(spark, "kept_index", path)
+    got = frame(index.admit(small_batch(spark, [(3, "a"), (4, "c")])), "doc_id")
+    same(got[["doc_id", "keep_id", "kept"]], [(3, 1, False), (4, 4, True)])
+    assert index.buckets == 4 and index.table().count() == 3
+    assert "Exchange" not in index.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+    spark.sql("drop table kept_index")
+
+
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_exact_dedup_by_ranges(spark, monkeypatch, ranges):
+    rows = [(i, f"text {i % 7}") for i in range(40)] + [(None, "text 3"), (None, "alone"), (12, "text 5"), (12, "text 5"), (5, None), (6, "")]
+    plans, decide = [], exact.DigestIndex.decide
+
+    def seen(self, part):
+        plans.append(self.exists())
+        return decide(self, part)
+
+    monkeypatch.setattr(exact.DigestIndex, "decide", seen)
+    same(exact.exact_dedup(small_batch(spark, rows), ranges=ranges).toPandas(), plain_exact(rows))
+    assert plans == [False, *[True] * (ranges - 1)]  # later ranges meet the index
+
+
+def test_no_column_name_is_special(spark):
+    own = spark.createDataFrame([(1, "x", "mine", 5, "k", "r"), (2, "x", "yours", 6, "l", "s")], "doc_id long, text string, _copy string, _kept_id long, key string, row string")
+    for stays in (exact.keep_first_copies(own), neardup.keep_one_of_each(own)):
+        assert stays.columns == own.columns
+    assert tuple(exact.keep_first_copies(own).first()) == (2, "x", "yours", 6, "l", "s")
+    assert tuple(neardup.keep_one_of_each(own).first()) == (1, "x", "mine", 5, "k", "r")
+
+
 # ---- BPE ----------------------------------------------------------------------------------------
 
 
@@ -149,6 +191,14 @@ def test_bpe_equals_the_library(table, request):
     same(got[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]], want)
 
 
+def test_encode_and_decode(odd):
+    t = tokenizer()
+    encoded = bpe.encode(odd, tokenizer_file())
+    rows = {(r["doc_id"], r["text"] or "") for r in odd.select("doc_id", "text").collect()}
+    assert sorted(((r["doc_id"] or 0), r["ids"]) for r in encoded.collect()) == sorted(((r["doc_id"] or 0), t.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect())
+    assert {(r["doc_id"], r["text"]) for r in bpe.decode(encoded, tokenizer_file()).collect()} == rows
+
+
 def test_lexicon_finds_its_words_alone():
     words = sorted({w.encode() for w in ["a", "ab", "abc", "b", "stop", "top", "tops", "é"]})
     auto = lexicon.compile_words(words)
@@ -215,6 +265,36 @@ def test_equal_texts_have_equal_fingerprints(odd):
         assert group.fingerprint.nunique() == 1
 
 
+def plain_print(text):
+    """Length, whole hash and least span hashes by their definition, with Python's integers."""
+    spans = lambda a, b: sum((ord(c) + 1) * pow(base, i, p) for i, c in enumerate(text[a:b])) % p
+    both = []
+    width = min(prints.SPAN, len(text))
+    for k in range(len(text) - width + 1 if text else 0):
+        h = 0
+        for base, p in zip(prints.BASES, prints.MODULI):
+            h = h << 31 | sum((ord(c) + 1) * pow(base, i, p) for i, c in enumerate(text[k : k + width])) % p
+        m = (h ^ h >> 31) * 0x9E3779B97F4A7C15 % 2**64
+        both.append((m ^ m >> 27) >> 64 - prints.BITS)
+    return sorted(set(both))[: prints.SAMPLE]
+
+
+def test_fingerprints_equal_plain_arithmetic(spark):
+    texts = ["", "a", "ab" * 40, "naïve 😀 café, twice: naïve 😀 café", "the committee met in the old hall and talked for hours about grain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = frame(prints.fingerprint_edits(docs), "doc_id")
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        sample, changed, following = (plain_print(t) for t in (text, edited, after))
+        assert got.fingerprint[i].endswith("-" + "".join(f"{x:010x}" for x in sample))
+        for other, words, found in ((changed, edited, got.near_edited[i]), (following, after, got.near_next[i])):
+            least = sorted({*sample, *other})[: prints.SAMPLE]
+            share = sum(x in sample and x in other for x in least) / len(least) if least else 1
+            assert found == pytest.approx(1.0 if text == words else 2 * share / (1 + share))
+
+
 def test_spans_and_extensions():
     a, b = (prints.PrefixHashes(prints.code_points(t)) for t in ("the same start, then one", "xx the same start, then two"))
     assert a.span(0, 10) == b.span(3, 13) and a.span(0, 10) != b.span(0, 10)
