@@ -17,7 +17,6 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, dropped, map_batches, slices, written
 from .lexicon import gather_runs
 from .neardup import confirmed, mixed
-from .substrings import LEAST_ID, named, packed_texts
+from .substrings import LEAST_ID, named, packed_texts, prefix_hashes, spans
 
 PERCENT = 80
 #: Frequent words that are ranked. Any order of words keeps the join exact.
@@ -34,8 +33,10 @@ RANKED = 1 << 16
 GROUP_BYTES = 16 << 20
 #: Rows of a word beyond which they first meet the earliest ``PIVOTS`` of them, and rows of a block of such a word.
 COMMON, PIVOTS, BLOCK = 64, 3, 4096
-#: Sets whose names are broadcast to find their words in a scan of the texts (16 MB); more are joined with the texts instead.
-BROADCAST = 1 << 21
+#: Sets whose names and bitmaps are broadcast to thin the pairs and to find their words in a scan of the texts (44 MB); more are joined with the texts instead.
+BROADCAST = 1 << 20
+#: Places of the larger bitmap that pairs are compared by before their sets are.
+SIGN = 256
 #: A row of a prefix: the word, the line's set and its size, the word's place among its words, a bit for each of its words, and
 #: the document and place where its block has it first.
 PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("doc", "<i8"), ("at", "<u4")])
@@ -58,48 +59,55 @@ class Lines:
         words = pc.ascii_split_whitespace(pc.ascii_lower(coded.dictionary))
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         kinds = words.flatten().dictionary_encode()
-        self.vocabulary = kinds.dictionary.cast(pa.binary()).to_pylist()
         self.codes, self.owner = kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-        if b"" in self.vocabulary:  # beside white space at an end
-            real = self.codes != self.vocabulary.index(b"")
+        long = pc.binary_length(kinds.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not long.all():  # beside white space at an end
+            real = long[self.codes] > 0
             self.codes, self.owner = self.codes[real], self.owner[real]
         self.distinct = len(sizes)
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        self.hashes = word_hashes(kinds.dictionary, long)
 
 
-def word_ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words, ascending, and their ranks from 1 on, rarer first. Words that a block has once are left to the unranked."""
-    types = {"h": pa.int64(), "n": pa.int64()}
+def word_hashes(words: pa.Array, long: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all words at once, from the prefix hashes of their bytes."""
+    raw = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+    ends = np.cumsum(long)
+    return mixed(spans(prefix_hashes(raw), ends - long, ends) + long.astype(np.uint64))
 
-    def work(batch):
-        block = Lines(batch.column(2))
-        times = np.bincount(block.of_line, minlength=block.distinct)
-        counts = np.bincount(block.codes, times[block.owner], len(block.hashes)).astype(np.int64)
-        often = np.flatnonzero(counts > 1)
-        return batch_of(types, {"h": block.hashes[often].view(np.int64), "n": counts[often]})
 
-    top = map_batches(named(docs), lambda: work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
-    hashes = np.array(top["h"].to_numpy()).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+def word_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The hashes of the distinct words of each line."""
+    found = [list(set(words_of(line))) for line in lines]
+    flat = [w for own in found for w in own]
+    hashes = word_hashes(pa.array(flat, pa.binary()), np.fromiter(map(len, flat), np.int64, len(flat)))
+    return np.split(hashes, np.cumsum([len(own) for own in found])[:-1]) if found else []
 
 
 NO_RANKS = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def word_ranks(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words, ascending, and their ranks from 1 on, rarer first, from counts (h, n)."""
+    top = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
+    hashes = np.array(top["h"].to_numpy()).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+
+
 class LineSets:
     """The sets of a block's distinct lines: hashes of distinct words in order of rarity, line by line."""
 
     def __init__(self, texts: pa.Array, ranks: tuple[np.ndarray, np.ndarray] = NO_RANKS):
         block = Lines(texts)
-        self.lines, self.of_line, hashes = block.lines, block.of_line, block.hashes
+        self.block, self.lines, self.of_line, hashes = block, block.lines, block.of_line, block.hashes
         known, rank = ranks
         at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
         own = np.where(known[at] == hashes, rank[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
         order = np.lexsort((hashes, own))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        both = np.unique(block.owner << 32 | place[block.codes]) if len(block.codes) else np.zeros(0, np.int64)
+        both = np.sort(block.owner << 32 | place[block.codes])
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
         self.words = hashes[order][both & 0xFFFFFFFF]
         self.size = np.bincount(both >> 32, minlength=block.distinct)
         self.start = np.cumsum(self.size) - self.size
@@ -115,6 +123,23 @@ class LineSets:
         words = self.words[gather_runs(self.start[chosen], long)]
         return np.bitwise_or.reduceat(np.uint64(1) << (words >> np.uint64(7)) % np.uint64(64), np.cumsum(long) - long)
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words that come more than once in the block's texts, and how often."""
+        times = np.bincount(self.of_line, minlength=self.block.distinct)
+        counts = np.bincount(self.block.codes, times[self.block.owner], len(self.block.hashes)).astype(np.int64)
+        often = np.flatnonzero(counts > 1)
+        return self.block.hashes[often].view(np.int64), counts[often]
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, size, bits) of each set of the block once: SIGN places of one bit for each word."""
+        ids, first = np.unique(self.id, return_index=True)
+        ids, first = ids[ids != 0], first[ids != 0]
+        long = self.size[first]
+        words, owner = self.words[gather_runs(self.start[first], long)], np.repeat(np.arange(len(first)), long)
+        places = np.zeros((len(first), SIGN), np.uint8)
+        places[owner, (words >> np.uint64(20)) % np.uint64(SIGN)] = 1
+        return ids, long, np.packbits(places, axis=1)
+
     def prefixes(self, docs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Prefix rows of each set of the block once, with its first place, and the full hashes of their words."""
         doc_of, line_of = np.repeat(docs, self.lines), gather_runs(np.zeros(len(self.lines), np.int64), self.lines)
@@ -187,9 +212,12 @@ FOUND_SCHEMA = "later long, earlier long, word long, block int, blob binary"
 def candidates(table: pa.Table, percent: int) -> pa.Table:
     """Of one group of words: pairs (later, earlier) of sets, all of them for a word of few rows and those with the earliest ones for a common word; and a common word's rows, in blocks."""
     rows = np.concatenate([np.zeros(0, PREFIX), *(rows_of(b) for b in table["blob"].to_pylist())])
-    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["line"], rows["size"], rows["word"]))]
+    rows = rows[np.lexsort((rows["line"], rows["word"].astype(np.int64) << 31 | rows["size"]))]
     if len(rows):  # a set once a word, with its first place
-        rows = rows[np.append(True, (rows["line"][1:] != rows["line"][:-1]) | (rows["word"][1:] != rows["word"][:-1]))]
+        new = np.append(True, (rows["line"][1:] != rows["line"][:-1]) | (rows["word"][1:] != rows["word"][:-1]))
+        several = np.flatnonzero(~new | np.append(~new[1:], False))
+        rows[several] = rows[several[np.lexsort((rows["at"][several], rows["doc"][several], np.cumsum(new)[several]))]]
+        rows = rows[new]
     first = np.flatnonzero(np.append(True, rows["word"][1:] != rows["word"][:-1])) if len(rows) else np.zeros(0, np.int64)
     many = np.diff(np.append(first, len(rows)))
     common = np.repeat(many > COMMON, many)
@@ -236,18 +264,26 @@ def open_candidates(blocks: DataFrame, settled: DataFrame, percent: int) -> Data
 
 def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(row, doc, lines): each text's sets in order; and (later), once, of all sets to which a similar one comes first."""
-    ranks = word_ranks(docs)
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = int(max(1, -(-volume // GROUP_BYTES)))
-    types = {"row": pa.int64(), "doc": pa.int64(), "lines": pa.list_(pa.int64())}
+    types = {"row": pa.int64(), "doc": pa.int64(), "lines": pa.list_(pa.int64()), "node": pa.int64(), "size": pa.int64(), "bits": pa.binary(), "h": pa.int64(), "n": pa.int64()}
 
     def own_ids(batch) -> np.ndarray:
         return pc.fill_null(batch.column(1), LEAST_ID).to_numpy(zero_copy_only=False)
 
     def sets_of(batch):
+        """Three kinds of rows: a text's sets, a set's bitmap, a word's count."""
         sets = LineSets(batch.column(2))
-        ends = np.append(0, np.cumsum(sets.lines)).astype(np.int32)
-        return batch_of(types, {"row": batch.column(0), "doc": own_ids(batch), "lines": pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.id[sets.of_line]))})
+        ends, (ids, sizes, bits), (h, n) = np.append(0, np.cumsum(sets.lines)).astype(np.int32), sets.signatures(), sets.counts()
+        kinds = [
+            {"row": batch.column(0), "doc": pa.array(own_ids(batch)), "lines": pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.id[sets.of_line]))},
+            {"node": pa.array(ids), "size": pa.array(sizes), "bits": pa.array([b.tobytes() for b in bits], pa.binary())}, {"h": pa.array(h), "n": pa.array(n)}]
+        many = [batch.num_rows, len(ids), len(h)]
+        return batch_of(types, {c: pa.concat_arrays([own[c].cast(t) if c in own else pa.nulls(k, t) for own, k in zip(kinds, many, strict=True)]) for c, t in types.items()})
+
+    mapped = written(map_batches(named(docs), lambda: sets_of, "row long, doc long, lines array<long>, node long, size long, bits binary, h long, n long"), "line-sets")
+    lines, signs = mapped.where("row is not null").select("row", "doc", "lines"), mapped.where("node is not null").select("node", "size", "bits")
+    ranks = word_ranks(mapped.where("h is not null").select("h", "n"))
 
     def prefixes_of(batch):
         rows, words = LineSets(batch.column(2), ranks).prefixes(own_ids(batch), percent)
@@ -257,23 +293,40 @@ def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
         cuts = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist(), len(rows)] if len(rows) else [0]
         return batch_of({"group": pa.int32(), "blob": pa.binary()}, {"group": group[cuts[:-1]].astype(np.int32), "blob": [packed_rows(rows[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]})
 
-    lines = written(map_batches(named(docs), lambda: sets_of, "row long, doc long, lines array<long>"), "line-sets")
     dealt = map_batches(named(docs), lambda: prefixes_of, "group int, blob binary").groupBy("group")
     found = written(dealt.applyInArrow(lambda t: candidates(t, percent), FOUND_SCHEMA), "line-candidates")
-    pairs, blocks = found.where("later is not null").select("later", "earlier").distinct(), found.where("blob is not null").select("word", "block", "blob")
-    settled = written(confirmed_late(docs, lines, pairs, percent), "line-settled")
-    rest = written(open_candidates(blocks, settled, percent).hint("merge").join(pairs, ["later", "earlier"], "left_anti"), "line-rest")
-    late = written(settled.union(confirmed_late(docs, lines, rest, percent)).distinct(), "line-late")
+    pairs, blocks = found.where("later is not null").select("later", "earlier"), found.where("blob is not null").select("word", "block", "blob")
+    settled = written(confirmed_late(docs, lines, signs, pairs, percent), "line-settled")
+    rest = written(open_candidates(blocks, settled, percent), "line-rest")
+    late = written(settled.union(confirmed_late(docs, lines, signs, rest, percent)).distinct(), "line-late")
     dropped(found, settled, rest)
     return lines, late
 
 
-def confirmed_late(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(later), once, of the pairs (later, earlier) that their full sets confirm. Where the sets asked for are few enough their names go to a scan of the texts."""
-    pairs = written(pairs.select("later", "earlier"), "line-pairs")
+def confirmed_late(docs: DataFrame, lines: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(later), once, of the written pairs (later, earlier) that their full sets confirm. Where the sets asked for are few enough, their bitmaps go to the pairs and their names to a scan of the texts."""
     wanted = written(pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct(), "line-wanted")
-    sets = scanned_sets(docs, wanted) if wanted.count() <= BROADCAST else joined_sets(docs, lines, wanted)
-    return confirmed(pairs.toDF("a", "b"), sets, percent).select(F.col("a").alias("later")).distinct()
+    if wanted.count() > BROADCAST:
+        pairs = written(pairs.distinct(), "line-pairs")
+        return confirmed(pairs.toDF("a", "b"), joined_sets(docs, lines, wanted), percent).select(F.col("a").alias("later")).distinct()
+    pairs = written(thinned(pairs, signs.hint("merge").join(wanted, "node"), percent).distinct(), "line-pairs")
+    wanted = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
+    return confirmed(pairs.toDF("a", "b"), scanned_sets(docs, wanted), percent).select(F.col("a").alias("later")).distinct()
+
+
+def thinned(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps differ in no more places than similar sets of their sizes may. At most BROADCAST sets have a bitmap (node, size, bits)."""
+    table = signs.dropDuplicates(["node"]).orderBy("node").toArrow()
+    raw = b"".join(table["bits"].to_pylist())
+    known = pairs.sparkSession.sparkContext.broadcast((table["node"].to_numpy(), table["size"].to_numpy(), np.frombuffer(raw, np.uint64).reshape(-1, SIGN // 64)))
+
+    def work(batch):
+        node, size, bits = known.value
+        a, b = (np.searchsorted(node, batch.column(i).to_numpy(zero_copy_only=False)) for i in range(2))
+        least = -(-(size[a] + size[b]) * percent // (100 + percent))
+        return batch.filter(pa.array(np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= size[a] + size[b] - 2 * least))
+
+    return map_batches(pairs.select("later", "earlier"), lambda: work, "later long, earlier long")
 
 
 SET_TYPES = {"node": pa.int64(), "shingles": pa.list_(pa.int64())}
@@ -306,12 +359,12 @@ def joined_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFra
 
 def asked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     """(node, word hashes) of the lines asked for."""
-    nodes, sets = [], []
+    nodes, asked = [], []
     for packed, lines, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         split = zstandard.decompress(packed).split(b"\n")
-        for line, name in zip(lines, names, strict=True):
-            nodes.append(name)
-            sets.append(np.array([xxhash.xxh3_64_intdigest(w) for w in set(words_of(split[line]))], np.uint64).view(np.int64))
+        nodes += names
+        asked += [split[line] for line in lines]
+    sets = [s.view(np.int64) for s in word_sets(asked)]
     return batch_of(SET_TYPES, {"node": nodes, "shingles": sets})
 
 
