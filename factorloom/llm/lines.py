@@ -37,9 +37,9 @@ COMMON, PIVOTS, BLOCK = 64, 3, 4096
 BROADCAST = 1 << 20
 #: Places of the larger bitmap that pairs are compared by before their sets are.
 SIGN = 256
-#: A row of a prefix: the word, the line's set and its size, the word's place among its words, a bit for each of its words, and
+#: A row of a prefix: the word, the line's set and its size, the word's place among its words, a bit for each of its words in two bitmaps, and
 #: the document and place where its block has it first.
-PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+PREFIX = np.dtype([("word", "<u4"), ("line", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def words_of(line: bytes) -> list[bytes]:
@@ -115,13 +115,14 @@ class LineSets:
         #: A number for each distinct line's set, 0 for an empty one.
         self.id = np.where(self.size > 0, mixed(total[self.start + self.size] - total[self.start] + self.size.astype(np.uint64)) | np.uint64(1), np.uint64(0)).view(np.int64)
 
-    def bitmaps(self, chosen: np.ndarray) -> np.ndarray:
-        """64 places for each chosen line."""
+    def bitmaps(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 places for each chosen line, as two numbers."""
         if not len(chosen):
-            return np.zeros(0, np.uint64)
+            return (np.zeros(0, np.uint64),) * 2
         long = self.size[chosen]
-        words = self.words[gather_runs(self.start[chosen], long)]
-        return np.bitwise_or.reduceat(np.uint64(1) << (words >> np.uint64(7)) % np.uint64(64), np.cumsum(long) - long)
+        place = (self.words[gather_runs(self.start[chosen], long)] >> np.uint64(7)) % np.uint64(128)
+        bit, cuts = np.uint64(1) << place % np.uint64(64), np.cumsum(long) - long
+        return tuple(np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), cuts) for half in (place < 64, place >= 64))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words that come more than once in the block's texts, and how often."""
@@ -150,7 +151,7 @@ class LineSets:
         long = prefix_sizes(self.size[own], percent)
         rows, words = np.zeros(int(long.sum()), PREFIX), self.words[gather_runs(self.start[own], long)]
         rows["word"], rows["place"] = (words >> np.uint64(32)).astype(np.uint32), gather_runs(np.zeros(len(long), np.int64), long)
-        for name, values in (("line", self.id[own]), ("size", self.size[own]), ("bits", self.bitmaps(own)), ("doc", doc_of[first]), ("at", line_of[first])):
+        for name, values in (("line", self.id[own]), ("size", self.size[own]), *zip(("bits", "more"), self.bitmaps(own), strict=True), ("doc", doc_of[first]), ("at", line_of[first])):
             rows[name] = np.repeat(values, long)
         return rows, words
 
@@ -181,7 +182,7 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     # The shared word may be any of the common ones: at most those before it in both and those after it.
     most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
     # Two sets differ in at least as many words as their bitmaps do in bits.
-    apart = np.bitwise_count(a["bits"] ^ b["bits"])
+    apart = np.bitwise_count(a["bits"] ^ b["bits"]).astype(np.int64) + np.bitwise_count(a["more"] ^ b["more"])
     fit = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (most >= least) & (apart <= size_a + size_b - 2 * least)
     return fit & (a["line"] != b["line"]) & ((b["doc"] < a["doc"]) | (b["doc"] == a["doc"]) & (b["at"] < a["at"]))
 
