@@ -6,11 +6,13 @@ acyclic transducer, and the encoding pass looks up each distinct word of a batch
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections import Counter
@@ -215,7 +217,9 @@ def ship_lexicon(spark: SparkSession, path: str, words: Sequence[bytes]) -> str:
     ids, counts = merge_words(tables, words)
     auto = compile_words(words)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(), name)
+    folder = tempfile.mkdtemp()  # the driver's own; executors get the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    local = os.path.join(folder, name)
     save_arrays(local, tables | auto | {"word_ids": ids, "word_at": np.concatenate([[0], np.cumsum(counts)])})
     spark.sparkContext.addFile(local)
     return name

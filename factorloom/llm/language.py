@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import batch_of, map_batches
 
 DIMENSIONS, GRAM = 1024, 3
+#: Languages are a closed set of labels: more than this many are taken for a wrong column and raise.
+MOST_LANGUAGES = 10_000
 #: Bound on the training texts of each language, taken by the order of a hash of doc_id; they are about so many.
 TRAINING_TEXTS = 3000
 UNKNOWN = "und"
@@ -139,7 +141,9 @@ def train(docs: DataFrame, training_texts: int = TRAINING_TEXTS) -> dict[str, np
     Each task adds up its own texts by language; languages are a closed set, so a prototype is all that reaches the driver.
     """
     usable = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not sizes:
         return {}
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, training_texts / n)))))

@@ -235,25 +235,26 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; no row goes, equal rows are different pieces.
+    """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; no row goes, equal rows are different pieces, an empty table stays empty.
+
+    Other columns may have any name and hold nulls, but for sequence_id and offset, which are added.
 
     Pieces are ranked within their length by part (a slice of the rows, written first) and place in it: a window over each part and
     length, and a running sum of the parts' counts, so a very common length is no hot group. The driver holds the histogram and
     the runs of ranks; both are bounded by the capacity (some thousands of rows), not by the corpus, so the runs are broadcast.
     """
     spark = pieces.sparkSession
-    parts = written(pieces.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    sizes = written(parts.groupBy("_part", "length").agg(F.count("*").alias("_n")), "piece-counts")
+    parts = written(pieces.select(F.struct(*pieces.columns).alias("piece"), F.col("length").cast("long").alias("length"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "pieces")
+    sizes = written(parts.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = [0] * (capacity + 1)
-    for row in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect():
+    for row in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():
         histogram[row["length"]] = row["n"]
-    runs = spark.createDataFrame(runs_of(bin_completion(histogram, capacity, nodes)), "length long, _low long, _high long, _sequence long, offset long")
-    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
-    ranked = parts.withColumn("_place", F.row_number().over(W.partitionBy("_part", "length").orderBy("_row")) - 1)
-    ranked = ranked.join(before.select("_part", "length", F.coalesce("_before", F.lit(0)).alias("_before")).hint("merge"), ["_part", "length"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_place"))
-    placed = ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & (ranked["_rank"] >= runs["_low"]) & (ranked["_rank"] < runs["_high"]))
-    return placed.select(*(ranked[c] for c in pieces.columns), (F.col("_sequence") + F.col("_rank") - F.col("_low")).alias("sequence_id"), runs["offset"])
+    runs = spark.createDataFrame(runs_of(bin_completion(histogram, capacity, nodes)), "size long, low long, high long, sequence long, offset long")
+    before = sizes.select("part", "length", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = parts.withColumn("place", F.row_number().over(W.partitionBy("part", "length").orderBy("row")) - 1)
+    ranked = ranked.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
+    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return placed.select("piece.*", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

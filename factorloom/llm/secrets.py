@@ -143,7 +143,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret's span replaced by ``<kind>``, and n_chars to match; no row goes.
 
-    Overlapping spans are replaced as one, named for the first. Null texts stay null. Columns and rows stay as they were otherwise.
+    Overlapping spans are replaced as one, named for the first. Null and empty texts, null ids, repeated rows, empty tables and further
+    columns of any name stay as they were.
     """
     def make():
         scan = scanner()

@@ -8,6 +8,9 @@ anchor are a run, and a run's bytes are hashed as a whole from the text's prefix
   block of documents their windows are sorted by merging, comparing suffixes by their longest common extension (binary search over
   prefix hashes), equal neighbours are verified byte by byte, and each class's least doc_id is then found over all blocks, as runs are.
 
+Strings of different blocks are equal when their hashes are: 64 bits of the string and at least 32 of its anchor. Only windows of one block are
+compared byte by byte. The prefix hashes are modulo 2^64; strings made to collide there need over a thousand bytes, and spans have under 300.
+
 Equal runs and windows of one block are reduced to one before anything is shuffled, so a passage that very many documents share is no
 hot key.
 """

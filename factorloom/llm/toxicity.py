@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, body, map_batches, slices, written
 
-#: Bounds of training: labelled texts of each class (those least in a hash of doc_id), features, and the least significance of a feature.
-CLASS_TEXTS, FEATURES, LEAST_Z = 6000, 20_000, 4.0
+#: Bounds of training: labelled texts of each class (those least in a hash of doc_id), features, the least significance of a feature and the least
+#: texts it is in. They bound the model, not the texts that are graded.
+CLASS_TEXTS, FEATURES, LEAST_Z, LEAST_TEXTS = 6000, 20_000, 4.0, 5
 GRADES = 3
 PREFIXES = (4, 5, 6)
-#: Words that a prefix counts at most in one text.
+#: A prefix's value in a text is how many of its words have it, up to this: what a feature is, in training and in grading alike.
 MOST_COUNTED = 6
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,15 +110,16 @@ def telling_features(sample: DataFrame, most: int = FEATURES, least_z: float = L
     counted = sample.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("clean") + F.col("toxic") + 1) / (clean + toxic + 2)
     z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(share * (1 - share) * (1 / clean + 1 / toxic))
-    top = counted.where("clean + toxic >= 5").select("feature", z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "feature").limit(most)
+    top = counted.where(f"clean + toxic >= {LEAST_TEXTS}").select("feature", z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "feature").limit(most)
     return {r["feature"]: r["z"] for r in top.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     """Fits severity grades 0 (not toxic), 1 and 2 from labels (doc_id, toxic).
 
-    Labels name two classes; toxic texts with more words that tell of toxicity than their median are grade 2. None if a class has no
-    text: nothing is then toxic. Repeated labels count each; null ids or labels teach nothing.
+    Labels name two classes only. The third grade is a convention, not a label: toxic texts with more words that tell of toxicity than
+    their median are grade 2. It is made from the features themselves, so grade 2 against 1 says how many such words there are, and no more. None if a
+    class has no text: nothing is then toxic. Repeated labels count each; null ids or labels teach nothing.
     """
     sample = written(labelled_sample(docs, labels), "toxicity-sample")
     telling = telling_features(sample)
@@ -195,7 +197,10 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel | None, most: float = 0.5) -> DataFrame:
-    """``docs`` without those whose P(grade > 0) exceeds ``most``; all columns and clean rows stay as they were."""
+    """``docs`` without those whose P(grade > 0) exceeds ``most``; all columns, of any name, and clean rows stay as they were.
+
+    Repeated rows share a grade; null and empty texts have no telling word and stay unless such texts are toxic; an empty table stays empty.
+    """
     def make():
         grade = grader(model)
 

@@ -302,6 +302,13 @@ def test_fillings_leave_out_only_dominated_ones():
     assert list(packing.fillings(counts, 4)) == [(3, 1), (2, 2), (3,)]  # not (2, 1, 1): a 3 could stand for 2 and 1
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(i, 300, None, "p", i) for i in range(7)] + [(0, 300, None, "p", 0)], "piece long, length long, part string, row string, low long")
+    got = packing.pack(pieces)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"] and len({r["sequence_id"] for r in got.collect()}) == 3
+    same(got.select(*pieces.columns).toPandas(), [tuple(r) for r in pieces.collect()])
+
+
 # ---- the pipeline -------------------------------------------------------------------------------
 
 
@@ -329,3 +336,14 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in got["packing"].collect()} == {d for d, _ in rows}
     assert_packed(got["packing"].collect())
     assert importlib.import_module("__spark_entry__").queries()["pipeline"] is pipeline.run
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, none, odd):
+    import corpus_pipeline as pipeline
+
+    for docs in (none, odd):
+        now = docs
+        for name, stage in pipeline.STAGES:
+            now = stage(spark, now, "/root/testdata/sf0.001").cache()
+            assert name == "packing" or now.columns == docs.columns
+        assert (now.count() > 0) == (docs is odd)
