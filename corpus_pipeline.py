@@ -2,6 +2,9 @@
 
 Toxic documents go, then exact copies, then near copies (one of each group stays); secrets are masked in what is left, and that is
 tokenised and packed. Each stage is written as Parquet and read again as the next one's input.
+
+All stages take null and empty texts, nulls in any column, repeated rows, empty tables and further columns of any name (but for the columns that packing
+adds); what becomes of them is said with each operator.
 """
 
 from __future__ import annotations
