@@ -5,6 +5,7 @@ of enough similarity share a word among their first few. So each set is dealt ou
 positional and bitmap filters thin the pairs that meet, and the rest are verified on the full sets. Lines with equal sets are one class throughout,
 named by a 64-bit hash of the set.
 
+Texts are split into words once: each block of texts is written as its distinct sets, numbers into the block's vocabulary, which the passes that follow read.
 The sets that share a common word first meet only the earliest few of them, which settles most lines of very many near copies. Those
 still open then meet all the others, in blocks of rows that are dealt to tasks in pairs.
 """
@@ -33,7 +34,7 @@ RANKED = 1 << 16
 GROUP_BYTES = 16 << 20
 #: Rows of a word beyond which they first meet the earliest ``PIVOTS`` of them, and rows of a block of such a word.
 COMMON, PIVOTS, BLOCK = 64, 3, 4096
-#: Sets whose names and bitmaps are broadcast to thin the pairs and to find their words in a scan of the texts (44 MB); more are joined with the texts instead.
+#: Sets whose names and bitmaps are broadcast to thin the pairs and to find their words in the blocks of sets (44 MB); of more, all sets are joined by name instead.
 BROADCAST = 1 << 20
 #: Places of the larger bitmap that pairs are compared by before their sets are.
 SIGN = 256
@@ -47,45 +48,14 @@ def words_of(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
-class Lines:
-    """The lines of a block of texts: each distinct line once, with its words as numbers into the block's vocabulary."""
-
-    def __init__(self, texts: pa.Array):
-        lines = pc.split_pattern(texts.cast(pa.string()), "\n")
-        #: How many lines each text has, and which distinct line each is.
-        self.lines = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
-        coded = lines.flatten().dictionary_encode()
-        self.of_line = coded.indices.to_numpy(zero_copy_only=False)
-        words = pc.ascii_split_whitespace(pc.ascii_lower(coded.dictionary))
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        kinds = words.flatten().dictionary_encode()
-        self.codes, self.owner = kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-        long = pc.binary_length(kinds.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-        if not long.all():  # beside white space at an end
-            real = long[self.codes] > 0
-            self.codes, self.owner = self.codes[real], self.owner[real]
-        self.distinct = len(sizes)
-        self.hashes = word_hashes(kinds.dictionary, long)
-
-
-def word_hashes(words: pa.Array, long: np.ndarray) -> np.ndarray:
+def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of all words at once, from the prefix hashes of their bytes."""
-    raw = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+    long = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()) if words.offset or not len(words) else words.buffers()[2], np.uint8, int(long.sum()))
     ends = np.cumsum(long)
     return mixed(spans(prefix_hashes(raw), ends - long, ends) + long.astype(np.uint64))
 
 
-def word_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """The hashes of the distinct words of each line."""
-    found = [list(set(words_of(line))) for line in lines]
-    flat = [w for own in found for w in own]
-    hashes = word_hashes(pa.array(flat, pa.binary()), np.fromiter(map(len, flat), np.int64, len(flat)))
-    return np.split(hashes, np.cumsum([len(own) for own in found])[:-1]) if found else []
-
-
-NO_RANKS = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
 def word_ranks(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the most frequent words, ascending, and their ranks from 1 on, rarer first, from counts (h, n)."""
     top = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
@@ -95,63 +65,106 @@ def word_ranks(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LineSets:
-    """The sets of a block's distinct lines: hashes of distinct words in order of rarity, line by line."""
+    """The lines of a block of texts: each distinct line once, as its distinct words' numbers in the block's vocabulary."""
 
-    def __init__(self, texts: pa.Array, ranks: tuple[np.ndarray, np.ndarray] = NO_RANKS):
-        block = Lines(texts)
-        self.block, self.lines, self.of_line, hashes = block, block.lines, block.of_line, block.hashes
-        known, rank = ranks
-        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-        own = np.where(known[at] == hashes, rank[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
-        order = np.lexsort((hashes, own))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        both = np.sort(block.owner << 32 | place[block.codes])
+    def __init__(self, texts: pa.Array):
+        lines = pc.split_pattern(texts.cast(pa.string()), "\n")
+        #: How many lines each text has, and which distinct line each is.
+        self.lines = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+        coded = lines.flatten().dictionary_encode()
+        self.of_line = coded.indices.to_numpy(zero_copy_only=False)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(coded.dictionary))
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        kinds = words.flatten().dictionary_encode()
+        #: Hashes of the vocabulary, and which of its words is empty: it stands beside white space at a line's end.
+        self.hashes, empty = word_hashes(kinds.dictionary), pc.equal(kinds.dictionary, "").to_numpy(zero_copy_only=False)
+        codes, owner = kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        if empty.any():
+            real = ~empty[codes]
+            codes, owner = codes[real], owner[real]
+        times = np.bincount(self.of_line, minlength=len(sizes))
+        #: How often each word comes in the block's texts.
+        self.often = np.bincount(codes, times[owner], len(self.hashes)).astype(np.int64)
+        both = np.sort(owner << 32 | codes)
         both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
-        self.words = hashes[order][both & 0xFFFFFFFF]
-        self.size = np.bincount(both >> 32, minlength=block.distinct)
+        self.codes, self.size = both & 0xFFFFFFFF, np.bincount(both >> 32, minlength=len(sizes))
         self.start = np.cumsum(self.size) - self.size
-        total = np.append(np.zeros(1, np.uint64), np.cumsum(mixed(self.words), dtype=np.uint64))
+        total = np.append(np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes)[self.codes], dtype=np.uint64))
         #: A number for each distinct line's set, 0 for an empty one.
         self.id = np.where(self.size > 0, mixed(total[self.start + self.size] - total[self.start] + self.size.astype(np.uint64)) | np.uint64(1), np.uint64(0)).view(np.int64)
 
-    def bitmaps(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 places for each chosen line, as two numbers."""
-        if not len(chosen):
-            return (np.zeros(0, np.uint64),) * 2
-        long = self.size[chosen]
-        place = (self.words[gather_runs(self.start[chosen], long)] >> np.uint64(7)) % np.uint64(128)
-        bit, cuts = np.uint64(1) << place % np.uint64(64), np.cumsum(long) - long
-        return tuple(np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), cuts) for half in (place < 64, place >= 64))
-
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words that come more than once in the block's texts, and how often."""
-        times = np.bincount(self.of_line, minlength=self.block.distinct)
-        counts = np.bincount(self.block.codes, times[self.block.owner], len(self.block.hashes)).astype(np.int64)
-        often = np.flatnonzero(counts > 1)
-        return self.block.hashes[often].view(np.int64), counts[often]
-
-    def signatures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, size, bits) of each set of the block once: SIGN places of one bit for each word."""
-        ids, first = np.unique(self.id, return_index=True)
-        ids, first = ids[ids != 0], first[ids != 0]
-        long = self.size[first]
-        words, owner = self.words[gather_runs(self.start[first], long)], np.repeat(np.arange(len(first)), long)
-        places = np.zeros((len(first), SIGN), np.uint8)
-        places[owner, (words >> np.uint64(20)) % np.uint64(SIGN)] = 1
-        return ids, long, np.packbits(places, axis=1)
-
-    def prefixes(self, docs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix rows of each set of the block once, with its first place, and the full hashes of their words."""
+        several = np.flatnonzero(self.often > 1)
+        return self.hashes[several].view(np.int64), self.often[several]
+
+    def sets(self, docs: np.ndarray) -> Sets:
+        """Each set of the block that has words, once, with the first place of it: the texts' numbers are ``docs``."""
         doc_of, line_of = np.repeat(docs, self.lines), gather_runs(np.zeros(len(self.lines), np.int64), self.lines)
         by_place = np.lexsort((line_of, doc_of))
         ids, first = np.unique(self.id[self.of_line[by_place]], return_index=True)
         first = by_place[first][ids != 0]
         own = self.of_line[first]
-        long = prefix_sizes(self.size[own], percent)
-        rows, words = np.zeros(int(long.sum()), PREFIX), self.words[gather_runs(self.start[own], long)]
+        size = self.size[own]
+        return Sets(self.id[own], size, doc_of[first], line_of[first], self.hashes, self.codes[gather_runs(self.start[own], size)])
+
+
+class Sets:
+    """Sets of words, each once: name, size, first place (doc, at), and words as numbers (codes, set by set) into a vocabulary of hashes."""
+
+    TYPES = {"id": "<i8", "size": "<u4", "doc": "<i8", "at": "<u4", "hashes": "<u8", "codes": "<u4"}
+
+    def __init__(self, ids, size, doc, at, hashes, codes):
+        self.id, self.size, self.doc, self.at, self.hashes, self.codes = ids, size.astype(np.int64), doc, at, hashes, codes.astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def packed(self) -> bytes:
+        """All columns, byte by byte of their numbers, compressed."""
+        columns = [getattr(self, name).astype(kind) for name, kind in self.TYPES.items()]
+        head = np.array([len(self.id), len(self.hashes), len(self.codes)], "<u8").tobytes()
+        return head + zstandard.compress(b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns), 1)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Sets:
+        sets, words, codes = np.frombuffer(blob, "<u8", 3).tolist()
+        raw, at, columns = zstandard.decompress(blob[24:]), 0, []
+        for name, kind in cls.TYPES.items():
+            n, width = {"hashes": words, "codes": codes}.get(name, sets), np.dtype(kind).itemsize
+            columns.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).ravel())
+            at += n * width
+        return cls(*columns)
+
+    def chosen(self, own: np.ndarray) -> Sets:
+        return Sets(self.id[own], self.size[own], self.doc[own], self.at[own], self.hashes, self.codes[gather_runs(self.start[own], self.size[own])])
+
+    def among(self, names: np.ndarray) -> Sets:
+        """The sets whose names are among these, which are in order."""
+        at = np.minimum(np.searchsorted(names, self.id), max(len(names) - 1, 0))
+        return self.chosen(np.flatnonzero(names[at] == self.id) if len(names) else np.zeros(0, np.int64))
+
+    def bitmaps(self, numbers: int, shift: int) -> np.ndarray:
+        """64 places a number for each set: whether an odd number of its words falls on a place. Two sets differ in at least as many words as their bitmaps do in bits."""
+        place, out = (self.hashes >> np.uint64(shift)) % np.uint64(64 * numbers), np.zeros((len(self.id), numbers), np.uint64)
+        for k in range(numbers if len(self.id) else 0):
+            bit = np.where(place // np.uint64(64) == k, np.uint64(1) << place % np.uint64(64), np.uint64(0))
+            out[:, k] = np.bitwise_xor.reduceat(bit[self.codes], self.start)
+        return out
+
+    def prefixes(self, ranks: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix rows of each set, and the full hashes of their words, in order of rarity."""
+        known, rank = ranks
+        at = np.minimum(np.searchsorted(known, self.hashes), max(len(known) - 1, 0))
+        rarity = np.where(known[at] == self.hashes, rank[at], 0) if len(known) else np.zeros(len(self.hashes), np.int64)
+        order = np.lexsort((self.hashes, rarity))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        both = np.sort(np.repeat(np.arange(len(self.id)) << 32, self.size) | place[self.codes])
+        long = prefix_sizes(self.size, percent)
+        words = self.hashes[order[both[gather_runs(self.start, long)] & 0xFFFFFFFF]]
+        rows = np.zeros(len(words), PREFIX)
         rows["word"], rows["place"] = (words >> np.uint64(32)).astype(np.uint32), gather_runs(np.zeros(len(long), np.int64), long)
-        for name, values in (("line", self.id[own]), ("size", self.size[own]), *zip(("bits", "more"), self.bitmaps(own), strict=True), ("doc", doc_of[first]), ("at", line_of[first])):
+        bits = self.bitmaps(2, 7)
+        for name, values in (("line", self.id), ("size", self.size), ("bits", bits[:, 0]), ("more", bits[:, 1]), ("doc", self.doc), ("at", self.at)):
             rows[name] = np.repeat(values, long)
         return rows, words
 
@@ -265,54 +278,57 @@ def open_candidates(blocks: DataFrame, settled: DataFrame, percent: int) -> Data
 
 def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(row, doc, lines): each text's sets in order; and (later), once, of all sets to which a similar one comes first."""
-    volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    groups = int(max(1, -(-volume // GROUP_BYTES)))
-    types = {"row": pa.int64(), "doc": pa.int64(), "lines": pa.list_(pa.int64()), "node": pa.int64(), "size": pa.int64(), "bits": pa.binary(), "h": pa.int64(), "n": pa.int64()}
-
-    def own_ids(batch) -> np.ndarray:
-        return pc.fill_null(batch.column(1), LEAST_ID).to_numpy(zero_copy_only=False)
+    types = {"row": pa.int64(), "doc": pa.int64(), "lines": pa.list_(pa.int64()), "sets": pa.binary(), "volume": pa.int64(), "h": pa.int64(), "n": pa.int64()}
 
     def sets_of(batch):
-        """Three kinds of rows: a text's sets, a set's bitmap, a word's count."""
-        sets = LineSets(batch.column(2))
-        ends, (ids, sizes, bits), (h, n) = np.append(0, np.cumsum(sets.lines)).astype(np.int32), sets.signatures(), sets.counts()
+        """Three kinds of rows: a text's lines, a block's sets, a word's count."""
+        block, docs = LineSets(batch.column(2)), pc.fill_null(batch.column(1), LEAST_ID)
+        ends, (h, n) = np.append(0, np.cumsum(block.lines)).astype(np.int32), block.counts()
         kinds = [
-            {"row": batch.column(0), "doc": pa.array(own_ids(batch)), "lines": pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.id[sets.of_line]))},
-            {"node": pa.array(ids), "size": pa.array(sizes), "bits": pa.array([b.tobytes() for b in bits], pa.binary())}, {"h": pa.array(h), "n": pa.array(n)}]
-        many = [batch.num_rows, len(ids), len(h)]
+            {"row": batch.column(0), "doc": docs, "lines": pa.ListArray.from_arrays(pa.array(ends), pa.array(block.id[block.of_line]))},
+            {"sets": pa.array([block.sets(docs.to_numpy(zero_copy_only=False)).packed()]), "volume": pa.array([batch.column(2).nbytes])}, {"h": pa.array(h), "n": pa.array(n)}]
+        many = [batch.num_rows, 1, len(h)]
         return batch_of(types, {c: pa.concat_arrays([own[c].cast(t) if c in own else pa.nulls(k, t) for own, k in zip(kinds, many, strict=True)]) for c, t in types.items()})
 
-    mapped = written(map_batches(named(docs), lambda: sets_of, "row long, doc long, lines array<long>, node long, size long, bits binary, h long, n long"), "line-sets")
-    lines, signs = mapped.where("row is not null").select("row", "doc", "lines"), mapped.where("node is not null").select("node", "size", "bits")
+    mapped = written(map_batches(named(docs), lambda: sets_of, "row long, doc long, lines array<long>, sets binary, volume long, h long, n long"), "line-sets")
+    lines, blocks = mapped.where("row is not null").select("row", "doc", "lines"), mapped.where("sets is not null").select("sets")
     ranks = word_ranks(mapped.where("h is not null").select("h", "n"))
+    groups = int(max(1, -(-(mapped.agg(F.sum("volume").alias("n")).first()["n"] or 0) // GROUP_BYTES)))
 
     def prefixes_of(batch):
-        rows, words = LineSets(batch.column(2), ranks).prefixes(own_ids(batch), percent)
-        group = (words % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        rows, group = rows[order], group[order]
-        cuts = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist(), len(rows)] if len(rows) else [0]
-        return batch_of({"group": pa.int32(), "blob": pa.binary()}, {"group": group[cuts[:-1]].astype(np.int32), "blob": [packed_rows(rows[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]})
-
-    dealt = map_batches(named(docs), lambda: prefixes_of, "group int, blob binary").groupBy("group")
+        group_of, blobs = [], []
+        for blob in batch.column(0).to_pylist():
+            rows, words = Sets.unpacked(blob).prefixes(ranks, percent)
+            group = (words % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            rows, group = rows[order], group[order]
+            cuts = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist(), len(rows)] if len(rows) else [0]
+            group_of += group[cuts[:-1]].tolist()
+            blobs += [packed_rows(rows[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return batch_of({"group": pa.int32(), "blob": pa.binary()}, {"group": group_of, "blob": blobs})
+
+    dealt = map_batches(blocks, lambda: prefixes_of, "group int, blob binary").groupBy("group")
     found = written(dealt.applyInArrow(lambda t: candidates(t, percent), FOUND_SCHEMA), "line-candidates")
-    pairs, blocks = found.where("later is not null").select("later", "earlier"), found.where("blob is not null").select("word", "block", "blob")
-    settled = written(confirmed_late(docs, lines, signs, pairs, percent), "line-settled")
-    rest = written(open_candidates(blocks, settled, percent), "line-rest")
-    late = written(settled.union(confirmed_late(docs, lines, signs, rest, percent)).distinct(), "line-late")
+    pairs, common = found.where("later is not null").select("later", "earlier"), found.where("blob is not null").select("word", "block", "blob")
+    settled = written(confirmed_late(blocks, pairs, percent), "line-settled")
+    rest = written(open_candidates(common, settled, percent), "line-rest")
+    late = written(settled.union(confirmed_late(blocks, rest, percent)).distinct(), "line-late")
     dropped(found, settled, rest)
     return lines, late
 
 
-def confirmed_late(docs: DataFrame, lines: DataFrame, signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(later), once, of the written pairs (later, earlier) that their full sets confirm. Where the sets asked for are few enough, their bitmaps go to the pairs and their names to a scan of the texts."""
+def confirmed_late(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(later), once, of the written pairs (later, earlier) that their full sets, from the blocks of sets, confirm. Where the sets asked for are few enough, their names and bitmaps are broadcast."""
     wanted = written(pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct(), "line-wanted")
     if wanted.count() > BROADCAST:
         pairs = written(pairs.distinct(), "line-pairs")
-        return confirmed(pairs.toDF("a", "b"), joined_sets(docs, lines, wanted), percent).select(F.col("a").alias("later")).distinct()
-    pairs = written(thinned(pairs, signs.hint("merge").join(wanted, "node"), percent).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
-    return confirmed(pairs.toDF("a", "b"), scanned_sets(docs, wanted), percent).select(F.col("a").alias("later")).distinct()
+        sets = words_of_sets(blocks).hint("merge").join(wanted, "node", "left_semi")
+    else:
+        names = np.sort(wanted.toArrow()["node"].to_numpy())
+        pairs = written(thinned(pairs, bitmaps_of_sets(blocks, names), percent).distinct(), "line-pairs")
+        left = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
+        sets = words_of_sets(blocks, np.sort(left.toArrow()["node"].to_numpy()))
+    return confirmed(pairs.toDF("a", "b"), sets.dropDuplicates(["node"]), percent).select(F.col("a").alias("later")).distinct()
 
 
 def thinned(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -330,43 +346,30 @@ def thinned(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.select("later", "earlier"), lambda: work, "later long, earlier long")
 
 
-SET_TYPES = {"node": pa.int64(), "shingles": pa.list_(pa.int64())}
+def bitmaps_of_sets(blocks: DataFrame, names: np.ndarray) -> DataFrame:
+    """(node, size, bits) of the sets asked for, at most BROADCAST of them, in each block that has them."""
+    types, known = {"node": pa.int64(), "size": pa.int64(), "bits": pa.binary()}, blocks.sparkSession.sparkContext.broadcast(names)
+
+    def work(batch):
+        found = [Sets.unpacked(blob).among(known.value) for blob in batch.column(0).to_pylist()]
+        bits = [row.tobytes() for own in found for row in own.bitmaps(SIGN // 64, 20)]
+        return batch_of(types, {"node": np.concatenate([own.id for own in found]), "size": np.concatenate([own.size for own in found]), "bits": bits})
 
+    return map_batches(blocks, lambda: work, "node long, size long, bits binary")
 
-def scanned_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, word hashes) of the sets asked for, at most BROADCAST of them, from a scan of all texts."""
-    names = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["node"].to_numpy()))
+
+def words_of_sets(blocks: DataFrame, names: np.ndarray | None = None) -> DataFrame:
+    """(node, word hashes) of the sets of each block: those asked for, at most BROADCAST of them, or all."""
+    known = None if names is None else blocks.sparkSession.sparkContext.broadcast(names)
 
     def work(batch):
-        sets, known = LineSets(batch.column(2)), names.value
-        ids, first = np.unique(sets.id, return_index=True)
-        at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
-        chosen = first[known[at] == ids] if len(known) else first[:0]
-        long = sets.size[chosen]
-        words = sets.words[gather_runs(sets.start[chosen], long)].view(np.int64)
-        return batch_of(SET_TYPES, {"node": sets.id[chosen], "shingles": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(long)).astype(np.int32)), pa.array(words))})
-
-    return map_batches(named(docs), lambda: work, "node long, shingles array<long>").dropDuplicates(["node"])
-
-
-def joined_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, word hashes) of the sets asked for, however many, from the texts that have them first."""
-    places = lines.select("row", F.posexplode("lines").alias("line", "node"))
-    first = places.hint("merge").join(wanted, "node").groupBy("node").agg(F.min(F.struct("row", "line")).alias("at"))
-    asked = first.groupBy("at.row").agg(F.collect_list(F.struct("at.line", "node")).alias("asked"))
-    texts = packed_texts(docs).hint("merge").join(asked, "row").select("packed", F.col("asked.line").alias("line"), F.col("asked.node").alias("node"))
-    return map_batches(texts, lambda: asked_sets, "node long, shingles array<long>").dropDuplicates(["node"])
-
-
-def asked_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(node, word hashes) of the lines asked for."""
-    nodes, asked = [], []
-    for packed, lines, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        split = zstandard.decompress(packed).split(b"\n")
-        nodes += names
-        asked += [split[line] for line in lines]
-    sets = [s.view(np.int64) for s in word_sets(asked)]
-    return batch_of(SET_TYPES, {"node": nodes, "shingles": sets})
+        found = [Sets.unpacked(blob) for blob in batch.column(0).to_pylist()]
+        found = found if known is None else [own.among(known.value) for own in found]
+        ends = np.append(0, np.cumsum(np.concatenate([own.size for own in found]))).astype(np.int32)
+        words = np.concatenate([own.hashes[own.codes] for own in found]).view(np.int64)
+        return batch_of({"node": pa.int64(), "shingles": pa.list_(pa.int64())}, {"node": np.concatenate([own.id for own in found]), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(words))})
+
+    return map_batches(blocks, lambda: work, "node long, shingles array<long>")
 
 
 def late_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
