@@ -260,8 +260,8 @@ def sets_in_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
 def open_candidates(blocks: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     """(later, earlier), once, of all pairs of a common word whose later set is not settled: each block with open sets meets each block of its word."""
     still = map_batches(blocks, lambda: sets_in_blocks, "word long, block int, line long").hint("merge").join(settled, F.col("line") == F.col("later"), "left_anti")
-    asked = written(still.groupBy("word", "block").agg(F.collect_list("line").alias("open")), "line-open")
-    mine = asked.hint("merge").join(blocks, ["word", "block"]).select("word", "open", F.col("blob").alias("own"))
+    waiting = written(still.groupBy("word", "block").agg(F.collect_list("line").alias("open")), "line-open")
+    mine = waiting.hint("merge").join(blocks, ["word", "block"]).select("word", "open", F.col("blob").alias("own"))
     types = {"later": pa.int64(), "earlier": pa.int64()}
 
     def work(batch):
@@ -318,21 +318,42 @@ def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
 
 
 def confirmed_late(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(later), once, of the written pairs (later, earlier) that their full sets, from the blocks of sets, confirm. Where the sets asked for are few enough, their names and bitmaps are broadcast."""
-    wanted = written(pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct(), "line-wanted")
+    """(later), once, of the written pairs (later, earlier) that their full sets, from the blocks of sets, confirm.
+
+    Where the sets asked for are few enough, their bitmaps are broadcast. Each later set is verified against its likeliest earlier one first, and
+    against the others only if that is not similar: the copies of a line need one verification each.
+    """
+    wanted = written(asked(pairs), "line-wanted")
     if wanted.count() > BROADCAST:
-        pairs = written(pairs.distinct(), "line-pairs")
-        sets = words_of_sets(blocks).hint("merge").join(wanted, "node", "left_semi")
+        pairs = pairs.distinct().withColumn("apart", F.lit(0))
     else:
-        names = np.sort(wanted.toArrow()["node"].to_numpy())
-        pairs = written(thinned(pairs, bitmaps_of_sets(blocks, names), percent).distinct(), "line-pairs")
-        left = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
-        sets = words_of_sets(blocks, np.sort(left.toArrow()["node"].to_numpy()))
+        pairs = thinned(pairs.distinct(), bitmaps_of_sets(blocks, names_of(wanted)), percent)
+    pairs = written(pairs, "line-pairs")
+    best = written(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")), "line-best")
+    settled = written(verified(blocks, best, percent), "line-verified")
+    rest = pairs.select("later", "earlier").hint("merge").join(best.select(F.col("later").alias("l"), F.col("earlier").alias("e")), (F.col("later") == F.col("l")) & (F.col("earlier") == F.col("e")), "left_anti")
+    rest = written(rest.hint("merge").join(settled, "later", "left_anti"), "line-others")
+    return settled.union(verified(blocks, rest, percent))
+
+
+def asked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
+
+
+def names_of(wanted: DataFrame) -> np.ndarray:
+    """The names (node), at most BROADCAST of them, in order."""
+    return np.sort(wanted.toArrow()["node"].to_numpy())
+
+
+def verified(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(later), once, of the written pairs (later, earlier) whose full sets are similar."""
+    wanted = written(asked(pairs), "line-asked")
+    sets = words_of_sets(blocks).hint("merge").join(wanted, "node", "left_semi") if wanted.count() > BROADCAST else words_of_sets(blocks, names_of(wanted))
     return confirmed(pairs.toDF("a", "b"), sets.dropDuplicates(["node"]), percent).select(F.col("a").alias("later")).distinct()
 
 
 def thinned(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps differ in no more places than similar sets of their sizes may. At most BROADCAST sets have a bitmap (node, size, bits)."""
+    """The pairs whose bitmaps differ in no more places than similar sets of their sizes may, and in how many (apart). At most BROADCAST sets have a bitmap (node, size, bits)."""
     table = signs.dropDuplicates(["node"]).orderBy("node").toArrow()
     raw = b"".join(table["bits"].to_pylist())
     known = pairs.sparkSession.sparkContext.broadcast((table["node"].to_numpy(), table["size"].to_numpy(), np.frombuffer(raw, np.uint64).reshape(-1, SIGN // 64)))
@@ -341,9 +362,11 @@ def thinned(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
         node, size, bits = known.value
         a, b = (np.searchsorted(node, batch.column(i).to_numpy(zero_copy_only=False)) for i in range(2))
         least = -(-(size[a] + size[b]) * percent // (100 + percent))
-        return batch.filter(pa.array(np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= size[a] + size[b] - 2 * least))
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int32)
+        near = pa.array(apart <= size[a] + size[b] - 2 * least)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(apart)], names=["later", "earlier", "apart"]).filter(near)
 
-    return map_batches(pairs.select("later", "earlier"), lambda: work, "later long, earlier long")
+    return map_batches(pairs.select("later", "earlier"), lambda: work, "later long, earlier long, apart int")
 
 
 def bitmaps_of_sets(blocks: DataFrame, names: np.ndarray) -> DataFrame:
