@@ -69,13 +69,13 @@ def partitions_for(df: DataFrame, least: int = 12) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """mapInArrow: ``make()`` runs once a task and gives a function from a record batch to columns (or None)."""
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, most: int = 16 << 20) -> DataFrame:
+    """mapInArrow: ``make()`` runs once a task and gives a function from a record batch, of about ``most`` bytes, to columns (or None)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 out = work(part)
                 if out is not None:
                     yield out

@@ -6,8 +6,8 @@ positional and bitmap filters thin the pairs that meet, and the rest are verifie
 named by a 64-bit hash of the set.
 
 Texts are split into words once: each block of texts is written as its distinct sets, numbers into the block's vocabulary, which the passes that follow read.
-The sets that share a common word first meet only the earliest few of them, which settles most lines of very many near copies. Those
-still open then meet all the others, in blocks of rows that are dealt to tasks in pairs.
+A set that may be similar to many earlier ones by one word first meets the likeliest few of them, and the sets of a word of very many rows meet the earliest
+few, which settles most lines of very many near copies. Those still open then meet all the others, block by block of the word's rows.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ PERCENT = 80
 RANKED = 1 << 16
 #: Bytes of text whose prefixes one group of the join holds.
 GROUP_BYTES = 16 << 20
-#: Rows of a word beyond which they first meet the earliest ``PIVOTS`` of them, and rows of a block of such a word.
-COMMON, PIVOTS, BLOCK = 64, 3, 4096
+#: Earlier sets that may be similar, by one word, beyond which a set meets the PIVOTS likeliest first; and rows of a word beyond which all meet the earliest PIVOTS first, and
+#: of a block of such a word.
+COMMON, PIVOTS, BLOCK = 16, 3, 4096
 #: Sets whose names and bitmaps are broadcast to thin the pairs and to find their words in the blocks of sets (44 MB); of more, all sets are joined by name instead.
 BROADCAST = 1 << 20
 #: Places of the larger bitmap that pairs are compared by before their sets are.
@@ -194,14 +195,17 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     least = -(-(size_a + size_b) * percent // (100 + percent))
     # The shared word may be any of the common ones: at most those before it in both and those after it.
     most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
-    # Two sets differ in at least as many words as their bitmaps do in bits.
-    apart = np.bitwise_count(a["bits"] ^ b["bits"]).astype(np.int64) + np.bitwise_count(a["more"] ^ b["more"])
-    fit = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (most >= least) & (apart <= size_a + size_b - 2 * least)
+    fit = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (most >= least) & (apart(a, b) <= size_a + size_b - 2 * least)
     return fit & (a["line"] != b["line"]) & ((b["doc"] < a["doc"]) | (b["doc"] == a["doc"]) & (b["at"] < a["at"]))
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places the bitmaps of rows differ. Two sets differ in at least as many words."""
+    return np.bitwise_count(a["bits"] ^ b["bits"]).astype(np.int64) + np.bitwise_count(a["more"] ^ b["more"])
+
+
 def meetings(a: np.ndarray, b: np.ndarray, percent: int, chunk: int = 1 << 18):
-    """(later, earlier) sets of rows of a with all rows of b, sorted by word and size, that have its word and may be similar; in chunks."""
+    """(later, earlier) rows: of each row of a all rows of b, sorted by word and size, that have its word and may be similar; in chunks, a row of a in one of them."""
     key = b["word"].astype(np.int64) << 31 | b["size"]
     word, size = a["word"].astype(np.int64) << 31, a["size"].astype(np.int64)
     low = np.searchsorted(key, word | -(-size * percent // 100))
@@ -211,20 +215,30 @@ def meetings(a: np.ndarray, b: np.ndarray, percent: int, chunk: int = 1 << 18):
         end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk, "right")))
         one, two = np.repeat(np.arange(begin, end), long[begin:end]), gather_runs(low[begin:end], long[begin:end])
         good = may_be_similar(a[one], b[two], percent)
-        yield np.unique(np.stack([a["line"][one[good]], b["line"][two[good]]], axis=1), axis=0)
+        yield one[good], two[good]
         begin = end
 
 
+def likeliest(rows: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier) rows without those of a later row of more than COMMON, but for its PIVOTS likeliest; and such later rows."""
+    first = np.flatnonzero(np.append(True, later[1:] != later[:-1])[: len(later)])
+    many = np.diff(np.append(first, len(later)))
+    crowded = np.repeat(many > COMMON, many)
+    order = np.lexsort((apart(rows[later], rows[earlier]), later))  # later rows are in order already
+    keep = np.sort(order[~crowded | (gather_runs(np.zeros(len(many), np.int64), many) < PIVOTS)])
+    return later[keep], earlier[keep], later[first[many > COMMON]]
+
+
 def distinct_pairs(found: Iterable[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
 
 
-FOUND = {"later": pa.int64(), "earlier": pa.int64(), "word": pa.int64(), "block": pa.int32(), "blob": pa.binary()}
-FOUND_SCHEMA = "later long, earlier long, word long, block int, blob binary"
+FOUND = {"later": pa.int64(), "earlier": pa.int64(), "word": pa.int64(), "block": pa.int32(), "blob": pa.binary(), "open": pa.list_(pa.int64())}
+FOUND_SCHEMA = "later long, earlier long, word long, block int, blob binary, open array<long>"
 
 
 def candidates(table: pa.Table, percent: int) -> pa.Table:
-    """Of one group of words: pairs (later, earlier) of sets, all of them for a word of few rows and those with the earliest ones for a common word; and a common word's rows, in blocks."""
+    """Of one group of words: pairs (later, earlier) of sets; and where a set has met only some of the earlier ones of a word, that word's rows in blocks, each with its open sets."""
     rows = np.concatenate([np.zeros(0, PREFIX), *(rows_of(b) for b in table["blob"].to_pylist())])
     rows = rows[np.lexsort((rows["line"], rows["word"].astype(np.int64) << 31 | rows["size"]))]
     if len(rows):  # a set once a word, with its first place
@@ -234,41 +248,45 @@ def candidates(table: pa.Table, percent: int) -> pa.Table:
         rows = rows[new]
     first = np.flatnonzero(np.append(True, rows["word"][1:] != rows["word"][:-1])) if len(rows) else np.zeros(0, np.int64)
     many = np.diff(np.append(first, len(rows)))
-    common = np.repeat(many > COMMON, many)
-    found, blocks = [*meetings(rows[~common], rows[~common], percent)], []
-    for begin, n in zip(first[many > COMMON].tolist(), many[many > COMMON].tolist(), strict=True):
-        own = rows[begin : begin + n]
-        for pivot in np.lexsort((own["at"], own["doc"]))[:PIVOTS]:
-            good = may_be_similar(own, np.broadcast_to(own[pivot], n), percent)
-            found.append(np.stack([own["line"][good], np.full(int(good.sum()), own["line"][pivot])], axis=1))
-        blocks += [(int(own["word"][0]), k // BLOCK, packed_rows(own[k : k + BLOCK])) for k in range(0, n, BLOCK)]
-    pairs, group = distinct_pairs(found), table["group"][0].as_py()
-    none = [None] * len(pairs)
+    hot = np.repeat(many > BLOCK, many)
+    found, few, crowded = [], np.flatnonzero(~hot), np.zeros(len(rows), bool)
+    own = rows[few]
+    for later, earlier in meetings(own, own, percent):
+        later, earlier, more = likeliest(own, later, earlier)
+        crowded[few[more]] = True
+        found.append(np.stack([own["line"][later], own["line"][earlier]], axis=1))
+    group, blocks = table["group"][0].as_py(), []
+    for begin, n in zip(first.tolist(), many.tolist(), strict=True):
+        if n > BLOCK:
+            own = rows[begin : begin + n]
+            for pivot in np.lexsort((own["at"], own["doc"]))[:PIVOTS]:
+                good = may_be_similar(own, np.broadcast_to(own[pivot], n), percent)
+                found.append(np.stack([own["line"][good], np.full(int(good.sum()), own["line"][pivot])], axis=1))
+            crowded[begin : begin + n] = True
+        if crowded[begin : begin + n].any():
+            for k in range(begin, begin + n, BLOCK):
+                part = slice(k, min(k + BLOCK, begin + n))
+                blocks.append((group << 32 | int(rows["word"][k]), (k - begin) // BLOCK, packed_rows(rows[part]), rows["line"][part][crowded[part]]))
+    pairs = distinct_pairs(found)
+    columns = [*(np.array(pairs[:, i]) for i in range(2)), *([b[i] for b in blocks] for i in range(4))]
     return pa.table({
-        "later": pa.array([*pairs[:, 0].tolist(), *[None] * len(blocks)], pa.int64()), "earlier": pa.array([*pairs[:, 1].tolist(), *[None] * len(blocks)], pa.int64()),
-        "word": pa.array([*none, *(group << 32 | w for w, _, _ in blocks)], pa.int64()), "block": pa.array([*none, *(k for _, k, _ in blocks)], pa.int32()), "blob": pa.array([*none, *(b for _, _, b in blocks)], pa.binary())})
-
-
-def sets_in_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(word, block, line) of blocks (word, block, blob)."""
-    lines = [rows_of(b)["line"] for b in batch.column(2).to_pylist()]
-    sizes = [len(x) for x in lines]
-    words, blocks = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in range(2))
-    return batch_of({"word": pa.int64(), "block": pa.int32(), "line": pa.int64()}, {"word": words, "block": blocks, "line": np.concatenate([np.zeros(0, np.int64), *lines])})
+        name: pa.concat_arrays([pa.array(values, kind), pa.nulls(len(blocks), kind)] if i < 2 else [pa.nulls(len(pairs), kind), pa.array(values, kind)])
+        for i, ((name, kind), values) in enumerate(zip(FOUND.items(), columns, strict=True))})
 
 
 def open_candidates(blocks: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """(later, earlier), once, of all pairs of a common word whose later set is not settled: each block with open sets meets each block of its word."""
-    still = map_batches(blocks, lambda: sets_in_blocks, "word long, block int, line long").hint("merge").join(settled, F.col("line") == F.col("later"), "left_anti")
+    """(later, earlier), once, of all pairs of a common word whose later set is open and not settled: each block with such sets meets each block of its word."""
+    still = blocks.select("word", "block", F.explode("open").alias("line")).hint("merge").join(settled, F.col("line") == F.col("later"), "left_anti")
     waiting = written(still.groupBy("word", "block").agg(F.collect_list("line").alias("open")), "line-open")
-    mine = waiting.hint("merge").join(blocks, ["word", "block"]).select("word", "open", F.col("blob").alias("own"))
+    mine = waiting.hint("merge").join(blocks.select("word", "block", "blob"), ["word", "block"]).select("word", "open", F.col("blob").alias("own"))
     types = {"later": pa.int64(), "earlier": pa.int64()}
 
     def work(batch):
         found = []
         for lines, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a, b = rows_of(one), rows_of(two)
-            found.append(distinct_pairs(meetings(a[np.isin(a["line"], lines)], b, percent)))
+            a = a[np.isin(a["line"], lines)]
+            found += [np.stack([a["line"][later], b["line"][earlier]], axis=1) for later, earlier in meetings(a, b, percent)]
         pairs = distinct_pairs(found)
         return batch_of(types, {"later": pairs[:, 0].copy(), "earlier": pairs[:, 1].copy()})
 
@@ -290,7 +308,7 @@ def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
         many = [batch.num_rows, 1, len(h)]
         return batch_of(types, {c: pa.concat_arrays([own[c].cast(t) if c in own else pa.nulls(k, t) for own, k in zip(kinds, many, strict=True)]) for c, t in types.items()})
 
-    mapped = written(map_batches(named(docs), lambda: sets_of, "row long, doc long, lines array<long>, sets binary, volume long, h long, n long"), "line-sets")
+    mapped = written(map_batches(named(docs), lambda: sets_of, "row long, doc long, lines array<long>, sets binary, volume long, h long, n long", 8 << 20), "line-sets")
     lines, blocks = mapped.where("row is not null").select("row", "doc", "lines"), mapped.where("sets is not null").select("sets")
     ranks = word_ranks(mapped.where("h is not null").select("h", "n"))
     groups = int(max(1, -(-(mapped.agg(F.sum("volume").alias("n")).first()["n"] or 0) // GROUP_BYTES)))
@@ -309,7 +327,7 @@ def late_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
 
     dealt = map_batches(blocks, lambda: prefixes_of, "group int, blob binary").groupBy("group")
     found = written(dealt.applyInArrow(lambda t: candidates(t, percent), FOUND_SCHEMA), "line-candidates")
-    pairs, common = found.where("later is not null").select("later", "earlier"), found.where("blob is not null").select("word", "block", "blob")
+    pairs, common = found.where("later is not null").select("later", "earlier"), found.where("blob is not null").select("word", "block", "blob", "open")
     settled = written(confirmed_late(blocks, pairs, percent), "line-settled")
     rest = written(open_candidates(common, settled, percent), "line-rest")
     late = written(settled.union(confirmed_late(blocks, rest, percent)).distinct(), "line-late")
