@@ -50,9 +50,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that :func:`written` made, when nothing that is still to run reads them."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(table.sparkSession, table.scratch_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip_report
+from .centroids import cluster_report, cluster_sql
 from .common import documents
 from .exact import exact_dedup
 from .language import language_report
 from .lines import line_report
+from .middles import SQL as MIDDLE_SQL
+from .middles import middle_report
 from .neardup import near_dedup
 from .packing import pack_documents
 from .prints import fingerprint_edits
 from .secrets import secret_report
 from .substrings import repeat_report
+from .tokenfile import token_report
 from .toxicity import toxicity_report
 
 
@@ -37,6 +41,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), tokenizer_file()),
         "op9_minhash_near_dedup": lambda spark, sf_dir: near_dedup(documents(spark, sf_dir), width=4, percent=80),
         "op10_fingerprints": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
+        "op11_token_output": lambda spark, sf_dir: token_report(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json")),
+        "op12_centroid_clustering": lambda spark, sf_dir: cluster_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op13_fill_in_middle": lambda spark, sf_dir: middle_report(documents(spark, sf_dir)),
     }
 
 
@@ -48,4 +55,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_SQL}
+    return {"op3_exact_dedup": EXACT_SQL, "op12_centroid_clustering": cluster_sql(), "op13_fill_in_middle": MIDDLE_SQL}
