@@ -5,53 +5,61 @@ escape, which points into a list of whole integers; a run of zeros is one word.
 their own, and a segment says at which word each block starts, so any block is decoded without those before it, all its words at once.
 
 A file is a Parquet file of segments (part, segment, first, doc_ids, lengths, data): whole documents in ascending order of doc_id, about
-``SEGMENT`` ids together; parts follow each other in the same order. Spark commits the files, so a task that is lost or run twice leaves none of its own.
+at most ``SEGMENT`` ids together if they are two or more; parts follow each other in the same order. Spark commits the files, so a task that is lost or run twice leaves none of its own.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, body, delete_path, partitions_for, scratch_path, slices, written
+from .lexicon import gather_runs
 
 # Fixed values of the format: how many payloads of how many bits selectors 1 to 14 stand for. Selector 0 is an escape, 15 a run of zeros.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = tuple(60 // n for n in COUNTS)
 ESCAPE, ZEROS = 0, 15
 BLOCK, SEGMENT = 1024, 1 << 16
-#: Words that a task remembers the ids of.
+#: Words, and pieces of words, that a Python worker remembers the ids of.
 REMEMBERED = 400_000
 U = np.uint64
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
-    bits = np.zeros(len(ids), np.int64)
+    if not len(ids) or ids.max() < 1 << 53:
+        return np.frexp(ids.astype(float))[1].astype(np.uint8)  # a double holds them
+    bits = np.zeros(len(ids), np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         over = ids >= U(1) << U(shift)
-        bits += shift * over
+        bits += (shift * over).astype(np.uint8)
         ids = np.where(over, ids >> U(shift), ids)
     return bits + (ids > 0)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Ids (unsigned, of up to 64 bits) as bytes: a head of five integers, the first word and first escape of each block, words, escapes."""
+    """Ids (unsigned, of up to 64 bits) as bytes: a head of five integers, the first word of each block, words, escapes."""
     ids = np.ascontiguousarray(ids, U)
     n, bits = len(ids), bit_lengths(ids)
-    ends = np.minimum((np.arange(n) // block + 1) * block, n)
+    room = np.minimum(block - np.arange(n) % block, n - np.arange(n))  # ids to the end of the block
     best = np.zeros(n, np.int64)
-    for selector, (count, width) in reversed(list(enumerate(zip(COUNTS, WIDTHS, strict=True), 1))):  # the more ids the better, so the last that fits
-        over = np.concatenate([[0], np.cumsum(bits > width)])
-        at = np.arange(max(n - count + 1, 0))
-        best[at[(over[at + count] == over[at]) & (at + count <= ends[at])]] = selector
+    for selector in range(len(COUNTS), 0, -1):  # the more ids the better, so the last that fits
+        count, width = COUNTS[selector - 1], WIDTHS[selector - 1]
+        over = np.zeros(n + 1, np.int32)
+        np.cumsum(bits > width, out=over[1:])
+        if count <= n:
+            best[: n - count + 1][(over[count:] == over[: n + 1 - count]) & (room[: n - count + 1] >= count)] = selector
     step = np.array([1, *COUNTS])[best]
     zero = bits == 0
     change = np.flatnonzero(np.concatenate([[True], (zero[1:] != zero[:-1]) | (np.arange(1, n) % block == 0), [True]])) if n else np.zeros(1, np.int64)
@@ -123,36 +131,100 @@ class Packed:
         return self.blocks(low, high)[start - low * self.block : end - low * self.block]
 
 
+class Remembered(dict):
+    """Values by key, each asked for once; when too many are held, all are let go."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = value = self.ask(key)
+        return value
+
+
+def expanded(lists: pa.ListArray, values: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists' members in turn, and how many each list has; ``values`` gives those of the distinct members."""
+    coded = lists.flatten().dictionary_encode()
+    ids, sizes = values(coded.dictionary)
+    own = coded.indices.to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(sizes[own])])
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return ids[gather_runs((np.cumsum(sizes) - sizes)[own], sizes[own])], np.diff(before[ends], prepend=0)
+
+
 class WordEncoder:
-    """Encodes texts by a tokenizers file, word by word: the ids of each word between white space are asked for once and then remembered.
+    """Encodes texts by a tokenizers file: distinct words between ASCII white space, and the distinct pieces of those.
 
-    Only for tokenizers that drop white space, whose ids of a text are those of its words in turn.
+    Only for tokenizers that drop white space, whose ids of a text are those of its words in turn. Where the file's steps are those that
+    ``split_rule`` knows, words of Latin letters are cut by its pattern, and each piece goes to its model once and is remembered; any other word
+    is a piece that goes through all steps of the library.
     """
 
-    words = re.compile(r"[^ \t\n\v\f\r]+").findall
+    #: Printable characters before U+0180 that NFC keeps and whose lower case is one character.
+    letters = "!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task a core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        if self.encode_plain(["a\n b"])[0] != b"".join(self.encode_plain(["a", "b"])):
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.of_whole("a\n b") != self.of_whole("a") + self.of_whole("b") or any(t.split() != [t] for t in special):
             raise ValueError("this tokenizer does not drop white space")
-
-    def encode_plain(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of 32 bits."""
-        cut = [self.words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, self.encode_plain(new), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        self.special, self.latin = "|".join(map(re.escape, special)), f"^[{self.letters}]+$"
+        self.is_latin, self.has_special = re.compile(self.latin).search, re.compile(self.special or "(?!)").search
+        self.rule, self.bytes_as_letters = self.split_rule(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.pieces = Remembered(self.of_piece)
+
+    def split_rule(self) -> str | None:
+        """The file's pattern, if its matches are the pieces, bytes are then written as letters, and before that Latin letters only change case."""
+        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        first, *rest = steps.get("pretokenizers") or [{"type": None}]
+        every = "".join(c for c in map(chr, range(0x180)) if re.match(f"[{self.letters}]", c))
+        keeps = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
+        level = [r["type"] == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest] == [True]
+        if keeps and level and self.tokenizer.normalizer and self.tokenizer.normalizer.normalize_str(every) == pc.utf8_lower(every).as_py():
+            return first["pattern"]["Regex"]
+        return None
+
+    def of_whole(self, text: str) -> bytes:
+        """Ids as little-endian integers of 32 bits, by all steps of the library."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_piece(self, piece: str) -> bytes:
+        if not self.rule or not self.is_latin(piece) or self.has_special(piece):
+            return self.of_whole(piece)
+        letters = piece if piece.isascii() else self.bytes_as_letters(piece)[0][0]
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+
+    def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self.pieces.__getitem__, pieces.to_pylist()))
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.rule:
+            cut = pc.replace_substring_regex(pc.utf8_lower(words), f"({self.rule})", r"\1 ")
+            plain = pc.match_substring_regex(words, self.latin)
+            if self.special:
+                plain = pc.and_not(plain, pc.match_substring_regex(words, self.special))
+            words = pc.if_else(plain, cut, words)
+        return expanded(pc.ascii_split_whitespace(words), self.of_pieces)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and how many each has."""
+        return expanded(pc.ascii_split_whitespace(texts), self.of_words)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One a Python worker, for all its tasks."""
+    return WordEncoder(path)
 
 
 SEGMENTS = {"part": pa.int32(), "segment": pa.int32(), "first": pa.int64(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "data": pa.binary()}
@@ -169,35 +241,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, se
     own = docs.select(F.col("doc_id").cast("long"), body().alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
     dealt = own.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order, "text")
-    last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]):
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
-        ids, lengths, codes, held, number, first = [], [], [], 0, 0, 0
-
-        def closed():
-            nonlocal ids, lengths, codes, held, number, first
-            out = batch_of(SEGMENTS, {"part": [part], "segment": [number], "first": [first], "n_ids": [held], "doc_ids": [ids], "lengths": [lengths], "data": [pack(np.frombuffer(b"".join(codes), "<u4"))]})
-            number, first, ids, lengths, codes, held = number + 1, first + held, [], [], [], 0
-            return out
-
+        encode, part, number, first = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
-                for doc_id, code in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    size = len(code) // 4 + 1
-                    if held and held + size > segment:
-                        yield closed()
-                    ids.append(doc_id)
-                    lengths.append(size)
-                    codes.append(code + last)
-                    held += size
-        if held:
-            yield closed()
+            for piece in slices(batch):
+                ids, sizes = encode(piece.column(1))
+                ids, ends = np.insert(ids, np.cumsum(sizes), end_id), np.cumsum(sizes + 1)
+                row = start = 0
+                while row < len(ends):
+                    above = max(int(np.searchsorted(ends, start + segment, "right")), row + 1)
+                    stop = int(ends[above - 1])
+                    yield batch_of(SEGMENTS, {
+                        "part": [part], "segment": [number], "first": [first], "n_ids": [stop - start], "doc_ids": [piece.column(0)[row:above].to_pylist()],
+                        "lengths": [(sizes[row:above] + 1).tolist()], "data": [pack(ids[start:stop])]})
+                    number, first, row, start = number + 1, first + stop - start, above, stop
 
     dealt.mapInArrow(run, SEGMENTS_DDL).write.parquet(path)
 
 
-def map_documents(spark: SparkSession, path: str, types: dict[str, pa.DataType], schema: str, work) -> DataFrame:
+def map_documents(spark: SparkSession, path: str, types: dict[str, pa.DataType], schema: str, work: Callable[[list[np.ndarray]], dict]) -> DataFrame:
     """``work(ids)`` of each document's ids, beside doc_id, start (ids of all documents before it) and n_tokens, from the files.
 
     What is added up first are the parts' sizes, one number a file.
