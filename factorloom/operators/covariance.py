@@ -1,6 +1,6 @@
 """Covariances of moves, by coordinates (i, j, c).
 
-Each estimator is made from the sums of the rows (t, x), which are added up where the rows are; the last step works on one row of numbers,
+Each estimator is made from the moments of the rows (t, x), which are made where the rows are; the last step works on one row of numbers,
 as many as the grid squared. Cross joins here have one row, or an axis of the grid, on a side.
 """
 
@@ -14,27 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from .sums import Sums, block_sums
+from .sums import Moments, whole_moments
 
 
-def from_sums(rows: DataFrame, size: int, run: Callable[[Sums], np.ndarray], upper: bool = True) -> DataFrame:
+def from_sums(rows: DataFrame, size: int, run: Callable[[Moments], np.ndarray], upper: bool = True) -> DataFrame:
     """(i, j, c) of the matrix that ``run`` makes of the sums of all rows; for i <= j if ``upper``. Without rows, or enough of them, it is empty."""
     def matrices(batches):
         for batch in batches:
-            for flat in batch["sums"]:
+            for flat in batch["moments"]:
                 try:
-                    m = run(Sums.from_flat(np.array(flat)))
+                    m = run(Moments.from_flat(np.array(flat)))
                 except ValueError:  # too few rows
                     continue
                 i, j = np.triu_indices(len(m)) if upper else (a.ravel() for a in np.indices(m.shape))
                 yield pd.DataFrame({"i": i, "j": j, "c": m[i, j]})
 
-    return block_sums(rows, {"even": np.ones(size)}).mapInPandas(matrices, "i int, j int, c double")
+    return whole_moments(rows, {"even": np.ones(size)}).mapInPandas(matrices, "i int, j int, c double")
 
 
 def estimate(rows: DataFrame, dims: tuple[int, int], method: str = "sample", alpha: float = 0.0, rank: int = 3) -> DataFrame:
     """(i, j, c) for i <= j of an estimator by name: the same arithmetic that models are fitted with, repairs and the hold of alpha included."""
-    def run(sums: Sums) -> np.ndarray:
+    def run(sums: Moments) -> np.ndarray:
         _, products, fourth = sums.centred()
         return linalg.covariance_from_sums(sums.n, products, fourth, method, alpha, rank, dims)
 

@@ -9,12 +9,14 @@ from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import linalg
-from .sums import Sums, added, block_sums, stacked, whole_sums
+from ..functions.tables import small_table
+from .moves import dot
+from .sums import Moments, fold_moments, merged, stacked, whole_sums
 
 Array = np.ndarray
 
@@ -48,7 +50,7 @@ class Spec:
 
 
 def specs_frame(spark: SparkSession, specs: list[Spec]) -> DataFrame:
-    return spark.createDataFrame([tuple(asdict(s).values()) for s in specs], schemas.SPECS)
+    return small_table(spark, [tuple(asdict(s).values()) for s in specs], schemas.SPECS)
 
 
 def spec_columns() -> list[str]:
@@ -124,9 +126,13 @@ def fit_weights(spec: Spec, vega: Array) -> Array:
     return np.ones(len(vega)) if spec.weighting() == "even" else np.maximum(kernel_weights(vega, spec), 1e-12)
 
 
-def fit_sums(sums: Sums, spec: Spec, vega: Array, dims: tuple[int, int], demean: bool = True) -> PcaFit | TwoWayFit:
+def fit_sums(sums: Moments, spec: Spec, vega: Array, dims: tuple[int, int], demean: bool = True) -> PcaFit | TwoWayFit:
     """The model of the rows whose weighted sums these are; without ``demean`` their mean counts as 0."""
-    mean, products, fourth = sums.centred() if demean else (np.zeros(len(vega)), sums.products, sums.square)
+    if demean:
+        mean, products, fourth = sums.centred()
+    else:
+        mean = np.zeros(len(vega))
+        products, _, fourth = sums.about(mean)
     if spec.family == "pca":
         weights = fit_weights(spec, vega)
         cov = linalg.covariance_from_sums(sums.n, products, fourth, spec.covariance_method, spec.shrinkage_alpha, spec.factor_rank, dims)
@@ -139,7 +145,7 @@ def fit_sums(sums: Sums, spec: Spec, vega: Array, dims: tuple[int, int], demean:
 
 def fit(x: Array, spec: Spec, vega: Array, dims: tuple[int, int], demean: bool = True) -> PcaFit | TwoWayFit:
     """The model of a few rows at hand."""
-    return fit_sums(Sums.of(x * fit_weights(spec, vega)), spec, vega, dims, demean)
+    return fit_sums(Moments.of(x * fit_weights(spec, vega)), spec, vega, dims, demean)
 
 
 def reconstruct(model: PcaFit | TwoWayFit, x: Array, spec: Spec) -> Array:
@@ -164,12 +170,6 @@ def contributions(model: PcaFit | TwoWayFit, x: Array, prev: Array, vega: Array,
     return {f"E{i + 1}xT{j + 1}": scores[:, i, j] * (price @ np.outer(model.along_expiry[:, i], model.along_tenor[:, j]).ravel()) for i, j in sides}
 
 
-def joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
-    """The frames' rows, with text as plain objects."""
-    whole = pd.concat(frames)
-    return whole.astype({c: object for c in whole.columns if isinstance(whole[c].dtype, pd.StringDtype)})
-
-
 # ---- fits over tables of move vectors -------------------------------------------------------------
 
 MODEL_COLUMNS = "n int, mean array<double>, weights array<double>, eigenvalues array<double>, factors array<array<double>>, tenor_values array<double>, tenor_factors array<array<double>>"
@@ -189,37 +189,82 @@ def fit_rows(rows: DataFrame, spec: Spec, vega: Array, dims: tuple[int, int]) ->
 
 def model_frame(spark: SparkSession, model: PcaFit | TwoWayFit, n: float = 0, most: int = 10) -> DataFrame:
     """A fitted model as a table of one row."""
-    return spark.createDataFrame([tuple(model_row(model, n, most).values())], MODEL_COLUMNS)
+    return small_table(spark, [tuple(model_row(model, n, most).values())], MODEL_COLUMNS)
 
 
-def fold_models(rows: DataFrame, folds: DataFrame, block: int, spec: Spec, vega: Array, dims: tuple[int, int], most: int = 10) -> DataFrame:
-    """One model a training set: ``folds`` has fold and the first and end row as low and high, multiples of ``block``. Failed fits have a null model and say why."""
-    sums = block_sums(rows, {"all": fit_weights(spec, vega)}, block).select("block", "sums")
-    dealt = folds.select("fold", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))).alias("block")).join(sums, "block")
+def fold_models(rows: DataFrame, window: int, step: int, block: int, spec: Spec, vega: Array, dims: tuple[int, int], most: int = 10) -> DataFrame:
+    """One model a refit on the ``window`` rows (t, date, x) before every ``step``-th row, with fold and end_date. Failed fits have a null model and say why."""
+    parts = fold_moments(rows.withColumn("kind", F.lit("all")), {"all": {"all": fit_weights(spec, vega)}}, [(window, window)], step, block)
     names = [c.split(" ")[0] for c in MODEL_COLUMNS.split(", ")]
+    schema = f"fold int, {MODEL_COLUMNS}, failure string, end_date date"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = {"fold": int(group["fold"].iloc[0]), **dict.fromkeys(names), "failure": None}
+        total = merged(group["moments"])
+        own = {"fold": int(group["fold"].iloc[0]), **dict.fromkeys(names), "failure": None, "end_date": max(group["high"])}
         try:
-            total = added(group["sums"])
             own |= model_row(fit_sums(total, spec, vega, dims), total.n, most)
         except Exception as error:  # one training set's failure is its own
             own["failure"] = f"{type(error).__name__}: {error}"
-        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in own.items()})
+        return pd.DataFrame({k: pd.Series([v] if total.n == window else [], dtype=object) for k, v in own.items()})
+
+    return parts.groupBy("fold").applyInPandas(run, schema)
+
+
+def literal(values: Array) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values))
+
+
+def priced(rows: DataFrame, model: PcaFit | TwoWayFit, spec: Spec, vega: Array) -> DataFrame:
+    """(t, date, full_pnl, projected_pnl) of rows, with plain column expressions.
+
+    The factors are priced before they meet the rows. An absolute row's projected PnL is one sum over its buckets; a relative one takes a score and a
+    price a factor; only log moves, which are not linear, are rebuilt by bucket.
+    """
+    mean, factor, scale = price_parts(model, spec)
+    full = dot("dvol", literal(vega))
+    if spec.transform == "absolute":
+        along = factor @ (scale @ vega)  # what a move in each bucket is worth
+        hat = dot("x", literal(along)) + F.lit(float(mean @ vega - mean @ along))
+    else:
+        scores = F.array(*(dot("x", literal(f)) - F.lit(float(mean @ f)) for f in factor.T))
+        if spec.transform == "relative":
+            prices = F.array(*(dot("prev", literal(s * vega)) for s in scale))
+            hat = dot("prev", literal(mean * vega)) + dot(scores, prices)
+        else:
+            by_bucket = [literal(np.concatenate([[m], s])) for m, s in zip(mean, scale.T, strict=True)]
+            back = F.transform(F.array(*by_bucket), lambda row: dot(row, "with_one"))
+            rows = rows.withColumn("with_one", F.concat(F.array(F.lit(1.0)), scores))
+            hat = dot(F.zip_with("prev", back, lambda p, h: p * (F.exp(h) - 1)), literal(vega))
+    return rows.select("t", "date", full.alias("full_pnl"), hat.alias("projected_pnl"))
+
+
+def price_parts(model: PcaFit | TwoWayFit, spec: Spec) -> tuple[Array, Array, Array]:
+    """Mean, what makes scores of a centred row (a column a factor), and what makes moves of scores (a row a factor)."""
+    if isinstance(model, PcaFit):
+        return model.mean, model.weights[:, None] * model.components(spec.n_components), model.loadings(spec.n_components)
+    plane = np.einsum("ia,jb->abij", model.along_expiry[:, : spec.r_expiry], model.along_tenor[:, : spec.r_tenor]).reshape(-1, len(model.mean))
+    return model.mean, plane.T, plane
+
 
-    return dealt.groupBy("fold").applyInPandas(run, f"fold int, {MODEL_COLUMNS}, failure string")
+def projected_pnl(model: PcaFit | TwoWayFit, x: Array, prev: Array | None, spec: Spec, vega: Array) -> Array:
+    """The projected PnL of rows at hand; ``prev`` is not needed for absolute moves."""
+    mean, factor, scale = price_parts(model, spec)
+    scores = (x - mean) @ factor
+    if spec.transform == "absolute":
+        return mean @ vega + scores @ (scale @ vega)
+    if spec.transform == "relative":
+        return prev @ (mean * vega) + (scores * (prev @ (scale * vega).T)).sum(axis=1)
+    return (prev * (np.exp(mean + scores @ scale) - 1)) @ vega
 
 
-def projected(rows: DataFrame, model: PcaFit | TwoWayFit, spec: Spec, vega: Array) -> DataFrame:
-    """Rows projected by a model: t, date, full_pnl, projected_pnl, dvol, dvol_hat, prev."""
+def projected(rows: DataFrame, model: PcaFit | TwoWayFit, spec: Spec) -> DataFrame:
+    """Rows rebuilt by a model, bucket by bucket: t, date, dvol, dvol_hat."""
     def run(batches):
         for batch in batches:
-            x, dvol, prev = (stacked(batch[c]) for c in ("x", "dvol", "prev"))
-            hat = absolute(reconstruct(model, x, spec), prev, spec.transform)
-            yield pd.DataFrame({"t": batch["t"], "date": batch["date"], "full_pnl": dvol @ vega, "projected_pnl": hat @ vega, "dvol": dvol.tolist(), "dvol_hat": hat.tolist(), "prev": prev.tolist()})
+            hat = absolute(reconstruct(model, stacked(batch["x"]), spec), stacked(batch["prev"]), spec.transform)
+            yield pd.DataFrame({"t": batch["t"], "date": batch["date"], "dvol": batch["dvol"], "dvol_hat": hat.tolist()})
 
-    schema = "t long, date date, full_pnl double, projected_pnl double, dvol array<double>, dvol_hat array<double>, prev array<double>"
-    return rows.select("t", "date", "x", "dvol", "prev").mapInPandas(run, schema)
+    return rows.select("t", "date", "x", "dvol", "prev").mapInPandas(run, "t long, date date, dvol array<double>, dvol_hat array<double>")
 
 
 def contribution_rows(rows: DataFrame, model: PcaFit | TwoWayFit, spec: Spec, vega: Array) -> DataFrame:

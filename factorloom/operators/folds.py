@@ -8,6 +8,8 @@ from math import gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import small_table
+
 
 def row_count(rows: DataFrame) -> DataFrame:
     """(n): one row, the number of rows that ``t`` counts from 0."""
@@ -16,7 +18,7 @@ def row_count(rows: DataFrame) -> DataFrame:
 
 def windows_frame(rows: DataFrame, windows: Sequence[int], min_train: int | None = None) -> DataFrame:
     """(window, first, n): each window with the row at which its first fold starts."""
-    table = rows.sparkSession.createDataFrame([(w, min_train or w) for w in windows], "window int, first int")
+    table = small_table(rows.sparkSession, [(w, min_train or w) for w in windows], "window int, first int")
     return table.crossJoin(F.broadcast(row_count(rows)))
 
 

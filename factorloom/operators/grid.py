@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_years
+from ..functions.tables import small_table
 
 
 def make_grid(spark: SparkSession, expiries: Sequence[str], tenors: Sequence[str]) -> DataFrame:
     """All pairs of labels with their places; bucket = e_idx * tenors + t_idx. Labels are parameters, so this is a small table."""
-    axis = lambda labels, name, short: spark.createDataFrame([(i, x) for i, x in enumerate(labels)], f"{short}_idx int, {name} string")
-    pairs = axis(expiries, "expiry", "e").crossJoin(axis(tenors, "tenor", "t"))
+    pairs = small_table(spark, [(e, t, i, j) for i, e in enumerate(expiries) for j, t in enumerate(tenors)], "expiry string, tenor string, e_idx int, t_idx int")
     return pairs.select(
         "expiry", "tenor", "e_idx", "t_idx", (F.col("e_idx") * len(tenors) + F.col("t_idx")).alias("bucket"),
         label_years(F.col("expiry")).alias("e_years"), label_years(F.col("tenor")).alias("t_years"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from ..functions.labels import finite
 
 TRANSFORMS = ("absolute", "relative", "log_relative")
 FLOOR = 1e-8
+#: Days of a range of dates, the unit of parallel work on a surface.
+RANGE_DAYS = 92
 
 
 def check_transform(transform: str) -> str:
@@ -38,27 +42,74 @@ def to_absolute_linear(x: Column, prev: Column, transform: str) -> Column:
     return x if check_transform(transform) == "absolute" else prev * x
 
 
-def compute_moves(surface: DataFrame, grid: DataFrame, transform: str = "absolute", floor: float = FLOOR) -> DataFrame:
-    """(t, date, bucket, x, dvol, prev): moves of the dates on which every bucket has one; t counts them from 0.
+def earlier(ranges: DataFrame, value: Column, *same: str) -> DataFrame:
+    """(part, *same, found): ``value`` over the ranges before each one, of equal ``same``. There are as many rows as ranges of dates, so pairs of them are few; no task sees all."""
+    a, b = ranges.alias("a"), F.broadcast(ranges).alias("b")
+    rule = F.col("b.part") < F.col("a.part")
+    for c in same:
+        rule = rule & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, rule).groupBy("a.part", *(f"a.{c}" for c in same)).agg(value.alias("found"))
+
 
-    Dates are laid out over the whole grid before the lag, so a missing cell takes this date's and the next date's moves with it
-    and never pairs dates that are not neighbours.
+def levels(surface: DataFrame, grid: DataFrame, days: int = RANGE_DAYS) -> DataFrame:
+    """(part, date, vol, prev): each date's levels in bucket order and those of the date before, null where a bucket has none.
+
+    Cells are dealt by ranges of dates, and all that follows stays in its range; only the last date of each range goes to the next that has rows.
+    """
+    at = F.floor(F.datediff(F.col("date"), F.lit("1970-01-01")) / days).cast("int")
+    cells = surface.join(F.broadcast(grid.select("expiry", "tenor", "bucket")), ["expiry", "tenor"], "left")
+    cells = cells.select(at.alias("part"), "date", "bucket", finite(F.col("vol")).alias("vol")).repartition("part")
+    present = F.collect_list(F.when(F.col("vol").isNotNull() & F.col("bucket").isNotNull(), F.struct("bucket", "vol")))
+    by_date = cells.groupBy("part", "date").agg(F.array_sort(present).alias("cells")).crossJoin(F.broadcast(grid.agg(F.count("*").alias("p"))))
+    rows = by_date.select("part", "date", F.when(F.size("cells") == F.col("p"), F.col("cells.vol")).alias("vol"))
+    order = W.partitionBy("part").orderBy("date")
+    last = rows.groupBy("part").agg(F.max_by(F.struct("vol"), "date").alias("end"))
+    lead = earlier(last, F.max_by("b.end", "b.part"))
+    joined = rows.join(F.broadcast(lead), "part", "left")
+    prev = F.when(F.row_number().over(order) == 1, F.col("found.vol")).otherwise(F.lag("vol").over(order))
+    return joined.select("part", "date", "vol", prev.alias("prev"))
+
+
+def all_move_rows(surface: DataFrame, grid: DataFrame, transforms: Sequence[str], floor: float = FLOOR, days: int = RANGE_DAYS) -> DataFrame:
+    """(transform, t, date, x, dvol, prev) with arrays in bucket order: moves of the dates on which every bucket has one; t counts them from 0.
+
+    A missing cell takes this date's and the next date's moves with it, and dates that are not neighbours are never paired. A date's number is its place
+    in its range and the count of rows in the ranges before.
     """
-    cells = surface.join(F.broadcast(grid.select("expiry", "tenor", "bucket")), ["expiry", "tenor"]).select("date", "bucket", finite(F.col("vol")).alias("vol"))
-    dense = surface.select("date").distinct().crossJoin(F.broadcast(grid.select("bucket"))).join(cells, ["date", "bucket"], "left")
-    lagged = dense.withColumn("prev", F.lag("vol").over(W.partitionBy("bucket").orderBy("date")))
-    raw = lagged.select("date", "bucket", finite(moved(F.col("vol"), F.col("prev"), transform, floor)).alias("x"), (F.col("vol") - F.col("prev")).alias("dvol"), "prev").where("x is not null")
-    whole = raw.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(grid.agg(F.count("*").alias("n"))), "n").select("date")
-    numbered = whole.select("date", (F.row_number().over(W.orderBy("date")) - 1).cast("long").alias("t"))  # one row a date
-    return raw.join(F.broadcast(numbered), "date").select("t", "date", "bucket", "x", "dvol", "prev")
+    known = levels(surface, grid, days).where("vol is not null and prev is not null")
+    kind = lambda t: F.struct(F.lit(check_transform(t)).alias("transform"), F.zip_with("vol", "prev", lambda v, p: moved(v, p, t, floor)).alias("x"))
+    kinds = F.explode(F.array(*map(kind, transforms)))
+    moves = known.select("part", "date", kinds.alias("k"), F.zip_with("vol", "prev", lambda v, p: v - p).alias("dvol"), "prev").select("part", "k.transform", "date", "k.x", "dvol", "prev")
+    whole = moves.where(F.forall("x", lambda v: finite(v).isNotNull()))
+    counts = whole.groupBy("part", "transform").agg(F.count("*").alias("n"))
+    before = earlier(counts, F.sum("b.n"), "transform")
+    place = F.row_number().over(W.partitionBy("part", "transform").orderBy("date")) - 1
+    numbered = whole.withColumn("place", place).join(F.broadcast(before), ["part", "transform"], "left")
+    return numbered.select("transform", (F.coalesce("found", F.lit(0)) + F.col("place")).cast("long").alias("t"), "date", "x", "dvol", "prev")
+
+
+def move_rows(surface: DataFrame, grid: DataFrame, transform: str = "absolute", floor: float = FLOOR) -> DataFrame:
+    """(t, date, x, dvol, prev) of one transform."""
+    return all_move_rows(surface, grid, [transform], floor).drop("transform")
+
+
+def move_cells(rows: DataFrame) -> DataFrame:
+    """(t, date, bucket, x, dvol, prev) of rows with arrays."""
+    cells = rows.select("t", "date", F.posexplode(F.arrays_zip("x", "dvol", "prev")).alias("bucket", "c"))
+    return cells.select("t", "date", "bucket", "c.x", "c.dvol", "c.prev")
+
+
+def compute_moves(surface: DataFrame, grid: DataFrame, transform: str = "absolute", floor: float = FLOOR) -> DataFrame:
+    """(t, date, bucket, x, dvol, prev): :func:`move_rows` by bucket."""
+    return move_cells(move_rows(surface, grid, transform, floor))
 
 
-def move_vectors(moves: DataFrame) -> DataFrame:
-    """(t, date, x, dvol, prev) with arrays in bucket order."""
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "x", "dvol", "prev")))
-    return moves.groupBy("t", "date").agg(ordered.alias("cells")).select("t", "date", *(F.col(f"cells.{c}").alias(c) for c in ("x", "dvol", "prev")))
+def dot(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def full_pnl(moves: DataFrame, aligned: DataFrame) -> DataFrame:
-    """(t, date, full_pnl): each date's absolute moves priced with the book."""
-    return moves.join(F.broadcast(aligned.select("bucket", "vega")), "bucket").groupBy("t", "date").agg(F.sum(F.col("dvol") * F.col("vega")).alias("full_pnl"))
+def full_pnl(rows: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(t, date, full_pnl): each date's absolute moves, as an array, priced with the book, which is one array beside them."""
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "vega")))
+    book = aligned.agg(ordered["vega"].alias("book"))
+    return rows.crossJoin(F.broadcast(book)).select("t", "date", dot("dvol", "book").alias("full_pnl"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from . import factors
 from .factors import Spec
-from .folds import block_size, latest_rows, refit_table
+from .folds import block_size, latest_rows
 from .grid import align_vega
-from .moves import compute_moves, move_vectors
+from .moves import move_rows
 from .validate import best_spec, dims_of, pnl_metrics, summary, vega_array, walk_forward
 
 
@@ -71,14 +71,9 @@ def projector(models: DataFrame, k: int) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
 
 
-def rolling_models(moves: DataFrame, spec: Spec, vega: np.ndarray, dims: tuple[int, int], window: int, step: int = 20) -> DataFrame:
+def rolling_models(rows: DataFrame, spec: Spec, vega: np.ndarray, dims: tuple[int, int], window: int, step: int = 20) -> DataFrame:
     """One fitted model a refit, with fold and end_date; failed ones say why."""
-    vectors = move_vectors(moves)
-    folds = refit_table(vectors, window, step)
-    k = max(spec.n_components, spec.r_expiry, spec.r_tenor)
-    models = factors.fold_models(vectors, folds.select("fold", F.col("train_from").alias("low"), F.col("train_to").alias("high")), block_size([window], step), spec, vega, dims, k)
-    ends = folds.join(vectors.select((F.col("t") + 1).alias("train_to"), F.col("date").alias("end_date")), "train_to").select("fold", "end_date")
-    return models.join(ends, "fold")
+    return factors.fold_models(rows, window, step, block_size([window], step), spec, vega, dims, max(spec.n_components, spec.r_expiry, spec.r_tenor))
 
 
 def distance(a: str, b: str, k: int):
@@ -113,10 +108,10 @@ class Report:
 def latest_report(surface: DataFrame, grid: DataFrame, vega: DataFrame, spec: Spec, window: int) -> Report:
     """Fits the model on the last ``window`` moves and describes it on the same rows. The book must hold every bucket."""
     price, dims = vega_array(grid, vega, on_missing="error"), dims_of(grid)
-    rows = latest_rows(move_vectors(compute_moves(surface, grid, spec.transform)), window)
+    rows = latest_rows(move_rows(surface, grid, spec.transform), window)
     model = factors.fit_rows(rows, spec, price, dims)
-    fit = factors.projected(rows, model, spec, price)
-    pnl = fit.select("t", "date", "full_pnl", "projected_pnl", (F.col("full_pnl") - F.col("projected_pnl")).alias("error"))
+    fit = factors.projected(rows, model, spec)
+    pnl = factors.priced(rows, model, spec, price).withColumn("error", F.col("full_pnl") - F.col("projected_pnl"))
     parts = factors.contribution_rows(rows, model, spec, price)
     models = factors.model_frame(surface.sparkSession, model, window, max(spec.n_components, spec.r_expiry, spec.r_tenor))
     return Report(models, pnl_metrics(pnl), pnl, parts, component_stats(parts), residual_risk(fit, grid, vega, with_noise=False))

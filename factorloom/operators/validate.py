@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.tables import small_table
 from . import factors
 from .factors import Spec
-from .folds import block_size, fold_table, test_rows
+from .folds import block_size
 from .grid import align_vega
-from .moves import compute_moves, move_vectors
-from .sums import added, block_sums, stacked
+from .moves import all_move_rows, dot
+from .sums import fold_moments, merged, stacked
 
 #: Names of the metrics.
 METRICS = ("n_test_obs", "full_pnl_std", "proj_pnl_std", "error_mean", "error_rmse", "error_mae", "error_p95_abs", "error_max_abs", "explained_pnl_variance", "full_vs_projected_corr")
@@ -35,23 +35,24 @@ def dims_of(grid: DataFrame) -> tuple[int, int]:
 
 
 def fold_kernel(specs: Sequence[Spec], vega: np.ndarray, dims: tuple[int, int]):
-    """Fits every spec on one fold's sums and scores it on the fold's test rows; specs that share a decomposition fit once. A failed fit gives one row that says so."""
+    """Fits every spec on one fold's moments and scores it on the fold's test rows; specs that share a decomposition fit once. A failed fit gives one row that says so."""
     kinds = dict(c.split(" ") for c in schemas.PREDICTIONS.split(", "))
 
     def run(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in kinds}
         if not train.empty and not test.empty:
             test = test.sort_values("t")
-            transform, window, fold = (test[c].iloc[0] for c in ("transform", "window", "fold"))
-            x, dvol, prev = stacked(test["x"]), stacked(test["dvol"]), stacked(test["prev"])
-            sums = {name: added(group["sums"]) for name, group in train.groupby("weighting")}
-            full, fits = dvol @ vega, {}
+            transform, window, fold = (test[c].iloc[0] for c in ("kind", "window", "fold"))
+            x, full = stacked(test["x"]), test["full_pnl"].to_numpy()
+            prev = None if transform == "absolute" else stacked(test["prev"])
+            sums = {name: merged(group["moments"]) for name, group in train.groupby("weighting")}
+            fits = {}
             for spec in (s for s in specs if s.transform == transform):
-                row = {"model": spec.name, "window": window, "fold": fold, "transform": transform, "family": spec.family, "train_start": train["train_start"].iloc[0], "train_end": train["train_end"].iloc[0]}
+                row = {"model": spec.name, "window": window, "fold": fold, "transform": transform, "family": spec.family, "train_start": min(train["low"]), "train_end": max(train["high"])}
                 try:
                     if spec.fit_key() not in fits:
                         fits[spec.fit_key()] = factors.fit_sums(sums[spec.weighting()], spec, vega, dims)
-                    hat = factors.absolute(factors.reconstruct(fits[spec.fit_key()], x, spec), prev, transform) @ vega
+                    hat = factors.projected_pnl(fits[spec.fit_key()], x, prev, spec, vega)
                     found = {"t": test["t"].tolist(), "date": test["date"].tolist(), "full_pnl": full.tolist(), "projected_pnl": hat.tolist(), "error": (full - hat).tolist()}
                 except Exception as error:  # one fold's failure is its own, whatever it is
                     found = {"failure": [f"{type(error).__name__}: {error}"]}
@@ -66,24 +67,24 @@ def fold_kernel(specs: Sequence[Spec], vega: np.ndarray, dims: tuple[int, int]):
 def walk_forward(surface: DataFrame, grid: DataFrame, vega: DataFrame, specs: Sequence[Spec], windows: Sequence[int], horizon: int = 20, step: int = 20, min_train: int | None = None) -> DataFrame:
     """Predictions of every spec, window and fold (PREDICTIONS).
 
-    Moves are summed once, in blocks; a fold's training set is the sum of its blocks, so only test rows travel as rows. Each fold of a transform is
-    one group, small by its horizon and the grid, and all groups run side by side.
+    The moves of all transforms are made once and summed in blocks; a fold's training set is a merge of a few parts (see ``fold_moments``), so only test
+    rows travel as rows, with the levels before them only where a transform needs them. Which fold a row or a block belongs to is arithmetic. Each fold of a
+    transform is one group, small by its horizon and the grid, and all groups run side by side.
     """
     price, dims, block = vega_array(grid, vega), dims_of(grid), block_size(windows, step, min_train)
-    tests, trains = [], []
-    for transform in sorted({s.transform for s in specs}):
-        vectors = move_vectors(compute_moves(surface, grid, transform))
-        tests.append(test_rows(vectors, windows, horizon, step, min_train).withColumn("transform", F.lit(transform)))
-        weights = {s.weighting(): factors.fit_weights(s, price) for s in specs if s.transform == transform}
-        dates = vectors.select("t", "date")
-        folds = fold_table(vectors, windows, horizon, step, min_train)
-        folds = folds.join(dates.toDF("train_from", "train_start"), "train_from").join(dates.select((F.col("t") + 1).alias("train_to"), F.col("date").alias("train_end")), "train_to")
-        made_of = F.explode(F.sequence(F.floor(F.col("train_from") / block), F.floor((F.col("train_to") - 1) / block)))
-        dealt = folds.select("window", "fold", "train_start", "train_end", made_of.alias("block")).join(block_sums(vectors, weights, block), "block")
-        trains.append(dealt.withColumn("transform", F.lit(transform)))
-    keys = ("transform", "window", "fold")
-    test, train = (reduce(DataFrame.unionByName, parts).groupBy(*keys) for parts in (tests, trains))
-    return test.cogroup(train).applyInPandas(fold_kernel(specs, price, dims), schemas.PREDICTIONS)
+    transforms = sorted({s.transform for s in specs})
+    rows = all_move_rows(surface, grid, transforms).withColumnRenamed("transform", "kind")
+    weights = {t: {s.weighting(): factors.fit_weights(s, price) for s in specs if s.transform == t} for t in transforms}
+    starts = [(w, min_train or w) for w in windows if (min_train or w) <= w]
+    train = fold_moments(rows, weights, starts, step, block)
+    needed = rows.select("kind", "t", "date", "x", F.when(F.col("kind") != "absolute", F.col("prev")).alias("prev"), dot("dvol", factors.literal(price)).alias("full_pnl"))
+    t, first = F.col("t"), F.col("first")
+    low, high = F.greatest(F.ceil((t - first - horizon + 1) / step), F.lit(0)), F.floor((t - first) / step)
+    folds = F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))))
+    known = F.explode(F.array(*(F.struct(F.lit(w).alias("window"), F.lit(f).alias("first")) for w, f in starts)))
+    dealt = needed.withColumn("w", known).select("*", "w.window", "w.first").select("kind", "window", folds.alias("fold"), "t", "date", "x", "prev", "full_pnl")
+    keys = ("kind", "window", "fold")
+    return dealt.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(fold_kernel(specs, price, dims), schemas.PREDICTIONS)
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -105,7 +106,7 @@ def pnl_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
 def summary(predictions: DataFrame, specs: DataFrame, windows: Sequence[int]) -> DataFrame:
     """One row a spec and window: ids, metrics, the spec's fields; status says where nothing was predicted."""
     spark = specs.sparkSession
-    tried = specs.crossJoin(F.broadcast(spark.createDataFrame([(w,) for w in windows], "window int")))
+    tried = specs.crossJoin(F.broadcast(small_table(spark, [(w,) for w in windows], "window int")))
     measured = pnl_metrics(predictions.where("failure is null"), "model", "window").withColumnRenamed("model", "name")
     joined = tried.join(measured, ["name", "window"], "left")
     done = F.col("n_test_obs").isNotNull()

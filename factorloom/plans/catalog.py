@@ -14,7 +14,7 @@ from ..operators import factors, ladder, report, validate
 from ..operators.factors import Spec
 from ..operators.folds import fold_table, refit_table, test_rows, training_rows
 from ..operators.grid import align_vega, axis_in_order, matrix, missing_cells, vector, vega_weights
-from ..operators.moves import compute_moves, full_pnl, move_vectors, to_absolute, to_absolute_linear
+from ..operators.moves import compute_moves, full_pnl, move_rows, to_absolute, to_absolute_linear
 from ..sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,9 @@ SAMPLE_SPECS = [s for s in factors.default_specs() if "PCA sample" in s.name]
 EIGHT = Spec("Abs PCA sample k=8", n_components=8)
 ONE, TWO_WAY = FEW_SPECS[1], Spec("Separable PCA rE=2 rT=2", family="separable", r_expiry=2, r_tenor=2)
 DIMS = (len(panels.PANEL_EXPIRIES), len(panels.PANEL_TENORS))
+LADDER = (len(panels.LADDER_EXPIRIES), len(panels.LADDER_TENORS))
+#: Bootstrap samples, buckets of a patch of the block bootstrap, and the strength of the smoothed ladder.
+REPS, PATCH, STRENGTH = 500, (2, 3), 0.5
 M = len(panels.REDUCED_EXPIRIES) * len(panels.REDUCED_TENORS)
 
 
@@ -41,8 +44,8 @@ def panel(spark: SparkSession, sf_dir: str, transform: str = "absolute", grain:
     return compute_moves(panels.price_surface(spark, sf_dir, grain), panels.panel_grid(spark), transform)
 
 
-def month_rows(spark: SparkSession, sf_dir: str, transform: str = "absolute") -> DataFrame:
-    return move_vectors(panel(spark, sf_dir, transform))
+def month_rows(spark: SparkSession, sf_dir: str, transform: str = "absolute", grain: str = "month") -> DataFrame:
+    return move_rows(panels.price_surface(spark, sf_dir, grain), panels.panel_grid(spark), transform)
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +86,21 @@ def by_expiry(fine: DataFrame, basis: DataFrame) -> DataFrame:
 
 
 def sampled(fine: DataFrame, basis: DataFrame) -> DataFrame:
-    return ladder.bootstrap(fine, basis, ladder.total_constraint(fine, basis), M)
+    return ladder.bootstrap(fine, basis, ladder.total_constraint(fine, basis), M, ladder.draws(fine, REPS))
+
+
+def patched(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    """The bootstrap over patches of neighbouring buckets."""
+    drawn = ladder.patch_draws(fine.sparkSession, LADDER, PATCH, REPS)
+    return ladder.bootstrap(fine, basis, ladder.total_constraint(fine, basis), M, drawn)
+
+
+def smoothed(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    return ladder.smoothed_ladder(fine, basis, ladder.total_constraint(fine, basis), (len(panels.REDUCED_EXPIRIES), len(panels.REDUCED_TENORS)), STRENGTH)
+
+
+def all_buckets(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    return ladder.buckets(fine, basis, ladder.solved_row(ladder.normal_row(fine, basis, M), ladder.total_constraint(fine, basis), M), M)
 
 
 def ranked(fine: DataFrame, basis: DataFrame) -> DataFrame:
@@ -92,7 +109,7 @@ def ranked(fine: DataFrame, basis: DataFrame) -> DataFrame:
 
 
 def quality(fine: DataFrame, basis: DataFrame) -> DataFrame:
-    row = ladder.summary(fine, basis, constrained(fine, basis), M, sampled(fine, basis))
+    row = ladder.summary(fine, basis, ladder.total_constraint(fine, basis), M, sampled(fine, basis))
     return ladder.labelled(row, "worst_bucket", panels.LADDER_EXPIRIES, panels.LADDER_TENORS, "worst_")
 
 
@@ -129,7 +146,15 @@ def models_of(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
 
 def fitted(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
     """The model on all months, projecting the same months."""
-    return factors.projected(month_rows(spark, sf_dir, spec.transform), model_of(spark, sf_dir, spec), spec, price(spark, sf_dir))
+    return factors.projected(month_rows(spark, sf_dir, spec.transform), model_of(spark, sf_dir, spec), spec)
+
+
+def priced(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
+    """Their full and projected PnL."""
+    vega = price(spark, sf_dir)
+    rows = month_rows(spark, sf_dir, spec.transform)
+    found = factors.priced(rows, factors.fit_rows(rows, spec, vega, DIMS), spec, vega)
+    return found.withColumn("error", F.col("full_pnl") - F.col("projected_pnl"))
 
 
 def parts_of(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
@@ -148,7 +173,7 @@ def both_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stable(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
-    return rounded(report.stability(report.rolling_models(panel(spark, sf_dir), spec, price(spark, sf_dir), DIMS, 40, 10), spec), 5)
+    return rounded(report.stability(report.rolling_models(month_rows(spark, sf_dir), spec, price(spark, sf_dir), DIMS, 40, 10), spec), 5)
 
 
 def projector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +216,7 @@ def queries() -> dict[str, Query]:
         "vega_align": lambda s, d: rounded(book(s, d)),
         "vega_align_missing": lambda s, d: rounded(align_vega(panels.panel_grid(s), panels.panel_book(s, d).where("tenor <> '4Y'"))),
         **{f"vega_weights_p{int(100 * p)}": (lambda p: lambda s, d: rounded(vega_weights(book(s, d), p)))(p) for p in (0.25, 0.5, 1.0)},
-        "full_pnl": lambda s, d: rounded(full_pnl(panel(s, d), book(s, d))),
+        "full_pnl": lambda s, d: rounded(full_pnl(month_rows(s, d), book(s, d))),
         **{f"cov_{name}": (lambda m: lambda s, d: rounded(cov.estimate(panels.embedding_moves(s, d), (8, 8), m)))(m) for name, m in (("sample", "sample"), ("ledoit_wolf", "ledoit_wolf"), ("oas", "oas"))},
         **{f"cov_{name}": (lambda m, a: lambda s, d: rounded(cov.estimate(month_rows(s, d), DIMS, m, a)))(m, a) for name, m, a in (
             ("sample_panel", "sample", 0.0), ("diag_shrink", "diagonal_shrink", 0.3), ("corr_shrink", "correlation_shrink", 0.3), ("separable_shrink", "separable_shrink", 0.3), ("factor_diag", "factor_diag", 0.5), ("alpha_held", "diagonal_shrink", 1.7))},
@@ -212,8 +237,8 @@ def queries() -> dict[str, Query]:
         "loadings_weighted": lambda s, d: rounded(report.loadings(models_of(s, d, Spec("w", vega_weight_power=0.5)), panels.panel_grid(s), 1), 5),
         "loadings_two_way": lambda s, d: rounded(report.loadings(models_of(s, d, TWO_WAY), panels.panel_grid(s), 1), 5),
         "separable_eigs": lambda s, d: rounded(both_values(s, d)),
-        "pca_projected_pnl": lambda s, d: rounded(fitted(s, d, ONE).select("t", "date", "full_pnl", "projected_pnl", (F.col("full_pnl") - F.col("projected_pnl")).alias("error")), 4),
-        "separable_projected_pnl": lambda s, d: rounded(fitted(s, d, TWO_WAY).select("t", "date", "full_pnl", "projected_pnl"), 4),
+        "pca_projected_pnl": lambda s, d: rounded(priced(s, d, ONE), 4),
+        "separable_projected_pnl": lambda s, d: rounded(priced(s, d, TWO_WAY).drop("error"), 4),
         "walk_forward_predictions": lambda s, d: rounded(walk(s, d, FEW_SPECS).select("model", "window", "fold", "t", "date", "full_pnl", "projected_pnl", "error"), 4),
         "pnl_metrics": lambda s, d: rounded(walk_summary(s, d).select(*SHORT), 4),
         "leaderboard": lambda s, d: rounded(validate.leaderboard(tried(s, d)).select(*SHORT), 4),
@@ -231,7 +256,7 @@ def queries() -> dict[str, Query]:
         "top_components": lambda s, d: rounded(report.top_component_pnl(parts_of(s, d, EIGHT)), 4),
         "residual_risk": lambda s, d: rounded(report.residual_risk(fitted(s, d, ONE), panels.panel_grid(s), panels.panel_book(s, d)), 4),
         "noise_ratio": lambda s, d: rounded(report.residual_risk(fitted(s, d, ONE), panels.panel_grid(s), panels.panel_book(s, d)).select("bucket", "expiry", "tenor", "noise_ratio"), 5),
-        "scatter_bounds": lambda s, d: rounded(report.scatter_bounds(fitted(s, d, ONE)), 4),
+        "scatter_bounds": lambda s, d: rounded(report.scatter_bounds(priced(s, d, ONE)), 4),
         "residual_pca": lambda s, d: rounded(report.residual_factors(fitted(s, d, ONE), panels.panel_grid(s)).select("rank", "eigenvalue"), 4),
         "stability_pca": lambda s, d: stable(s, d, ONE),
         "stability_separable": lambda s, d: stable(s, d, TWO_WAY),
@@ -243,12 +268,14 @@ def queries() -> dict[str, Query]:
         "bilinear": with_ladder(ladder.bilinear),
         "cls": with_ladder(constrained),
         "cls_per_expiry": with_ladder(by_expiry),
-        "cls_residuals": with_ladder(lambda fine, basis: ladder.residuals(fine, basis, constrained(fine, basis))),
+        "cls_residuals": with_ladder(lambda fine, basis: all_buckets(fine, basis).select("o", "v", "fitted", "residual")),
+        "cls_tikhonov": with_ladder(smoothed),
         "leverage": with_ladder(lambda fine, basis: ladder.leverage(fine, basis, M)),
-        "loo": with_ladder(lambda fine, basis: ladder.leave_one_out(ladder.residuals(fine, basis, constrained(fine, basis)), ladder.leverage(fine, basis, M))),
+        "loo": with_ladder(lambda fine, basis: all_buckets(fine, basis).select("o", "residual", "leverage", "loo")),
         "singular_values": with_ladder(lambda fine, basis: ladder.singular_values(fine, basis, M)),
         "ladder_summary": with_ladder(quality),
         "bootstrap_std": with_ladder(lambda fine, basis: ladder.spread(sampled(fine, basis))),
+        "block_bootstrap_std": with_ladder(lambda fine, basis: ladder.spread(patched(fine, basis))),
         "reliability_rank": with_ladder(ranked),
         "coarse_matrix": with_ladder(coarse_matrix),
         "book_matrix": lambda s, d: rounded(matrix(book(s, d), panels.PANEL_TENORS, "vega")),
@@ -261,4 +288,4 @@ def queries() -> dict[str, Query]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly moves priced with the book: scan, group, densify, lag, align and sum."""
-    return full_pnl(panel(spark, sf_dir, grain="quarter"), book(spark, sf_dir))
+    return full_pnl(month_rows(spark, sf_dir, grain="quarter"), book(spark, sf_dir))

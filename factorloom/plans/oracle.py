@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..sources import panels
 from ..operators.factors import default_specs
-from .catalog import COLUMNS, GRID_STEP, GRID_WINDOWS, HORIZON, LABELS, SAMPLE_SPECS, STEP, WINDOWS, M
+from .catalog import COLUMNS, GRID_STEP, GRID_WINDOWS, HORIZON, LABELS, PATCH, REPS, SAMPLE_SPECS, STEP, STRENGTH, WINDOWS, M
 
 TRANSFORMS = {"absolute": "vol - prev", "relative": "(vol - prev) / greatest(prev, 1e-8)", "log_relative": "ln(greatest(vol, 1e-8)) - ln(greatest(prev, 1e-8))"}
 BOOK = "book AS (SELECT CAST((l_linenumber - 1) * 4 + l_partkey % 4 AS INTEGER) AS bucket, sum(l_quantity * (l_discount - 0.05)) AS vega FROM lineitem GROUP BY 1)"
@@ -250,17 +250,30 @@ INVERSE = (
     eliminate("inv_run", "inv_s", M),
     f"lev AS (SELECT o, sum(a.w * b.w * m[a.r + 1][{M} + b.r + 1]) AS leverage FROM basis a JOIN basis b USING (o), inv_run WHERE k = {M} GROUP BY 1)")
 SIGMA = ("bbg AS (SELECT 0 AS g, i, j, g AS c FROM sq)", jacobi("sv", "bbg", M))
-REPS = 500
-BOOTSTRAP = (
-    *CLS,
-    f"spread AS (SELECT a.range AS rep, b.range AS slot, (a.range * 7919 + b.range * 104729 + 12345) * 48271 % 2147483647 AS z FROM range({REPS}) a, range(140) b)",
-    "drawn AS (SELECT rep, CAST((z * (z % 65521 + 1) % 2147483647) % 140 AS INTEGER) AS o, count(*) AS times FROM spread GROUP BY 1, 2)",
-    "rb AS (SELECT rep AS g, a.r AS i, b.r AS j, sum(times * a.w * b.w) AS x FROM basis a JOIN basis b USING (o) JOIN drawn USING (o) GROUP BY 1, 2, 3)",
-    "rv AS (SELECT rep AS g, r AS i, sum(times * w * v) AS x FROM basis JOIN fine USING (o) JOIN drawn USING (o) GROUP BY 1, 2)",
-    constrained("boot", "rb", "rv", 1, "1", TOTAL, f"SELECT range AS g FROM range({REPS})"),
-    "bstd AS (SELECT r, stddev_pop(v) AS std FROM boot GROUP BY 1)",
-    "ranked AS (SELECT r, cls.v, std, CASE WHEN abs(cls.v) > 1e-6 THEN std / abs(cls.v) END AS cv FROM cls JOIN bstd USING (r))",
-    "placed AS (SELECT *, row_number() OVER (ORDER BY cv ASC NULLS LAST, r) AS place FROM ranked)")
+#: A number by the rule of the draws, of rep and slot.
+RULE = "(rep * 7919 + slot * 104729 + 12345) * 48271 % 2147483647"
+SLOTS = "SELECT a.range AS rep, b.range AS slot FROM range({reps}) a, range({slots}) b"
+ONE_BY_ONE = f"drawn AS (SELECT rep, CAST((z * (z % 65521 + 1) % 2147483647) % 140 AS INTEGER) AS o, count(*) AS times FROM (SELECT rep, {RULE} AS z FROM ({SLOTS.format(reps=REPS, slots=140)})) GROUP BY 1, 2)"
+PATCHES = f"""starts AS (SELECT rep, z * (z % 65521 + 1) % 2147483647 % 140 AS p FROM (SELECT rep, {RULE} AS z FROM ({SLOTS.format(reps=REPS, slots=-(-14 // PATCH[0]) * -(-10 // PATCH[1]))}))),
+    drawn AS (SELECT rep, CAST((p // 10 + a.range) % 14 * 10 + (p % 10 + b.range) % 10 AS INTEGER) AS o, count(*) AS times FROM starts, range({PATCH[0]}) a, range({PATCH[1]}) b GROUP BY 1, 2)"""
+
+
+def bootstrap(drawn: str) -> tuple[str, ...]:
+    return (
+        *CLS, drawn,
+        "rb AS (SELECT rep AS g, a.r AS i, b.r AS j, sum(times * a.w * b.w) AS x FROM basis a JOIN basis b USING (o) JOIN drawn USING (o) GROUP BY 1, 2, 3)",
+        "rv AS (SELECT rep AS g, r AS i, sum(times * w * v) AS x FROM basis JOIN fine USING (o) JOIN drawn USING (o) GROUP BY 1, 2)",
+        constrained("boot", "rb", "rv", 1, "1", TOTAL, f"SELECT range AS g FROM range({REPS})"),
+        f"bare AS (SELECT g FROM (SELECT range AS g FROM range({REPS})) LEFT JOIN rb USING (g) GROUP BY g HAVING count(*) FILTER (i = j AND x > 0) < {M})",
+        "bstd AS (SELECT r, stddev_pop(CASE WHEN bare.g IS NULL THEN boot.v ELSE cls.v END) AS std FROM boot JOIN cls USING (r) LEFT JOIN bare ON bare.g = boot.g GROUP BY 1)",
+        "ranked AS (SELECT r, cls.v, std, CASE WHEN abs(cls.v) > 1e-6 THEN std / abs(cls.v) END AS cv FROM cls JOIN bstd USING (r))",
+        "placed AS (SELECT *, row_number() OVER (ORDER BY cv ASC NULLS LAST, r) AS place FROM ranked)")
+
+
+BOOTSTRAP = bootstrap(ONE_BY_ONE)
+#: The coarse ladder's neighbours: diagonal counts them, others are -1.
+SMOOTH = f"""near AS (SELECT a.range AS i, b.range AS j FROM range({M}) a, range({M}) b WHERE abs(a.range // {MT} - b.range // {MT}) + abs(a.range % {MT} - b.range % {MT}) = 1),
+    bb0 AS (SELECT 0 AS g, i, j, g + {STRENGTH} * coalesce(d, 0) AS x FROM sq LEFT JOIN (SELECT i, j, -1 AS d FROM near UNION ALL SELECT i, i, count(*) FROM near GROUP BY i) USING (i, j))"""
 
 
 def covariance(parts: tuple[str, ...], value: str = "c", extra: str = "") -> str:
@@ -375,6 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "bilinear": plain(*BASIS, select=f"SELECT r, {r('sum(w * v)', 'v')} FROM basis JOIN fine USING (o) GROUP BY 1"),
         "cls": recursive(*CLS, select=f"SELECT r, {r('v')} FROM cls"),
         "cls_per_expiry": recursive(*BASIS, *ONE_GROUP, constrained("cls", "bb0", "bv0", len(panels.REDUCED_EXPIRIES), f"CASE WHEN {{j}} // {MT} = {{c}} THEN 1 ELSE 0 END", f"SELECT k AS c, sum(w * v) AS val FROM fine JOIN he ON he.i = o // {NT} GROUP BY 1"), select=f"SELECT r, {r('v')} FROM cls"),
+        "cls_tikhonov": recursive(*BASIS, SMOOTH, ONE_GROUP[1], constrained("cls", "bb0", "bv0", 1, "1", TOTAL), select=f"SELECT r, {r('v')} FROM cls"),
         "cls_residuals": recursive(*RESIDUALS, select=f"SELECT o, {r('v')}, {r('fitted')}, {r('residual')} FROM res"),
         "leverage": recursive(*BASIS, *INVERSE, select=f"SELECT o, {r('leverage')} FROM lev"),
         "loo": recursive(*RESIDUALS, *INVERSE, select=f"SELECT o, {r('residual')}, {r('leverage')}, {r('residual / greatest(1 - leverage, 1e-6)', 'loo')} FROM res JOIN lev USING (o)"),
@@ -386,6 +400,7 @@ def oracle_sql() -> dict[str, str]:
             select=f"""SELECT original_buckets, reduced_buckets, {r('original_buckets / reduced_buckets', 'compression')}, {r('total_original')}, {r('total_reduced')}, {r('abs(total_original - total_reduced)', 'total_error')}, {r('rmse')}, {r('mae')}, {r('r2')}, {r('top', 'max_abs_residual')},
               (SELECT o FROM res ORDER BY abs(residual) DESC, o LIMIT 1) AS worst_bucket, (SELECT fe.y FROM res JOIN fe ON fe.i = o // {NT} ORDER BY abs(residual) DESC, o LIMIT 1) AS worst_expiry, (SELECT ft.y FROM res JOIN ft ON ft.i = o % {NT} ORDER BY abs(residual) DESC, o LIMIT 1) AS worst_tenor, {r('loo_rmse')}, {r('condition')}, {r('100 * sqrt(greatest(energy - captured, 0) / energy)', 'unrepresentable_pct')}, {r('lm', 'mean_leverage')}, {r('lx', 'max_leverage')}, {r('(SELECT avg(std) FROM bstd)', 'mean_bootstrap_std')}, {r('(SELECT max(std) FROM bstd)', 'max_bootstrap_std')} FROM one, two, cond, made"""),
         "bootstrap_std": recursive(*BOOTSTRAP, select=f"SELECT r, {r('std')} FROM bstd"),
+        "block_bootstrap_std": recursive(*bootstrap(PATCHES), select=f"SELECT r, {r('std')} FROM bstd"),
         "reliability_rank": recursive(*BOOTSTRAP, select=f"SELECT r, {r('placed.v', 'v')}, {r('std')}, {r('cv')}, CAST(place AS INTEGER) AS place, CASE WHEN place <= 5 THEN 'best' ELSE 'worst' END AS side, {r('re.y', 'expiry')}, {r('rt.y', 'tenor')} FROM placed JOIN re ON re.i = r // {MT} JOIN rt ON rt.i = r % {MT} WHERE place <= 5 OR place > 19"),
         "coarse_matrix": recursive(*CLS, select="SELECT " + r("re.y", "expiry") + ", " + ", ".join(f'round(max(cls.v) FILTER (rt.y = {y}), 6) + 0.0 AS "{y}Y"' for y in panels.REDUCED_TENORS) + f" FROM cls JOIN re ON re.i = r // {MT} JOIN rt ON rt.i = r % {MT} GROUP BY 1"),
         "book_matrix": plain(BOOK, select="SELECT CAST(bucket // 4 + 1 AS VARCHAR) || 'Y' AS expiry, " + ", ".join(f'round(max(vega) FILTER (bucket % 4 = {i}), 6) + 0.0 AS "{i + 1}Y"' for i in range(4)) + " FROM book GROUP BY 1"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import small_table
 from ..operators.grid import make_grid
 
 # The axes of the panel, the fine ladder and the coarse one.
@@ -55,4 +56,4 @@ def embedding_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def axis_frame(spark: SparkSession, years: Sequence[float]) -> DataFrame:
     """(i, years) of an axis."""
-    return spark.createDataFrame([(i, float(y)) for i, y in enumerate(years)], "i int, years double")
+    return small_table(spark, [(i, float(y)) for i, y in enumerate(years)], "i int, years double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.labels import business_days, label_years, split_label
 from factorloom.operators.folds import fold_table, test_rows, training_rows
 from factorloom.operators.grid import align_vega, make_grid, missing_cells, vega_weights
-from factorloom.operators.moves import check_transform, compute_moves, full_pnl, to_absolute
+from factorloom.operators.moves import all_move_rows, check_transform, compute_moves, full_pnl, move_rows, to_absolute
 from factorloom.sources.files import read_ladder, read_surface, read_vega
 
 
@@ -58,6 +58,26 @@ def test_missing_cell_takes_two_dates(spark, grid):
     assert [(r["date"], r["bucket"]) for r in missing_cells(s, grid).collect()] == [(day(2), 2)]
 
 
+def test_ranges_of_dates_give_the_moves_of_one_range(spark, grid):
+    """Lags cross ranges, ranges without a date, and dates that no cell of the grid has; numbers go on from range to range."""
+    days = [0, 1, 2, 5, 6, 20, 21, 22, 23, 40, 41]
+    vols = dict(zip(days, [10.0, 11.5, 9.0, 8.0, 12.0, 13.0, 11.0, None, 10.5, 9.5, 14.0]))
+    rows = [(d, e, t, None if v is None else v + k) for d, v in vols.items() for k, (e, t) in enumerate([("1Y", "5Y"), ("1Y", "10Y"), ("2Y", "5Y"), ("2Y", "10Y")])] + [(30, "9Y", "9Y", 1.0)]
+    s = surface(spark, rows)
+    want, before = [], None
+    for d in sorted([*days, 30]):
+        v = vols.get(d)
+        if v is not None and before is not None:
+            want.append((len(want), day(d), v - before))
+        before = v
+    for width in (1, 3, 10, 1000):
+        found = sorted((r["transform"], r["t"], r["date"], r["x"][1]) for r in all_move_rows(s, grid, ["absolute", "relative"], days=width).collect())
+        assert [(t, d, x) for k, t, d, x in found if k == "absolute"] == [(t, d, pytest.approx(x)) for t, d, x in want]
+        assert [(t, d) for k, t, d, _ in found if k == "relative"] == [(t, d) for t, d, _ in want]
+    lines = all_move_rows(s, grid, ["absolute"])._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert all("partial_count(1)" in after for line, after in zip(lines, lines[1:]) if "SinglePartition" in line)  # the grid's size, a number a task
+
+
 def test_nan_and_infinity_are_missing(spark, grid):
     for bad in (math.nan, math.inf, None):
         rows = full([10.0, 11.0, 12.0])
@@ -83,7 +103,7 @@ def test_vega_alignment(spark, grid):
     assert rows == {0: (3.0, False), 1: (None, False), 2: (-1.0, False), 3: (0.0, True)}
     with pytest.raises(Exception, match="no bucket"):
         align_vega(grid, book, "error").collect()
-    pnl = full_pnl(compute_moves(surface(spark, full([10.0, 11.0])), grid), align_vega(grid, book.fillna(0.0))).collect()
+    pnl = full_pnl(move_rows(surface(spark, full([10.0, 11.0])), grid), align_vega(grid, book.fillna(0.0))).collect()
     assert pnl[0]["full_pnl"] == pytest.approx(2.0)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factorloom.functions import linalg
 from factorloom.operators import covariance, factors, report, sums, validate
@@ -148,26 +149,81 @@ def test_published_shrinkage_of_rows():
     assert np.allclose(linalg.estimate_covariance(x, "oas"), (1 - rho) * s + rho * mu * np.eye(p))
 
 
-def test_sums_add_up_over_blocks(spark):
-    x = rows(23) + 2
-    whole = sums.Sums.of(x)
-    found = sums.block_sums(vectors(spark, x), {"even": np.ones(6), "half": np.full(6, 0.5)}, 5).collect()
-    assert {(r["weighting"], r["block"]) for r in found} == {(w, b) for w in ("even", "half") for b in range(5)}
-    added = sum(np.array(r["sums"]) for r in found if r["weighting"] == "even")
-    assert np.allclose(added, whole.flat()) and np.allclose(sums.Sums.from_flat(added).products, x.T @ x)
+def plain_moments(x):
     y = x - x.mean(axis=0)
-    mean, products, fourth = whole.centred()
-    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(products, y.T @ y) and np.isclose(fourth, ((y**2).sum(axis=1) ** 2).sum())
+    a = (y**2).sum(axis=1)
+    return len(x), x.mean(axis=0), y.T @ y, a @ y, (a**2).sum()
+
+
+def test_moments_merge(spark):
+    x = rows(23) + 2
+    parts = [sums.Moments.of(part) for part in np.array_split(x, 5)]
+    total = sums.merged(m.flat() for m in parts)
+    for got, want in zip((total.n, total.mean, total.products, total.sized, total.fourth), plain_moments(x)):
+        assert np.allclose(got, want)
+    assert np.allclose(sums.Moments.from_flat(total.flat()).products, total.products)
+    empty = sums.Moments.of(np.zeros((0, 6)))
+    assert empty.merge(empty).n == 0 and np.allclose(empty.merge(total).flat(), total.flat()) and np.allclose(total.merge(empty).flat(), total.flat())
+    found = sums.whole_moments(vectors(spark, x), {"even": np.ones(6), "half": np.full(6, 0.5)}, salts=3).collect()
+    assert {r["weighting"] for r in found} == {"even", "half"}
+    for r in found:
+        scale = 1.0 if r["weighting"] == "even" else 0.5
+        assert np.allclose(r["moments"], sums.Moments.of(x * scale).flat())
+
+
+@pytest.mark.parametrize("method", ["sample", "ledoit_wolf", "oas", "diagonal_shrink", "correlation_shrink", "factor_diag", "separable_shrink"])
+def test_levels_far_above_the_spread(spark, method):
+    """Mean over spread of a million: estimates are those of the rows without their mean, in both families."""
+    d = np.round(rows(200) * 1024) / 1024  # exact beside the level
+    level = 2.0**20 * np.arange(1, 7)
+    x = d + level
+    want = linalg.estimate_covariance(d - d.mean(axis=0), method, 0.4, 2, DIMS)
+    got = np.zeros((6, 6))
+    for r in covariance.estimate(vectors(spark, x), DIMS, method, 0.4, 2).collect():
+        got[r["i"], r["j"]] = got[r["j"], r["i"]] = r["c"]
+    assert np.abs(got - want).max() < 1e-10 * np.abs(want).max()
+    if method == "sample":
+        spec = Spec("s", family="separable", r_expiry=2, r_tenor=1)
+        far, near = factors.fit_rows(vectors(spark, x), spec, np.ones(6), DIMS), factors.fit(d, spec, np.ones(6), DIMS)
+        assert np.allclose(far.expiry_values, near.expiry_values, rtol=1e-10) and np.allclose(far.mean - level, near.mean, atol=1e-8)
+
+
+def test_a_tree_merges_any_run_of_blocks():
+    x = rows(26)
+    tree = sums.Tree({b: sums.Moments.of(x[2 * b : 2 * b + 2]) for b in range(13) if b != 5})
+    for low in range(13):
+        for high in range(low, 14):
+            own = [x[2 * b : 2 * b + 2] for b in range(low, min(high, 13)) if b != 5]
+            got = tree.run(low, high)
+            assert (got is None) == (not own) and (got is None or np.allclose(got.flat(), sums.Moments.of(np.vstack(own)).flat()))
+    assert len(tree.nodes) < 40
+
+
+@pytest.mark.parametrize("windows", [[(8, 8), (12, 6), (20, 20)], [(2, 2)], [(64, 4)]])
+def test_fold_moments_are_those_of_their_rows(spark, windows):
+    x = rows(50)
+    table = vectors(spark, x).withColumn("kind", F.lit("k"))
+    found = sums.fold_moments(table, {"k": {"even": np.ones(6)}}, windows, 4, 2).collect()
+    parts = {}
+    for r in found:
+        parts.setdefault((r["window"], r["fold"]), []).append(r["moments"])
+    for window, first in windows:
+        for fold, start in enumerate(range(first, 51, 4)):
+            own = parts[window, fold]
+            assert len(own) <= 3 and np.allclose(sums.merged(own).flat(), sums.Moments.of(x[max(0, start - window) : start]).flat())
 
 
 def test_a_model_projects_rows_where_they_are(spark):
     x, vega = rows(), np.arange(6.0) - 2
-    for spec in (Spec("a", n_components=2, vega_weight_power=0.5), Spec("s", family="separable", r_expiry=2, r_tenor=1), Spec("r", transform="log_relative", n_components=2)):
+    for spec in (Spec("a", n_components=2, vega_weight_power=0.5), Spec("s", family="separable", r_expiry=2, r_tenor=1), Spec("l", transform="log_relative", n_components=2), Spec("r", transform="relative", n_components=2, vega_weight_power=1.0)):
         table = vectors(spark, x)
         model, plain = factors.fit_rows(table, spec, vega, DIMS), factors.fit(x, spec, vega, DIMS)
         hat = factors.absolute(factors.reconstruct(plain, x, spec), np.abs(x), spec.transform)
-        got = factors.projected(table, model, spec, vega).orderBy("t").toPandas()
+        got = factors.priced(table, model, spec, vega).orderBy("t").toPandas()
         assert np.allclose(got.projected_pnl, hat @ vega) and np.allclose(got.full_pnl, x @ vega)
+        assert np.allclose(factors.projected_pnl(plain, x, np.abs(x), spec, vega), hat @ vega)
+        back = factors.projected(table, model, spec).orderBy("t").toPandas()
+        assert np.allclose(np.array(back.dvol_hat.tolist()), hat) and np.allclose(np.array(back.dvol.tolist()), x)
         parts = factors.contribution_rows(table, model, spec, vega).toPandas().pivot(index="t", columns="component", values="pnl")
         want = factors.contributions(plain, x, np.abs(x), vega, spec)
         assert set(parts.columns) == set(want) and all(np.allclose(parts[c], want[c]) for c in want)
