@@ -163,6 +163,17 @@ def whole_sums(rows: DataFrame, weights: Array) -> Moments:
     return Moments.from_flat(np.array(found["moments"])) if found else Moments.of(np.zeros((0, len(weights))))
 
 
+def whole_blocks(parts: DataFrame, block: int) -> DataFrame:
+    """PARTS with one row a block, of those blocks that have all their rows."""
+    keys = ["kind", "weighting", "block"]
+
+    def run(batches):
+        for (kind, name, _), blocks in runs_of_blocks(batches, keys):
+            yield part_frame([(kind, name, b, low, high, m.flat().tolist()) for b, (low, high, m) in blocks.items() if m.n == block])
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, PARTS)
+
+
 class Tree:
     """Merges of runs of consecutive blocks by dyadic nodes, each made once: any run takes a number of nodes that grows with its logarithm."""
 
@@ -194,7 +205,12 @@ FOLD_PARTS = "kind string, weighting string, window int, fold int, low date, hig
 
 
 def fold_moments(rows: DataFrame, weights: Weights, windows: Sequence[tuple[int, int]], step: int, block: int) -> DataFrame:
-    """FOLD_PARTS of training sets: fold f of a (window, first) trains on the up to ``window`` rows before row first + f * step; all these are multiples of ``block``.
+    """:func:`fold_parts` of the blocks of rows (kind, t, date, x)."""
+    return fold_parts(partial_moments(rows, weights, block), windows, step, block)
+
+
+def fold_parts(parts: DataFrame, windows: Sequence[tuple[int, int]], step: int, block: int) -> DataFrame:
+    """FOLD_PARTS of training sets, from PARTS of blocks: fold f of a (window, first) trains on the up to ``window`` rows before row first + f * step; all these are multiples of ``block``.
 
     Blocks meet in groups of as many as the longest window has, each group in one task; it holds a tree of its blocks and passes on one part for each
     fold that it has rows of. So a fold is the merge of two or three parts, whatever its length. Folds that start beyond the rows come out too, with what rows they have.
@@ -221,5 +237,5 @@ def fold_moments(rows: DataFrame, weights: Weights, windows: Sequence[tuple[int,
             if out:
                 yield part_frame(out, FOLD_PARTS)
 
-    dealt = partial_moments(rows, weights, block).withColumn("spread", F.floor(F.col("block") / spread)).repartition(*keys).sortWithinPartitions(*keys, "block")
+    dealt = parts.withColumn("spread", F.floor(F.col("block") / spread)).repartition(*keys).sortWithinPartitions(*keys, "block")
     return dealt.mapInPandas(run, FOLD_PARTS)

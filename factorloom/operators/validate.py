@@ -17,7 +17,8 @@ from .factors import Spec
 from .folds import block_size
 from .grid import align_vega
 from .moves import all_move_rows, dot
-from .sums import fold_moments, merged, stacked
+from .quantile import exact_quantile
+from .sums import Weights, fold_moments, merged, stacked
 
 #: Names of the metrics.
 METRICS = ("n_test_obs", "full_pnl_std", "proj_pnl_std", "error_mean", "error_rmse", "error_mae", "error_p95_abs", "error_max_abs", "explained_pnl_variance", "full_vs_projected_corr")
@@ -72,19 +73,39 @@ def walk_forward(surface: DataFrame, grid: DataFrame, vega: DataFrame, specs: Se
     transform is one group, small by its horizon and the grid, and all groups run side by side.
     """
     price, dims, block = vega_array(grid, vega), dims_of(grid), block_size(windows, step, min_train)
-    transforms = sorted({s.transform for s in specs})
+    transforms, starts = sorted({s.transform for s in specs}), fold_starts(windows, min_train)
     rows = all_move_rows(surface, grid, transforms).withColumnRenamed("transform", "kind")
-    weights = {t: {s.weighting(): factors.fit_weights(s, price) for s in specs if s.transform == t} for t in transforms}
-    starts = [(w, min_train or w) for w in windows if (min_train or w) <= w]
-    train = fold_moments(rows, weights, starts, step, block)
+    train = fold_moments(rows, weightings(specs, price), starts, step, block)
+    return scored(test_folds(rows, price, starts, horizon, step), train, specs, price, dims)
+
+
+def fold_starts(windows: Sequence[int], min_train: int | None = None) -> list[tuple[int, int]]:
+    """Each window with the row at which its first fold starts; windows that never hold ``min_train`` rows are out."""
+    return [(w, min_train or w) for w in windows if (min_train or w) <= w]
+
+
+def weightings(specs: Sequence[Spec], price: np.ndarray) -> Weights:
+    """The scalings of buckets that the specs of each transform need."""
+    return {t: {s.weighting(): factors.fit_weights(s, price) for s in specs if s.transform == t} for t in {s.transform for s in specs}}
+
+
+def test_folds(rows: DataFrame, price: np.ndarray, starts: Sequence[tuple[int, int]], horizon: int, step: int) -> DataFrame:
+    """Rows (kind, t, date, x, dvol, prev) with their full PnL, once for each window and fold that tests on them; levels stay only with moves that are not absolute."""
     needed = rows.select("kind", "t", "date", "x", F.when(F.col("kind") != "absolute", F.col("prev")).alias("prev"), dot("dvol", factors.literal(price)).alias("full_pnl"))
     t, first = F.col("t"), F.col("first")
     low, high = F.greatest(F.ceil((t - first - horizon + 1) / step), F.lit(0)), F.floor((t - first) / step)
     folds = F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))))
     known = F.explode(F.array(*(F.struct(F.lit(w).alias("window"), F.lit(f).alias("first")) for w, f in starts)))
-    dealt = needed.withColumn("w", known).select("*", "w.window", "w.first").select("kind", "window", folds.alias("fold"), "t", "date", "x", "prev", "full_pnl")
+    return needed.withColumn("w", known).select("*", "w.window", "w.first").select("kind", "window", folds.alias("fold"), "t", "date", "x", "prev", "full_pnl")
+
+
+test_folds.__test__ = False
+
+
+def scored(tests: DataFrame, train: DataFrame, specs: Sequence[Spec], price: np.ndarray, dims: tuple[int, int]) -> DataFrame:
+    """PREDICTIONS of test rows by the models of their fold's training parts; folds that have only one of both give nothing."""
     keys = ("kind", "window", "fold")
-    return dealt.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(fold_kernel(specs, price, dims), schemas.PREDICTIONS)
+    return tests.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(fold_kernel(specs, price, dims), schemas.PREDICTIONS)
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -93,14 +114,16 @@ def guarded_corr(a: str, b: str) -> Column:
 
 
 def pnl_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
-    """The ten metrics over all predictions of each key; those that their rows cannot give are null."""
+    """The ten metrics over all predictions of each key (which are not null); those that their rows cannot give are null."""
     error = F.col("error")
     spread = F.var_samp("full_pnl")
-    return predictions.groupBy(*keys).agg(
+    names = list(keys) or ["_all"]
+    rows = predictions if keys else predictions.withColumn("_all", F.lit(0))
+    sums = rows.groupBy(*names).agg(
         F.count("error").alias("n_test_obs"), F.stddev_samp("full_pnl").alias("full_pnl_std"), F.stddev_samp("projected_pnl").alias("proj_pnl_std"),
-        F.avg(error).alias("error_mean"), F.sqrt(F.avg(error * error)).alias("error_rmse"), F.avg(F.abs(error)).alias("error_mae"),
-        F.percentile(F.abs(error), 0.95).alias("error_p95_abs"), F.max(F.abs(error)).alias("error_max_abs"),
+        F.avg(error).alias("error_mean"), F.sqrt(F.avg(error * error)).alias("error_rmse"), F.avg(F.abs(error)).alias("error_mae"), F.max(F.abs(error)).alias("error_max_abs"),
         F.when(spread > 1e-16, 1 - F.var_samp("error") / spread).alias("explained_pnl_variance"), guarded_corr("full_pnl", "projected_pnl").alias("full_vs_projected_corr"))
+    return sums.join(exact_quantile(rows, names, F.abs(error), 0.95, "error_p95_abs"), names, "left").select(*keys, *METRICS)
 
 
 def summary(predictions: DataFrame, specs: DataFrame, windows: Sequence[int]) -> DataFrame:

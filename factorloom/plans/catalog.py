@@ -15,6 +15,7 @@ from ..operators.factors import Spec
 from ..operators.folds import fold_table, refit_table, test_rows, training_rows
 from ..operators.grid import align_vega, axis_in_order, matrix, missing_cells, vector, vega_weights
 from ..operators.moves import compute_moves, full_pnl, move_rows, to_absolute, to_absolute_linear
+from ..operators.quantile import exact_quantile
 from ..sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +66,13 @@ def inverse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parts[0].union(parts[1]))
 
 
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of all prices in each cell of the panel's grid."""
+    items = panels.bucket_labels(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    keys, price = ["expiry", "tenor"], F.col("l_extendedprice")
+    return exact_quantile(items, keys, price, 0.5, "median").join(exact_quantile(items, keys, price, 0.95, "p95"), keys)
+
+
 def ladder_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     axis = lambda years: panels.axis_frame(spark, years)
     basis = ladder.bilinear_basis(axis(panels.LADDER_EXPIRIES), axis(panels.LADDER_TENORS), axis(panels.REDUCED_EXPIRIES), axis(panels.REDUCED_TENORS))
@@ -132,6 +140,23 @@ def tried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk_summary(spark, sf_dir, SAMPLE_SPECS, GRID_WINDOWS, GRID_STEP)
 
 
+def kind_of(spec: Spec) -> str:
+    """The part of the grid of candidates that a model belongs to."""
+    if spec.family == "separable":
+        return "two_way"
+    shrunk = {"ledoit_wolf": "identity_shrink", "oas": "identity_shrink", "correlation_shrink": "diagonal_shrink"}
+    return "weighted" if spec.vega_weight_power else shrunk.get(spec.covariance_method, spec.covariance_method)
+
+
+#: All candidates by kind; each kind is a query, as their SQL together would take minutes.
+KINDS = {k: [s for s in factors.default_specs() if kind_of(s) == k] for k in dict.fromkeys(map(kind_of, factors.default_specs()))}
+GRID_COLUMNS = ("family", "transform", "spec_covariance_method", "spec_n_components", "spec_r_expiry", "spec_r_tenor", "status")
+
+
+def grid_summary(spark: SparkSession, sf_dir: str, specs: list[Spec]) -> DataFrame:
+    return rounded(walk_summary(spark, sf_dir, specs, GRID_WINDOWS, GRID_STEP).select(*SHORT, *GRID_COLUMNS), 4)
+
+
 SHORT = ("model", "window", *validate.METRICS)
 
 
@@ -249,7 +274,8 @@ def queries() -> dict[str, Query]:
         "best_report_metrics": lambda s, d: rounded(best_metrics(s, d), 4),
         "best_report_risk": lambda s, d: rounded(best(s, d)[2].residual_risk, 4),
         "walk_forward_status": lambda s, d: walk_summary(s, d, FEW_SPECS[:1], (20, 500)).select("model", "window", "n_test_obs", "status"),
-        "walk_forward_all_families": lambda s, d: rounded(walk_summary(s, d, factors.default_specs(), GRID_WINDOWS, GRID_STEP).select(*SHORT, "family", "transform", "spec_covariance_method", "spec_n_components", "spec_r_expiry", "spec_r_tenor", "status"), 4),
+        "walk_forward_all_families": lambda s, d: grid_summary(s, d, factors.default_specs()),
+        **{f"walk_forward_{k}": (lambda own: lambda s, d: grid_summary(s, d, own))(own) for k, own in KINDS.items()},
         "contrib_pca": lambda s, d: rounded(parts_of(s, d, ONE), 4),
         "contrib_separable": lambda s, d: rounded(parts_of(s, d, TWO_WAY), 4),
         "component_stats": lambda s, d: rounded(report.component_stats(parts_of(s, d, ONE)), 4),
@@ -266,6 +292,7 @@ def queries() -> dict[str, Query]:
         "basis_rowsum": with_ladder(lambda fine, basis: basis.groupBy("o").agg(F.sum("w").alias("total"), F.count("*").alias("nonzero"))),
         "basis_nnz": with_ladder(lambda fine, basis: basis.where("w <> 0").agg(F.count("*").alias("nonzero"))),
         "bilinear": with_ladder(ladder.bilinear),
+        "price_quantiles": lambda s, d: rounded(price_quantiles(s, d)),
         "cls": with_ladder(constrained),
         "cls_per_expiry": with_ladder(by_expiry),
         "cls_residuals": with_ladder(lambda fine, basis: all_buckets(fine, basis).select("o", "v", "fitted", "residual")),

@@ -7,8 +7,7 @@ rotations on a symmetric matrix and its eigenvectors.
 from __future__ import annotations
 
 from ..sources import panels
-from ..operators.factors import default_specs
-from .catalog import COLUMNS, GRID_STEP, GRID_WINDOWS, HORIZON, LABELS, PATCH, REPS, SAMPLE_SPECS, STEP, STRENGTH, WINDOWS, M
+from .catalog import COLUMNS, GRID_STEP, GRID_WINDOWS, HORIZON, KINDS, LABELS, PATCH, REPS, SAMPLE_SPECS, STEP, STRENGTH, WINDOWS, M
 
 TRANSFORMS = {"absolute": "vol - prev", "relative": "(vol - prev) / greatest(prev, 1e-8)", "log_relative": "ln(greatest(vol, 1e-8)) - ln(greatest(prev, 1e-8))"}
 BOOK = "book AS (SELECT CAST((l_linenumber - 1) * 4 + l_partkey % 4 AS INTEGER) AS bucket, sum(l_quantity * (l_discount - 0.05)) AS vega FROM lineitem GROUP BY 1)"
@@ -123,9 +122,9 @@ def kinds_of(specs: list) -> dict[Kind, list]:
 
 def grid_walk(specs: list) -> tuple[str, ...]:
     """preds of all the specs over the walk-forward grid: one eigenproblem a kind and fold. g numbers kind (millions), window (thousands) and fold."""
-    kinds = kinds_of(specs)
+    kinds = kinds_of(specs) or {(0, 0.0, "sample", 0.0): []}  # two-way models take absolute, even rows
     rows = ", ".join(f"({i}, {tr}, CAST({power} AS DOUBLE), '{method}', CAST({alpha} AS DOUBLE))" for i, (tr, power, method, alpha) in enumerate(kinds))
-    names = ", ".join(f"({i}, {s.n_components}, '{s.name}')" for i, own in enumerate(kinds.values()) for s in own)
+    names = ", ".join(f"({i}, {s.n_components}, '{s.name}')" for i, own in enumerate(kinds.values()) for s in own) or "(NULL, NULL, NULL)"
     pairs = [s for s in specs if s.family == "separable"]
     parts = [
         moves(), BOOK, f"kind AS (SELECT * FROM (VALUES {rows}) v(kd, tr, power, method, alpha))", f"named AS (SELECT * FROM (VALUES {names}) v(kd, k, model))",
@@ -345,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "window_perf": recursive(*SAMPLE_WALK, select=f'SELECT "window", {r("median(rmse)", "median_rmse", 4)}, {r("min(rmse)", "best_rmse", 4)}, {r("median(explained)", "median_explained", 4)}, {r("max(explained)", "best_explained", 4)} FROM summary GROUP BY 1'),
         "group_perf": recursive(*SAMPLE_WALK, select=f"SELECT family, transform, covariance, {r('min(rmse)', 'best_rmse', 4)}, {r('median(rmse)', 'median_rmse', 4)}, {r('max(explained)', 'best_explained', 4)} FROM summary JOIN spec USING (model) GROUP BY 1, 2, 3"),
         "best_model": recursive(*SAMPLE_WALK, select=f'SELECT model, "window", error_rmse, transform AS spec_transform, k AS spec_n_components FROM summary JOIN spec USING (model) ORDER BY {BEST} LIMIT 1'),
-        "walk_forward_all_families": recursive(*grid_walk(default_specs()), spec_values(default_specs()), select=f'SELECT model, "window", {FIGURES}, family, transform, covariance AS spec_covariance_method, k AS spec_n_components, re AS spec_r_expiry, rt AS spec_r_tenor, CAST(NULL AS VARCHAR) AS status FROM summary JOIN spec USING (model)'),
+        **{f"walk_forward_{k}": recursive(*grid_walk(own), spec_values(own), select=f'SELECT model, "window", {FIGURES}, family, transform, covariance AS spec_covariance_method, k AS spec_n_components, re AS spec_r_expiry, rt AS spec_r_tenor, CAST(NULL AS VARCHAR) AS status FROM summary JOIN spec USING (model)') for k, own in KINDS.items()},
         "walk_forward_status": plain(moves(), select="SELECT 'Abs PCA sample k=1' AS model, 20 AS \"window\", (SELECT count(*) - 20 FROM whole) AS n_test_obs, CAST(NULL AS VARCHAR) AS status UNION ALL SELECT 'Abs PCA sample k=1', 500, NULL, 'failed_or_no_predictions'"),
         "contrib_pca": recursive(*pca(ALL_ROWS), select=f"SELECT t, date, 'PC' || rk AS component, {r('s * y', 'pnl', 4)} FROM score JOIN price USING (g, rk) JOIN fullp USING (g, t) WHERE rk <= 2"),
         "contrib_separable": recursive(*TWO, select=f"SELECT t, date, 'E' || a || 'xT' || b AS component, {r('s * y', 'pnl', 4)} FROM tscore JOIN tprice USING (a, b) JOIN tfull USING (t)"),
@@ -388,6 +387,7 @@ def oracle_sql() -> dict[str, str]:
         "bilinear": plain(*BASIS, select=f"SELECT r, {r('sum(w * v)', 'v')} FROM basis JOIN fine USING (o) GROUP BY 1"),
         "cls": recursive(*CLS, select=f"SELECT r, {r('v')} FROM cls"),
         "cls_per_expiry": recursive(*BASIS, *ONE_GROUP, constrained("cls", "bb0", "bv0", len(panels.REDUCED_EXPIRIES), f"CASE WHEN {{j}} // {MT} = {{c}} THEN 1 ELSE 0 END", f"SELECT k AS c, sum(w * v) AS val FROM fine JOIN he ON he.i = o // {NT} GROUP BY 1"), select=f"SELECT r, {r('v')} FROM cls"),
+        "price_quantiles": f"SELECT CAST(l_linenumber AS VARCHAR) || 'Y' AS expiry, CAST(l_partkey % 4 + 1 AS VARCHAR) || 'Y' AS tenor, {r('quantile_cont(l_extendedprice, 0.5)', 'median')}, {r('quantile_cont(l_extendedprice, 0.95)', 'p95')} FROM lineitem GROUP BY 1, 2",
         "cls_tikhonov": recursive(*BASIS, SMOOTH, ONE_GROUP[1], constrained("cls", "bb0", "bv0", 1, "1", TOTAL), select=f"SELECT r, {r('v')} FROM cls"),
         "cls_residuals": recursive(*RESIDUALS, select=f"SELECT o, {r('v')}, {r('fitted')}, {r('residual')} FROM res"),
         "leverage": recursive(*BASIS, *INVERSE, select=f"SELECT o, {r('leverage')} FROM lev"),

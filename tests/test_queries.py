@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from factorloom.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.01"
-#: Left out: rankings of the table that ``best_model`` ranks, and the whole grid, whose SQL takes minutes.
-SLOW = {"leaderboard", "best_by_window", "window_perf", "group_perf", "best_report_metrics", "best_report_risk", "walk_forward_all_families", "ladder_summary", "bootstrap_std", "reliability_rank"}
+#: Left out: rankings of the table that ``best_model`` ranks, and the whole grid, whose SQL takes minutes together.
+SLOW = {"leaderboard", "best_by_window", "window_perf", "group_perf", "best_report_metrics", "best_report_risk", *(f"walk_forward_{k}" for k in catalog.KINDS if k != "two_way"), "ladder_summary", "bootstrap_std", "reliability_rank"}
 NAMES = sorted(set(oracle.oracle_sql()) - SLOW)
 
 
@@ -36,6 +36,13 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_kinds_are_the_whole_grid():
+    from factorloom.operators.factors import default_specs
+
+    own = [s.name for specs in catalog.KINDS.values() for s in specs]
+    assert sorted(own) == sorted(s.name for s in default_specs()) and len(own) == 72
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
@@ -47,6 +54,6 @@ def test_stream_appends_days(spark, tmp_path):
     spark.sql("select date'2024-01-01' date, '1Y' expiry, '5Y' tenor, 1.0D vol").write.parquet(str(tmp_path / "in"))
     seen = []
     for _ in range(2):
-        append_days(spark.readStream.schema(day).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), lambda h: seen.append(h.count())).awaitTermination()
+        append_days(spark.readStream.schema(day).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), lambda h, batch: seen.append(h.count())).awaitTermination()
         spark.sql("select date'2024-01-02' date, '1Y' expiry, '5Y' tenor, 2.0D vol").write.mode("append").parquet(str(tmp_path / "in"))
     assert seen == [1, 2]
