@@ -30,11 +30,20 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
+def weekday_after(start: Column, place: Column) -> Column:
+    """The weekday (Monday to Friday) that comes ``place`` weekdays after the first one from ``start`` on, by arithmetic on the day number."""
+    offset = F.weekday(start)  # Monday is 0
+    at = place + F.least(offset, F.lit(5))  # weekdays of the first week before the start
+    return F.date_add(F.date_sub(start, offset), (F.floor(at / 5) * 7 + at % 5).cast("int"))
+
+
 def business_days(spark: SparkSession, start: str, periods: int) -> DataFrame:
-    """(k, date) of the first ``periods`` weekdays from ``start`` on, by arithmetic on the day number."""
-    first = F.to_date(F.lit(start))
-    offset = F.weekday(first)  # Monday is 0
-    monday = F.date_sub(first, offset)
-    lead = F.least(offset, F.lit(5))  # weekdays of the first week before the start
-    place = (F.col("id") + lead).cast("int")
-    return spark.range(periods).select(F.col("id").alias("k"), F.date_add(monday, (F.floor(place / 5) * 7 + place % 5).cast("int")).alias("date"))
+    """(k, date) of the first ``periods`` weekdays from ``start`` on."""
+    return spark.range(periods).select(F.col("id").alias("k"), weekday_after(F.to_date(F.lit(start)), F.col("id")).alias("date"))
+
+
+def business_calendar(dates: DataFrame, column: str) -> DataFrame:
+    """(k, date) of all weekdays from a table's first date to its last."""
+    ends = dates.agg(F.min(F.col(column).cast("date")).alias("low"), F.max(F.col(column).cast("date")).alias("high"))
+    days = ends.select("low", "high", F.explode(F.sequence(F.lit(0), F.datediff("high", "low"))).alias("k"))
+    return days.select(F.col("k").cast("long").alias("k"), weekday_after(F.col("low"), F.col("k")).alias("date"), "high").where("date <= high").drop("high")

@@ -8,20 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import business_days, label_years, split_label
+from ..functions.labels import business_calendar, label_years, split_label
 from ..operators import covariance as cov
 from ..operators import factors, ladder, report, validate
 from ..operators.factors import Spec
 from ..operators.folds import fold_table, refit_table, test_rows, training_rows
-from ..operators.grid import align_vega, axis_in_order, matrix, missing_cells, vector, vega_weights
+from ..operators.grid import align_vega, axis_in_order, grid_of, matrix, missing_cells, vector, vega_weights
 from ..operators.moves import compute_moves, full_pnl, move_rows, to_absolute, to_absolute_linear
 from ..operators.quantile import exact_quantile
 from ..sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-LABELS = (("18M", 1.5), (" 10y ", 10.0), ("0.5", 0.5), ("3M", 0.25), ("30Y", 30.0))
-COLUMNS = ("1Yx10Y", "1Y_10Y", "18mX5y", "1Y_2Y_3Y")
 WINDOWS, HORIZON, STEP = (20, 40), 10, 10
 #: The walk-forward grid: all candidates over four windows, and those with the sample covariance, unweighted.
 GRID_WINDOWS, GRID_STEP = (20, 40, 60, 80), 20
@@ -66,6 +64,39 @@ def inverse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parts[0].union(parts[1]))
 
 
+#: Ways to write a tenor, and a cell, of an item's line number and part.
+TENOR_FORMS = ("concat(l_linenumber * 6, 'M')", "concat(' ', l_linenumber, 'y ')", "cast(l_linenumber / 4 as string)", "concat(l_partkey % 30 + 1, 'Y')")
+CELL_FORMS = ("concat(l_linenumber, 'Yx', l_partkey % 4 + 1, 'Y')", "concat(l_linenumber, 'Y_', l_partkey % 4 + 1, 'Y')", "concat(l_linenumber * 6, 'mX', l_partkey % 4 + 1, 'y')", "concat(l_linenumber, 'Y_2Y_', l_partkey % 4 + 1, 'Y')")
+
+
+def item_labels(spark: SparkSession, sf_dir: str, forms: tuple[str, ...]) -> DataFrame:
+    """(label, items): the labels that the line items bear, each item in one of the forms by its order."""
+    form = F.expr("case l_orderkey % 4 " + " ".join(f"when {i} then {f}" for i, f in enumerate(forms)) + " end")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(form.alias("label")).agg(F.count("*").alias("items"))
+
+
+def formatted(aligned: DataFrame) -> DataFrame:
+    """The book as the report prints it: with thousands, in powers of ten, and as a share of its size."""
+    size = aligned.agg(F.sum(F.abs("vega")).alias("size"))
+    share = F.format_string("%.1f%%", 100 * F.abs("vega") / F.col("size"))
+    return aligned.crossJoin(F.broadcast(size)).select("bucket", F.format_number("vega", 2).alias("vega"), F.format_string("%.2e", "vega").alias("power"), share.alias("share"))
+
+
+def dashboard(fine: DataFrame, basis: DataFrame) -> DataFrame:
+    """Matrices of the fine ladder's vega, residuals, leverage and leave-one-out residuals: a row a measure and expiry, a column a tenor."""
+    cells = ladder.labelled(all_buckets(fine, basis), "o", panels.LADDER_EXPIRIES, panels.LADDER_TENORS)
+    measures = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("v", "residual", "leverage", "loo"))))
+    long = cells.select("expiry", F.concat(F.col("tenor").cast("int").cast("string"), F.lit("Y")).alias("tenor"), measures.alias("m")).select("expiry", "tenor", "m.measure", "m.value")
+    return matrix(long, [f"{y}Y" for y in panels.LADDER_TENORS], "value", ("measure", "expiry"))
+
+
+def risk_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residual risk and noise ratio as matrices: a row a measure and expiry, a column a tenor."""
+    cells = report.residual_risk(fitted(spark, sf_dir, ONE), panels.panel_grid(spark), panels.panel_book(spark, sf_dir))
+    measures = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("residual_risk", "noise_ratio"))))
+    return matrix(cells.select("expiry", "tenor", measures.alias("m")).select("expiry", "tenor", "m.measure", "m.value"), panels.PANEL_TENORS, "value", ("measure", "expiry"))
+
+
 def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles of all prices in each cell of the panel's grid."""
     items = panels.bucket_labels(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
@@ -223,14 +254,12 @@ def latest(spark: SparkSession, sf_dir: str) -> report.Report:
 
 
 def queries() -> dict[str, Query]:
-    labels = lambda spark: spark.createDataFrame([(a,) for a, _ in LABELS], "label string")
-    names = lambda spark: spark.createDataFrame([(c,) for c in COLUMNS], "label string")
     found: dict[str, Query] = {
-        "label_years": lambda s, d: labels(s).select("label", label_years(F.col("label")).alias("years")),
-        "label_parse": lambda s, d: names(s).select("label", split_label(F.col("label")).alias("at")).select("label", "at.expiry", "at.tenor"),
-        "business_days": lambda s, d: business_days(s, "2019-01-01", 400).select("k", "date"),
-        "grid": lambda s, d: panels.panel_grid(s),
-        "axis_order": lambda s, d: axis_in_order(panels.panel_grid(s), "expiry").withColumn("first_seen", F.col("first_seen").cast("long")),
+        "label_years": lambda s, d: item_labels(s, d, TENOR_FORMS).select("label", label_years(F.col("label")).alias("years"), "items"),
+        "label_parse": lambda s, d: item_labels(s, d, CELL_FORMS).select("label", split_label(F.col("label")).alias("at"), "items").select("label", "at.expiry", "at.tenor", "items"),
+        "business_days": lambda s, d: business_calendar(s.read.parquet(f"{d}/lineitem.parquet"), "l_shipdate"),
+        "grid": lambda s, d: grid_of(panels.price_surface(s, d)),
+        "axis_order": lambda s, d: axis_in_order(grid_of(panels.price_surface(s, d)), "expiry").withColumn("first_seen", F.col("first_seen").cast("long")),
         "surface_long": lambda s, d: rounded(panels.price_surface(s, d)),
         "surface_matrix": lambda s, d: rounded(matrix(panels.price_surface(s, d, "quarter"), panels.PANEL_TENORS, "vol", ("date", "expiry"))),
         "missing_cells": lambda s, d: missing_cells(panels.price_surface(s, d), panels.panel_grid(s)).select("date", "bucket"),
@@ -288,9 +317,9 @@ def queries() -> dict[str, Query]:
         "stability_separable": lambda s, d: stable(s, d, TWO_WAY),
         "latest_report_metrics": lambda s, d: rounded(latest(s, d).metrics, 4),
         "latest_report_risk": lambda s, d: rounded(latest(s, d).residual_risk, 4),
-        "basis": with_ladder(lambda fine, basis: basis),
-        "basis_rowsum": with_ladder(lambda fine, basis: basis.groupBy("o").agg(F.sum("w").alias("total"), F.count("*").alias("nonzero"))),
-        "basis_nnz": with_ladder(lambda fine, basis: basis.where("w <> 0").agg(F.count("*").alias("nonzero"))),
+        "basis": with_ladder(lambda fine, basis: basis.join(fine, "o").select("o", "r", "w", (F.col("w") * F.col("v")).alias("dealt"))),
+        "basis_rowsum": with_ladder(lambda fine, basis: basis.join(fine, "o").groupBy("o").agg(F.sum("w").alias("total"), F.count("*").alias("nonzero"), F.sum(F.col("w") * F.col("v")).alias("dealt"))),
+        "basis_nnz": with_ladder(lambda fine, basis: basis.join(fine, "o").where("w <> 0").agg(F.count("*").alias("nonzero"), F.sum(F.abs(F.col("w") * F.col("v"))).alias("moved"))),
         "bilinear": with_ladder(ladder.bilinear),
         "price_quantiles": lambda s, d: rounded(price_quantiles(s, d)),
         "cls": with_ladder(constrained),
@@ -307,7 +336,9 @@ def queries() -> dict[str, Query]:
         "coarse_matrix": with_ladder(coarse_matrix),
         "book_matrix": lambda s, d: rounded(matrix(book(s, d), panels.PANEL_TENORS, "vega")),
         "book_vector": lambda s, d: rounded(vector(book(s, d), "vega").select(F.posexplode("vega").alias("pos", "vega"))),
-        "vega_formatted": lambda s, d: book(s, d).select("bucket", F.format_number("vega", 2).alias("vega")),
+        "vega_formatted": lambda s, d: formatted(book(s, d)),
+        "ladder_dashboard": with_ladder(dashboard),
+        "risk_matrices": lambda s, d: rounded(risk_matrices(s, d), 4),
         "tucker_rmse": lambda s, d: rounded(factors.tucker_errors(panels.embedding_moves(s, d), (8, 8), [(5, 3, 3), (64, 8, 8)]), 4),
     }
     return found

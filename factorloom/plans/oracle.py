@@ -7,7 +7,7 @@ rotations on a symmetric matrix and its eigenvectors.
 from __future__ import annotations
 
 from ..sources import panels
-from .catalog import COLUMNS, GRID_STEP, GRID_WINDOWS, HORIZON, KINDS, LABELS, PATCH, REPS, SAMPLE_SPECS, STEP, STRENGTH, WINDOWS, M
+from .catalog import GRID_STEP, GRID_WINDOWS, HORIZON, KINDS, PATCH, REPS, SAMPLE_SPECS, STEP, STRENGTH, WINDOWS, M
 
 TRANSFORMS = {"absolute": "vol - prev", "relative": "(vol - prev) / greatest(prev, 1e-8)", "log_relative": "ln(greatest(vol, 1e-8)) - ln(greatest(prev, 1e-8))"}
 BOOK = "book AS (SELECT CAST((l_linenumber - 1) * 4 + l_partkey % 4 AS INTEGER) AS bucket, sum(l_quantity * (l_discount - 0.05)) AS vega FROM lineitem GROUP BY 1)"
@@ -291,12 +291,13 @@ def shrunk(method: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    values = lambda rows: ", ".join("(" + ", ".join(map(repr, row)) + ")" for row in rows)
     found = {
-        "label_years": f"SELECT label, CAST(years AS DOUBLE) AS years FROM (VALUES {values(LABELS)}) v(label, years)",
-        "label_parse": f"""SELECT label, upper(CASE WHEN contains(lower(label), 'x') THEN split_part(lower(label), 'x', 1) ELSE split_part(label, '_', 1) END) AS expiry,
-            upper(CASE WHEN contains(lower(label), 'x') THEN split_part(lower(label), 'x', 2) ELSE substr(label, strpos(label, '_') + 1) END) AS tenor FROM (VALUES {values([(c,) for c in COLUMNS])}) v(label)""",
-        "business_days": "SELECT row_number() OVER (ORDER BY d) - 1 AS k, d AS date FROM (SELECT CAST(range AS DATE) AS d FROM range(DATE '2019-01-01', DATE '2021-01-01', INTERVAL 1 DAY)) WHERE isodow(d) < 6 QUALIFY k < 400",
+        "label_years": """SELECT CASE l_orderkey % 4 WHEN 0 THEN l_linenumber * 6 || 'M' WHEN 1 THEN ' ' || l_linenumber || 'y ' WHEN 2 THEN CAST(l_linenumber / 4 AS VARCHAR) ELSE l_partkey % 30 + 1 || 'Y' END AS label,
+            CASE l_orderkey % 4 WHEN 0 THEN l_linenumber / 2 WHEN 1 THEN l_linenumber WHEN 2 THEN l_linenumber / 4 ELSE l_partkey % 30 + 1 END AS years, count(*) AS items FROM lineitem GROUP BY 1, 2""",
+        "label_parse": """SELECT CASE l_orderkey % 4 WHEN 0 THEN l_linenumber || 'Yx' || t || 'Y' WHEN 1 THEN l_linenumber || 'Y_' || t || 'Y' WHEN 2 THEN l_linenumber * 6 || 'mX' || t || 'y' ELSE l_linenumber || 'Y_2Y_' || t || 'Y' END AS label,
+            CASE l_orderkey % 4 WHEN 2 THEN l_linenumber * 6 || 'M' ELSE l_linenumber || 'Y' END AS expiry, CASE l_orderkey % 4 WHEN 3 THEN '2Y_' || t || 'Y' ELSE t || 'Y' END AS tenor, count(*) AS items
+            FROM (SELECT *, l_partkey % 4 + 1 AS t FROM lineitem) GROUP BY 1, 2, 3""",
+        "business_days": "SELECT row_number() OVER (ORDER BY d) - 1 AS k, d AS date FROM (SELECT CAST(unnest(range(low, high + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT CAST(CAST(min(l_shipdate) AS DATE) AS TIMESTAMP) AS low, CAST(CAST(max(l_shipdate) AS DATE) AS TIMESTAMP) AS high FROM lineitem)) WHERE isodow(d) < 6",
         "grid": plain(GRID, select="SELECT * FROM grid"),
         "axis_order": plain(GRID, select="SELECT expiry, CAST(min(bucket) AS BIGINT) AS first_seen FROM grid GROUP BY 1"),
         "surface_long": f"SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(l_linenumber AS VARCHAR) || 'Y' AS expiry, CAST(l_partkey % 4 + 1 AS VARCHAR) || 'Y' AS tenor, {r('avg(l_extendedprice) / 1000', 'vol')} FROM lineitem GROUP BY 1, 2, 3",
@@ -381,9 +382,9 @@ def oracle_sql() -> dict[str, str]:
             "pe AS (SELECT g, a.range AS i, b.range AS j, sum(vec[a.range + 1] * vec[b.range + 1]) AS u FROM ee, range(7) a, range(7) b WHERE rk <= 2 GROUP BY 1, 2, 3)", "pt AS (SELECT g, a.range AS i, b.range AS j, sum(vec[a.range + 1] * vec[b.range + 1]) AS u FROM et, range(4) a, range(4) b WHERE rk <= 2 GROUP BY 1, 2, 3)",
             "de AS (SELECT n.g, sqrt(sum((n.u - o.u) * (n.u - o.u))) AS d FROM pe n JOIN pe o ON o.g = n.g - 1 AND o.i = n.i AND o.j = n.j GROUP BY 1)", "dt AS (SELECT n.g, sqrt(sum((n.u - o.u) * (n.u - o.u))) AS d FROM pt n JOIN pt o ON o.g = n.g - 1 AND o.i = n.i AND o.j = n.j GROUP BY 1)",
             select=f"SELECT CAST(g AS INTEGER) AS fold, end_date, {r('de.d', 'expiry_distance', 5)}, {r('dt.d', 'tenor_distance', 5)} FROM de JOIN dt USING (g) JOIN ends USING (g)"),
-        "basis": plain(*BASIS, select=f"SELECT o, r, {r('w')} FROM basis"),
-        "basis_rowsum": plain(*BASIS, select=f"SELECT o, {r('sum(w)', 'total')}, count(*) AS nonzero FROM basis GROUP BY 1"),
-        "basis_nnz": plain(*BASIS, select="SELECT count(*) AS nonzero FROM basis WHERE w <> 0"),
+        "basis": plain(*BASIS, select=f"SELECT o, r, {r('w')}, {r('w * v', 'dealt')} FROM basis JOIN fine USING (o)"),
+        "basis_rowsum": plain(*BASIS, select=f"SELECT o, {r('sum(w)', 'total')}, count(*) AS nonzero, {r('sum(w * v)', 'dealt')} FROM basis JOIN fine USING (o) GROUP BY 1"),
+        "basis_nnz": plain(*BASIS, select=f"SELECT count(*) AS nonzero, {r('sum(abs(w * v))', 'moved')} FROM basis JOIN fine USING (o) WHERE w <> 0"),
         "bilinear": plain(*BASIS, select=f"SELECT r, {r('sum(w * v)', 'v')} FROM basis JOIN fine USING (o) GROUP BY 1"),
         "cls": recursive(*CLS, select=f"SELECT r, {r('v')} FROM cls"),
         "cls_per_expiry": recursive(*BASIS, *ONE_GROUP, constrained("cls", "bb0", "bv0", len(panels.REDUCED_EXPIRIES), f"CASE WHEN {{j}} // {MT} = {{c}} THEN 1 ELSE 0 END", f"SELECT k AS c, sum(w * v) AS val FROM fine JOIN he ON he.i = o // {NT} GROUP BY 1"), select=f"SELECT r, {r('v')} FROM cls"),
@@ -405,6 +406,8 @@ def oracle_sql() -> dict[str, str]:
         "coarse_matrix": recursive(*CLS, select="SELECT " + r("re.y", "expiry") + ", " + ", ".join(f'round(max(cls.v) FILTER (rt.y = {y}), 6) + 0.0 AS "{y}Y"' for y in panels.REDUCED_TENORS) + f" FROM cls JOIN re ON re.i = r // {MT} JOIN rt ON rt.i = r % {MT} GROUP BY 1"),
         "book_matrix": plain(BOOK, select="SELECT CAST(bucket // 4 + 1 AS VARCHAR) || 'Y' AS expiry, " + ", ".join(f'round(max(vega) FILTER (bucket % 4 = {i}), 6) + 0.0 AS "{i + 1}Y"' for i in range(4)) + " FROM book GROUP BY 1"),
         "book_vector": plain(BOOK, select=f"SELECT bucket AS pos, {r('vega')} FROM book"),
-        "vega_formatted": plain(BOOK, select="SELECT bucket, format('{:,.2f}', vega) AS vega FROM book"),
+        "vega_formatted": plain(BOOK, select="SELECT bucket, format('{:,.2f}', vega) AS vega, format('{:.2e}', vega) AS power, format('{:.1f}%', 100 * abs(vega) / sum(abs(vega)) OVER ()) AS share FROM book"),
+        "ladder_dashboard": recursive(*RESIDUALS, *INVERSE, "cells AS (SELECT o // 10 AS e, o % 10 AS m, v, residual, leverage, residual / greatest(1 - leverage, 1e-6) AS loo FROM res JOIN lev USING (o))", select="SELECT measure, y AS expiry, " + ", ".join(f'round(max(value) FILTER (m = {i}), 6) + 0.0 AS "{y}Y"' for i, y in enumerate(panels.LADDER_TENORS)) + " FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS measure, e, m, {k} AS value FROM cells" for k in ("v", "residual", "leverage", "loo")) + ") JOIN fe ON fe.i = e GROUP BY 1, 2"),
+        "risk_matrices": recursive(*pca(ALL_ROWS), "shown AS (SELECT bucket, abs(vega) * stddev_samp(dvol - hat) AS residual_risk, var_samp(dvol - hat) / greatest(var_samp(dvol), 1e-16) AS noise_ratio FROM hat JOIN book USING (bucket) GROUP BY bucket, vega)", select="SELECT measure, CAST(bucket // 4 + 1 AS VARCHAR) || 'Y' AS expiry, " + ", ".join(f'round(max(value) FILTER (bucket % 4 = {i}), 4) + 0.0 AS "{i + 1}Y"' for i in range(4)) + " FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS measure, bucket, {k} AS value FROM shown" for k in ("residual_risk", "noise_ratio")) + ") GROUP BY 1, 2"),
     }
     return found
