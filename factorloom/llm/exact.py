@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import body, path_exists, scratch_path, written
+from .common import body, delete_path, dropped, path_exists, scratch_path, written
 
 #: Ranges of doc_id, one after the other, in which a whole table is admitted.
 RANGES = 2
@@ -32,7 +32,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """Digests admitted so far: (digest, keep_id), bucketed and sorted by digest.
+    """Digests admitted so far: (digest, keep_id, batch), bucketed and sorted by digest.
+
+    A batch that failed half-way is run again under its name: the digests that it had appended count as its own, so their rows stay.
 
     The files at ``path`` are the index; the catalogue's entry is made anew where it is missing, as after a restart. Files that are
     there but cannot be opened as an index raise.
@@ -44,7 +46,7 @@ class DigestIndex:
         self.path = path or scratch_path(spark, "digest-index")
         if not self.exists() and path_exists(spark, self.path):
             self.buckets = spark.read.parquet(f"{self.path}-layout").first()["buckets"]
-            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -52,31 +54,41 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
+    def append(self, groups: DataFrame, batch: str) -> None:
         """Adds one row a digest; each bucket is written by one task."""
         if not self.exists():
             self.spark.createDataFrame([(self.buckets,)], "buckets int").write.mode("overwrite").parquet(f"{self.path}-layout")
-        (groups.select("digest", F.col("keep_id").cast("long").alias("keep_id")).repartition(self.buckets, "digest").write.mode("append").format("parquet")
-         .option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        own = groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.lit(batch).alias("batch"))
+        own.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
+    def drop(self) -> None:
+        """Removes the index with its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for place in (self.path, f"{self.path}-layout"):
+            delete_path(self.spark, place)
 
-    def decide(self, rows: DataFrame) -> DataFrame:
-        """(digest, keep_id, keep_row, group_size), one row a digest of ``rows`` (doc_id, digest, row); new digests are appended.
+    def decide(self, rows: DataFrame, batch: str) -> DataFrame:
+        """(digest, keep_id, keep_row, group_size), one row a digest of ``rows`` (doc_id, digest, row); new digests are appended. The result is a written table.
 
-        keep_row is the row that stays, null if the index had the text before; keep_id is then the indexed row's.
+        keep_row is the row that stays, null if the index had the text before; keep_id is then the indexed row's. What this batch
+        itself appended for the same doc_id, in a run that failed, is not "before".
         """
         groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
         groups = written(groups.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size"), "digest-groups")
-        fresh = groups
-        if self.exists():
-            known = self.table().withColumnRenamed("keep_id", "known_id")
-            fresh = written(groups.join(known.select("digest").hint("merge"), "digest", "left_anti"), "digest-fresh")
-            seen = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), "group_size")
-            groups = written(fresh.union(seen), "digest-decisions")  # before the index grows
-        self.append(fresh)
-        return groups
-
-    def admit(self, docs: DataFrame) -> DataFrame:
-        """Decides on every row of ``docs`` and appends its new digests.
+        if not self.exists():
+            self.append(groups, batch)
+            return groups
+        known = self.table().select("digest", F.col("keep_id").alias("known_id"), "batch")
+        fresh = written(groups.join(known.select("digest").hint("merge"), "digest", "left_anti"), "digest-fresh")
+        again = (F.col("batch") == batch) & F.col("known_id").eqNullSafe(F.col("keep_id"))
+        met = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), F.when(again, F.col("keep_row")).alias("keep_row"), "group_size")
+        decisions = written(fresh.union(met), "digest-decisions")  # before the index grows
+        self.append(fresh, batch)
+        dropped(groups, fresh)
+        return decisions
+
+    def admit(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
+        """Decides on every row of ``docs`` and appends its new digests under the batch's name; a batch that failed is run again under the same one.
 
         Returns one row a row: doc_id, keep_id, group_size (rows of this batch with the text), kept,
         text_sha256. Of equal texts the row with the largest doc_id stays (a null doc_id counts as the
@@ -85,7 +97,7 @@ class DigestIndex:
         an empty result. Further columns are ignored.
         """
         rows = digests(docs)
-        return judged(rows, self.decide(rows))
+        return judged(rows, self.decide(rows, batch or uuid.uuid4().hex))
 
 
 def judged(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -94,21 +106,26 @@ def judged(rows: DataFrame, groups: DataFrame) -> DataFrame:
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES, batch: str | None = None) -> DataFrame:
     """All of ``docs`` against one index, by ranges of doc_id from the highest down and null ids last; see :meth:`DigestIndex.admit`.
 
     So of equal texts the largest doc_id is the first to be admitted, and the anti-join drops the others of later ranges. group_size
-    counts the rows of all ranges.
+    counts the rows of all ranges. A run that fails between ranges is made again under its ``batch`` name with the same result. Without an
+    index one is made for the run and removed after it.
     """
-    index, rows = index or DigestIndex(docs.sparkSession), digests(docs)
+    own, batch, rows = index or DigestIndex(docs.sparkSession), batch or uuid.uuid4().hex, digests(docs)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)]).alias("at")).first()["at"] or []
     edges = [None, *sorted(set(cuts), reverse=True), None]
     parts = []
     for above, low in zip(edges, edges[1:], strict=False):
         inside = F.lit(True) if above is None else F.coalesce(F.col("doc_id") < above, F.lit(True))
-        parts.append(index.decide(rows.where(inside & (F.lit(True) if low is None else F.coalesce(F.col("doc_id") >= low, F.lit(False))))))
+        parts.append(own.decide(rows.where(inside & (F.lit(True) if low is None else F.coalesce(F.col("doc_id") >= low, F.lit(False)))), batch))
     groups = reduce(DataFrame.union, parts).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("keep_row").alias("keep_row"), F.sum("group_size").alias("group_size"))
-    return judged(rows, written(groups, "digest-groups"))
+    groups = written(groups, "digest-groups")
+    dropped(*parts)
+    if index is None:
+        own.drop()
+    return judged(rows, groups)
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:

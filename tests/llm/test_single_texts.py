@@ -152,15 +152,40 @@ def test_exact_dedup_by_ranges(spark, monkeypatch, ranges):
     rows = [(i, f"text {i % 7}") for i in range(40)] + [(None, "text 3"), (None, "alone"), (12, "text 5"), (12, "text 5"), (5, None), (6, "")]
     plans, decide = [], exact.DigestIndex.decide
 
-    def seen(self, part):
+    def seen(self, part, batch):
         plans.append(self.exists())
-        return decide(self, part)
+        return decide(self, part, batch)
 
     monkeypatch.setattr(exact.DigestIndex, "decide", seen)
     same(exact.exact_dedup(small_batch(spark, rows), ranges=ranges).toPandas(), plain_exact(rows))
     assert plans == [False, *[True] * (ranges - 1)]  # later ranges meet the index
 
 
+@pytest.mark.parametrize("fails_at", [2, 3])
+def test_a_batch_that_failed_between_ranges_is_run_again(spark, monkeypatch, tmp_path, fails_at):
+    rows = [(i, f"text {i % 11}") for i in range(30)] + [(None, "text 3"), (None, "alone"), (12, "text 1"), (12, "text 1"), (5, None)]
+    docs, index = small_batch(spark, rows), exact.DigestIndex(spark, path=str(tmp_path / "index"), buckets=4)
+    index.admit(small_batch(spark, [(99, "text 2")]), "before").collect()
+    calls, decide = [], exact.DigestIndex.decide
+
+    def failing(self, part, batch):
+        calls.append(batch)
+        if len(calls) == fails_at:
+            raise RuntimeError("lost")
+        return decide(self, part, batch)
+
+    monkeypatch.setattr(exact.DigestIndex, "decide", failing)
+    with pytest.raises(RuntimeError):
+        exact.exact_dedup(docs, index, 3, "today")
+    got = exact.exact_dedup(docs, index, 3, "today").toPandas()
+    want = [(d, 99, n, False, h) if h == sha("text 2") else (d, k, n, kept, h) for d, k, n, kept, h in plain_exact(rows)]
+    same(got, want)
+    assert index.table().count() == len({t or "" for _, t in rows})
+    assert not exact.exact_dedup(docs, index, 3, "tomorrow").where("kept").count()
+    index.drop()
+    assert not index.exists() and not (tmp_path / "index").exists()
+
+
 def test_no_column_name_is_special(spark):
     own = spark.createDataFrame([(1, "x", "mine", 5, "k", "r"), (2, "x", "yours", 6, "l", "s")], "doc_id long, text string, _copy string, _kept_id long, key string, row string")
     for stays in (exact.keep_first_copies(own), neardup.keep_one_of_each(own)):
