@@ -114,11 +114,14 @@ def guarded_corr(a: str, b: str) -> Column:
 
 
 def pnl_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
-    """The ten metrics over all predictions of each key (which are not null); those that their rows cannot give are null."""
+    """The ten metrics over all predictions of each key (which are not null); those that their rows cannot give are null.
+
+    The passes of the quantile read four columns of the predictions, which are kept (in memory, else on disk) so that no model is fitted twice.
+    """
     error = F.col("error")
     spread = F.var_samp("full_pnl")
     names = list(keys) or ["_all"]
-    rows = predictions if keys else predictions.withColumn("_all", F.lit(0))
+    rows = (predictions if keys else predictions.withColumn("_all", F.lit(0))).select(*names, "full_pnl", "projected_pnl", "error").persist()
     sums = rows.groupBy(*names).agg(
         F.count("error").alias("n_test_obs"), F.stddev_samp("full_pnl").alias("full_pnl_std"), F.stddev_samp("projected_pnl").alias("proj_pnl_std"),
         F.avg(error).alias("error_mean"), F.sqrt(F.avg(error * error)).alias("error_rmse"), F.avg(F.abs(error)).alias("error_mae"), F.max(F.abs(error)).alias("error_max_abs"),
