@@ -16,7 +16,7 @@ from ..operators.folds import fold_table, refit_table, test_rows, training_rows
 from ..operators.grid import align_vega, axis_in_order, grid_of, matrix, missing_cells, vector, vega_weights
 from ..operators.moves import compute_moves, full_pnl, move_rows, to_absolute, to_absolute_linear
 from ..operators.quantile import exact_quantile
-from ..sources import panels
+from ..sources import files, panels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +171,47 @@ def tried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk_summary(spark, sf_dir, SAMPLE_SPECS, GRID_WINDOWS, GRID_STEP)
 
 
+def tried_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates over all four windows."""
+    return walk_summary(spark, sf_dir, factors.default_specs(), GRID_WINDOWS, GRID_STEP)
+
+
+def filed_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The surface and the book, written as CSV files and read from them."""
+    surface, vega = (files.new_folder(spark, name) for name in ("surface", "vega"))
+    files.write_surface(panels.price_surface(spark, sf_dir), panels.PANEL_EXPIRIES, panels.PANEL_TENORS, surface)
+    files.write_vega(panels.panel_book(spark, sf_dir), panels.PANEL_TENORS, vega)
+    return files.load_inputs(spark, "csv", surface=surface, vega=vega)
+
+
+def filed_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of the surface read from its file, priced with the book read from its own."""
+    surface, vega = filed_inputs(spark, sf_dir)
+    grid = panels.panel_grid(spark)
+    return full_pnl(move_rows(surface, grid, "absolute"), align_vega(grid, vega))
+
+
+def filed_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fine ladder, written as a CSV matrix labelled in years and read from it."""
+    path = files.new_folder(spark, "ladder")
+    files.write_ladder(panels.ladder_book(spark, sf_dir), panels.LADDER_EXPIRIES, panels.LADDER_TENORS, path)
+    return files.read_ladder(spark, path)
+
+
+def filed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked summary as a CSV file, read back."""
+    path, found = files.new_folder(spark, "results"), walk_summary(spark, sf_dir)
+    files.write_results(found, path)
+    return files.read_results(spark, path, found.schema)
+
+
+def filed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All out-of-sample predictions as CSV files by window, read back."""
+    path, found = files.new_folder(spark, "predictions"), walk(spark, sf_dir, FEW_SPECS)
+    files.write_predictions(found, path, "csv")
+    return files.read_results(spark, path, found.schema)
+
+
 def kind_of(spec: Spec) -> str:
     """The part of the grid of candidates that a model belongs to."""
     if spec.family == "separable":
@@ -239,13 +280,13 @@ def projector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own(1).union(own(2)).union(own(3))
 
 
-def best(spark: SparkSession, sf_dir: str) -> tuple[Spec, int, report.Report]:
-    return report.best_report(panels.price_surface(spark, sf_dir), panels.panel_grid(spark), panels.panel_book(spark, sf_dir), SAMPLE_SPECS, list(GRID_WINDOWS), GRID_STEP, GRID_STEP)
+def best(spark: SparkSession, sf_dir: str, specs: list[Spec] = SAMPLE_SPECS) -> tuple[Spec, int, report.Report]:
+    return report.best_report(panels.price_surface(spark, sf_dir), panels.panel_grid(spark), panels.panel_book(spark, sf_dir), specs, list(GRID_WINDOWS), GRID_STEP, GRID_STEP)
 
 
-def best_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_metrics(spark: SparkSession, sf_dir: str, specs: list[Spec] = SAMPLE_SPECS) -> DataFrame:
     """The chosen model and window, and the metrics of its latest fit."""
-    spec, window, found = best(spark, sf_dir)
+    spec, window, found = best(spark, sf_dir, specs)
     return found.metrics.select(F.lit(spec.name).alias("model"), F.lit(window).alias("window"), *validate.METRICS)
 
 
@@ -261,6 +302,12 @@ def queries() -> dict[str, Query]:
         "grid": lambda s, d: grid_of(panels.price_surface(s, d)),
         "axis_order": lambda s, d: axis_in_order(grid_of(panels.price_surface(s, d)), "expiry").withColumn("first_seen", F.col("first_seen").cast("long")),
         "surface_long": lambda s, d: rounded(panels.price_surface(s, d)),
+        "csv_surface": lambda s, d: rounded(filed_inputs(s, d)[0].where("vol is not null")),
+        "csv_vega": lambda s, d: rounded(filed_inputs(s, d)[1]),
+        "csv_full_pnl": lambda s, d: rounded(filed_moves(s, d)),
+        "csv_ladder": lambda s, d: rounded(filed_ladder(s, d)),
+        "csv_results": lambda s, d: rounded(filed_results(s, d).select(*SHORT), 4),
+        "csv_predictions": lambda s, d: rounded(filed_predictions(s, d).select("model", "window", "fold", "t", "date", "full_pnl", "projected_pnl", "error"), 4),
         "surface_matrix": lambda s, d: rounded(matrix(panels.price_surface(s, d, "quarter"), panels.PANEL_TENORS, "vol", ("date", "expiry"))),
         "missing_cells": lambda s, d: missing_cells(panels.price_surface(s, d), panels.panel_grid(s)).select("date", "bucket"),
         "moves_abs": lambda s, d: rounded(panel(s, d)),
@@ -302,6 +349,12 @@ def queries() -> dict[str, Query]:
         "best_model": lambda s, d: rounded(validate.best_model(tried(s, d)).select("model", "window", "error_rmse", "spec_transform", "spec_n_components"), 4),
         "best_report_metrics": lambda s, d: rounded(best_metrics(s, d), 4),
         "best_report_risk": lambda s, d: rounded(best(s, d)[2].residual_risk, 4),
+        "leaderboard_all": lambda s, d: rounded(validate.leaderboard(tried_all(s, d)).select(*SHORT), 4),
+        "best_by_window_all": lambda s, d: rounded(validate.best_by_window(tried_all(s, d)).select("model", "window", "error_rmse", "place"), 4),
+        "window_perf_all": lambda s, d: rounded(validate.by_window(tried_all(s, d)), 4),
+        "group_perf_all": lambda s, d: rounded(validate.by_group(tried_all(s, d)), 4),
+        "best_report_metrics_all": lambda s, d: rounded(best_metrics(s, d, factors.default_specs()), 4),
+        "best_report_risk_all": lambda s, d: rounded(best(s, d, factors.default_specs())[2].residual_risk, 4),
         "walk_forward_status": lambda s, d: walk_summary(s, d, FEW_SPECS[:1], (20, 500)).select("model", "window", "n_test_obs", "status"),
         "walk_forward_all_families": lambda s, d: grid_summary(s, d, factors.default_specs()),
         **{f"walk_forward_{k}": (lambda own: lambda s, d: grid_summary(s, d, own))(own) for k, own in KINDS.items()},

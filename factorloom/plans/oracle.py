@@ -409,5 +409,8 @@ def oracle_sql() -> dict[str, str]:
         "vega_formatted": plain(BOOK, select="SELECT bucket, format('{:,.2f}', vega) AS vega, format('{:.2e}', vega) AS power, format('{:.1f}%', 100 * abs(vega) / sum(abs(vega)) OVER ()) AS share FROM book"),
         "ladder_dashboard": recursive(*RESIDUALS, *INVERSE, "cells AS (SELECT o // 10 AS e, o % 10 AS m, v, residual, leverage, residual / greatest(1 - leverage, 1e-6) AS loo FROM res JOIN lev USING (o))", select="SELECT measure, y AS expiry, " + ", ".join(f'round(max(value) FILTER (m = {i}), 6) + 0.0 AS "{y}Y"' for i, y in enumerate(panels.LADDER_TENORS)) + " FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS measure, e, m, {k} AS value FROM cells" for k in ("v", "residual", "leverage", "loo")) + ") JOIN fe ON fe.i = e GROUP BY 1, 2"),
         "risk_matrices": recursive(*pca(ALL_ROWS), "shown AS (SELECT bucket, abs(vega) * stddev_samp(dvol - hat) AS residual_risk, var_samp(dvol - hat) / greatest(var_samp(dvol), 1e-16) AS noise_ratio FROM hat JOIN book USING (bucket) GROUP BY bucket, vega)", select="SELECT measure, CAST(bucket // 4 + 1 AS VARCHAR) || 'Y' AS expiry, " + ", ".join(f'round(max(value) FILTER (bucket % 4 = {i}), 4) + 0.0 AS "{i + 1}Y"' for i in range(4)) + " FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS measure, bucket, {k} AS value FROM shown" for k in ("residual_risk", "noise_ratio")) + ") GROUP BY 1, 2"),
+        "csv_vega": plain(BOOK, select=f"SELECT {LABEL_OF}, {r('vega')} FROM book"),
+        "csv_ladder": plain(*BASIS[:2], BASIS[7], select=f"SELECT o, CAST(fe.i AS INTEGER) AS e_idx, CAST(ft.i AS INTEGER) AS t_idx, {r('fe.y', 'e_years')}, {r('ft.y', 't_years')}, {r('v')} FROM fine JOIN fe ON fe.i = o // {NT} JOIN ft ON ft.i = o % {NT}"),
     }
-    return found
+    # What was written as files and read back is what was there.
+    return found | {name: found[of] for name, of in {"csv_surface": "surface_long", "csv_full_pnl": "full_pnl", "csv_results": "pnl_metrics", "csv_predictions": "walk_forward_predictions"}.items()}

@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.labels import finite, split_label
+from ..operators.grid import matrix
+
+SHARED = "spark.checkpoint.dir"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for files that driver and executors share, in the folder that the session names; a temporary one only where none is named and they are one process."""
+    place = spark.sparkContext.getConf().get(SHARED) or spark.conf.get(SHARED, None)
+    if not place:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError(f"set {SHARED} to a folder that driver and executors share")
+        local = tempfile.mkdtemp(prefix="factorloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        place = f"file://{local}"
+        spark.conf.set(SHARED, place)
+    return f"{place}/files/{name}-{uuid.uuid4().hex}"
 
 
 def unpivot(wide: DataFrame, key: str, name: str, value: str) -> DataFrame:
@@ -48,6 +72,30 @@ def read_ladder(spark: SparkSession, path: str) -> DataFrame:
     return at.select(((F.col("e") - 1) * len(tenors) + F.col("t_idx")).alias("o"), (F.col("e") - 1).alias("e_idx"), "t_idx", "e_years", F.get(years, F.col("t_idx")).alias("t_years"), finite(F.col("v")).alias("v"))
 
 
+def write_matrix(wide: DataFrame, path: str, *order: str) -> None:
+    """A matrix in one CSV file with a header, its rows in order; it has a row a date or expiry."""
+    wide.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_surface(surface: DataFrame, expiries: Sequence[str], tenors: Sequence[str], path: str) -> None:
+    """A history file that :func:`read_surface` reads: a row a date, a column a bucket of the axes; cells without a value are empty."""
+    labels = [f"{e}x{t}" for e in expiries for t in tenors]
+    cells = surface.select("date", F.concat("expiry", F.lit("x"), "tenor").alias("label"), "vol")
+    write_matrix(cells.groupBy("date").pivot("label", labels).agg(F.first("vol")), path, "date")
+
+
+def write_vega(vega: DataFrame, tenors: Sequence[str], path: str) -> None:
+    """A book file that :func:`read_vega` reads: a row an expiry, a column a tenor."""
+    write_matrix(matrix(vega, tenors, "vega"), path, "expiry")
+
+
+def write_ladder(fine: DataFrame, expiries: Sequence[float], tenors: Sequence[float], path: str) -> None:
+    """A ladder (e_idx, t_idx, v) as the matrix that :func:`read_ladder` reads, labelled in years."""
+    rows = fine.select("e_idx", F.get(F.lit([float(y) for y in expiries]), F.col("e_idx")).alias("years"), "t_idx", "v")
+    wide = rows.groupBy("years").pivot("t_idx", list(range(len(tenors)))).agg(F.first("v"))
+    write_matrix(wide.toDF("years", *(str(float(y)) for y in tenors)), path, "years")
+
+
 def write_results(summary: DataFrame, path: str) -> None:
     """The ranked summary in one CSV file with a header; the table has a row a model and window."""
     from ..operators.validate import ranking
@@ -55,6 +103,11 @@ def write_results(summary: DataFrame, path: str) -> None:
     summary.orderBy(*ranking()).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Files that :func:`write_results`, or :func:`write_predictions` as CSV, wrote: empty fields are null."""
+    return spark.read.schema(schema).csv(path, header=True)
+
+
 def write_predictions(predictions: DataFrame, path: str, form: str = "parquet") -> None:
     """Predictions by window; as Parquet, or CSV with a header."""
     writer = predictions.write.mode("overwrite").partitionBy("window")

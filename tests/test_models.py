@@ -1,3 +1,4 @@
+import datetime as dt
 from types import SimpleNamespace
 
 import numpy as np
@@ -100,8 +101,6 @@ def test_metric_guards(spark):
 
 
 def test_failed_fits_are_rows(spark):
-    import datetime as dt
-
     from factorloom.operators.grid import make_grid
 
     grid = make_grid(spark, ["1Y"], ["5Y", "10Y"])
@@ -116,8 +115,6 @@ def test_failed_fits_are_rows(spark):
 
 
 def vectors(spark, x, parts=5):
-    import datetime as dt
-
     days = [(t, dt.date(2024, 1, 1) + dt.timedelta(days=t), v.tolist(), v.tolist(), np.abs(v).tolist()) for t, v in enumerate(x)]
     return spark.createDataFrame(days, "t long, date date, x array<double>, dvol array<double>, prev array<double>").repartition(parts)
 
@@ -236,8 +233,6 @@ def test_without_a_mean():
 
 
 def test_walk_forward_equals_fits_on_its_rows(spark):
-    import datetime as dt
-
     from factorloom.operators.grid import make_grid
 
     grid, x = make_grid(spark, ["1Y", "2Y", "3Y"], ["5Y", "10Y"]), np.exp(rows(30) / 20) * 30
@@ -274,6 +269,20 @@ def test_sinks(spark, tmp_path):
         assert getattr(spark.read.option("header", True), form)(str(tmp_path / form)).count() == 3
 
 
+def test_files_of_odd_tables_come_back(spark, tmp_path):
+    """Cells that are missing or null are empty fields; an empty table gives a header, or no rows."""
+    cells = spark.createDataFrame([(dt.date(2024, 1, 2), "1Y", "5Y", 0.1 + 0.2), (dt.date(2024, 1, 1), "2Y", "1Y", None), (dt.date(2024, 1, 1), "1Y", "1Y", -1e-300)], "date date, expiry string, tenor string, vol double")
+    files.write_surface(cells, ["1Y", "2Y"], ["1Y", "5Y"], str(tmp_path / "s"))
+    back = files.read_surface(spark, str(tmp_path / "s"))
+    assert back.count() == 8 and {tuple(r) for r in back.where("vol is not null").collect()} == {tuple(r) for r in cells.where("vol is not null").collect()}
+    files.write_surface(cells.limit(0), ["1Y"], ["1Y"], str(tmp_path / "none"))
+    assert files.read_surface(spark, str(tmp_path / "none")).count() == 0
+    fine = spark.createDataFrame([(1, 0, 2.5), (0, 1, 1 / 3)], "e_idx int, t_idx int, v double")
+    files.write_ladder(fine, [1 / 12, 2], [1, 10], str(tmp_path / "l"))
+    got = {(r["e_idx"], r["t_idx"], r["e_years"], r["t_years"]): r["v"] for r in files.read_ladder(spark, str(tmp_path / "l")).collect()}
+    assert got == {(0, 0, 1 / 12, 1.0): None, (0, 1, 1 / 12, 10.0): 1 / 3, (1, 0, 2.0, 1.0): 2.5, (1, 1, 2.0, 10.0): None}
+
+
 def test_source_switch(spark, tmp_path):
     (tmp_path / "s.csv").write_text("date,1Yx5Y\n2024-01-01,1.5\n")
     (tmp_path / "v.csv").write_text(",5Y\n1Y,7\n")

@@ -43,6 +43,33 @@ def test_kinds_are_the_whole_grid():
     assert sorted(own) == sorted(s.name for s in default_specs()) and len(own) == 72
 
 
+def test_rankings_of_all_candidates(spark, monkeypatch):
+    """The ranked queries against plain sorting and grouping of the whole grid's rows; the grid is walked once for all of them, and once for the report."""
+    from factorloom.operators.factors import default_specs
+
+    whole, chosen = catalog.tried_all(spark, SF).persist(), catalog.best(spark, SF, default_specs())
+    monkeypatch.setattr(catalog, "tried_all", lambda s, d: whole)
+    monkeypatch.setattr(catalog, "best", lambda s, d, specs: chosen)
+    found = {name: catalog.queries()[name](spark, SF).toPandas() for name in ("leaderboard_all", "best_by_window_all", "window_perf_all", "group_perf_all", "best_report_metrics_all", "best_report_risk_all")}
+    rows = catalog.rounded(whole.select(*catalog.SHORT, *catalog.GRID_COLUMNS), 4).toPandas()
+    done = rows[rows.error_rmse.notna()].sort_values(["error_rmse", "error_p95_abs", "model", "window"], ignore_index=True)
+    assert len(rows) == 288 and len(done) == 288
+    assert found["leaderboard_all"].error_rmse.tolist() == done.error_rmse[:20].tolist()
+    own = found["best_by_window_all"]
+    for window, part in done.groupby("window"):
+        assert own[own.window == window].error_rmse.tolist() == part.error_rmse[:5].tolist()
+    by_window = done.groupby("window").error_rmse.agg(["min", "median"])
+    shown = found["window_perf_all"].set_index("window").sort_index()
+    pd.testing.assert_frame_equal(shown[["best_rmse", "median_rmse"]], by_window.set_axis(["best_rmse", "median_rmse"], axis=1), atol=1e-4, check_dtype=False, check_index_type=False)
+    groups = done.groupby(["family", "transform", "spec_covariance_method"]).error_rmse.min().sort_values()
+    assert len(found["group_perf_all"]) == len(groups) and found["group_perf_all"].best_rmse.tolist() == groups.tolist()
+    best = found["best_report_metrics_all"].iloc[0]
+    assert best["window"] == best["n_test_obs"] and best["model"] in {s.name for s in default_specs()}
+    assert done[(done.model == best["model"]) & (done.window == best["window"])].error_rmse.iloc[0] == done.error_rmse[0]
+    assert len(found["best_report_risk_all"]) == 28
+    whole.unpersist()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
