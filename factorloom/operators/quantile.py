@@ -1,4 +1,4 @@
-"""Exact quantiles of groups of any size: a histogram narrows each group to the bin that holds the place asked for, and only that bin is ordered.
+"""Exact quantiles of groups of any size: a histogram finds the bins that hold the places asked for, and only what is in them is ordered.
 
 No task holds a group's values: counts are added where the rows are, and what is ordered is a bin's distinct values, in a sort that spills.
 """
@@ -9,36 +9,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+PLACES = ("_below", "_k", "_next", "_share")
 
-def exact_quantile(df: DataFrame, keys: list[str], value: Column, q: float, name: str, bins: int = 1024, rounds: int = 1, salts: int = 8) -> DataFrame:
+
+def exact_quantile(df: DataFrame, keys: list[str], value: Column, q: float, name: str, bins: int = 1024, rounds: int = 1, few: bool = False) -> DataFrame:
     """(*keys, name): the ``q`` quantile of ``value`` by group, linear between neighbours; nulls and NaN do not count; a group without values, or with a null key, has no row.
 
-    Values are dealt once, by key and value, so that a large group has many tasks; all passes read that exchange.
+    The first histogram has ``bins`` to each factor of e on both sides of zero, so it needs no pass for the ends; further rounds split what
+    they found evenly. ``df`` is read once a round and once more. Where the caller knows that groups are ``few`` (candidates, cells of a
+    grid), their bins are broadcast and only values inside them travel.
     """
-    rows = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null and not isnan(_v)").repartition(*keys, F.xxhash64("_v") % salts)
-    place = F.lit(float(q)) * (F.col("_n") - 1)
-    span = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    state = span.select(*keys, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.floor(place).alias("_k"), F.ceil(place).alias("_next"), (place - F.floor(place)).alias("_share"))
-    fields = ["_k", "_next", "_share"]
+    whole = F.lit(True)
+    for key in keys:
+        whole &= F.col(key).isNotNull()
+    rows = df.select(*keys, value.cast("double").alias("_v")).where(whole & F.expr("_v is not null and not isnan(_v)"))
+    state = None
     for _ in range(rounds):
-        at = F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-        counted = within(rows, state, keys).withColumn("_bin", F.coalesce(at, F.lit(0))).groupBy(*keys, "_bin").agg(
-            F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *(F.first(c).alias(c) for c in ("_below", *fields)))
-        state = holding(counted, keys, "_bin").select(*keys, "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_below"), *fields)
-    values = within(rows, state, keys).groupBy(*keys, "_v").agg(F.count("*").alias("_c"), *(F.first(c).alias(c) for c in ("_below", *fields)))
-    lower = holding(values, keys, "_v").select(*keys, F.col("_v").alias("_a"), "_upto", "_next", "_share")
-    above = rows.join(lower.select(*keys, "_a"), keys).groupBy(*keys).agg(F.min(F.when(F.col("_v") > F.col("_a"), F.col("_v"))).alias("_b"))
-    upper = F.when(F.col("_upto") > F.col("_next"), F.col("_a")).otherwise(F.col("_b"))
-    return lower.join(above, keys).select(*keys, (F.col("_a") + (upper - F.col("_a")) * F.col("_share")).alias(name))
-
-
-def within(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows in their group's bin."""
-    return rows.join(state, keys).where("_v between _lo and _hi")
-
-
-def holding(counted: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of each group the first row with more than ``_k`` values up to it, ``_upto`` of them."""
-    before = W.partitionBy(*keys).orderBy(order)
-    upto = F.col("_below") + F.sum("_c").over(before.rowsBetween(W.unboundedPreceding, 0))
-    return counted.withColumn("_upto", upto).where("_upto > _k and _upto - _c <= _k")
+        own = rows if state is None else within(rows, state, keys, few)
+        counted = own.withColumn("_bin", by_size(bins) if state is None else evenly(bins)).groupBy(*keys, "_bin").agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *kept(state))
+        held = ranked(counted, keys, "_bin", q, state).where("_upto > _k and _upto - _c <= _next")
+        state = held.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min(F.col("_upto") - F.col("_c")).alias("_below"), *(F.min(c).alias(c) for c in PLACES[1:]))
+    values = (rows if state is None else within(rows, state, keys, few)).groupBy(*keys, "_v").agg(F.count("*").alias("_c"), *kept(state))
+    at = lambda place: F.min(F.when(F.col("_upto") > F.col(place), F.col("_v")))
+    found = ranked(values, keys, "_v", q, state).groupBy(*keys).agg(at("_k").alias("_a"), at("_next").alias("_b"), F.min("_share").alias("_share"))
+    a, b = F.col("_a"), F.col("_b")
+    return found.select(*keys, F.when(a == b, a).otherwise(a + (b - a) * F.col("_share")).alias(name))
+
+
+def by_size(bins: int) -> Column:
+    """A bin that grows with the value, by its sign and logarithm."""
+    size = F.floor(F.least(F.log(F.abs("_v")), F.lit(1e3)) * bins) + 746 * bins  # the logarithm of no double is under -746
+    return F.when(F.col("_v") > 0, size).when(F.col("_v") < 0, -size).otherwise(F.lit(0))
+
+
+def evenly(bins: int) -> Column:
+    """One of ``bins`` equal parts from ``_lo`` to ``_hi``."""
+    at = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins)
+    return F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0))
+
+
+def within(rows: DataFrame, state: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Rows in their group's bins."""
+    return rows.join(F.broadcast(state) if few else state, keys).where("_v between _lo and _hi")
+
+
+def kept(state: DataFrame | None) -> list[Column]:
+    """What is known of a group goes along with its rows."""
+    return [] if state is None else [F.first(c).alias(c) for c in PLACES]
+
+
+def ranked(counted: DataFrame, keys: list[str], order: str, q: float, state: DataFrame | None) -> DataFrame:
+    """With ``_upto``, how many of the group's values there are up to each row; the places that the quantile lies between are found first where they are not known."""
+    group = W.partitionBy(*keys)
+    if state is None:
+        place = F.lit(float(q)) * (F.sum("_c").over(group) - 1)
+        counted = counted.withColumn("_place", place).select(
+            "*", F.lit(0).cast("long").alias("_below"), F.floor("_place").alias("_k"), F.ceil("_place").alias("_next"), (F.col("_place") - F.floor("_place")).alias("_share"))
+    upto = F.col("_below") + F.sum("_c").over(group.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return counted.withColumn("_upto", upto)

@@ -126,7 +126,7 @@ def pnl_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
         F.count("error").alias("n_test_obs"), F.stddev_samp("full_pnl").alias("full_pnl_std"), F.stddev_samp("projected_pnl").alias("proj_pnl_std"),
         F.avg(error).alias("error_mean"), F.sqrt(F.avg(error * error)).alias("error_rmse"), F.avg(F.abs(error)).alias("error_mae"), F.max(F.abs(error)).alias("error_max_abs"),
         F.when(spread > 1e-16, 1 - F.var_samp("error") / spread).alias("explained_pnl_variance"), guarded_corr("full_pnl", "projected_pnl").alias("full_vs_projected_corr"))
-    return sums.join(exact_quantile(rows, names, F.abs(error), 0.95, "error_p95_abs"), names, "left").select(*keys, *METRICS)
+    return sums.join(exact_quantile(rows, names, F.abs(error), 0.95, "error_p95_abs", few=True), names, "left").select(*keys, *METRICS)
 
 
 def summary(predictions: DataFrame, specs: DataFrame, windows: Sequence[int]) -> DataFrame:

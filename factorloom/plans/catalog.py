@@ -101,7 +101,7 @@ def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles of all prices in each cell of the panel's grid."""
     items = panels.bucket_labels(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     keys, price = ["expiry", "tenor"], F.col("l_extendedprice")
-    return exact_quantile(items, keys, price, 0.5, "median").join(exact_quantile(items, keys, price, 0.95, "p95"), keys)
+    return exact_quantile(items, keys, price, 0.5, "median", few=True).join(exact_quantile(items, keys, price, 0.95, "p95", few=True), keys)
 
 
 def ladder_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
