@@ -7,6 +7,7 @@ are ordered. Features are the distinct words of a text and their first letters,
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ from .common import batch_of, body, map_batches, slices, written
 CLASS_TEXTS, FEATURES, LEAST_Z, LEAST_TEXTS = 6000, 20_000, 4.0, 5
 GRADES = 3
 PREFIXES = (4, 5, 6)
+#: Parts of the sample that grade each other's toxic texts, and rounds of those fits, which only have to order texts.
+FOLDS, FOLD_ROUNDS = 2, 200
 #: A prefix's value in a text is how many of its words have it, up to this: what a feature is, in training and in grading alike.
 MOST_COUNTED = 6
 WORD = re.compile(r"[^\W\d_]+")
@@ -85,6 +88,29 @@ def fit_cumulative_link(doc: np.ndarray, feature: np.ndarray, value: np.ndarray,
     return parameters[:features], parameters[features] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
+def cross_fitted(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, toxic: np.ndarray, fold: np.ndarray, features: int) -> np.ndarray:
+    """A score of each text by a two-class fit on the texts of the other folds alone, so its own label and words taught nothing of it; 0 where those lack a class."""
+    scores = np.zeros(len(toxic))
+    for f in range(FOLDS):
+        others = fold != f
+        if len(set(toxic[others].tolist())) < 2:
+            continue
+        at, taught, own = np.cumsum(others) - 1, others[doc], ~others[doc]
+        weights, _ = fit_cumulative_link(at[doc[taught]], feature[taught], value[taught], toxic[others], features, 2, rounds=FOLD_ROUNDS)
+        scores[~others] = np.bincount(doc[own], value[own] * weights[feature[own]], len(toxic))[~others]
+    return scores
+
+
+def severity_grades(scores: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """0 for texts that are not toxic; of a fold's toxic ones 2 for those that score over their median, else 1. Scores of folds are never compared, as they have models of their own."""
+    grade = (toxic > 0).astype(int)
+    for f in range(FOLDS):
+        own = (toxic > 0) & (fold == f)
+        if own.any():
+            grade[own & (scores > np.median(scores[own]))] = 2
+    return grade
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, class_texts: int = CLASS_TEXTS) -> DataFrame:
     """(text, toxic) of at most ``class_texts`` labelled texts of each class. The ids of the sample, so bounded, are broadcast."""
     usable = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -117,37 +143,36 @@ def telling_features(sample: DataFrame, most: int = FEATURES, least_z: float = L
 def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     """Fits severity grades 0 (not toxic), 1 and 2 from labels (doc_id, toxic).
 
-    Labels name two classes only. The third grade is a convention, not a label: toxic texts with more words that tell of toxicity than
-    their median are grade 2. It is made from the features themselves, so grade 2 against 1 says how many such words there are, and no more. None if a
-    class has no text: nothing is then toxic. Repeated labels count each; null ids or labels teach nothing.
+    Labels name two classes only. The third grade is how toxic a text looks to a model that has not seen it: the sample is dealt into folds by
+    text (equal texts share one), each is scored by a two-class fit on the others, and its toxic texts over the median score are grade 2. So grade 2 against 1 carries what
+    labels of other texts say; the choice of features alone sees all folds. None if a class has no text: nothing is then toxic. Repeated labels
+    count each; null ids or labels teach nothing.
     """
     sample = written(labelled_sample(docs, labels), "toxicity-sample")
     telling = telling_features(sample)
     if not telling:
         return None
     names = {f: i for i, f in enumerate(telling)}
-    loud = {f for f, z in telling.items() if z > 0}
-    types = {"toxic": pa.int32(), "hits": pa.int64(), "features": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())}
+    types = {"toxic": pa.int32(), "fold": pa.int32(), "features": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())}
 
     def make():
         def work(batch):
             out: dict[str, list] = {k: [] for k in types}
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                own = {names[f]: n for f, n in features_of(words).items() if f in names}
-                hits = sum(w in loud or any(w[:n] + "*" in loud for n in PREFIXES) for w in words)
-                for k, v in zip(types, (toxic, hits, list(own), list(own.values())), strict=True):
+                own = {names[f]: n for f, n in features_of(words_of(text)).items() if f in names}
+                for k, v in zip(types, (toxic, zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS, list(own), list(own.values())), strict=True):
                     out[k].append(v)
             return batch_of(types, out)
 
         return work
 
-    rows = map_batches(sample, make, "toxic int, hits long, features array<int>, counts array<int>").toArrow()
-    toxic, hits = rows["toxic"].to_numpy(), rows["hits"].to_numpy()
-    grade = np.where(toxic == 0, 0, np.where(hits > np.median(hits[toxic == 1]), 2, 1))
+    rows = map_batches(sample, make, "toxic int, fold int, features array<int>, counts array<int>").toArrow()
+    toxic, fold = rows["toxic"].to_numpy(), rows["fold"].to_numpy()
     lists = rows["features"].combine_chunks()
     doc = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    weights, thresholds = fit_cumulative_link(doc, lists.flatten().to_numpy(), np.minimum(rows["counts"].combine_chunks().flatten().to_numpy(), MOST_COUNTED).astype(float), grade, len(names), GRADES)
+    feature, value = lists.flatten().to_numpy(), np.minimum(rows["counts"].combine_chunks().flatten().to_numpy(), MOST_COUNTED).astype(float)
+    grade = severity_grades(cross_fitted(doc, feature, value, toxic, fold, len(names)), toxic, fold)
+    weights, thresholds = fit_cumulative_link(doc, feature, value, grade, len(names), GRADES)
     return OrdinalModel({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-6}, thresholds)
 
 

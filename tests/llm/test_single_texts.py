@@ -252,6 +252,25 @@ def test_toxicity_holds_out(spark):
     assert (np.diff(model.thresholds) > 0).all()
 
 
+def test_severity_comes_from_other_folds():
+    rng = np.random.default_rng(1)
+    n, features = 400, 30
+    toxic, fold = rng.integers(0, 2, n), rng.integers(0, toxicity.FOLDS, n)
+    loud = toxic * rng.integers(1, 9, n)  # how many of the first ten features a toxic text has
+    own = [np.concatenate([rng.permutation(10)[:k], 10 + rng.permutation(20)[:5]]) for k in loud]
+    doc, feature = np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own)
+    value = np.ones(len(doc))
+    scores = toxicity.cross_fitted(doc, feature, value, toxic, fold, features)
+    changed = toxic.copy()
+    changed[fold == 0] = 1 - changed[fold == 0]  # a fold's own labels do not reach its scores
+    np.testing.assert_array_equal(toxicity.cross_fitted(doc, feature, value, changed, fold, features)[fold == 0], scores[fold == 0])
+    grade = toxicity.severity_grades(scores, toxic, fold)
+    assert set(grade[toxic == 0]) == {0} and set(grade[toxic == 1]) == {1, 2}
+    assert loud[grade == 2].mean() > loud[grade == 1].mean() + 2
+    alone = toxicity.cross_fitted(doc, feature, value, np.ones(n, int), fold, features)
+    assert not alone.any() and set(toxicity.severity_grades(alone, np.ones(n, int), fold)) == {1}
+
+
 def test_toxicity_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     assert toxicity.fit(odd, labels) is None
