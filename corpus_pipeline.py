@@ -21,7 +21,7 @@ from factorloom.llm.toxicity import fit, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents graded toxic by a model fitted on the labelled ones; without usable labels none goes."""
+    """Drops documents graded toxic by a model fitted on the labelled ones; null labels teach nothing, and without usable labels none goes."""
     return without_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 

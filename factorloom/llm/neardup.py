@@ -251,6 +251,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """``docs`` with one document of each group of near copies, the one with the least doc_id; all columns stay.
 
     Of repeated rows, which agree in doc_id and text, one stays. Documents without an id, or with another's, are told apart by their texts.
+    Null, empty and wordless texts are near to nothing and stay; a very long text is compared whole; an empty table stays empty.
     """
     kept = near_links(docs, width, percent).where("row = keep_row").select("doc_id", "text_key").distinct()
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))  # no name of docs can clash

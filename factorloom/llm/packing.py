@@ -204,7 +204,11 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of each tokenised document with END_ID after it: doc_id, piece, start, length, ids_crc32."""
+    """Pieces of each tokenised document with END_ID after it: doc_id, piece, start, length, ids_crc32.
+
+    Null and empty texts are END_ID alone; very long ones are encoded whole and only then cut; repeated rows and null ids have pieces of their own; an
+    empty table has none; further columns are ignored.
+    """
     name = path.rsplit("/", 1)[-1]
     docs.sparkSession.sparkContext.addFile(path)
     types = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}

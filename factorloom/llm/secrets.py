@@ -144,7 +144,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret's span replaced by ``<kind>``, and n_chars to match; no row goes.
 
     Overlapping spans are replaced as one, named for the first. Null and empty texts, null ids, repeated rows, empty tables and further
-    columns of any name stay as they were.
+    columns of any name stay as they were. A very long text is scanned whole, as any other.
     """
     def make():
         scan = scanner()
