@@ -108,13 +108,13 @@ def scored(tests: DataFrame, train: DataFrame, specs: Sequence[Spec], price: np.
     return tests.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(fold_kernel(specs, price, dims), schemas.PREDICTIONS)
 
 
-def guarded_corr(a: str, b: str) -> Column:
-    enough = (F.count(a) > 2) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 1e-16)
+def guarded_corr(a: str, b: str, least: int) -> Column:
+    enough = (F.count(a) >= least) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 1e-16)
     return F.when(enough, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
-def pnl_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
-    """The ten metrics over all predictions of each key (which are not null); those that their rows cannot give are null.
+def pnl_metrics(predictions: DataFrame, *keys: str, least: int = 3) -> DataFrame:
+    """The ten metrics over all predictions of each key (which are not null); those that their rows cannot give are null, as is a correlation of under ``least`` rows.
 
     The passes of the quantile read four columns of the predictions, which are kept (in memory, else on disk) so that no model is fitted twice.
     """
@@ -125,15 +125,15 @@ def pnl_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
     sums = rows.groupBy(*names).agg(
         F.count("error").alias("n_test_obs"), F.stddev_samp("full_pnl").alias("full_pnl_std"), F.stddev_samp("projected_pnl").alias("proj_pnl_std"),
         F.avg(error).alias("error_mean"), F.sqrt(F.avg(error * error)).alias("error_rmse"), F.avg(F.abs(error)).alias("error_mae"), F.max(F.abs(error)).alias("error_max_abs"),
-        F.when(spread > 1e-16, 1 - F.var_samp("error") / spread).alias("explained_pnl_variance"), guarded_corr("full_pnl", "projected_pnl").alias("full_vs_projected_corr"))
+        F.when(spread > 1e-16, 1 - F.var_samp("error") / spread).alias("explained_pnl_variance"), guarded_corr("full_pnl", "projected_pnl", least).alias("full_vs_projected_corr"))
     return sums.join(exact_quantile(rows, names, F.abs(error), 0.95, "error_p95_abs", few=True), names, "left").select(*keys, *METRICS)
 
 
-def summary(predictions: DataFrame, specs: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """One row a spec and window: ids, metrics, the spec's fields; status says where nothing was predicted."""
+def summary(predictions: DataFrame, specs: DataFrame, windows: Sequence[int], least: int = 3) -> DataFrame:
+    """One row a spec and window: ids, metrics (correlations from ``least`` rows on), the spec's fields; status says where nothing was predicted."""
     spark = specs.sparkSession
     tried = specs.crossJoin(F.broadcast(small_table(spark, [(w,) for w in windows], "window int")))
-    measured = pnl_metrics(predictions.where("failure is null"), "model", "window").withColumnRenamed("model", "name")
+    measured = pnl_metrics(predictions.where("failure is null"), "model", "window", least=least).withColumnRenamed("model", "name")
     joined = tried.join(measured, ["name", "window"], "left")
     done = F.col("n_test_obs").isNotNull()
     return joined.select(

@@ -100,6 +100,18 @@ def test_metric_guards(spark):
     assert metrics([(1, 1), (2, 2), (4, 3)])["full_vs_projected_corr"] == pytest.approx(np.corrcoef([1, 2, 4], [1, 2, 3])[0, 1])
 
 
+def test_queries_correlate_two_rows(spark, monkeypatch):
+    """As their SQL does; windows that leave two test rows gave null."""
+    from factorloom import schemas
+    from factorloom.plans import catalog
+
+    name = catalog.FEW_SPECS[0].name
+    rows = [{"model": name, "window": 20, "full_pnl": float(f), "projected_pnl": float(p), "error": float(f - p)} for f, p in ((1, 2), (2, 1))]
+    monkeypatch.setattr(catalog, "walk", lambda *_: spark.createDataFrame(rows, schemas.PREDICTIONS))
+    found = catalog.walk_summary(spark, "", catalog.FEW_SPECS[:1], (20,)).first()
+    assert found["n_test_obs"] == 2 and found["full_vs_projected_corr"] == pytest.approx(-1)
+
+
 def test_failed_fits_are_rows(spark):
     from factorloom.operators.grid import make_grid
 
