@@ -18,7 +18,8 @@ hot key.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import pairwise
 
 import numpy as np
@@ -27,13 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, body, map_batches, slices, written
+from .common import batch_of, body, dropped, map_batches, slices, written
 from .lexicon import gather_runs
 from .neardup import mixed
 
 LENGTH, GRAM = 50, 26
 #: Bytes of text whose runs one group of the anchor join holds, and parts in which a group is judged.
 GROUP_BYTES, PARTS = 24 << 20, 8
+#: Bytes of texts whose runs are packed at once, or of windows that one suffix sort takes, and bytes of a window when it is shuffled: the windows are compared in as many passes as keep these under the texts' own bytes.
+BLOCK_BYTES, WINDOW_BYTES = 4 << 20, 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -115,8 +118,11 @@ def pack_block(rows: np.ndarray, docs: np.ndarray, found: list, groups: int) ->
     least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else d
     covered = np.zeros(len(unit), bool)
     covered[order] = d > least
-    flags = np.zeros(int(covered.sum()), FLAG)
-    flags["row"], flags["low"], flags["count"] = rows[unit[covered]], low[covered], count[covered]
+    gone = np.flatnonzero(covered)
+    gone = gone[np.lexsort((low[gone], unit[gone]))]
+    first, lows, counts = united(unit[gone], low[gone], count[gone])
+    flags = np.zeros(len(first), FLAG)
+    flags["row"], flags["low"], flags["count"] = rows[unit[gone[first]]], lows, counts
     kept = np.flatnonzero(~covered)
     kept = kept[np.lexsort((low[kept], unit[kept], group[kept]))]
     packed = {}
@@ -131,13 +137,41 @@ def pack_block(rows: np.ndarray, docs: np.ndarray, found: list, groups: int) ->
         units = np.zeros(len(first), UNIT)
         units["row"], units["doc"], units["base"] = rows[unit[at[first]]], docs[unit[at[first]]], base[first]
         units["runs"] = np.diff(np.append(first, len(at)))
-        packed[int(group[at[0]])] = len(units).to_bytes(4, "little") + units.tobytes() + runs.tobytes()
+        units["doc"] = np.diff(units["doc"], prepend=0)
+        packed[int(group[at[0]])] = len(units).to_bytes(4, "little") + planes(units) + planes(runs)
     return packed, flags
 
 
+def united(unit: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [low, low + count), sorted by unit and low, with those of one unit that touch made one: (place of its first, low, count)."""
+    if not len(low):
+        return np.zeros(0, np.int64), low, count
+    # Units are set apart by more than any end, so one running maximum serves all.
+    apart = np.append(0, np.cumsum(unit[1:] != unit[:-1])) * (int((low + count).max()) + 1)
+    ends = np.maximum.accumulate(low + count + apart)
+    first = np.flatnonzero(np.append(True, (low + apart)[1:] > ends[:-1]))
+    return first, low[first], ends[np.append(first[1:], len(low)) - 1] - (low + apart)[first]
+
+
+def planes(table: np.ndarray) -> bytes:
+    """The fields of a table one after the other, each by its first bytes, its second bytes and so on: bytes that are mostly zero compress away."""
+    return b"".join(np.ascontiguousarray(table[c]).view(np.uint8).reshape(len(table), -1).T.tobytes() for c in table.dtype.names)
+
+
+def from_planes(blob: pa.Buffer, kind: np.dtype, n: int, at: int) -> np.ndarray:
+    table = np.empty(n, kind)
+    for c in kind.names:
+        size = kind[c].itemsize
+        table[c] = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind[c])[:, 0]
+        at += n * size
+    return table
+
+
 def unpack(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, "<u4", 1)[0])
-    return np.frombuffer(blob, UNIT, n, 4), np.frombuffer(blob, RUN, offset=4 + n * UNIT.itemsize)
+    units = from_planes(blob, UNIT, n, 4)
+    units["doc"] = np.cumsum(units["doc"])
+    return units, from_planes(blob, RUN, int(units["runs"].sum()), 4 + n * UNIT.itemsize)
 
 
 def as_lists(flags: np.ndarray) -> dict[str, list]:
@@ -288,26 +322,40 @@ def window_names(raw: np.ndarray, windows: np.ndarray, chunk: int = 1 << 16) ->
     return out
 
 
-def window_runs(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
+def in_blocks(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose windows to compare, and their bytes, are about BLOCK_BYTES, so that a suffix sort has bounded memory."""
+    counts = table.column("count")
+    ends = np.append(0, np.cumsum(counts.values.to_numpy() + (LENGTH - 1)))
+    offsets = counts.offsets.to_numpy()
+    block = np.cumsum(2 * (ends[offsets[1:]] - ends[offsets[:-1]])) // BLOCK_BYTES
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    for begin, end in pairwise([*cuts.tolist(), table.num_rows]):
+        yield table.slice(begin, end - begin)
+
+
+def window_runs(table: pa.RecordBatch, passes: int = 1, own: int = 0) -> tuple[np.ndarray, np.ndarray, list]:
     """A block's windows to compare, as runs of one window for :func:`pack_block`: the (row, doc) units and their runs.
 
-    Windows are sorted as suffixes; one class is one string. Its name is a hash of its 50 bytes, taken once a class.
+    Windows are sorted as suffixes; one class is one string. Its name is a hash of its 50 bytes, taken once a class. Of several passes
+    each takes the windows whose hash falls to it, so equal ones always meet.
     """
-    texts, starts, units = [], [], []
-    base = 0
-    for row, doc, packed, lows, counts in zip(*(table[c].to_pylist() for c in ("row", "doc", "packed", "low", "count")), strict=True):
-        raw = zstandard.decompress(packed)
-        for low, count in sorted(zip(lows, counts, strict=True)):
-            piece = raw[low : low + count - 1 + LENGTH]
-            texts.append(piece)
-            starts.append((base, count, low, len(units)))
-            base += len(piece)
-        units.append((row, doc))
-    rows, docs = (np.array([u[i] for u in units], np.int64) for i in (0, 1))
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    begin, count, low, unit = np.array(starts, np.int64).reshape(-1, 4).T
+    rows, docs = (table.column(c).to_numpy() for c in ("row", "doc"))
+    texts, ranges, base = [], [], 0
+    for unit, (packed, lows, counts) in enumerate(zip(*(table.column(c) for c in ("packed", "low", "count")), strict=True)):
+        low, count = (np.asarray(c.values) for c in (lows, counts))
+        order = np.argsort(low, kind="stable")
+        _, low, count = united(np.zeros(len(low), np.int64), low[order], count[order])
+        sizes = count + (LENGTH - 1)
+        texts.append(np.frombuffer(zstandard.decompress(packed.as_py()), np.uint8)[gather_runs(low, sizes)])
+        ranges.append((base + np.cumsum(sizes) - sizes, count, low, np.full(len(low), unit)))
+        base += len(texts[-1])
+    raw = np.concatenate(texts)
+    begin, count, low, unit = (np.concatenate(c) for c in zip(*ranges, strict=True))
     windows, place, unit = gather_runs(begin, count), gather_runs(low, count), np.repeat(unit, count)
     sorter = SuffixSorter(raw)
+    if passes > 1:
+        mine = np.flatnonzero(mixed(spans(sorter.prefix, windows, windows + LENGTH)) % np.uint64(passes) == np.uint64(own))
+        windows, place, unit = windows[mine], place[mine], unit[mine]
     # Windows are dealt to segments by the hash of their first bytes, so merges stay short.
     head = spans(sorter.prefix, windows, windows + 16)
     order = np.argsort(head, kind="stable")
@@ -316,7 +364,7 @@ def window_runs(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
     number[order] = sorter.classes(windows[order], segment)
     classes, first, number = np.unique(number, return_index=True, return_inverse=True)
     names = window_names(raw, windows[first])[number]
-    cuts = np.searchsorted(unit, np.arange(len(units) + 1))
+    cuts = np.searchsorted(unit, np.arange(len(rows) + 1))
     ones = np.ones(len(windows), np.int64)
     return rows, docs, [(names[i:j, 0], names[i:j, 1], place[i:j], ones[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -348,19 +396,29 @@ def covered_starts(docs: DataFrame) -> DataFrame:
         ids = np.array([LEAST_ID if i is None else i for i in part.column(1).to_pylist()], np.int64)
         return part.column(0).to_numpy(), ids, [runs_of(np.frombuffer(t, np.uint8)) for t in part.column(2).cast(pa.binary()).to_pylist()]
 
-    flags = written(resolved(named(docs), runs, groups), "run-flags")
+    # Shuffled files of a step go at its end, so that no two steps' files are on disk together.
+    flags = written(resolved(named(docs), runs, groups, partial(slices, most=BLOCK_BYTES)), "run-flags", free=True)
     wanted = flags.where("compare").groupBy("row").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("count")).alias("count"))
     texts = packed_texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(LEAST_ID)))
     block = texts.hint("merge").join(wanted, "row").select("row", "doc", "packed", "low", "count")
-    late = resolved(block, window_runs, groups).where("not compare")
-    return flags.where("not compare").select("row", "low", "count").union(late.select("row", "low", "count"))
-
-
-def resolved(table: DataFrame, runs, groups: int) -> DataFrame:
-    """The flags of all runs that ``runs`` finds in the table's blocks: they are dealt by anchor, group by group."""
+    windows = flags.where("compare").agg(F.sum(F.aggregate("count", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")).first()["n"] or 0
+    passes = max(1, -(-windows * WINDOW_BYTES // max(1, volume)))
+    if passes > 1:
+        block = written(block, "run-texts", free=True)
+    every = flags
+    for own in range(passes):
+        found = resolved(block, partial(window_runs, passes=passes, own=own), groups, lambda batch: (b for part in slices(batch) for b in in_blocks(part)))
+        every = every.union(written(found, "window-flags", free=True).where("not compare"))
+    if passes > 1:
+        dropped(block)
+    return every.where("not compare").select("row", "low", "count")
+
+
+def resolved(table: DataFrame, runs, groups: int, parts) -> DataFrame:
+    """The flags of all runs that ``runs`` finds in the table's blocks, which ``parts`` makes of a batch: they are dealt by anchor, group by group."""
     def blocks(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            for part in slices(batch):
+            for part in parts(batch):
                 packed, flags = pack_block(*runs(part), groups)
                 names, blobs = list(packed), list(packed.values())
                 spread = np.array_split(flags, -(-len(flags) // 200_000)) if len(flags) else []

@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pytest
 from held import same
 
 from factorloom.llm import components, lines, neardup, packing, substrings
+from factorloom.llm.common import written
 from factorloom.llm.queries import tokenizer_file
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -78,6 +80,40 @@ def test_repeats_over_many_groups(crafted, monkeypatch):
     same(substrings.repeat_report(crafted.repartition(9)).toPandas(), plain_repeats(rows_of(crafted)))
 
 
+def test_repeats_in_several_passes_and_small_sorts(crafted, monkeypatch):
+    """Windows beyond the texts' own bytes are compared in parts; the parts together are the whole."""
+    monkeypatch.setattr(substrings, "WINDOW_BYTES", 6)
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 1 << 10)
+    same(substrings.repeat_report(crafted.repartition(3)).toPandas(), plain_repeats(rows_of(crafted)))
+
+
+def test_packed_runs_stay_small():
+    """A copy is one flag, whatever its runs; dealt to very many groups, runs keep under 25 bytes (36 before), and they come back as they were."""
+    raw = np.random.default_rng(7).integers(32, 127, (40, 3000), np.uint8)
+    found = [substrings.runs_of(r) for r in (*raw, raw[3])]
+    rows, docs = np.random.default_rng(8).integers(-(2**62), 2**62, 41), np.array([substrings.LEAST_ID, *range(10, 50)])
+    packed, flags = substrings.pack_block(rows, docs, found, 4)
+    assert [tuple(map(int, f)) for f in flags] == [(rows[40], 0, 2951)]
+    own = [substrings.unpack(pa.py_buffer(b)) for b in packed.values()]
+    got = sorted((int(u["row"]), int(u["doc"]), int(r["low"])) for units, runs in own for u, r in zip(np.repeat(units, units["runs"]), runs, strict=True))
+    assert got == sorted((int(rows[i]), int(docs[i]), int(low)) for i, f in enumerate(found[:40]) for low in f[2])
+    # 500 groups of one run a row: the runs of each group's rows stand apart.
+    apart = [tuple(c[:1] for c in substrings.runs_of(r)) for r in np.random.default_rng(9).integers(32, 127, (5000, 60), np.uint8)]
+    packed, _ = substrings.pack_block(np.random.default_rng(1).integers(-(2**62), 2**62, 5000), np.arange(5000), apart, 4)
+    assert sum(len(pa.compress(b, codec="lz4", asbytes=True)) for b in packed.values()) < 25 * 5000
+
+
+def test_shuffled_files_go_with_their_step(spark):
+    blocks = lambda: sum("shuffle_" in str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()))
+    before = blocks()
+    written(spark.range(1000).repartition(4, "id"), "kept-files", free=True)
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before
+
+
 def test_suffixes_come_out_sorted():
     raw = np.frombuffer(b"abracadabra" * 20, np.uint8)
     windows = np.arange(len(raw) - 49)
