@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a record batch between Spark and a worker, which both hold outside the heap, in more than one copy.
+BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,8 +81,20 @@ def partitions_for(df: DataFrame, least: int = 12) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, most: int = 16 << 20) -> DataFrame:
-    """mapInArrow: ``make()`` runs once a task and gives a function from a record batch, of about ``most`` bytes, to columns (or None)."""
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session's record batches have no more than BATCH_BYTES (a lower bound of its own stays). It must hold when the plan runs, so it is not put back."""
+    own = spark.conf.get(ARROW_BYTES, None) or ""
+    now = int(own[:-1]) if re.fullmatch(r"-?\d+b", own) else 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow: ``make()`` runs once a task and gives a function from a record batch, of about ``most`` bytes, to columns (or None).
+
+    A worker outlives its task, so what Arrow's pool holds unused goes back at the task's end.
+    """
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -88,16 +103,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, most:
                 out = work(part)
                 if out is not None:
                     yield out
+            part = out = None
+        batch = work = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``most`` bytes, so that work on a batch has bounded memory."""
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in even runs of rows of about ``most`` bytes, half as much again at most, so that work on a batch has bounded memory."""
     rows = batch.num_rows
     if not rows:
         return
-    step = max(1, min(rows, int(rows * most / max(1, batch.nbytes))))
+    step = -(-rows // min(rows, max(1, round(batch.nbytes / most))))
     for start in range(0, rows, step):
         yield batch.slice(start, step)
 

@@ -38,7 +38,7 @@ class WordHashes(dict):
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes. Words are runs of bytes other than ASCII white space, with A-Z in lower case."""
 
-    def __init__(self, width: int, most_kept: int = 500_000):
+    def __init__(self, width: int, most_kept: int = 1 << 17):
         self.width, self.most_kept = width, most_kept
         self.hashes = WordHashes()
         self.powers = np.array([pow(int(MIX), i, 1 << 64) for i in range(width)], np.uint64)

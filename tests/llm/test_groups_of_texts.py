@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from held import same
+from pyspark.sql import functions as F
 
 from factorloom.llm import components, lines, neardup, packing, substrings
-from factorloom.llm.common import written
+from factorloom.llm.common import BATCH_BYTES, map_batches, slices, written
 from factorloom.llm.queries import tokenizer_file
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -103,6 +104,19 @@ def test_packed_runs_stay_small():
     assert sum(len(pa.compress(b, codec="lz4", asbytes=True)) for b in packed.values()) < 25 * 5000
 
 
+def test_record_batches_have_bounded_bytes(spark):
+    """A batch is held outside the heap and in the worker at once, so rows alone do not bound it."""
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("ten bytes "), 1000).alias("text"))
+    sizes = map_batches(wide, lambda: lambda batch: pa.record_batch({"n": pa.array([batch.nbytes])}), "n long", 1 << 40).toPandas()["n"]
+    assert sum(sizes) > 40e6 and max(sizes) < 1.25 * BATCH_BYTES
+
+
+def test_slices_are_even():
+    batch = pa.record_batch({"n": pa.array(range(1010))})
+    assert [part.num_rows for part in slices(batch, 8 * 1000)] == [1010]  # no run of a few rows at the end
+    assert [part.num_rows for part in slices(batch, 8 * 300)] == [337, 337, 336]
+
+
 def test_shuffled_files_go_with_their_step(spark):
     blocks = lambda: sum("shuffle_" in str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()))
     before = blocks()
