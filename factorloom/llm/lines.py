@@ -189,7 +189,11 @@ def rows_of(blob: bytes) -> np.ndarray:
     return rows
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+#: The columns that pairs are compared by.
+COMPARED = tuple(c for c in PREFIX.names if c != "word")
+
+
+def may_be_similar(a, b, percent: int) -> np.ndarray:
     """Whether rows with a word in common pass the length, positional and bitmap filters and b's set comes first in some block before a's."""
     size_a, size_b, place_a, place_b = (x[c].astype(np.int64) for c in ("size", "place") for x in (a, b))
     least = -(-(size_a + size_b) * percent // (100 + percent))
@@ -211,10 +215,13 @@ def meetings(a: np.ndarray, b: np.ndarray, percent: int, chunk: int = 1 << 18):
     low = np.searchsorted(key, word | -(-size * percent // 100))
     long = np.searchsorted(key, word | np.minimum(size * 100 // percent, (1 << 31) - 1), "right") - low
     total, begin = np.cumsum(long), 0
+    own_a, own_b = ({c: np.ascontiguousarray(x[c]) for c in COMPARED} for x in (a, b))
     while begin < len(a):
         end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk, "right")))
         one, two = np.repeat(np.arange(begin, end), long[begin:end]), gather_runs(low[begin:end], long[begin:end])
-        good = may_be_similar(a[one], b[two], percent)
+        before = own_b["doc"][two] <= own_a["doc"][one]
+        one, two = one[before], two[before]
+        good = may_be_similar({c: own_a[c][one] for c in COMPARED}, {c: own_b[c][two] for c in COMPARED}, percent)
         yield one[good], two[good]
         begin = end
 
@@ -237,9 +244,20 @@ FOUND = {"later": pa.int64(), "earlier": pa.int64(), "word": pa.int64(), "block"
 FOUND_SCHEMA = "later long, earlier long, word long, block int, blob binary, open array<long>"
 
 
+def rows_of_shared_words(blobs: pa.ChunkedArray) -> np.ndarray:
+    """The prefix rows of words that have several; the other words, which are most, bring nothing together."""
+    parts = [rows_of(b.as_buffer()) for b in blobs]
+    words = np.sort(np.concatenate([np.zeros(0, np.uint32), *(part["word"] for part in parts)]))
+    shared = np.unique(words[1:][words[1:] == words[:-1]])
+    for i, part in enumerate(parts):
+        at = np.minimum(np.searchsorted(shared, part["word"]), max(len(shared) - 1, 0))
+        parts[i] = part[shared[at] == part["word"]] if len(shared) else part[:0]
+    return np.concatenate([np.zeros(0, PREFIX), *parts])
+
+
 def candidates(table: pa.Table, percent: int) -> pa.Table:
     """Of one group of words: pairs (later, earlier) of sets; and where a set has met only some of the earlier ones of a word, that word's rows in blocks, each with its open sets."""
-    rows = np.concatenate([np.zeros(0, PREFIX), *(rows_of(b) for b in table["blob"].to_pylist())])
+    rows = rows_of_shared_words(table["blob"])
     rows = rows[np.lexsort((rows["line"], rows["word"].astype(np.int64) << 31 | rows["size"]))]
     if len(rows):  # a set once a word, with its first place
         new = np.append(True, (rows["line"][1:] != rows["line"][:-1]) | (rows["word"][1:] != rows["word"][:-1]))
@@ -256,7 +274,8 @@ def candidates(table: pa.Table, percent: int) -> pa.Table:
         crowded[few[more]] = True
         found.append(np.stack([own["line"][later], own["line"][earlier]], axis=1))
     group, blocks = table["group"][0].as_py(), []
-    for begin, n in zip(first.tolist(), many.tolist(), strict=True):
+    busy = (many > BLOCK) | np.logical_or.reduceat(crowded, first) if len(rows) else np.zeros(0, bool)
+    for begin, n in zip(first[busy].tolist(), many[busy].tolist(), strict=True):
         if n > BLOCK:
             own = rows[begin : begin + n]
             for pivot in np.lexsort((own["at"], own["doc"]))[:PIVOTS]:

@@ -1,7 +1,9 @@
 """Operators that compare texts with one another, and the pipeline: held against plain versions."""
 
+import cProfile
 import hashlib
 import importlib
+import pstats
 import time
 import zlib
 from collections import Counter
@@ -178,6 +180,18 @@ def test_lines_of_common_words_and_many_sets(crafted, monkeypatch, way):
     same(lines.line_report(crafted).toPandas(), plain_lines(rows_of(crafted)))
 
 
+def test_words_of_one_set_cost_no_step_each():
+    """Most words of a group are in one set; candidates() once took a step in Python for each of them."""
+    rows = np.zeros(30_004, lines.PREFIX)
+    rows["word"], rows["line"], rows["doc"], rows["size"] = np.arange(len(rows)), np.arange(1, len(rows) + 1), np.arange(len(rows)), 1
+    rows["word"][-2:] = rows["word"][:2]
+    halves = [lines.packed_rows(half) for half in (rows[:20_000], rows[20_000:])]
+    with cProfile.Profile() as calls:
+        found = lines.candidates(pa.table({"group": pa.array([0, 0], pa.int32()), "blob": pa.array(halves, pa.binary())}), 80)
+    assert found.select(["later", "earlier"]).to_pylist() == [{"later": 30_003, "earlier": 1}, {"later": 30_004, "earlier": 2}]
+    assert pstats.Stats(calls).total_calls < 3000
+
+
 def test_lines_are_removed(crafted):
     want = {}
     for d, n, gone, digest in plain_lines(rows_of(crafted)):
