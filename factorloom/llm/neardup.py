@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +19,8 @@ from .components import components
 
 #: Half-keys in each collection and minhashes in each: 100 tables from 60 minhashes. A pair at similarity 0.8 shares a table with probability 0.998, one at 0.3 with 0.05.
 HALVES, DEPTH = 10, 3
+#: 64-bit numbers in a set's bitmap.
+BITMAP = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,55 +30,76 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Hashes of words, made when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingle hashes. Words are runs of bytes other than ASCII white space, with A-Z in lower case."""
-
-    def __init__(self, width: int, most_kept: int = 1 << 17):
-        self.width, self.most_kept = width, most_kept
-        self.hashes = WordHashes()
-        self.powers = np.array([pow(int(MIX), i, 1 << 64) for i in range(width)], np.uint64)
+def shingle_arrays(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit shingle hashes of all texts, one text after the other and sorted within each, and how many each has. Words are runs of bytes other than ASCII white space, with A-Z in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()  # an empty text's one empty word has no bytes and goes
+    known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = np.fromiter(map(bool, known), bool, len(known))[codes]
+    if not real.all():
+        counts = np.diff(np.append(0, np.cumsum(real))[np.append(0, np.cumsum(counts))])
+        codes = codes[real]
+    words, ends = hashes[codes], np.cumsum(counts)
+    starts = ends - counts
+    powers = [np.uint64(pow(int(MIX), i, 1 << 64)) for i in range(width)]
+    total = np.zeros(len(words), np.uint64)  # at each word, of the shingle that starts there
+    for i, power in enumerate(powers):
+        total[: max(len(words) - i, 0)] += words[i:] * power
+    found = mixed(total + np.uint64(width))
+    sizes = np.maximum(counts - (width - 1), np.minimum(counts, 1))
+    for d in np.flatnonzero((counts > 0) & (counts < width)).tolist():
+        n = int(counts[d])
+        own = words[starts[d] : ends[d]] * np.array(powers[:n])
+        found[starts[d]] = mixed(own.sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0]
+    new = np.zeros(len(found), bool)
+    for start, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        found[start : start + n].sort()
+        new[start : start + n] = True
+    new[1:] &= found[1:] != found[:-1]
+    new[starts[sizes > 0]] = True
+    before = np.append(0, np.cumsum(new))
+    return found[new], before[ends] - before[starts]
+
+
+def table_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row a set, which starts at each of ``starts``: one key a table, each half-key of the first collection joined with each of the second. Half-keys are of the minima of seeded permutations of the set's hashes."""
+    minima = np.empty((len(starts), len(SEEDS)), np.uint64)
+    for i, seed in enumerate(SEEDS):
+        minima[:, i] = np.minimum.reduceat((shingles ^ seed) * MIX, starts) >> np.uint64(8)
+    own = mixed(minima + np.arange(len(SEEDS), dtype=np.uint64)).reshape(-1, 2, HALVES, DEPTH)
+    halves = np.bitwise_xor.reduce(own * (np.arange(DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)), axis=3)
+    tables = np.arange(HALVES * HALVES, dtype=np.uint64).reshape(HALVES, HALVES)
+    return mixed(halves[:, 0, :, None] * MIX + halves[:, 1, None, :] + tables).reshape(-1, HALVES * HALVES).view(np.int64)
 
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.hashes) > self.most_kept:
-            self.hashes.clear()
-        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
-    def shingles(self, text: str) -> np.ndarray:
-        words = self.word_hashes(text.encode("utf-8", "surrogatepass").lower().split())
-        n = len(words)
-        if not n:
-            return words
-        width = min(self.width, n)
-        total = np.zeros(n - width + 1, np.uint64)
-        for i in range(width):
-            total += words[i : n - width + 1 + i] * self.powers[i]
-        return np.unique(mixed(total + np.uint64(width)))
+def keys_of(shingles: np.ndarray, sizes: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """The table keys of all sets that are not empty, made for about ``most`` hashes at a time, which stay in a core's cache."""
+    sizes = sizes[sizes > 0]
+    ends = np.cumsum(sizes)
+    out, low = [np.zeros((0, HALVES * HALVES), np.int64)], 0
+    while low < len(sizes):
+        begin = int(ends[low] - sizes[low])
+        high = max(int(np.searchsorted(ends, begin + most, "right")), low + 1)
+        out.append(table_keys(shingles[begin : ends[high - 1]], ends[low:high] - sizes[low:high] - begin))
+        low = high
+    return np.concatenate(out)
 
 
-def half_keys(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The half-keys of both collections, from the minima of seeded permutations of the set's hashes."""
-    minima = np.empty(len(seeds), np.uint64)
-    for i, seed in enumerate(seeds):
-        minima[i] = ((shingles ^ seed) * MIX >> np.uint64(8)).min() if len(shingles) else 0
-    own = mixed(minima + np.arange(len(seeds), dtype=np.uint64)).reshape(2, HALVES, DEPTH)
-    return np.bitwise_xor.reduce(own * (np.arange(DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)), axis=2)
+SEEDS = mixed(np.arange(1, 2 * HALVES * DEPTH + 1, dtype=np.uint64) * MIX)
+#: Bytes of texts whose words and shingles a worker holds at once.
+TEXT_BYTES = 4 << 20
 
 
-def table_keys(halves: np.ndarray) -> np.ndarray:
-    """One key a table: each half-key of the first collection joined with each of the second."""
-    tables = np.arange(HALVES * HALVES, dtype=np.uint64).reshape(HALVES, HALVES)
-    return mixed(halves[0][:, None] * MIX + halves[1][None, :] + tables).ravel().view(np.int64)
+def digests(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Each set's class; none for an empty set."""
+    return [xxhash.xxh3_128_digest(shingles[end - n : end]) if n else None for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
 
 
-SEEDS = mixed(np.arange(1, 2 * HALVES * DEPTH + 1, dtype=np.uint64) * MIX)
+def lists_of(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values.view(np.int64)))
 
 
 def text_key() -> Column:
@@ -83,46 +107,27 @@ def text_key() -> Column:
     return F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
 
 
-def digest(shingles: np.ndarray) -> bytes | None:
-    """A set's class; none for an empty set."""
-    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
-
-
 def signatures(texts: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, class, keys) of (doc_id, text, text_key): class is a digest of the whole set, keys one a table, none for an empty set."""
     types = {"doc_id": pa.int64(), "text_key": pa.binary(), "n_shingles": pa.int64(), "class": pa.binary(), "keys": pa.list_(pa.int64())}
 
-    def make():
-        shingler = Shingler(width)
-
-        def work(batch):
-            out: dict[str, list] = {"n_shingles": [], "class": [], "keys": []}
-            for text in batch.column(1).to_pylist():
-                own = shingler.shingles(text)
-                out["n_shingles"].append(len(own))
-                out["class"].append(digest(own))
-                out["keys"].append(table_keys(half_keys(own, SEEDS)) if len(own) else [])
-            return batch_of(types, {"doc_id": batch.column(0), "text_key": batch.column(2), **out})
-
-        return work
+    def work(batch):
+        shingles, sizes = shingle_arrays(batch.column(1), width)
+        keys = lists_of((sizes > 0) * HALVES * HALVES, keys_of(shingles, sizes).ravel())
+        return batch_of(types, {"doc_id": batch.column(0), "text_key": batch.column(2), "n_shingles": sizes, "class": digests(shingles, sizes), "keys": keys})
 
-    return map_batches(texts, make, "doc_id long, text_key binary, n_shingles long, class binary, keys array<long>")
+    return map_batches(texts, lambda: work, "doc_id long, text_key binary, n_shingles long, class binary, keys array<long>", TEXT_BYTES)
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(class, shingles) of (text)."""
-    types = {"class": pa.binary(), "shingles": pa.list_(pa.int64())}
-
-    def make():
-        shingler = Shingler(width)
+    """(node, shingles) of (node, text)."""
+    types = {"node": pa.int64(), "shingles": pa.list_(pa.int64())}
 
-        def work(batch):
-            sets = [shingler.shingles(t) for t in batch.column(0).to_pylist()]
-            return batch_of(types, {"class": [digest(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
-
-        return work
+    def work(batch):
+        shingles, sizes = shingle_arrays(batch.column(1), width)
+        return batch_of(types, {"node": batch.column(0), "shingles": lists_of(sizes, shingles)})
 
-    return map_batches(texts, make, "class binary, shingles array<long>")
+    return map_batches(texts, lambda: work, "node long, shingles array<long>", TEXT_BYTES)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,44 +151,40 @@ def near_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = written(keys.hint("merge").join(buckets, "key").select("key", "node", "size"), "bucket-members")
     pairs = written(hub_pairs(members), "pairs")
     wanted = members.select("node").distinct()
-    wanted = written(classes.select("class", "node", F.col("least_id").alias("wanted_id"), F.col("text_key").alias("wanted_key")).hint("merge").join(wanted, "node"), "wanted-classes")
+    wanted = written(classes.select("node", F.col("least_id").alias("wanted_id"), F.col("text_key").alias("wanted_key")).hint("merge").join(wanted, "node"), "wanted-classes")
     own = (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    texts = source.hint("merge").join(wanted.select("wanted_id", "wanted_key"), own, "left_semi").select("text")
-    sets = written(shingle_sets(texts, width).dropDuplicates(["class"]).hint("merge").join(wanted, "class").select("node", "shingles"), "shingle-sets")
+    texts = source.hint("merge").join(wanted, own).select("node", "text")
+    sets = written(shingle_sets(texts, width).dropDuplicates(["node"]), "shingle-sets")  # of repeated rows one
     roots = written(components(confirmed(pairs, sets, percent)), "roots")
     left = written(mixed_members(members, roots), "mixed-members")
-    more = written(cross_component_pairs(left, sets, percent), "cross-pairs")
-    found = written(confirmed(more.select("a", "b"), sets, percent), "cross-links")
+    found = written(confirmed(cross_component_pairs(left, sets, percent), sets, percent), "cross-links")
     if not found.isEmpty():
-        joins = more.hint("merge").join(found, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        over = written(components(joins), "root-roots").toDF("old", "new")
-        at = roots.hint("merge").join(over, roots["root"] == over["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
-        alone = over.hint("merge").join(roots.select("node"), over["old"] == roots["node"], "left_anti").toDF("node", "root")  # nodes that had no link before
-        roots = written(at.union(alone), "roots")
-    dropped(buckets, members, pairs, wanted, sets, left, more, found)
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(components(stars.union(found)), "roots")
+    dropped(buckets, members, pairs, wanted, sets, left, found)
     labels = classes.select("class", "node", "keep_row", "least_id").hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = written(labels, "class-roots")
     heads = labels.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "keep_row")).alias("head"))
-    labels = written(labels.select("class", "root").hint("merge").join(heads, "root").select("class", F.col("head.least_id").alias("component_id"), F.col("head.keep_row").alias("keep_row")), "class-components")
+    labels = labels.select("class", "root").hint("merge").join(heads, "root").select("class", F.col("head.least_id").alias("component_id"), F.col("head.keep_row").alias("keep_row"))
     grouped = rows.where("class is not null").select("row", "doc_id", "text_key", "n_shingles", "class").hint("merge").join(labels, "class").select("row", "doc_id", "text_key", "n_shingles", "component_id", "keep_row")
     return grouped.union(rows.where("class is null").select("row", "doc_id", "text_key", "n_shingles", F.col("doc_id"), F.col("row")))
 
 
-def bitmaps(sets: DataFrame, words: int = 64) -> DataFrame:
-    """(node, n, bits): how many shingles a set has, and a bit for each, at a place by its hash."""
-    types = {"node": pa.int64(), "n": pa.int64(), "bits": pa.list_(pa.int64())}
+def bitmaps(sets: DataFrame, words: int = BITMAP) -> DataFrame:
+    """(node, root, n, bits) of (node, root, shingles): how many shingles a set has, and a bit for each, at a place by its hash."""
+    types = {"node": pa.int64(), "root": pa.int64(), "n": pa.int64(), "bits": pa.list_(pa.int64())}
 
     def work(batch):
-        out: dict[str, list] = {k: [] for k in types}
-        for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        out: dict[str, list] = {"n": [], "bits": []}
+        for shingles in batch.column(2):
             own = shingles.values.to_numpy().view(np.uint64)
             places = np.zeros(64 * words, np.uint8)
             places[(own % np.uint64(64 * words)).astype(np.int64)] = 1
-            for k, v in zip(types, (node, len(own), np.packbits(places).view(np.int64)), strict=True):
-                out[k].append(v)
-        return batch_of(types, out)
+            out["n"].append(len(own))
+            out["bits"].append(np.packbits(places).view(np.int64))
+        return batch_of(types, {"node": batch.column(0), "root": batch.column(1), **out})
 
-    return map_batches(sets, lambda: work, "node long, n long, bits array<long>")
+    return map_batches(sets, lambda: work, "node long, root long, n long, bits array<long>")
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -206,33 +207,41 @@ def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return at.hint("merge").join(several, "key").select("node", "root").distinct()
 
 
-def cross_component_pairs(left: DataFrame, sets: DataFrame, percent: int, head: int = 64) -> DataFrame:
-    """(a, b, root_a, root_b), a < b, once: all pairs of nodes (node, root) of different components that may be similar, by an exact prefix-filter join.
+def cross_component_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, once: all pairs of nodes (node, root) of different components that may be similar, by an exact prefix-filter join.
 
     Shingles are ordered: those of one component alone first, then by frequency. Two similar sets share one of the first few of each, and
-    those of one component alone meet none of another, so an outlier beside a large component meets little of it. Sizes, places in the order and
-    bitmaps (two sets differ in at least as many shingles as their bitmaps do in bits) are compared in the join, where a pair is
-    made at the first shingle that both sets have among their ``head`` first ones.
+    those of one component alone meet none of another, so an outlier beside a large component meets little of it. At each shingle only
+    members of other components than the one with the most members there meet the rest, so a large component never meets itself. Sizes, places in the order and
+    bitmaps (two sets differ in at least as many shingles as their bitmaps do in bits) are compared in the join.
     """
     held = written(sets.hint("merge").join(left, "node").select("node", "root", "shingles"), "mixed-sets")
     tokens = held.select("node", "root", F.explode("shingles").alias("token"))
-    shared = written(tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "often"), "shared-shingles")
-    ordered = tokens.hint("merge").join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("own"))
+    by_root = tokens.groupBy("token", "root").agg(F.count("*").alias("often"))
+    shared = by_root.groupBy("token").agg(F.sum("often").alias("often"), F.count("*").alias("roots"), F.max_by("root", F.struct("often", "root")).alias("major"))
+    shared = written(shared.where("roots > 1").select("token", "often", "major"), "shared-shingles")
+    ordered = tokens.select("node", "token").hint("merge").join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token", "major"))).alias("own"))
     n, own = F.col("n"), F.col("own")
     alone = n - F.size(own)
     first = F.greatest(n - F.ceil(n * percent / 100) + 1 - alone, F.lit(0)).cast("int")
-    rich = ordered.hint("merge").join(bitmaps(held.select("node", "shingles")), "node").hint("merge").join(left, "node")
-    rich = rich.select("node", "root", "n", "bits", alone.alias("alone"), F.transform(F.slice(own, F.lit(1), first), lambda s: s["token"]).alias("prefix")).where(F.size("prefix") > 0)
-    rich = written(rich.select("node", "root", "n", "bits", "alone", F.slice("prefix", 1, head).alias("head"), F.posexplode("prefix").alias("pos", "token")), "prefixes")
-    one, two = (rich.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "bits", "head")), (F.col("alone") + F.col("pos")).alias(f"at_{side}")) for side in "ab")
+    bits = [f"bits{i}" for i in range(BITMAP)]  # columns, not an array, so that Spark compares them in compiled code
+    rich = ordered.hint("merge").join(bitmaps(held), "node").select("node", "root", "n", *(F.get("bits", F.lit(i)).alias(c) for i, c in enumerate(bits)), alone.alias("alone"), F.slice(own, F.lit(1), first).alias("prefix"))
+    rich = rich.where(F.size("prefix") > 0).select("node", "root", "n", *bits, "alone", F.posexplode("prefix").alias("pos", "shared"))
+    one, two = sides(written(rich.select("node", "root", "n", *bits, (F.col("alone") + F.col("pos")).alias("at"), "shared.token", "shared.major"), "prefixes"))
     least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    start = F.get(F.array_intersect("head_a", "head_b"), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     near = (
-        (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (most >= least) & (apart <= F.col("n_a") + F.col("n_b") - 2 * least) & (start.isNull() | (start == F.col("token"))))
-    return one.hint("merge").join(two.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").distinct()
+        (F.col("root_a") != F.col("root_b")) & ((F.col("node_a") < F.col("node_b")) | (F.col("root_b") == F.col("major_a"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (most >= least) & (apart <= F.col("n_a") + F.col("n_b") - 2 * least))
+    met = one.hint("merge").join(two, (F.col("token_a") == F.col("token_b")) & near)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides that meet by token, with _a and _b after their names: rows of other components than the token's major one, and all rows."""
+    one, two = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in "ab")
+    return one.where("root_a <> major_a"), two.drop("major_b")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -251,6 +251,36 @@ def test_one_of_each_stays(table, request):
     same(stays.select("doc_id", "text").toPandas(), list(want))
 
 
+def test_shingles_of_a_batch_are_those_of_each_text():
+    texts = ["", " ", "a", "A b\tc", " x y  z w ", "a b c d e a b c d e", "\n", "\u00c9 \u00e9 X", "q w e r t y\x1cu i", "a"]
+    shingles, sizes = neardup.shingle_arrays(pa.array(texts), 4)
+    want = [n for _, n, *_ in plain_near(list(enumerate(texts)), 4)]
+    assert sizes.tolist() == want and len(shingles) == sum(want)
+    alone = [neardup.shingle_arrays(pa.array([t]), 4)[0].tolist() for t in texts]
+    assert shingles.tolist() == [h for own in alone for h in own] and all(own == sorted(set(own)) for own in alone)
+    keys = neardup.keys_of(shingles, sizes, 3)
+    assert keys.tolist() == [row for own in alone for row in neardup.keys_of(np.array(own, np.uint64), np.array([len(own)])).tolist()]
+
+
+def test_a_large_component_does_not_meet_itself(spark):
+    rows = [(node, 0 if node < 100 else node, token, 0) for node in range(102) for token in range(5)]
+    one, two = neardup.sides(spark.createDataFrame(rows, "node long, root long, token long, major long"))
+    assert one.join(two, one["token_a"] == two["token_b"]).count() == 5 * 2 * 102
+
+
+def test_cross_component_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 10**6, 60) for _ in range(3)]
+    sets = [sorted({int(h) for h in np.where(rng.random(60) < rng.choice([0, 0.05, 0.15]), rng.integers(0, 10**6, 60), base[i % 3])}) for i in range(90)]
+    roots = [int(r) for r in rng.choice([0, 0, 0, 1, 2, 3], 90)]
+    left = spark.createDataFrame(list(enumerate(roots)), "node long, root long")
+    table = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    found = neardup.confirmed(neardup.cross_component_pairs(left, table, 80), table, 80).collect()
+    a = [set(x) for x in sets]
+    want = {(i, j) for j in range(90) for i in range(j) if roots[i] != roots[j] and 100 * len(a[i] & a[j]) >= 80 * len(a[i] | a[j])}
+    assert len(want) > 20 and sorted(map(tuple, found)) == sorted(want)
+
+
 def test_documents_without_an_id_of_their_own_stay(spark):
     rng = np.random.default_rng(11)
     text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 60))
@@ -262,6 +292,13 @@ def test_documents_without_an_id_of_their_own_stay(spark):
     same(stays.toPandas(), rows + near[1:3])
 
 
+def test_components_end_when_stars_are_left(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(components, "written", lambda df, name: steps.append(name) or written(df, name))
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame([(1, 2), (1, 3), (4, 1), (9, 8)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8} and len(steps) == 5
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1100)]
