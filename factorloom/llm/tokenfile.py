@@ -14,6 +14,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = tuple(60 // n for n in COUNTS)
 ESCAPE, ZEROS = 0, 15
 BLOCK, SEGMENT = 1024, 1 << 16
-#: Words, and pieces of words, that a Python worker remembers the ids of.
+#: Pieces of words that a Python worker remembers the ids of from one batch to the next.
 REMEMBERED = 400_000
 U = np.uint64
 
@@ -48,6 +49,20 @@ def bit_lengths(ids: np.ndarray) -> np.ndarray:
     return bits + (ids > 0)
 
 
+def walked(step: np.ndarray, block: int) -> np.ndarray:
+    """The places that words start at, when each block is gone through from its start by the steps at its places, which end with the block; all blocks go side by side."""
+    n = len(step)
+    at, ends = np.arange(0, n, block), np.minimum(np.arange(0, n, block) + block, n)
+    chosen = np.zeros(n, bool)
+    while len(at):
+        chosen[at] = True
+        at = at + step[at]
+        inside = at < ends
+        if not inside.all():
+            at, ends = at[inside], ends[inside]
+    return np.flatnonzero(chosen)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Ids (unsigned, of up to 64 bits) as bytes: a head of five integers, the first word of each block, words, escapes."""
     ids = np.ascontiguousarray(ids, U)
@@ -67,11 +82,7 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     long = zero[starts] & (runs > COUNTS[0]) if n else np.zeros(0, bool)
     for start, run in zip(starts[long].tolist(), runs[long].tolist(), strict=True):  # from each place in a run its rest is one word
         best[start : start + run], step[start : start + run] = ZEROS, run - np.arange(run)
-    jumps, places, at = step.tolist(), [], 0
-    while at < n:
-        places.append(at)
-        at += jumps[at]
-    places = np.array(places, np.int64)
+    places = walked(step, block)
     chosen = best[places]
     words = chosen.astype(U) << U(60)
     for selector in np.unique(chosen).tolist():
@@ -131,18 +142,9 @@ class Packed:
         return self.blocks(low, high)[start - low * self.block : end - low * self.block]
 
 
-class Remembered(dict):
-    """Values by key, each asked for once; when too many are held, all are let go."""
-
-    def __init__(self, ask: Callable[[str], bytes]):
-        super().__init__()
-        self.ask = ask
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = value = self.ask(key)
-        return value
+def strings(values: pa.Array) -> list[str]:
+    """As to_pylist of an array without nulls, by numpy, which is faster."""
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 def expanded(lists: pa.ListArray, values: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +180,12 @@ class WordEncoder:
         if self.of_whole("a\n b") != self.of_whole("a") + self.of_whole("b") or any(t.split() != [t] for t in special):
             raise ValueError("this tokenizer does not drop white space")
         self.special, self.latin = "|".join(map(re.escape, special)), f"^[{self.letters}]+$"
-        self.is_latin, self.has_special = re.compile(self.latin).search, re.compile(self.special or "(?!)").search
-        self.rule, self.bytes_as_letters = self.split_rule(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.pieces = Remembered(self.of_piece)
+        self.rule, as_letters = self.split_rule(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        printable = [c for c in map(chr, range(0x180)) if re.match(f"[{self.letters}]", c)]
+        self.byte_letters = {b: x for c in printable for b, x in zip(c.encode(), as_letters(c)[0][0], strict=True)} | {10: "\n"}
+        #: Only quoted endings come before runs of letters, so a word of letters alone is one piece.
+        self.letters_are_one = bool(re.match(r"(?:'[a-z]+\|)*\[?\\p\{L\}\]?\+(?:\||$)", self.rule or ""))
+        self.pieces: dict[str, bytes] = {}
 
     def split_rule(self) -> str | None:
         """The file's pattern, if its matches are the pieces, bytes are then written as letters, and before that Latin letters only change case."""
@@ -194,26 +199,41 @@ class WordEncoder:
         return None
 
     def of_whole(self, text: str) -> bytes:
-        """Ids as little-endian integers of 32 bits, by all steps of the library."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def of_piece(self, piece: str) -> bytes:
-        if not self.rule or not self.is_latin(piece) or self.has_special(piece):
-            return self.of_whole(piece)
-        letters = piece if piece.isascii() else self.bytes_as_letters(piece)[0][0]
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        """Ids as integers of 32 bits, by all steps of the library."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def plain(self, words: pa.Array) -> pa.Array:
+        """Which words are of Latin letters and printable, without a special token."""
+        found = pc.match_substring_regex(words, self.latin)
+        return pc.and_not(found, pc.match_substring_regex(words, self.special)) if self.special else found
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces. Those that are plain go to the model, with their bytes as letters, others through all steps of the library."""
+        plain = strings(self.plain(pa.array(pieces, pa.string()))) if self.rule else [False] * len(pieces)
+        letters = iter("\n".join(p for p, own in zip(pieces, plain, strict=True) if own).encode().decode("latin-1").translate(self.byte_letters).split("\n"))
+        tokens = self.tokenizer.model.tokenize
+        for piece, own in zip(pieces, plain, strict=True):
+            self.pieces[piece] = array("I", [t.id for t in tokens(next(letters))]).tobytes() if own else self.of_whole(piece)
 
     def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(self.pieces.__getitem__, pieces.to_pylist()))
-        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = strings(pieces)
+        self.learn([p for p in own if p not in self.pieces])
+        found = list(map(self.pieces.__getitem__, own))
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {p: self.pieces[p] for p in own[:REMEMBERED]}
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def cut(self, words: pa.Array) -> pa.Array:
+        """Plain words in lower case, a space after each piece."""
+        low = pc.utf8_lower(words)
+        if not self.letters_are_one:
+            return pc.replace_substring_regex(low, f"({self.rule})", r"\1 ")
+        several = pc.invert(pc.match_substring_regex(low, r"^\p{L}+$"))
+        return pc.replace_with_mask(low, several, pc.replace_substring_regex(low.filter(several), f"({self.rule})", r"\1 "))
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.rule:
-            cut = pc.replace_substring_regex(pc.utf8_lower(words), f"({self.rule})", r"\1 ")
-            plain = pc.match_substring_regex(words, self.latin)
-            if self.special:
-                plain = pc.and_not(plain, pc.match_substring_regex(words, self.special))
-            words = pc.if_else(plain, cut, words)
+            words = pc.if_else(self.plain(words), self.cut(words), words)
         return expanded(pc.ascii_split_whitespace(words), self.of_pieces)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -92,6 +92,25 @@ def test_words_are_forgotten(monkeypatch):
     assert first[0] == first[2] and len(encoder.pieces) <= 2
 
 
+def test_only_words_of_several_pieces_are_cut(monkeypatch):
+    encoder, cut = tokenfile.WordEncoder(WORDS), []
+    replace = tokenfile.pc.replace_substring_regex
+    monkeypatch.setattr(tokenfile.pc, "replace_substring_regex", lambda words, *rest: cut.extend(words.to_pylist()) or replace(words, *rest))
+    encoder.encode(pa.array(["Plain words don't need it", "caf\u00e9 12 end. \u6f22\u5b57"]))
+    assert sorted(set(cut)) == ["12", "don't", "end."]
+
+
+def test_blocks_are_walked_side_by_side():
+    rng = np.random.default_rng(3)
+    for n, block in ((0, 4), (1, 4), (1000, 64), (1000, 1024), (65, 64)):
+        room = np.minimum(block - np.arange(n) % block, n - np.arange(n))
+        step, want, at = np.minimum(rng.integers(1, 9, n), room), [], 0
+        while at < n:
+            want.append(at)
+            at += int(step[at])
+        assert tokenfile.walked(step, block).tolist() == want
+
+
 # ---- centroid clustering ------------------------------------------------------------------------
 
 
