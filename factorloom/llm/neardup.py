@@ -171,17 +171,19 @@ def near_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def bitmaps(sets: DataFrame, words: int = BITMAP) -> DataFrame:
-    """(node, root, n, bits) of (node, root, shingles): how many shingles a set has, and a bit for each, at a place by its hash."""
+    """(node, root, n, bits) of (node, root, shingles): how many shingles a set has, and at each place whether an odd number of them have it by their hash.
+
+    Where two sets' bits differ, at least one shingle of one set alone has that place. Shingles that both sets hold do not change that, however many they are.
+    """
     types = {"node": pa.int64(), "root": pa.int64(), "n": pa.int64(), "bits": pa.list_(pa.int64())}
 
     def work(batch):
         out: dict[str, list] = {"n": [], "bits": []}
         for shingles in batch.column(2):
             own = shingles.values.to_numpy().view(np.uint64)
-            places = np.zeros(64 * words, np.uint8)
-            places[(own % np.uint64(64 * words)).astype(np.int64)] = 1
+            places = np.bincount((own % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
             out["n"].append(len(own))
-            out["bits"].append(np.packbits(places).view(np.int64))
+            out["bits"].append(np.packbits((places & 1).astype(np.uint8)).view(np.int64))
         return batch_of(types, {"node": batch.column(0), "root": batch.column(1), **out})
 
     return map_batches(sets, lambda: work, "node long, root long, n long, bits array<long>")
@@ -213,7 +215,8 @@ def cross_component_pairs(left: DataFrame, sets: DataFrame, percent: int) -> Dat
     Shingles are ordered: those of one component alone first, then by frequency. Two similar sets share one of the first few of each, and
     those of one component alone meet none of another, so an outlier beside a large component meets little of it. At each shingle only
     members of other components than the one with the most members there meet the rest, so a large component never meets itself. Sizes, places in the order and
-    bitmaps (two sets differ in at least as many shingles as their bitmaps do in bits) are compared in the join.
+    bitmaps (two sets differ in at least as many shingles as their bitmaps do in bits) are compared in the join. A similar pair comes out where it
+    first meets: all that it shares is from there on, so a place with too few shingles from there on in either set makes no row.
     """
     held = written(sets.hint("merge").join(left, "node").select("node", "root", "shingles"), "mixed-sets")
     tokens = held.select("node", "root", F.explode("shingles").alias("token"))
@@ -229,7 +232,7 @@ def cross_component_pairs(left: DataFrame, sets: DataFrame, percent: int) -> Dat
     rich = rich.where(F.size("prefix") > 0).select("node", "root", "n", *bits, "alone", F.posexplode("prefix").alias("pos", "shared"))
     one, two = sides(written(rich.select("node", "root", "n", *bits, (F.col("alone") + F.col("pos")).alias("at"), "shared.token", "shared.major"), "prefixes"))
     least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
     near = (
         (F.col("root_a") != F.col("root_b")) & ((F.col("node_a") < F.col("node_b")) | (F.col("root_b") == F.col("major_a"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))

@@ -281,6 +281,20 @@ def test_cross_component_pairs_equal_all_pairs(spark):
     assert len(want) > 20 and sorted(map(tuple, found)) == sorted(want)
 
 
+def test_sets_near_a_large_component_make_few_pairs(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**62, 400)
+    copy = lambda share: [int(h) for h in np.where(rng.random(400) < share, rng.integers(0, 2**62, 400), base)]
+    sets = [sorted(copy(0.04)) for _ in range(60)] + [sorted(copy(0.15)) for _ in range(30)]
+    roots = [0] * 60 + list(range(60, 90))
+    left = spark.createDataFrame(list(enumerate(roots)), "node long, root long")
+    table = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    pairs = set(map(tuple, neardup.cross_component_pairs(left, table, 80).collect()))
+    a = [set(x) for x in sets]
+    links = {(i, j) for j in range(90) for i in range(j) if roots[i] != roots[j] and 100 * len(a[i] & a[j]) >= 80 * len(a[i] | a[j])}
+    assert links <= pairs and len(pairs) < 100 + len(links)
+
+
 def test_documents_without_an_id_of_their_own_stay(spark):
     rng = np.random.default_rng(11)
     text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 60))
